@@ -15,6 +15,7 @@ bytes of a character that is not complete.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Bounds of what a Python worker keeps.
-MAX_STATES, MAX_PIECES, DECODE_BLOCK = 200_000, 600_000, 1 << 16
+MAX_STATES, MAX_PIECES, DECODE_BLOCK, ROWS = 120_000, 150_000, 1 << 16, 256
 #: No rank.
 NEVER = 1 << 62
 
@@ -68,7 +69,7 @@ class Transducer:
     def forget(self) -> None:
         self.states: dict[tuple, int] = {((0, -1, ()),): 0}
         self.walks = [((0, -1, ()),)]
-        self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
+        self.moves: dict[int, tuple[int, tuple]] = {}  # state << 8 | byte: transition
         self.rest: list[tuple] = [()]
         self.fit: dict[int, bool] = {}  # left << 32 | right: whether they are compatible
 
@@ -125,7 +126,7 @@ class Transducer:
 
     def move(self, state: int, byte: int) -> tuple[int, tuple]:
         """The transition of a state on a byte: (next state, tokens that are certain now)."""
-        child, token_at, inner, fit = self.child.get, self.token_at, self.inner, self.fit
+        child, token_at, inner = self.child.get, self.token_at, self.inner
         walks, closed = [], None
         for node, last, pending in self.walks[state]:
             node = child(node << 8 | byte)
@@ -134,13 +135,8 @@ class Transducer:
             if inner[node]:
                 walks.append((node, last, pending))
             if closed is None and (token := token_at[node]) >= 0:
-                if last >= 0:
-                    known = fit.get(last << 32 | token)
-                    if known is None:
-                        known = fit[last << 32 | token] = self.fits(last, token)
-                    if not known:
-                        continue
-                closed = (0, token, (*pending, token))
+                if last < 0 or self.pair_fits(last, token):
+                    closed = (0, token, (*pending, token))
         if closed is None:
             raise ValueError("the vocabulary lacks a single byte")
         walks.append(closed)
@@ -158,26 +154,42 @@ class Transducer:
         if to is None:
             to = self.states[key] = len(self.walks)
             self.walks.append(key)
-            self.moves.append({})
             self.rest.append(key[-1][2])
-        self.moves[state][byte] = to, out
-        return to, out
+        step = self.moves[state << 8 | byte] = to, out
+        return step
+
+    def last(self, state: int, byte: int) -> tuple:
+        """All tokens that are still open when the piece ends with this byte; no state is made for it."""
+        step = self.moves.get(state << 8 | byte)
+        if step is not None:
+            return (*step[1], *self.rest[step[0]])
+        for node, last, pending in self.walks[state]:
+            node = self.child.get(node << 8 | byte)
+            if node is not None and (token := self.token_at[node]) >= 0:
+                if last < 0 or self.pair_fits(last, token):
+                    return (*pending, token)
+        raise ValueError("the vocabulary lacks a single byte")
+
+    def pair_fits(self, left: int, right: int) -> bool:
+        known = self.fit.get(left << 32 | right)
+        if known is None:
+            known = self.fit[left << 32 | right] = self.fits(left, right)
+        return known
 
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
+        if not piece:
+            return []
         if len(self.walks) > self.max_states:
             self.forget()
         out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
-            step = moves[state].get(byte)
-            if step is None:
-                step = self.move(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        out += self.rest[state]
+        state, known = 0, self.moves.get
+        for byte in piece[:-1]:
+            state, sure = known(state << 8 | byte) or self.move(state, byte)
+            if sure:
+                out += sure
+        out += self.last(state, piece[-1])
         return out
 
 
@@ -222,16 +234,20 @@ class Utf8Stream:
 
 
 class _Pieces(dict):
-    """Piece to the bytes of its int32 ids; bounded."""
+    """Piece to the bytes of its int32 ids; the newer of two generations, so that common pieces outlive a bound."""
 
     def __init__(self, machine: Transducer):
         super().__init__()
-        self.machine = machine
+        self.machine, self.older = machine, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MAX_PIECES:
+            self.older = dict(self)
             self.clear()
-        found = self[piece] = np.array(self.machine.encode(piece.encode("utf-8")), "int32").tobytes()
+        found = self.older.get(piece)
+        if found is None:
+            found = array("i", self.machine.encode(piece.encode("utf-8"))).tobytes()
+        self[piece] = found
         return found
 
 
@@ -249,8 +265,7 @@ class Codec:
         self.blob = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), "uint8")
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = self.pieces
-        return np.frombuffer(b"".join([pieces[p] for p in self.pattern.findall(text)]), "int32")
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), "int32")
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
@@ -283,64 +298,65 @@ def _free(name: str, taken: list[str]) -> None:
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids"
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    decoded_col: str | None = None,
 ) -> DataFrame:
     """docs with ids array<int>: the text's tokens; null and empty texts get an empty array.
 
-    A narrow map over Arrow batches: no shuffle, one pass, other columns pass through. The rank file is broadcast
-    (its size is the vocabulary's). A result column whose name the input has is refused before anything runs.
+    With decoded_col the ids are decoded again on the spot, as a round trip. A narrow map over Arrow batches: no
+    shuffle, one pass, other columns pass through. The rank file is broadcast (its size is the vocabulary's). A result
+    column whose name the input has is refused before anything runs.
     """
     _free(ids_col, docs.columns)
+    fields = [*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]
+    if decoded_col:
+        _free(decoded_col, [*docs.columns, ids_col])
+        fields.append(StructField(decoded_col, StringType()))
     raw = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    schema = StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
+    text_at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value, pattern)
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            ids = [codec.encode(t or "") for t in batch.column(at).to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)])
-            for lo, hi in _slices(ends):
-                flat = np.concatenate(ids[lo:hi]) if hi > lo else np.zeros(0, "int32")
-                lists = pa.ListArray.from_arrays(pa.array(ends[lo : hi + 1] - ends[lo], pa.int32()), pa.array(flat))
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, ids_col])
+        for part in _slices(batches):
+            ids = [codec.encode(t or "") for t in part.column(text_at).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)], dtype="int32")
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, "int32")])))
+            more = [pa.array([codec.decode(i) for i in ids], pa.string())] if decoded_col else []
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], [f.name for f in fields])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(work, StructType(fields))
 
 
-def _slices(ends: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch with about `most` ids at most (one row at least)."""
-    lo, n = 0, len(ends) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time: what a worker holds beside a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df with the text of its ids; null ids give the empty text. A narrow map like encode()."""
     _free(text_col, df.columns)
     raw = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    schema = StructType([*df.schema.fields, StructField(text_col, StringType())])
+    fields = [*df.schema.fields, StructField(text_col, StringType())]
+    at = df.columns.index(ids_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value, pattern)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids_col))
-            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            texts = [
-                "" if not lists[i].is_valid else codec.decode(flat[ends[i] : ends[i + 1]]) for i in range(len(lists))
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
+        for part in _slices(batches):
+            texts = [codec.decode(np.array(i or [], "int32")) for i in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [f.name for f in fields])
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(work, StructType(fields))
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode() and decode()."""
-    ids = encode(docs.select("doc_id", "text"), ranks_path, pattern).drop("text")
-    ids = decode(ids, ranks_path, pattern)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of a round trip through encode()."""
+    ids = encode(docs.select("doc_id", "text"), ranks_path, pattern, decoded_col="decoded")
     return ids.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -64,4 +64,6 @@ def test_edges(spark):
     assert got[None].decoded_sha256 == sha(b"a\x00b") and got[4].decoded_sha256 == sha(("x y " * 100_000).encode())
     out = bpe.encode(docs, P.path(RANKS), P.PATTERN, ids_col="t")
     assert out.columns == ["doc_id", "text", "tokens", "t"] and out.limit(0).count() == 0
+    back = bpe.decode(out, P.path(RANKS), P.PATTERN, ids_col="t").collect()
+    assert all((r.text or "") == r.decoded for r in back) and len(back) == 4
     assert bpe.encode(docs.limit(0), P.path(RANKS), P.PATTERN).count() == 0
