@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from groundphrase.llm import bpe, exact_dedup, minhash
+from groundphrase.llm import bpe, exact_dedup, minhash, substring
 from groundphrase.sources import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -19,6 +20,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -28,9 +35,29 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op6_exact_dedup, op9_minhash)}
+    return {f.__name__: f for f in (op1_bpe, op5_substring, op6_exact_dedup, op9_minhash)}
 
 
+OP5 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50
+), h AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM s
+), m AS (
+  SELECT h, min(doc_id) AS d FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)
+), c AS (
+  SELECT DISTINCT h.doc_id, unnest(range(h.i, h.i + 50)) AS p FROM h JOIN m USING (h) WHERE m.d < h.doc_id
+), r AS (
+  SELECT doc_id, list(p) AS p FROM c GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(len(r.p), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN r.p IS NULL THEN w.w ELSE
+    list_select(w.w, list_filter(range(1, len(w.w) + 1), lambda j: NOT list_contains(r.p, j))) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+"""
+
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -64,4 +91,4 @@ SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6, "op9_minhash": OP9}
+    return {"op5_substring": OP5, "op6_exact_dedup": OP6, "op9_minhash": OP9}
