@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundphrase.llm import bpe, chat, exact_dedup, minhash, substring, topk
+from groundphrase.llm import bpe, chat, exact_dedup, minhash, mixing, quality, substring, topk
 from groundphrase.sources import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -45,6 +45,21 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "mix.*")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.with_score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
@@ -64,7 +79,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_chat, op5_substring, op6_exact_dedup, op9_minhash, op10_topk)}
+    return {f.__name__: f for f in (op1_bpe, op2_chat, op3_mixing, op4_quality, op5_substring, op6_exact_dedup, op9_minhash, op10_topk)}
 
 
 OP2 = r"""
