@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundphrase.llm import bpe, chat, exact_dedup, minhash, mixing, quality, substring, topk
+from groundphrase.llm import bpe, chat, exact_dedup, licenses, minhash, mixing, quality, sharding, substring, topk
+from groundphrase.operators.lineage import ensure_checkpoint_dir
 from groundphrase.sources import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -70,6 +72,41 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def file_path() -> Column:
+    """A path for each document: id div 4096/id div 64/id div 8/id.txt. Each 64th is the LICENSE of the second folder,
+    each 8th of the others that of the third."""
+    i = F.col("doc_id")
+    folder = lambda *n: F.concat_ws("/", *[F.floor(i / k).cast("string") for k in n])
+    return (
+        F.when(i % 64 == 0, F.concat(folder(4096, 64), F.lit("/LICENSE")))
+        .when(i % 8 == 0, F.concat(folder(4096, 64, 8), F.lit("/LICENSE")))
+        .otherwise(F.concat(folder(4096, 64, 8), F.lit("/"), i.cast("string"), F.lit(".txt")))
+    )
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select(file_path().alias("path"), "text"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in 16 lots by hashed id; the committed shards after compaction, read back row by row."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
+    store = sharding.ShardStore(spark, root, target=32 << 20)
+    docs = table(spark, sf_dir, "documents")
+    store.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")), "arrival")
+    store.compact()
+    store.vacuum()
+    rows = [(s.name, s.size, s.rows, s.tier(store.smallest, store.fan_in)) for s in store.manifest()]
+    shards = spark.createDataFrame(rows, "shard string, shard_bytes long, shard_rows long, tier int")
+    shard = F.regexp_extract(F.col("_metadata.file_path"), r"(shards/[^/]+(?:/arrival=[^/]+)?)/[^/]+$", 1)
+    return (
+        store.read()
+        .select(shard.alias("shard"), "doc_id", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+        .join(shards, "shard", "left")
+    )
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
 
@@ -78,8 +115,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
+QUERIES = [op1_bpe, op2_chat, op3_mixing, op4_quality, op5_substring, op6_exact_dedup, op7_licenses, op8_sharding, op9_minhash, op10_topk]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_chat, op3_mixing, op4_quality, op5_substring, op6_exact_dedup, op9_minhash, op10_topk)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP2 = r"""
