@@ -57,35 +57,36 @@ def anchors(words: list[bytes], window: int, anchor: int = ANCHOR) -> tuple[np.n
 def _anchor_rows(window: int, anchor: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if doc is not None:
-                    key = np.unique(anchors(words_of(text), window, anchor)[0])
-                    ids.append(np.full(len(key), doc, "int64"))
-                    keys.append(key.view("int64"))
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["doc_id", "anchor"]
-                )
+            keys = [
+                np.unique(anchors(words_of(text), window, anchor)[0]).view("int64") if doc is not None else np.zeros(0, "int64")
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            ]
+            ends = pa.array(np.cumsum([0, *map(len, keys)], dtype="int32"))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*keys, np.zeros(0, "int64")])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "anchors"])
 
     return work
 
 
-def _segments(window: int, anchor: int):
-    """Rows (doc_id, text, anchors that repeat) become one row for each suffix at such an anchor with its context."""
+def _segments(window: int, anchor: int, column: int):
+    """Rows (doc_id, text, cold, hot) become one row for each suffix at an anchor of the column's list, with its
+    context. Documents without such anchors are passed over."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "anchor", "start", "windows", "words"]
+        names = ["anchor", "doc_id", "start", "words"]
         for batch in batches:
             out: list[tuple] = []
             size = 0
-            for doc, text, known in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = words_of(text)
+            known_lists, ids = batch.column(column).to_pylist(), batch.column(0).to_pylist()
+            for row, known in enumerate(known_lists):
+                if not known:
+                    continue
+                doc, words = ids[row], words_of(batch.column(1)[row].as_py())
                 key, _, first = anchors(words, window, anchor)
                 last = np.append(first[1:], len(words) - window + 1)
                 for i in np.flatnonzero(np.isin(key.view("int64"), np.array(known, "int64"))):
                     lo, hi = int(first[i]), int(last[i])
-                    out.append((doc, int(key[i].view("int64")), lo, hi - lo, b" ".join(words[lo : hi + window - 1])))
+                    out.append((int(key[i].view("int64")), doc, lo, b" ".join(words[lo : hi + window - 1])))
                     size += len(out[-1][-1])
                 if size > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
@@ -195,22 +196,25 @@ def repeated_windows(
     Runs of a document may touch or overlap. Null texts have no words, a null id takes no part.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = cut(slim.mapInArrow(_anchor_rows(window, anchor), "doc_id long, anchor long"))
+    found = cut(slim.mapInArrow(_anchor_rows(window, anchor), "doc_id long, anchors array<long>"))
+    found = found.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = (
         found.groupBy("anchor")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
         .filter("lo < hi")
         .select("anchor", (F.col("n") > group).alias("hot"))
     )
-    by_doc = found.join(shared.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("known"))
-    suffixes = slim.join(by_doc, "doc_id").select("doc_id", "text", "known").mapInArrow(
-        _segments(window, anchor), "doc_id long, anchor long, start long, windows long, words binary"
+    by_doc = found.join(shared, "anchor").groupBy("doc_id").agg(
+        F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"),
+        F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"),
     )
-    split = cut(suffixes.drop("windows").join(shared, "anchor").select("anchor", "doc_id", "start", "words", "hot"))
-    few = split.filter("not hot").select("anchor", "doc_id", "start", "words")
+    # left, so that this exchange of the texts is the one that the last join uses, too
+    known = slim.join(by_doc, "doc_id", "left").select("doc_id", "text", "cold", "hot")
+    suffix = "anchor long, doc_id long, start long, words binary"
+    few = known.mapInArrow(_segments(window, anchor, 2), suffix)
     trees = few.repartition("anchor").sortWithinPartitions("anchor")
     cold = trees.mapInArrow(_trees(window), "doc_id long, first long, last long")
-    wide = split.filter("hot").select("anchor", "doc_id", "start", "words").mapInArrow(
+    wide = known.mapInArrow(_segments(window, anchor, 3), suffix).mapInArrow(
         _hot_windows(window), "anchor long, name long, doc_id long, place long"
     )
     owners = wide.groupBy("anchor", "name").agg(F.min("doc_id").alias("owner"))
