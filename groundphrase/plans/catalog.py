@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from groundphrase.plans.counting import counting
 from groundphrase.plans.rules import rules
+from groundphrase.plans.selecting import selecting
 
-REGISTRIES = [rules]
+REGISTRIES = [rules, selecting, counting]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
