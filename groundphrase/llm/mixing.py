@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from groundphrase.operators.lineage import cut
 
 #: Documents of a block; slots of a period at least; sources at most; rows of a numbered part of a source.
-BLOCK, PERIOD, SOURCES, PART = 64, 2_000, 100_000, 20_000
+BLOCK, PERIOD, SOURCES, PART = 64, 2_000, 100_000, 2_000
 NO_SOURCE = "\u0000"
 
 
@@ -149,7 +149,7 @@ def mixed(
     block: int = BLOCK,
     source_col: str = "source",
     id_col: str = "doc_id",
-    rows_per_file: int = 20_000,
+    rows_per_file: int = 8_000,
 ) -> DataFrame:
     """docs in the order of the mixture, all of them, columns as they are.
 
