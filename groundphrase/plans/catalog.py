@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundphrase.plans.counting import counting
+from groundphrase.plans.exchanging import exchanging
+from groundphrase.plans.pictures import pictures
 from groundphrase.plans.rules import rules
 from groundphrase.plans.selecting import selecting
 
-REGISTRIES = [rules, selecting, counting]
+REGISTRIES = [rules, selecting, counting, pictures, exchanging]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
