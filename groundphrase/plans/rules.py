@@ -14,7 +14,6 @@ from groundphrase.plans.fixtures import SIZE
 from groundphrase.plans.registry import Registry
 
 rules = Registry()
-W = F.lit(SIZE)
 c = F.col
 
 rules.part("geo", """SELECT *, (xmin + xmax) / 2.0 AS cx, (ymin + ymax) / 2.0 AS cy, xmax - xmin AS width, ymax - ymin AS height,
@@ -171,9 +170,9 @@ def bbox_distance(o: DataFrame) -> DataFrame:
    CASE WHEN abs(cx - 160) < 48 THEN ['left', 'center'] WHEN abs(cx - 320) < 48 THEN ['center', 'right']
    WHEN cx < 160 THEN ['left'] WHEN cx < 320 THEN ['center'] ELSE ['right'] END AS hs FROM geo) q""")
 def grid_position(o: DataFrame) -> DataFrame:
-    border, possible = g.possible_positions(c("cx"), c("cy"), W, W)
+    border, possible = g.possible_positions(c("cx"), c("cy"), F.lit(SIZE), F.lit(SIZE))
     return g.with_geometry(o).select(
-        "object_id", g.grid_position(c("cx"), c("cy"), W, W).alias("grid_position"), border.alias("is_borderline"),
+        "object_id", g.grid_position(c("cx"), c("cy"), F.lit(SIZE), F.lit(SIZE)).alias("grid_position"), border.alias("is_borderline"),
         F.size(possible).cast("bigint").alias("n_possible"), F.array_join(F.sort_array(possible), ",").alias("possible"))
 
 
@@ -188,7 +187,7 @@ def direction_labels(o: DataFrame) -> DataFrame:
  greatest(0, -l) AS pad_left, greatest(0, -t) AS pad_top, greatest(0, r - 480) AS pad_right, greatest(0, b - 480) AS pad_bottom FROM
  (SELECT object_id, CAST(trunc(cx - 120) AS INT) AS l, CAST(trunc(cy - 120) AS INT) AS t, CAST(trunc(cx + 120) AS INT) AS r, CAST(trunc(cy + 120) AS INT) AS b FROM geo) q""")
 def crop_window(o: DataFrame) -> DataFrame:
-    return g.with_geometry(o).select("object_id", *g.crop_window(c("cx"), c("cy"), W, W))
+    return g.with_geometry(o).select("object_id", *g.crop_window(c("cx"), c("cy"), F.lit(SIZE), F.lit(SIZE)))
 
 
 @rules.add("tile_xy", "customer", """SELECT c_custkey, CAST(floor((lon + 180) / 360 * 1024) AS BIGINT) AS x,
@@ -251,7 +250,7 @@ def described_groups(o: DataFrame) -> DataFrame:
     groups = every_group(o)
     boxes = r.group_geometry(r.group_members(groups, o.drop("category")))
     named = boxes.join(groups.select("patch_id", "group_id", "category"), ["patch_id", "group_id"])
-    return cut(named.withColumn("grid_position", g.grid_position(c("cx"), c("cy"), W, W)))
+    return cut(named.withColumn("grid_position", g.grid_position(c("cx"), c("cy"), F.lit(SIZE), F.lit(SIZE))))
 
 
 @rules.add("cluster_members", "objects", "SELECT patch_id, category, object_id, component FROM members")
@@ -324,7 +323,7 @@ def attributed(o: DataFrame) -> DataFrame:
     colours = F.expr("CASE object_id % 4 WHEN 0 THEN array('light') WHEN 1 THEN array('light', 'dark') WHEN 2 THEN array('green') ELSE array() END")
     return (
         g.with_geometry(o)
-        .withColumns({"grid_position": g.grid_position(c("cx"), c("cy"), W, W), "colours": colours, "is_ambiguous": c("object_id") % 4 == 1})
+        .withColumns({"grid_position": g.grid_position(c("cx"), c("cy"), F.lit(SIZE), F.lit(SIZE)), "colours": colours, "is_ambiguous": c("object_id") % 4 == 1})
         .join(r.extremes(o, SIZE, SIZE), ["patch_id", "object_id"], "left")
         .join(r.size_attribute(o, SIZE, SIZE), ["patch_id", "object_id"], "left")
     )

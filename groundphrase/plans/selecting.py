@@ -13,7 +13,6 @@ selecting = Registry()
 add = selecting.add
 c = F.col
 #: In place of a hash, arithmetic that both engines do alike.
-MIX = F.expr("(file_id * 7919 + 13) % 10007")
 SQL_MIX = "(file_id * 7919 + 13) % 10007"
 _DOMAIN = "CASE left(name, 1) WHEN 'P' THEN 'iSAID' WHEN 'L' THEN 'LoveDA' WHEN 'D' THEN 'DeepGlobe' ELSE 'Unknown' END"
 selecting.part("named", f"SELECT *, {_DOMAIN} AS domain FROM files")
@@ -30,12 +29,12 @@ def filter_id_range(f: DataFrame) -> DataFrame:
 
 @add("sample_n_per_split", "files", f"SELECT file_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {SQL_MIX}, file_id) AS n FROM files) q WHERE n <= 50")
 def sample_n_per_split(f: DataFrame) -> DataFrame:
-    return s.sample_n(f, 50, "split", "file_id", MIX).select("file_id", "split")
+    return s.sample_n(f, 50, "split", "file_id", F.expr(SQL_MIX)).select("file_id", "split")
 
 
 @add("sample_pct_per_split", "files", f"SELECT file_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {SQL_MIX}, file_id) AS n, count(*) OVER (PARTITION BY split) AS m FROM files) q WHERE n <= floor(m * 12.5 / 100)")
 def sample_pct_per_split(f: DataFrame) -> DataFrame:
-    return s.sample_pct(f, 12.5, "split", "file_id", MIX).select("file_id", "split")
+    return s.sample_pct(f, 12.5, "split", "file_id", F.expr(SQL_MIX)).select("file_id", "split")
 
 
 @add("filter_min_size", "objects", "SELECT object_id FROM objects WHERE xmax - xmin >= 20 AND ymax - ymin >= 20")
@@ -50,7 +49,7 @@ def filter_too_black(x: DataFrame) -> DataFrame:
 
 @add("split_ratio", "files", f"SELECT file_id, CASE WHEN row_number() OVER w <= floor(count(*) OVER (PARTITION BY split) * 0.8) THEN 'train' ELSE 'val' END AS part FROM files WINDOW w AS (PARTITION BY split ORDER BY {SQL_MIX}, file_id)")
 def split_ratio(f: DataFrame) -> DataFrame:
-    return s.split_ratio(f, 0.8, "file_id", MIX, c("split")).select("file_id", c("split").alias("part"))
+    return s.split_ratio(f, 0.8, "file_id", F.expr(SQL_MIX), c("split")).select("file_id", c("split").alias("part"))
 
 
 @add("domain_counts", "files", "SELECT domain, split, count(*) AS n FROM named GROUP BY domain, split")
@@ -161,7 +160,7 @@ def patches_of_image(f: DataFrame) -> DataFrame:
 
 @add("random_effect", "files", "SELECT file_id, CASE WHEN k % 100 < 30 THEN (['bw', 'grain', 'sepia'])[CAST(floor(k / 100) AS BIGINT) % 3 + 1] END AS effect FROM (SELECT file_id, (file_id * 7919 + 13) % 10007 AS k FROM files) q")
 def random_effect(f: DataFrame) -> DataFrame:
-    return f.select("file_id", s.random_effect(MIX, 30, ["bw", "grain", "sepia"]).alias("effect"))
+    return f.select("file_id", s.random_effect(F.expr(SQL_MIX), 30, ["bw", "grain", "sepia"]).alias("effect"))
 
 
 @add("first_llm_round", "exprs", "SELECT patch_id, target_id, pos FROM (SELECT patch_id, target_id, unnest(range(0, 8)) AS pos FROM (SELECT DISTINCT patch_id, target_id FROM exprs) t) q WHERE pos < 5")
@@ -173,14 +172,14 @@ def first_llm_round(e: DataFrame) -> DataFrame:
 
 @add("assign_effects", "files", f"SELECT file_id, CAST(ntile(3) OVER (PARTITION BY split ORDER BY {SQL_MIX}, file_id) AS INT) AS effect FROM files")
 def assign_effects(f: DataFrame) -> DataFrame:
-    return s.assign_effects(f, "split", "file_id", MIX).select("file_id", "effect")
+    return s.assign_effects(f, "split", "file_id", F.expr(SQL_MIX)).select("file_id", "effect")
 
 
 @add("assign_transfers", "files", f"""SELECT file_id, CASE WHEN n <= t - m THEN NULL WHEN n - (t - m) <= ceil(m / 2.0) THEN a ELSE b END AS target FROM (SELECT file_id,
  row_number() OVER (PARTITION BY domain ORDER BY {SQL_MIX}, file_id) AS n, count(*) OVER (PARTITION BY domain) AS t, floor(count(*) OVER (PARTITION BY domain) / 2.0) AS m,
  CASE domain WHEN 'iSAID' THEN 'DeepGlobe' ELSE 'iSAID' END AS a, CASE domain WHEN 'LoveDA' THEN 'DeepGlobe' ELSE 'LoveDA' END AS b FROM named) q""")
 def assign_transfers(f: DataFrame) -> DataFrame:
-    return s.assign_transfers(named(f), ["iSAID", "DeepGlobe", "LoveDA"], "file_id", MIX).select("file_id", "target")
+    return s.assign_transfers(named(f), ["iSAID", "DeepGlobe", "LoveDA"], "file_id", F.expr(SQL_MIX)).select("file_id", "target")
 
 
 @add("first_ascii_sentence", "documents", r"SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY regexp_matches(text, '^[\x00-\x7F]*$') DESC, doc_id) AS n FROM documents) q WHERE n = 1")
