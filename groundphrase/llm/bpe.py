@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from groundphrase.llm.batches import slices
+
 #: Bounds of what a Python worker keeps.
-MAX_STATES, MAX_PIECES, DECODE_BLOCK, ROWS = 120_000, 150_000, 1 << 16, 256
+MAX_STATES, MAX_PIECES, DECODE_BLOCK = 120_000, 150_000, 1 << 16
 #: No rank.
 NEVER = 1 << 62
 
@@ -321,7 +323,7 @@ def encode(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value, pattern)
-        for part in _slices(batches):
+        for part in slices(batches):
             ids = [codec.encode(t or "") for t in part.column(text_at).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype="int32")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, "int32")])))
@@ -331,13 +333,6 @@ def encode(
     return docs.mapInArrow(work, StructType(fields))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A few rows at a time: what a worker holds beside a batch stays small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df with the text of its ids; null ids give the empty text. A narrow map like encode()."""
     _free(text_col, df.columns)
@@ -347,7 +342,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value, pattern)
-        for part in _slices(batches):
+        for part in slices(batches):
             texts = [codec.decode(np.array(i or [], "int32")) for i in part.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [f.name for f in fields])
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundphrase.llm.batches import slices
 from groundphrase.llm.shingles import shingle_set
 from groundphrase.operators.graph import components
 from groundphrase.operators.lineage import cut
@@ -58,7 +59,7 @@ def signature(shingles: np.ndarray, size: int, chunk: int = 256) -> np.ndarray:
 def signatures(docs: DataFrame, words: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, set_key, sig): a narrow map over whole texts. set_key is equal for equal sets (128 bits)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, key, sig = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words)
@@ -78,7 +79,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(cluster, doc_id, size, set) of docs (cluster, doc_id, text): the set's sorted 64-bit hashes as bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()),

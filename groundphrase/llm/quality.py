@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from groundphrase.llm.batches import slices
 from groundphrase.operators.lineage import cut
 
 #: Labelled rows that a fit takes at most (expected); Fourier features; partitions of the fit; seed.
@@ -104,7 +105,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         x = [statistics(t) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"]
@@ -193,11 +194,9 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
     names = [*docs.columns, score_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                x = np.array([statistics(t) for t in part.column(at).to_pylist()]).reshape(-1, WIDTH)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(x))], names)
+        for part in slices(batches):
+            x = np.array([statistics(t) for t in part.column(at).to_pylist()]).reshape(-1, WIDTH)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(x))], names)
 
     return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 

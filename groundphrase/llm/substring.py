@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundphrase.llm.batches import slices
 from groundphrase.llm.shingles import mix64, rolling, word_hashes
 from groundphrase.operators.lineage import cut
 
@@ -56,7 +57,7 @@ def anchors(words: list[bytes], window: int, anchor: int = ANCHOR) -> tuple[np.n
 
 def _anchor_rows(window: int, anchor: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys = [
                 np.unique(anchors(words_of(text), window, anchor)[0]).view("int64") if doc is not None else np.zeros(0, "int64")
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
@@ -74,9 +75,8 @@ def _segments(window: int, anchor: int, column: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "doc_id", "start", "words"]
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
-            size = 0
             known_lists, ids = batch.column(column).to_pylist(), batch.column(0).to_pylist()
             for row, known in enumerate(known_lists):
                 if not known:
@@ -87,10 +87,6 @@ def _segments(window: int, anchor: int, column: int):
                 for i in np.flatnonzero(np.isin(key.view("int64"), np.array(known, "int64"))):
                     lo, hi = int(first[i]), int(last[i])
                     out.append((int(key[i].view("int64")), doc, lo, b" ".join(words[lo : hi + window - 1])))
-                    size += len(out[-1][-1])
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
-                    out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
 
@@ -165,20 +161,20 @@ def _trees(window: int, rows_at_once: int = 8192):
     return work
 
 
-def _hot_windows(window: int):
-    """Rows of hot anchors become one row for each window: its name as the whole prefix."""
+def _hot_windows(window: int, anchor: int):
+    """Suffixes at hot anchors become one row for each window: its name as the whole prefix."""
+    suffixes = _segments(window, anchor, 3)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                frame = batch.slice(at, 4096).to_pandas()
-                segment, offset, name = window_names(frame["words"].tolist(), window)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(frame["anchor"].to_numpy("int64")[segment]), pa.array(name.view("int64")),
-                     pa.array(frame["doc_id"].to_numpy("int64")[segment]),
-                     pa.array((frame["start"].to_numpy("int64")[segment] + offset))],
-                    ["anchor", "name", "doc_id", "place"],
-                )
+        for batch in slices(suffixes(batches), 4096):
+            frame = batch.to_pandas()
+            segment, offset, name = window_names(frame["words"].tolist(), window)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(frame["anchor"].to_numpy("int64")[segment]), pa.array(name.view("int64")),
+                 pa.array(frame["doc_id"].to_numpy("int64")[segment]),
+                 pa.array((frame["start"].to_numpy("int64")[segment] + offset))],
+                ["anchor", "name", "doc_id", "place"],
+            )
 
     return work
 
@@ -210,13 +206,10 @@ def repeated_windows(
     )
     # left, so that this exchange of the texts is the one that the last join uses, too
     known = slim.join(by_doc, "doc_id", "left").select("doc_id", "text", "cold", "hot")
-    suffix = "anchor long, doc_id long, start long, words binary"
-    few = known.mapInArrow(_segments(window, anchor, 2), suffix)
+    few = known.mapInArrow(_segments(window, anchor, 2), "anchor long, doc_id long, start long, words binary")
     trees = few.repartition("anchor").sortWithinPartitions("anchor")
     cold = trees.mapInArrow(_trees(window), "doc_id long, first long, last long")
-    wide = known.mapInArrow(_segments(window, anchor, 3), suffix).mapInArrow(
-        _hot_windows(window), "anchor long, name long, doc_id long, place long"
-    )
+    wide = known.mapInArrow(_hot_windows(window, anchor), "anchor long, name long, doc_id long, place long")
     owners = wide.groupBy("anchor", "name").agg(F.min("doc_id").alias("owner"))
     hot = wide.join(owners, ["anchor", "name"]).filter("owner < doc_id").select(
         "doc_id", F.col("place").alias("first"), F.col("place").alias("last")
@@ -234,23 +227,21 @@ def removed_words(n_words: int, first: np.ndarray, last: np.ndarray, window: int
 
 def _apply(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n, gone, kept = [], [], []
-                for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    words = words_of(text)
-                    out = np.zeros(len(words), bool)
-                    if runs:
-                        pairs = np.array([(r["first"], r["last"]) for r in runs], "int64")
-                        out = removed_words(len(words), pairs[:, 0], pairs[:, 1], window)
-                    n.append(len(words))
-                    gone.append(int(out.sum()))
-                    kept.append(b" ".join([w for w, o in zip(words, out.tolist(), strict=True) if not o]).decode())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                    ["doc_id", "n_words", "n_removed", "kept_text"],
-                )
+        for part in slices(batches):
+            n, gone, kept = [], [], []
+            for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                words = words_of(text)
+                out = np.zeros(len(words), bool)
+                if runs:
+                    pairs = np.array([(r["first"], r["last"]) for r in runs], "int64")
+                    out = removed_words(len(words), pairs[:, 0], pairs[:, 1], window)
+                n.append(len(words))
+                gone.append(int(out.sum()))
+                kept.append(b" ".join([w for w, o in zip(words, out.tolist(), strict=True) if not o]).decode())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_text"],
+            )
 
     return work
 
