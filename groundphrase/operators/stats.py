@@ -70,10 +70,10 @@ def enrichment_mismatch(exprs: DataFrame) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, by: list[str]) -> DataFrame:
-    """Counts by some columns and their percentage of all rows; the total is one row, joined back."""
+    """Counts by some columns and their percentage of all rows; the total is a scalar subquery."""
     counts = df.groupBy(*by).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))
-    return counts.join(F.broadcast(total)).select(*by, "n", F.round(100 * F.col("n") / F.col("_t"), 4).alias("percent"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(*by, "n", F.round(100 * F.col("n") / total, 4).alias("percent"))
 
 
 def count_by_threshold(exprs: DataFrame, threshold: int = 1_000_000) -> DataFrame:
@@ -129,10 +129,10 @@ def seg_scores(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
 def iou_histogram(scores: DataFrame, bins: int = 20) -> DataFrame:
     """(bin, n) over equal widths from the least to the greatest IoU; the greatest is in the last bin."""
     s = scores.select(iou(F.col("inter"), F.col("union_")).alias("iou"))
-    ends = s.agg(F.min("iou").alias("lo"), F.max("iou").alias("hi"))
-    place = F.floor((F.col("iou") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
+    low, high = s.agg(F.min("iou")).scalar(), s.agg(F.max("iou")).scalar()
+    place = F.floor((F.col("iou") - low) / F.nullif(high - low, F.lit(0.0)) * bins)
     b = F.least(F.lit(bins - 1), F.coalesce(place, F.lit(0)))
-    return s.join(F.broadcast(ends)).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return s.select(b.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 def class_distribution(pixels: DataFrame) -> DataFrame:
@@ -189,13 +189,13 @@ def merge_split_stats(stats: DataFrame, key: str) -> DataFrame:
 def validate_tables(exprs: DataFrame) -> DataFrame:
     """(check_name, expected, actual, ok): whether tables that are counted in different ways agree."""
     by_split = merge_split_stats(exprs.groupBy("expr_type", "split").agg(F.count("*").alias("n")), "expr_type")
-    total = exprs.agg(F.count("*").alias("actual"))
+    total = exprs.agg(F.count("*")).scalar()
     checks = [
         ("splits", by_split.agg(F.sum("total").alias("expected"))),
         ("kinds", exprs.groupBy("target_kind").agg(F.count("*").alias("n")).agg(F.sum("n").alias("expected"))),
         ("taxonomy", dataset_stats(exprs).filter("split is null").select((F.col("original") + F.col("enhanced") + F.col("unique")).alias("expected"))),
     ]
-    rows = [e.join(F.broadcast(total)).select(F.lit(k).alias("check_name"), "expected", "actual") for k, e in checks]
+    rows = [e.select(F.lit(k).alias("check_name"), "expected", total.alias("actual")) for k, e in checks]
     out = rows[0].unionByName(rows[1]).unionByName(rows[2])
     return out.withColumn("ok", F.col("expected") == F.col("actual"))
 

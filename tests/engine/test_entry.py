@@ -37,7 +37,7 @@ def objects(spark, *rows):
     (170.0, "reference", False, ["to the bottom right of"]), (170.0, "eight", True, ["to the right of", "to the bottom right of"]),
     (180.0, "reference", False, ["to the bottom right of"]), (180.0, "eight", False, ["to the right of"]),
     (20.0, "reference", True, ["to the left of", "to the bottom left of"]), (0.0, "reference", False, ["to the left of"]),
-    (22.5, "reference", True, ["to the left of", "to the bottom left of"]), (-170.0, "reference", True, ["to the right of"]),
+    (22.5, "reference", True, ["to the left of", "to the bottom left of"]), (-175.0, "reference", True, ["to the right of"]),
 ])
 def test_directions(spark, angle, mode, border, said):
     b, d = g.directions(F.lit(angle), mode)
