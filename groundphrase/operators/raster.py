@@ -24,7 +24,8 @@ def byte(x: Column) -> Column:
 
 
 def gray(b: str = "b", g: str = "g", r: str = "r") -> Column:
-    return F.floor(0.114 * F.col(b) + 0.587 * F.col(g) + 0.299 * F.col(r) + 0.5).cast("int")
+    """0.114 b + 0.587 g + 0.299 r in thousandths, so that halves are exact; they round up."""
+    return F.floor((114 * F.col(b) + 587 * F.col(g) + 299 * F.col(r) + 500) / 1000).cast("int")
 
 
 def contrast_gamma(pixels: DataFrame, contrast: float, gamma: float, value: str = "v") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from groundphrase.operators.raster import gray
+
 CLASS_LEVEL, PAIR_LEVEL = 1_000_000, 2_000_000
 #: Area, aspect and solidity that components of a class must have.
 COMPONENT_RULES = {"building": (100, 50_000, 0.1, 10.0, 0.3), "water": (200, 200_000, 0.0, 1e9, 0.0), "road": (300, 1_000_000, 0.0, 1e9, 0.0)}
@@ -56,10 +58,6 @@ def filter_min_size(df: DataFrame, size: int) -> DataFrame:
     return df.filter((F.col("width") >= size) & (F.col("height") >= size))
 
 
-def gray(b: str = "b", g: str = "g", r: str = "r") -> Column:
-    return F.round(0.114 * F.col(b) + 0.587 * F.col(g) + 0.299 * F.col(r)).cast("int")
-
-
 def filter_too_black(pixels: DataFrame, share: float = 0.5, dark: int = 10, key: str = "image_id") -> DataFrame:
     """Images of which at most `share` of the pixels are darker than `dark`."""
     black = F.avg((gray() < dark).cast("int"))

@@ -13,7 +13,7 @@ pictures = Registry()
 add = pictures.add
 c = F.col
 _BYTE = "CAST(floor(round(greatest(0.0, least(255.0, {x})), 6)) AS INT)"
-_GRAY = "CAST(floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5) AS INT)"
+_GRAY = "CAST(floor((114 * b + 587 * g + 299 * r + 500) / 1000.0) AS INT)"
 pictures.part("grays", f"SELECT image_id, x, y, {_GRAY} AS v FROM pixels")
 pictures.part("levels", """SELECT image_id, level, sum(n) OVER (PARTITION BY image_id ORDER BY level) / CAST(sum(n) OVER (PARTITION BY image_id) AS DOUBLE) AS cdf
  FROM (SELECT image_id, v AS level, count(*) AS n FROM grays GROUP BY ALL) q""")

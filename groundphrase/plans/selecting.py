@@ -42,7 +42,7 @@ def filter_min_size(o: DataFrame) -> DataFrame:
     return s.filter_min_size(o.withColumns({"width": c("xmax") - c("xmin"), "height": c("ymax") - c("ymin")}), 20).select("object_id")
 
 
-@add("filter_too_black", "pixels", "SELECT image_id, round(avg(CASE WHEN round(0.114 * b + 0.587 * g + 0.299 * r) < 110 THEN 1 ELSE 0 END), 6) AS black_share FROM pixels GROUP BY image_id HAVING avg(CASE WHEN round(0.114 * b + 0.587 * g + 0.299 * r) < 110 THEN 1 ELSE 0 END) <= 0.5")
+@add("filter_too_black", "pixels", "SELECT image_id, round(avg(CASE WHEN floor((114 * b + 587 * g + 299 * r + 500) / 1000.0) < 110 THEN 1 ELSE 0 END), 6) AS black_share FROM pixels GROUP BY image_id HAVING avg(CASE WHEN floor((114 * b + 587 * g + 299 * r + 500) / 1000.0) < 110 THEN 1 ELSE 0 END) <= 0.5")
 def filter_too_black(x: DataFrame) -> DataFrame:
     return s.filter_too_black(x, 0.5, 110).withColumn("black_share", F.round("black_share", 6))
 
