@@ -13,7 +13,7 @@ the assistant's escaped texts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ def nested_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def fingerprint(paths: list[str] | tuple[str, ...]) -> str:
+def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(p.lower() for p in paths)).encode()).hexdigest()
 
 
@@ -80,12 +80,14 @@ _KNOWN = {p.lower() for paths, _ in LAYOUTS for p in paths}
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) of a table in any known layout; columns that no layout knows are passed over.
 
-    An unknown fingerprint is refused before anything runs. Null texts and roles become empty.
+    Where the known fields are more than those of one layout, the first layout that they cover counts; where they cover
+    none, the table is refused before anything runs. Null texts and roles become empty.
     """
     if id_col != "conv_id":
         df = df.drop("conv_id").withColumnRenamed(id_col, "conv_id")
-    paths = [p for p in nested_paths(df.schema) if p.lower() in _KNOWN]
-    make = MAPPINGS.get(fingerprint(paths))
+    paths = {p.lower() for p in nested_paths(df.schema)} & _KNOWN
+    covered = [fingerprint(layout) for layout, _ in LAYOUTS if paths.issuperset(layout)]
+    make = MAPPINGS.get(fingerprint(paths)) or (MAPPINGS[covered[0]] if covered else None)
     if make is None:
         raise ValueError(f"no mapping for the fields {sorted(paths)}")
     role = F.coalesce("role", F.lit(""))

@@ -244,4 +244,5 @@ def drop_near_copies(
     dropped = near_classes(docs, words, threshold, id_col, text_col).filter("not kept").select(
         F.col("doc_id").alias("_dropped_id")
     )
-    return docs.join(dropped.distinct(), docs[f"`{id_col}`"].cast("long") == F.col("_dropped_id"), "left_anti")
+    dropped = dropped.distinct()
+    return docs.join(dropped, docs[f"`{id_col}`"].cast("long") == dropped["_dropped_id"], "left_anti")

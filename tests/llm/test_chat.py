@@ -41,6 +41,8 @@ def test_layouts(spark):
     for df in frames:
         assert [(t.role, t.text) for t in back(df)[1].t] == want
         assert chat.format_chats(chat.canonical_turns(df.limit(0))).count() == 0
+    more = spark.createDataFrame([(1, None, None, "b", "p", 1), (1, 0, "user", "a", "p", 2)], "conv_id long, turn long, role string, text string, prompt string, n int")
+    assert [(t.role, t.text) for t in back(more)[1].t] == [("", "b"), ("user", "a")]
     with pytest.raises(ValueError):
         chat.canonical_turns(spark.range(1).selectExpr("id conv_id", "'x' other"))
 
