@@ -95,7 +95,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.ShardStore(spark, root, target=32 << 20)
     docs = table(spark, sf_dir, "documents")
     store.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")), "arrival")
-    store.compact()
+    store.compact(vacuum=True)
     store.vacuum()
     rows = [(s.name, s.size, s.rows, s.tier(store.smallest, store.fan_in)) for s in store.manifest()]
     shards = spark.createDataFrame(rows, "shard string, shard_bytes long, shard_rows long, tier int")
