@@ -6,7 +6,8 @@ from every candidate to many pivots is computed once, with the blocks of candida
 |d(q', p) - d(x', p)| over the pivots p bounds its distance to x from below, so the inner product from above;
 candidates are evaluated in the order of this bound until the k-th best score exceeds all bounds that are left.
 
-Blocks of queries meet blocks of candidates by an equi-join on the query block's number; a task holds one of each.
+Blocks of queries meet blocks of candidates by an equi-join on the query block's number and one of SPREAD parts of the
+candidate blocks; a task holds one of each at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from groundphrase.operators.lineage import cut
 
 #: Rows of a block of candidates and of queries; pivots; rows from which pivots and first thresholds are taken.
 BLOCK, QUERY_BLOCK, PIVOTS, SAMPLE = 8192, 1024, 24, 1024
+#: Parts into which the candidate blocks that a query block meets are spread.
+SPREAD = 32
 #: Components up to this size give inner products that doubles hold exactly; beyond it Python integers do.
 EXACT = 1 << 22
 
@@ -178,12 +181,14 @@ def top_k(
         return placed.mapInArrow(_blocks(dim, longest, pivots), "block long, ids binary, vectors binary, table binary")
 
     queries = rows.filter(F.expr(is_query)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    parts = min(SPREAD, max(1, -(-n // block)))
     q = blocks(queries, asked, query_block).select(
-        F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_v")
-    )
+        F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_v"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"),
+    )
     numbers = F.sequence(F.lit(0), F.lit(max(1, -(-asked // query_block)) - 1).cast("long"))
-    c = blocks(rows, n, block).withColumn("q", F.explode(numbers))
-    found = c.join(q, "q").select("ids", "vectors", "table", "q_ids", "q_v").mapInArrow(
+    c = blocks(rows, n, block).withColumn("part", F.col("block") % parts).withColumn("q", F.explode(numbers))
+    found = c.join(q, ["q", "part"]).select("ids", "vectors", "table", "q_ids", "q_v").mapInArrow(
         _search(dim, longest, pivots, seeds, seed_ids, k), "query_id long, vec_id long, score long"
     )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
