@@ -210,13 +210,12 @@ def build_request(e: DataFrame) -> DataFrame:
 @add("refcoco_counts", "exprs", "SELECT split, count(DISTINCT patch_id) AS images, count(DISTINCT patch_id || '/' || target_id) AS refs, count(*) AS sentences FROM exprs GROUP BY split")
 def refcoco_counts(e: DataFrame) -> DataFrame:
     """The nested export of references, counted."""
-    refs = e.groupBy("split", "patch_id", "target_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("sentences"))
-    return refs.groupBy("split").agg(F.count_distinct("patch_id").alias("images"), F.count("*").alias("refs"), F.sum(F.size("sentences")).alias("sentences"))
+    return si.refcoco_summary(si.refcoco(e))
 
 
-@add("export_samples", "exprs objects", "SELECT e.target_id, e.pos, e.text, coalesce(o.category, '') AS category, coalesce(o.xmin, 0) AS xmin, coalesce(o.ymin, 0) AS ymin FROM exprs e LEFT JOIN objects o ON e.target_kind = 'individual' AND o.object_id = e.target_id")
+@add("export_samples", "exprs objects", "SELECT e.patch_id || '/' || e.target_id || '/' || e.pos AS sample_id, e.split, 'Unknown' AS domain, e.text, coalesce(o.category, '') AS category, CAST(coalesce(o.xmin, 0) AS BIGINT) AS xmin, CAST(coalesce(o.ymin, 0) AS BIGINT) AS ymin FROM exprs e LEFT JOIN objects o ON e.target_kind = 'individual' AND o.object_id = e.target_id")
 def export_samples(e: DataFrame, o: DataFrame) -> DataFrame:
-    return ma.samples(e, o).na.fill({"category": "", "xmin": 0, "ymin": 0}).select("target_id", "pos", "text", "category", "xmin", "ymin")
+    return si.published(ma.samples(e, o).withColumn("sample_id", F.concat_ws("/", "patch_id", "target_id", "pos"))).select("sample_id", "split", "domain", "text", "category", "xmin", "ymin")
 
 
 @add("chat_jsonl", "exprs", """SELECT target_id, '{"messages":[{"role":"system","content":"s"},{"role":"user","content":"' || text || '"},{"role":"assistant","content":"' || expr_type || '"}]}' AS line FROM exprs WHERE pos = 2""")

@@ -6,11 +6,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundphrase.operators.selection import expr_type
+
 COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int>>,
 annotations array<struct<id:bigint,image_id:bigint,category_id:int,category_name:string,bbox:array<double>,area:double,iscrowd:int,segmentation:array<array<double>>>>"""
 ANNOTATION = """filename string, width int, height int,
 object array<struct<id:bigint,name:string,bndbox:struct<xmin:int,ymin:int,xmax:int,ymax:int>,is_cutoff:boolean>>"""
-GROUPS = "groups array<struct<`group`:array<struct<id:bigint,category:string,instance_ids:string>>>>"
+_SAID = "struct<expression:array<struct<_VALUE:string,_id:string,_type:string>>>"
+#: A patch's document after all rules: what is missing in a file is null.
+FULL = f"""filename string, width int, height int, object array<struct<id:bigint,name:string,
+bndbox:struct<xmin:int,ymin:int,xmax:int,ymax:int>,is_cutoff:boolean,grid_position:string,extreme_position:string,
+size_attribute:string,color:string,is_ambiguous:boolean,possible_colors:string,
+relationships:struct<relationship:array<struct<target_id:bigint,target_category:string,direction:string,distance:double,
+is_cutoff:boolean,is_borderline:boolean,possible_directions:string>>>,expressions:{_SAID},dummy_expression_ids:string>>,
+groups array<struct<`group`:array<struct<id:bigint,instance_ids:string,size:int,category:string,grid_position:string,
+centroid:struct<x:double,y:double>,expressions:{_SAID}>>,
+relationships:struct<relationship:array<struct<source_id:bigint,target_id:bigint,direction:string,distance:double>>>>>"""
 REFS = "refs array<struct<ref_id:bigint,ann_id:bigint,image_id:bigint,split:string,sentences:array<struct<sent:string>>>>"
 
 
@@ -34,12 +45,47 @@ def explode_annotations(docs: DataFrame) -> DataFrame:
     return d.select("filename", F.col("o.id").alias("object_id"), F.col("o.name").alias("category"), "o.bndbox.*", "o.is_cutoff")
 
 
+def _listed(text: Column, kind: str = "string") -> Column:
+    """A comma list as an array; null for no list."""
+    return F.split(text, r"\s*,\s*").cast(f"array<{kind}>")
+
+
+def _expressions(df: DataFrame, kind: str, said: Column, target: Column) -> DataFrame:
+    d = df.select("filename", F.lit(kind).alias("target_kind"), target.alias("target_id"), F.posexplode(said).alias("pos", "e"))
+    return d.select("filename", "target_kind", "target_id", "pos", expr_type("e._type", "e._id").alias("expr_type"), F.col("e._VALUE").alias("text"))
+
+
 def read_annotations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """patches, objects and groups of annotation XML; of several group lists of a patch the first counts."""
-    docs = spark.read.option("rowTag", "annotation").schema(f"{ANNOTATION}, {GROUPS}").xml(path)
-    first = F.try_element_at("groups", F.lit(1))
-    groups = docs.select("filename", F.explode(first["group"]).alias("g")).select("filename", F.col("g.id").alias("group_id"), "g.category", F.split("g.instance_ids", r"\s*,\s*").cast("array<bigint>").alias("instance_ids"))
-    return {"patches": docs.select("filename", "width", "height"), "objects": explode_annotations(docs), "groups": groups}
+    """patches, objects, relations, groups, group_relations and expressions of annotation XML.
+
+    Of several group lists of a patch the first counts. Relations have one row as they are written; expressions have
+    their place in the list as pos, and their type from their attributes."""
+    docs = spark.read.option("rowTag", "annotation").schema(FULL).xml(path)
+    o = docs.select("filename", F.explode("object").alias("o"))
+    objects = o.select(
+        "filename", F.col("o.id").alias("object_id"), F.col("o.name").alias("category"), "o.bndbox.*", "o.is_cutoff", "o.grid_position",
+        "o.extreme_position", "o.size_attribute", F.col("o.color").alias("colour"), "o.is_ambiguous", _listed(F.col("o.possible_colors")).alias("possible_colours"),
+    )
+    relations = o.select("filename", F.col("o.id").alias("object_id"), F.explode("o.relationships.relationship").alias("r")).select(
+        "filename", "object_id", "r.target_id", "r.target_category", "r.direction", "r.distance", F.col("r.is_cutoff").alias("target_cutoff"),
+        "r.is_borderline", _listed(F.col("r.possible_directions")).alias("possible_directions"),
+    )
+    first = docs.select("filename", F.try_element_at("groups", F.lit(1)).alias("f"))
+    g = first.select("filename", F.explode("f.group").alias("g"))
+    groups = g.select("filename", F.col("g.id").alias("group_id"), "g.category", "g.size", "g.grid_position", "g.centroid", _listed(F.col("g.instance_ids"), "bigint").alias("instance_ids"))
+    between = first.select("filename", F.explode("f.relationships.relationship").alias("r")).select("filename", "r.*")
+    said = _expressions(o, "individual", F.col("o.expressions.expression"), F.col("o.id")).unionByName(
+        _expressions(g, "group", F.col("g.expressions.expression"), F.col("g.id"))
+    )
+    return {"patches": docs.select("filename", "width", "height"), "objects": objects, "relations": relations, "groups": groups,
+            "group_relations": between, "expressions": said}
+
+
+def read_samples(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """One row per target and phrase of annotation XML, with the target's class and box."""
+    a = read_annotations(spark, path)
+    box = a["objects"].select("filename", F.col("object_id").alias("target_id"), F.lit("individual").alias("target_kind"), "category", "xmin", "ymin", "xmax", "ymax")
+    return a["expressions"].join(box, ["filename", "target_kind", "target_id"], "left").withColumn("split", F.lit(split))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

@@ -29,8 +29,58 @@ def write_lines(df: DataFrame, path: str, by: list[str]) -> None:
     df.select("value", *by).write.partitionBy(*by).text(path)
 
 
-def write_samples(df: DataFrame, path: str) -> None:
-    df.write.partitionBy("split").parquet(path)
+def write_requests(requests: DataFrame, path: str) -> None:
+    """Request lines (split, value) as text, one folder per split."""
+    write_lines(requests, path, ["split"])
+
+
+def write_patches(images: DataFrame, path: str) -> None:
+    """Pictures (split, image_id, width, height, data) as binary columns, one folder per split."""
+    images.write.partitionBy("split").parquet(path)
+
+
+#: What a published sample holds, and what stands for null.
+SAMPLE = {"sample_id": "", "image": "", "split": "", "domain": "Unknown", "target_kind": "", "target_id": -1, "category": "", "expr_type": "original",
+          "text": "", "xmin": 0, "ymin": 0, "xmax": 0, "ymax": 0, "is_cutoff": False}
+_KINDS = {str: "string", bool: "boolean", int: "bigint"}
+
+
+def published(samples: DataFrame) -> DataFrame:
+    """Samples with the declared columns, in their order and types; missing columns and nulls get the declared values."""
+    have = set(samples.columns)
+    cell = lambda n, v: F.coalesce(F.col(n).cast(_KINDS[type(v)]), F.lit(v)) if n in have else F.lit(v).cast(_KINDS[type(v)])
+    return samples.select(*[cell(n, v).alias(n) for n, v in SAMPLE.items()])
+
+
+def export_samples(samples: DataFrame, path: str) -> None:
+    published(samples).write.partitionBy("split").parquet(path)
+
+
+def refcoco(exprs: DataFrame) -> DataFrame:
+    """(split, patch_id, target_kind, target_id, sentences): a reference per target with its sentences in order."""
+    cell = F.struct("pos", F.col("text").alias("sent"), F.col("expr_type").alias("type"))
+    return exprs.groupBy("split", "patch_id", "target_kind", "target_id").agg(F.sort_array(F.collect_list(cell)).alias("sentences"))
+
+
+def refcoco_summary(refs: DataFrame) -> DataFrame:
+    return refs.groupBy("split").agg(F.count_distinct("patch_id").alias("images"), F.count("*").alias("refs"), F.sum(F.size("sentences")).alias("sentences"))
+
+
+def export_refcoco(exprs: DataFrame, path: str) -> None:
+    """References as JSON lines per split, and a summary beside them."""
+    refs = refcoco(exprs)
+    refs.write.partitionBy("split").json(f"{path}/refs")
+    refcoco_summary(refs).coalesce(1).write.json(f"{path}/summary")
+
+
+def export_chat(df: DataFrame, path: str, system: str, user: str, assistant: str) -> None:
+    df.select(chat_line(system, F.col(user), F.col(assistant)).alias("value")).write.text(path)
+
+
+def export_bundle(files: DataFrame, path: str, exclude: str | None = None, name: str = "name") -> None:
+    """Final rows as Parquet per split, without names of one prefix if asked."""
+    kept = files if exclude is None else files.filter(~F.startswith(F.col(name), F.lit(exclude)))
+    kept.write.partitionBy("split").parquet(path)
 
 
 def chat_line(system: str, user: Column, assistant: Column) -> Column:

@@ -14,7 +14,7 @@ def test_annotation_xml(spark, tmp_path):
     patches = spark.createDataFrame([(1, "a.png", 480, 480), (2, "b.png", 480, 480), (3, "c.png", 480, 480)], "patch_id long, filename string, width int, height int")
     si.write_annotations_xml(si.annotation_documents(patches, o).drop("patch_id"), f"{tmp_path}/x")
     back = rd.read_annotations(spark, f"{tmp_path}/x")
-    assert sorted(map(tuple, back["objects"].collect())) == [("a.png", 7, "ship", 1, 2, 3, 4, True), ("a.png", 8, "plane", 5, 6, 7, 8, False), ("b.png", 9, "ship", 0, 0, 1, 1, False)]
+    assert sorted(tuple(r)[:8] for r in back["objects"].collect()) == [("a.png", 7, "ship", 1, 2, 3, 4, True), ("a.png", 8, "plane", 5, 6, 7, 8, False), ("b.png", 9, "ship", 0, 0, 1, 1, False)]
     assert back["patches"].count() == 3 and back["groups"].count() == 0
 
 
@@ -66,3 +66,34 @@ def test_replies_and_requests(spark, tmp_path):
     assert line["request"]["contents"][0]["parts"][1]["fileUri"] == "store/a.png"
     si.write_report({"t": t.select("split")}, f"{tmp_path}/rep")
     assert spark.read.option("header", True).csv(f"{tmp_path}/rep/t").first().split == "val"
+
+
+def test_full_annotation(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("""<annotation><filename>P1.png</filename><object><id>1</id><name>ship</name><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox>
+<is_cutoff>true</is_cutoff><color>light</color><possible_colors>light, dark</possible_colors><relationships><relationship><target_id>2</target_id><target_category>plane</target_category><direction>above</direction>
+<distance>1.5</distance><possible_directions>above,below</possible_directions></relationship></relationships><expressions><expression>the ship</expression><expression id="0">a boat</expression><expression type="unique">one</expression></expressions></object>
+<groups><group><id>7</id><instance_ids>1,2</instance_ids><size>2</size><category>ship</category><expressions><expression>all ships</expression></expressions></group>
+<relationships><relationship><source_id>7</source_id><target_id>8</target_id><direction>below</direction><distance>2.0</distance></relationship></relationships></groups></annotation>""")
+    a = rd.read_annotations(spark, str(tmp_path))
+    assert [(r.target_id, r.possible_directions) for r in a["relations"].collect()] == [(2, ["above", "below"])]
+    assert a["objects"].first().possible_colours == ["light", "dark"] and a["group_relations"].first().target_id == 8
+    said = sorted((r.target_kind, r.pos, r.expr_type, r.text) for r in a["expressions"].collect())
+    assert said == [("group", 0, "original", "all ships"), ("individual", 0, "original", "the ship"), ("individual", 1, "enhanced", "a boat"), ("individual", 2, "unique", "one")]
+    samples = rd.read_samples(spark, str(tmp_path), "val")
+    assert sorted((r.text, r.xmin) for r in samples.collect()) == [("a boat", 1), ("all ships", None), ("one", 1), ("the ship", 1)]
+    si.export_samples(samples, f"{tmp_path}/s")
+    assert spark.read.parquet(f"{tmp_path}/s").filter("text = 'all ships' and xmin = 0 and category = '' and split = 'val'").count() == 1
+
+
+def test_exports(spark, tmp_path):
+    e = spark.createDataFrame([("val", 1, "individual", 5, 1, "unique", "b"), ("val", 1, "individual", 5, 0, "original", "a"), ("train", 2, "group", 6, 0, "original", "c")],
+                              "split string, patch_id long, target_kind string, target_id long, pos int, expr_type string, text string")
+    si.export_refcoco(e, f"{tmp_path}/r")
+    refs = spark.read.json(f"{tmp_path}/r/refs")
+    assert [[s.sent for s in x.sentences] for x in refs.filter("split = 'val'").collect()] == [["a", "b"]]
+    assert sorted((x.split, x.refs, x.sentences) for x in spark.read.json(f"{tmp_path}/r/summary").collect()) == [("train", 1, 1), ("val", 1, 2)]
+    si.export_chat(e, f"{tmp_path}/c", "s", "text", "expr_type")
+    assert all([m["role"] for m in json.loads(x.value)["messages"]] == ["system", "user", "assistant"] for x in spark.read.text(f"{tmp_path}/c").collect())
+    f = spark.createDataFrame([("P1.png", "val"), ("D1.png", "val"), ("L1.png", "train")], "name string, split string")
+    si.export_bundle(f, f"{tmp_path}/b", "D")
+    assert sorted(x.name for x in spark.read.parquet(f"{tmp_path}/b").collect()) == ["L1.png", "P1.png"]
