@@ -216,7 +216,10 @@ def near_classes(
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     once = whole.join(clusters, "doc_id")
     sets = cut(shingle_sets(once, words).dropDuplicates(["doc_id", "set"]))
-    links = components(verified_ties(sets, share, piece)).select(
+    # an id with several texts ties their classes together
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last")
+    same_id = member.join(several.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b")
+    links = components(verified_ties(sets, share, piece).unionByName(same_id)).select(
         F.col("node").alias("rep"), F.col("component").alias("root")
     )
     found = (

@@ -58,6 +58,9 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "A b\tc d")], "doc_id long, text string")
     rows = sorted(m.near_classes(docs, 3, 0.85).collect(), key=repr)
     assert [(r.doc_id, r.component_id, r.kept) for r in rows] == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)]
+    pair = [(1, "a b c d e"), (2, "f g h i j"), (3, "a b c d e"), (3, "f g h i j"), (4, "f g h i j")]
+    pair = m.near_classes(spark.createDataFrame(pair, "doc_id long, text string"), 3, 0.85).collect()
+    assert {(r.doc_id, r.component_id) for r in pair} == {(1, 1), (2, 1), (3, 1), (4, 1)} and len(pair) == 5
     assert m.near_classes(docs.limit(0)).count() == 0 and m.drop_near_copies(docs.limit(0)).count() == 0
 
 
