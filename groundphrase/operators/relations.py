@@ -31,12 +31,13 @@ def relate(objects: DataFrame, base: float = 150.0, sectors: str = "reference")
     distance = F.sqrt(dx * dx + dy * dy)
     reach = base + (c("a_width") + c("a_height")) / 4 + (c("b_width") + c("b_height")) / 4
     near = (c("a_object_id") != c("b_object_id")) & (distance <= reach) & ~g.contained("a_", "b_")
-    border, possible = g.directions(g.angle(c("a_cx"), c("a_cy"), c("b_cx"), c("b_cy")), sectors)
+    border, possible = g.directions(c("angle"), sectors)
     pairs = self_pairs(o, ["patch_id"], near).select(
         "patch_id", c("a_object_id").alias("object_id"), c("b_object_id").alias("target_id"),
         c("a_category").alias("category"), c("b_category").alias("target_category"), distance.alias("distance"),
-        c("b_is_cutoff").alias("target_cutoff"), border.alias("is_borderline"), possible.alias("p"),
+        c("b_is_cutoff").alias("target_cutoff"), g.angle(c("a_cx"), c("a_cy"), c("b_cx"), c("b_cy")).alias("angle"),
     )
+    pairs = pairs.withColumns({"is_borderline": border, "p": possible})  # the angle is a column: it is computed once
     shown = F.when(c("is_borderline"), c("p")).otherwise(F.slice("p", 1, 1))
     return pairs.withColumn("possible_directions", shown).select(
         "patch_id", "object_id", "target_id", "category", "target_category",
