@@ -24,7 +24,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = hit.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
         )
-    return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -40,7 +40,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         if not before[0]:
             break
-        e = cut(_stars(_stars(e, large=True), large=False))
+        e = cut(_stars(_stars(e, large=True), large=False).distinct())  # neither step multiplies rows
         after = mark(e)
         if tuple(after) == tuple(before):
             break
