@@ -3,8 +3,9 @@
 Arrivals become small immutable shards, a folder of Parquet files each. A manifest names the shards of one version; it is
 written aside and renamed to its place, which fails if that version exists, so a commit is all or nothing and two
 writers can't both win. Compaction takes runs of similar size (tiers are powers of the fan-in over the smallest size),
-rewrites `fan_in` of them as files of the target size, and commits a version that names the result instead. Readers hold
-to a manifest, so they never see a half-done merge. All files go through Spark's file system, on any store.
+rewrites `fan_in` of them as files of the target size, and commits a version that names the result instead. A shard of
+any size that holds `fan_in` files below half the target is rewritten in the same way, alone. Readers hold to a
+manifest, so they never see a half-done merge. All files go through Spark's file system, on any store.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,7 @@ class Shard:
     name: str
     rows: int
     size: int
+    sizes: tuple[int, ...] = ()  # of its files
 
     def tier(self, smallest: int, fan_in: int) -> int:
         return max(0, math.floor(math.log(max(1, self.size) / smallest, fan_in))) if self.size > smallest else 0
@@ -50,7 +53,7 @@ class ShardStore:
         return max([0, *(int(n[:-5]) for n in names if n[:-5].isdigit() and n.endswith(".json"))])
 
     def manifest(self, version: int | None = None) -> list[Shard]:
-        """The shards of a version, the latest if none is named. Its length grows with shards, not with rows."""
+        """The shards of a version, the latest if none is named. Its length grows with files, not with rows."""
         version = self.version() if version is None else version
         if not version:
             return []
@@ -59,7 +62,7 @@ class ShardStore:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return [Shard(**s) for s in json.loads(text)["shards"]]
+        return [Shard(**{**s, "sizes": tuple(s.get("sizes", ()))}) for s in json.loads(text)["shards"]]
 
     def commit(self, base: int, shards: list[Shard]) -> int:
         """Version base + 1 with these shards; FileExistsError if another writer has made it first."""
@@ -81,7 +84,9 @@ class ShardStore:
         return base + 1
 
     def _shard(self, name: str, rows: int) -> Shard:
-        return Shard(name, rows, self.fs.getContentSummary(self._path(f"{self.root}/{name}")).getLength())
+        files = [s for s in self.fs.listStatus(self._path(f"{self.root}/{name}")) if s.isFile()]
+        sizes = tuple(sorted(s.getLen() for s in files if s.getPath().getName()[0] not in "._"))
+        return Shard(name, rows, sum(sizes), sizes)
 
     def append(self, df: DataFrame, arrival_col: str | None = None) -> list[str]:
         """Adds df as one shard, or one for each value of arrival_col (then left out); one pass, no shuffle.
@@ -113,13 +118,32 @@ class ShardStore:
         shards = self.manifest(version) if shards is None else shards
         return self.spark.read.parquet(*[f"{self.root}/{s.name}" for s in shards]) if shards else None
 
+    @contextmanager
+    def _packed(self):
+        """Scans planned inside put whole files together up to the target size, one task for each pile."""
+        wanted = {"maxPartitionBytes": self.target, "openCostInBytes": 0, "minPartitionNum": 1}
+        before = {k: self.spark.conf.get(f"spark.sql.files.{k}", None) for k in wanted}
+        try:
+            for k, v in wanted.items():
+                self.spark.conf.set(f"spark.sql.files.{k}", str(v))
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(f"spark.sql.files.{k}") if v is None else self.spark.conf.set(f"spark.sql.files.{k}", v)
+
+    def scattered(self, shard: Shard) -> bool:
+        """Whether fan_in or more of the shard's files are below half the target size."""
+        return sum(2 * n < self.target for n in shard.sizes) >= self.fan_in
+
     def compact(self, vacuum: bool = False) -> int:
-        """Merges until no tier below the target size holds fan_in shards; the number of merges.
+        """Merges until no tier below the target size holds fan_in shards and none is scattered; the number of merges.
 
-        A merge reads whole shards and writes ceil(size / target) files by narrow coalescing, so no row is shuffled.
-        With vacuum the merged shards are deleted after each commit, for which no reader may hold an older version.
+        A merge reads whole shards and writes their files in piles of at most the target size, a file each, so no row is
+        shuffled; all piles but the last are above half of it. A shard that a merge wrote is not rewritten alone in the
+        same call, even if its files came out smaller. With vacuum the merged shards are deleted after each commit, for
+        which no reader may hold an older version.
         """
-        merges = 0
+        merges, fresh = 0, set()
         while True:
             base, tiers = self.version(), {}
             shards = self.manifest(base)
@@ -127,11 +151,13 @@ class ShardStore:
                 if s.size < self.target:
                     tiers.setdefault(s.tier(self.smallest, self.fan_in), []).append(s)
             run = next((t[: self.fan_in] for _, t in sorted(tiers.items()) if len(t) >= self.fan_in), None)
+            run = run or next(([s] for s in shards if s.name not in fresh and self.scattered(s)), None)
             if run is None:
                 return merges
             name = f"shards/m-{uuid.uuid4().hex}"
-            files = max(1, math.ceil(sum(s.size for s in run) / self.target))
-            self.read(shards=run).coalesce(files).write.parquet(f"{self.root}/{name}")
+            with self._packed():
+                self.read(shards=run).write.parquet(f"{self.root}/{name}")
+            fresh.add(name)
             gone = {s.name for s in run}
             self.commit(base, [*(s for s in shards if s.name not in gone), self._shard(name, sum(s.rows for s in run))])
             merges += 1

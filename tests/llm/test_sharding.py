@@ -43,3 +43,17 @@ def test_arrivals_and_tiers(spark, tmp_path):
     assert len(s.append(docs)) == 1 and s.manifest()[-1].rows == 90
     assert s.read(shards=s.manifest()[-1:]).columns == ["id", "lot"]
     assert [Shard("", 0, n).tier(10, 4) for n in (0, 10, 39, 40, 159, 160)] == [0, 0, 0, 1, 1, 2]
+
+
+def test_shards_of_many_small_files_are_rewritten_at_any_size(spark, tmp_path):
+    s = ShardStore(spark, f"file://{tmp_path}/store", target=64 << 10, fan_in=4)
+    docs = spark.range(0, 8000, 1, 40).selectExpr("id", "sha2(cast(id as string), 256) text")
+    s.append(docs)
+    (before,) = s.manifest()
+    assert before.size > 4 * s.target and len(before.sizes) == 40 and max(before.sizes) < s.target / 2
+    assert s.compact(vacuum=True) == 1
+    (after,) = s.manifest()
+    assert after.rows == 8000 and sum(after.sizes) == after.size
+    assert max(after.sizes) <= s.target * 1.1 and sum(2 * n < s.target for n in after.sizes) <= 1
+    assert sorted(r.id for r in s.read().collect()) == list(range(8000))
+    assert s.compact() == 0 and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
