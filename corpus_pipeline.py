@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundphrase.llm import bpe, exact_dedup, minhash, mixing, quality
 from groundphrase.operators.lineage import ensure_checkpoint_dir
@@ -32,11 +34,30 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source, text and place: the order of the rows in a written table.
+
+    Readers pack files by size, so it is recovered from the number in a file's name and the row's index in the file;
+    both have room in a bigint. A name without a number gives null. Of a table that was not written, it is the order
+    of the partitions.
+    """
+    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long")
+    row = number(r"^part-(\d+)") * 2**40 + number(r"-c(\d+)\.") * 2**30 + F.col("_metadata.row_index")
+    columns = ["doc_id", "lang", "source", "text"]
+    try:
+        return docs.select(*columns, row.alias("place"))
+    except AnalysisException:  # no files, or files of a kind without row indices
+        return docs.select(*columns, F.monotonically_increasing_id().alias("place"))
+
+
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids (tokens of the whole text) and decoded (the text that the ids give back)."""
+    """doc_id, lang, source, place, ids (tokens of the whole text) and decoded (the text that the ids give back).
+
+    Sorted by place, rows are in the order in which docs was written, which is that of the mixture.
+    """
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, decoded_col="decoded")
-    return ids.select("doc_id", "lang", "source", "ids", "decoded")
+    ids = bpe.encode(placed(docs), ranks, public_tokenizers.PATTERN, decoded_col="decoded")
+    return ids.select("doc_id", "lang", "source", "place", "ids", "decoded")
 
 
 STAGES = [
@@ -51,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents; each stage's rows are written to the shared folder and read again by the next."""
+    """STAGES over documents; each stage's rows are written to the shared folder and read again by the next.
+
+    The order of the mixture is that of the result's column place.
+    """
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")

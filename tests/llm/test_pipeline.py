@@ -1,7 +1,8 @@
 import corpus_pipeline as p
 import pytest
-from groundphrase.llm import quality
+from groundphrase.llm import mixing, quality
 from groundphrase.sources import table
+from pyspark.sql import functions as F
 from test_minhash import brute
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +32,16 @@ def test_stages_one_by_one(spark):
     assert sorted(r.doc_id for r in p.run(spark, SF).collect()) == sorted(ids["bpe"])
 
 
+def test_order_of_the_mixture_survives_several_files(spark, monkeypatch):
+    in_files = lambda spark, docs, sf_dir: mixing.mixed(docs, block=8, rows_per_file=40)
+    monkeypatch.setattr(p, "STAGES", [(name, in_files if name == "mixing" else stage) for name, stage in p.STAGES])
+    rows = p.run(spark, SF).collect()
+    kept = table(spark, SF, "documents").filter(F.col("doc_id").isin([r.doc_id for r in rows]))
+    want = [r.doc_id for r in mixing.mix(kept.select("doc_id", "source"), block=8).orderBy("mix.place").collect()]
+    assert len({r.place >> 40 for r in rows}) > 3 and len({r.place for r in rows}) == len(rows)
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.place)] == want
+
+
 @pytest.mark.parametrize("stage", [s for _, s in p.STAGES])
 def test_empty_and_null(spark, stage):
     docs = table(spark, SF, "documents")
