@@ -2,28 +2,33 @@
 
 Documents of a source are numbered and cut into blocks. A source of weight w releases its block j (from 0) at slot
 floor(j / w), with the deadline ceil((j + 1) / w). Earliest deadline first, one block a slot, keeps every source within
-one block of its share at every slot. Weights are rationals over a period P, so the schedule repeats after P slots:
-one period is scheduled once, its size a parameter and not the data's, and block j of a source follows by arithmetic.
+one block of its share at every slot. Weights are exact rationals; all blocks are scheduled once, on the driver, whose
+work grows with blocks and not with rows or slots.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundphrase.operators.lineage import cut
 
-#: Documents of a block; slots of a period at least; sources at most; rows of a numbered part of a source.
-BLOCK, PERIOD, SOURCES, PART = 64, 2_000, 100_000, 2_000
+#: Documents of a block; slots of a rounded period at least; scheduled blocks to broadcast at most; rows of a numbered
+#: part of a source.
+BLOCK, PERIOD, BROADCAST, PART = 64, 2_000, 500_000, 2_000
 NO_SOURCE = "\u0000"
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period: largest remainders, one at least; the period grows with many sources."""
+    """Slots of each source in a period: largest remainders, one at least; the period grows with many sources.
+
+    Rounded, so mix() doesn't use them."""
     if not weights or min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
     total, period = sum(map(Fraction, weights.values())), max(period, 10 * len(weights))
@@ -36,24 +41,38 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return slots
 
 
-def pfair(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period, earliest deadline first: (source, nth block, release, deadline, slot)."""
-    period = sum(slots.values())
-    release = lambda s, j: j * period // slots[s]
-    due = lambda s, j: -(-(j + 1) * period // slots[s])
-    waiting = [(0, s, 0) for s in slots]
+def schedule(weights: dict[str, float | Fraction], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """The given number of blocks of each source, earliest deadline first: (source, nth block, release, deadline, slot).
+
+    Releases and deadlines are those of the exact weights, so nothing is rounded. Slots in which no block is released
+    are skipped, so the steps are the blocks, however small a weight is.
+    """
+    if not weights or min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
+    total = sum(map(Fraction, weights.values()))
+    every = {s: (total / Fraction(w)).as_integer_ratio() for s, w in weights.items()}  # slots a block
+    release = lambda s, j: j * every[s][0] // every[s][1]
+    due = lambda s, j: -(-(j + 1) * every[s][0] // every[s][1])
+    waiting = [(0, s, 0) for s, n in blocks.items() if n]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due(s, j), s, j))
         deadline, s, j = heapq.heappop(ready)
-        out.append((s, j, release(s, j), deadline, slot))
-        if j + 1 < slots[s]:
+        yield s, j, release(s, j), deadline, slot
+        if j + 1 < blocks[s]:
             heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
-    return out
+        slot += 1
+
+
+def pfair(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """One period of whole numbers of slots."""
+    return list(schedule(slots, slots))
 
 
 def _source(source_col: str) -> Column:
@@ -92,26 +111,25 @@ def _mixed_rows(
         raise ValueError(f"the input has a column {mix_col} already; name another for the result")
     spark, inner = docs.sparkSession, [F.col(f"d.`{c}`") for c in docs.columns]
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), _source(source_col).alias("s"), F.col(id_col).alias("i"))
-    counts = row.groupBy("s").count()
-    counted = {r["s"]: r["count"] for r in counts.limit(SOURCES + 1).collect()}
-    if len(counted) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources; group them first")
+    counted = {r["s"]: r["count"] for r in row.groupBy("s").count().collect()}  # no more than the blocks of the schedule
     if not counted:
         kind = "struct<block:bigint,release:bigint,deadline:bigint,slot:bigint,place:bigint,on_target:boolean>"
         return docs.withColumn(mix_col, F.lit(None).cast(kind)), 0, 0
     given = {NO_SOURCE if s is None else s: w for s, w in (weights or {}).items()}
     mean = sum(given.values()) / len(given) if given else 1
-    slots = shares({s: given.get(s, mean) if given else n**temper for s, n in sorted(counted.items())})
-    period, plan = sum(slots.values()), pfair(slots)
-    at = {(s, j): slot for s, j, _, _, slot in plan}
-    slot_of = lambda s, b: b // slots[s] * period + at[s, b % slots[s]]
+    shared = {s: given.get(s, mean) if given else n**temper for s, n in sorted(counted.items())}
     blocks = {s: -(-n // block) for s, n in counted.items()}
-    horizon = min(slot_of(s, b) for s, b in blocks.items())  # the first slot that a source cannot fill
-    end = max(slot_of(s, b - 1) for s, b in blocks.items()) + 1
-    table = spark.createDataFrame(
-        [(s, slots[s], j, release, deadline, slot) for s, j, release, deadline, slot in plan],
-        "s string, per long, nth long, release long, deadline long, at long",
-    )
+    planned: tuple[list, ...] = ([], [], [], [], [])
+    horizon = None
+    for step in schedule(shared, {s: n + 1 for s, n in blocks.items()}):  # the block after a source's last stays empty
+        if step[1] < blocks[step[0]]:
+            for column, value in zip(planned, step, strict=True):
+                column.append(value)
+        elif horizon is None:
+            horizon = step[4]  # the first slot that a source cannot fill
+    end = planned[4][-1] + 1
+    table = spark.createDataFrame(pa.table(dict(zip(["s", "b", "release", "deadline", "slot"], planned, strict=True))))
+    table = F.broadcast(table) if len(planned[0]) <= BROADCAST else table
     parts = spark.createDataFrame([(s, -(-n // part)) for s, n in counted.items()], "s string, parts long")
     salted = row.join(F.broadcast(parts), "s").withColumn("p", F.pmod(F.xxhash64("i", F.lit(11)), F.col("parts")))
     sizes = cut(salted.groupBy("s", "p").count())
@@ -124,19 +142,15 @@ def _mixed_rows(
         .withColumn("n", F.row_number().over(order) - 1 + F.col("before"))
         .withColumn("b", F.floor(F.col("n") / block))
     )
-    first = F.broadcast(table.select("s", "per").distinct())
-    timed = numbered.join(first, "s").withColumn("nth", F.col("b") % F.col("per")).join(F.broadcast(table.drop("per")), ["s", "nth"])
-    cycle = F.floor(F.col("b") / F.col("per")) * period
-    slot = cycle + F.col("at")
-    out = timed.select(
+    out = numbered.join(table, ["s", "b"]).select(
         *inner,
         F.struct(
             F.col("b").alias("block"),
-            (cycle + F.col("release")).alias("release"),
-            (cycle + F.col("deadline")).alias("deadline"),
-            slot.alias("slot"),
-            (slot * block + F.col("n") % block).alias("place"),
-            (slot < horizon).alias("on_target"),
+            "release",
+            "deadline",
+            "slot",
+            (F.col("slot") * block + F.col("n") % block).alias("place"),
+            (F.col("slot") < horizon).alias("on_target"),
         ).alias(mix_col),
     )
     return out, sum(counted.values()), end * block

@@ -1,4 +1,5 @@
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from groundphrase.llm import mixing as m
@@ -64,3 +65,21 @@ def test_hot_source_weights_and_edges(spark):
     assert m.mix(docs.limit(0)).count() == 0 and m.mixed(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         m.mix(docs, mix_col="P")
+
+
+def test_deviation_from_the_weights_given(spark):
+    sizes, weights = {"a": 3, "b": 5000, "c": 2500}, {"a": 0.0001, "b": 0.66661, "c": 0.33329}
+    docs = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    at = {r.slot: r for r in m.mix(docs, weights, block=1).selectExpr("source", "mix.*").collect()}
+    assert len(at) == 7503 and all(r.release <= slot < r.deadline for slot, r in at.items())
+    total, done, slot = sum(map(Fraction, weights.values())), Counter(), 0
+    while slot in at:
+        done[at[slot].source] += 1
+        slot += 1
+        assert all(abs(done[s] - slot * Fraction(w) / total) < 1 for s, w in weights.items())
+    assert slot > 7000 and all(r.on_target == (k < slot) for k, r in at.items())
+
+
+def test_many_sources(spark):
+    docs = spark.range(120_000).selectExpr("id doc_id", "concat('s', id % 110000) source")
+    assert m.mix(docs, block=2).agg({"mix.slot": "max", "*": "count"}).collect()[0][1] == 120_000
