@@ -6,7 +6,7 @@ counting them in all documents is cheap; a window whose anchor stands in one doc
 its suffix is a lone leaf that no tree needs.
 
 Partition by prefixes. The suffixes that start at anchors are split by their first words: the anchor itself where few
-documents' suffixes share it, and the whole window where many do. So each group is small enough for memory, or one
+suffixes share it, and the whole window where many do, in whatever number of documents. So each group is small enough for memory, or one
 leaf class of which only the smallest document matters, which a partial aggregate finds.
 
 Trees. In a group the suffixes come with the words before them (the left context of all windows that the anchor
@@ -58,13 +58,17 @@ def anchors(words: list[bytes], window: int, anchor: int = ANCHOR) -> tuple[np.n
 def _anchor_rows(window: int, anchor: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys = [
-                np.unique(anchors(words_of(text), window, anchor)[0]).view("int64") if doc is not None else np.zeros(0, "int64")
+            found = [
+                np.unique(anchors(words_of(text) if doc is not None else [], window, anchor)[0], return_counts=True)
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             ]
-            ends = pa.array(np.cumsum([0, *map(len, keys)], dtype="int32"))
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*keys, np.zeros(0, "int64")])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "anchors"])
+            ends = pa.array(np.cumsum([0, *(len(keys) for keys, _ in found)], dtype="int32"))
+            none = np.zeros(0, "int64")
+            lists = [
+                pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*values, none])))
+                for values in ([k.view("int64") for k, _ in found], [n.astype("int64") for _, n in found])
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "anchors", "suffixes"])
 
     return work
 
@@ -179,6 +183,24 @@ def _hot_windows(window: int, anchor: int):
     return work
 
 
+def shared_anchors(found: DataFrame, group: int = GROUP) -> DataFrame:
+    """(anchor, hot) of rows (doc_id, anchor, suffixes): anchors of two documents or more; hot with more than `group`
+    suffixes in all documents."""
+    return (
+        found.groupBy("anchor")
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("suffixes").alias("n"))
+        .filter("lo < hi")
+        .select("anchor", (F.col("n") > group).alias("hot"))
+    )
+
+
+def found_anchors(slim: DataFrame, window: int = 50, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, anchor, suffixes): how many suffixes of a document start at an anchor."""
+    found = cut(slim.mapInArrow(_anchor_rows(window, anchor), "doc_id long, anchors array<long>, suffixes array<long>"))
+    pairs = F.explode(F.arrays_zip("anchors", "suffixes")).alias("x")
+    return found.select("doc_id", pairs).select("doc_id", F.col("x.anchors").alias("anchor"), "x.suffixes")
+
+
 def repeated_windows(
     docs: DataFrame,
     window: int = 50,
@@ -192,15 +214,8 @@ def repeated_windows(
     Runs of a document may touch or overlap. Null texts have no words, a null id takes no part.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = cut(slim.mapInArrow(_anchor_rows(window, anchor), "doc_id long, anchors array<long>"))
-    found = found.select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = (
-        found.groupBy("anchor")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
-        .filter("lo < hi")
-        .select("anchor", (F.col("n") > group).alias("hot"))
-    )
-    by_doc = found.join(shared, "anchor").groupBy("doc_id").agg(
+    found = found_anchors(slim, window, anchor)
+    by_doc = found.join(shared_anchors(found, group), "anchor").groupBy("doc_id").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"),
         F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"),
     )

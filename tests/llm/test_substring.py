@@ -58,3 +58,14 @@ def test_edges(spark):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in s.remove_repeats(docs).collect()}
     assert got == {1: (61, 0), 2: (60, 60), None: (60, 0), 3: (0, 0)}
     assert s.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_few_documents_that_repeat_a_line_are_hot(spark):
+    line = " ".join(f"l{i}" for i in range(7)) + "\n"
+    t = {i: f"start {i}\n" + line * 2000 for i in range(3)} | {3: "one " * 5000, 4: "one " * 5000, 5: line * 3}
+    docs = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    shared = {r.anchor: r.hot for r in s.shared_anchors(s.found_anchors(docs, 12, 4)).collect()}
+    held = s.found_anchors(docs, 12, 4).groupBy("anchor").sum("suffixes").collect()
+    assert sum(shared.values()) >= 2 and all(n <= s.GROUP for a, n in held if a in shared and not shared[a])
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in s.remove_repeats(docs, 12, 4).collect()}
+    assert got == brute(t, 12)
