@@ -1,51 +1,123 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by large-star and small-star steps, with a local contraction after each."""
 
-from pyspark.sql import DataFrame
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from groundphrase.operators.lineage import cut
 
+#: Edges that a worker contracts at once; rows of a table of minima that is broadcast at most; parts of a hot node beyond that.
+CHUNK, BROADCAST, SALTS = 1 << 20, 200_000, 16
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node hands its own minimum to its neighbours.
 
-    The minimum of a neighbourhood is a partial aggregate, and it comes back by an equi-join whose hot
-    keys AQE splits, so a node that touches a third of all rows does not land in one task.
-    """
-    if large:
-        arcs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        arcs = edges
-    least = arcs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    hit = arcs.join(least, "a")
-    if large:
-        out = hit.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = hit.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b"))
-        )
-    return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of these edges as (node, least node), for every node that is not the least itself."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        for end in (x, y, label[x], label[y]):
+            np.minimum.at(new, end, least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    leaf = label != np.arange(len(nodes))
+    return nodes[leaf], nodes[label[leaf]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a partition, some at a time, become stars with the same components."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> pa.RecordBatch:
+        node, least = stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(least, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(a) for a, _ in held) >= CHUNK:
+            node, least = stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held = [(node, least)]
+            if len(node) >= CHUNK // 2:  # little to gain: start anew
+                yield out()
+                held = []
+    if held:
+        yield out()
+
+
+def _minima(edges: DataFrame) -> tuple[DataFrame, int, int]:
+    """(node, m, several, between) of the nodes whose edges are not those of a star, m their least neighbour, and how many
+    have several smaller neighbours, and both smaller and larger ones."""
+    arc = lambda x, y: F.struct(F.col(x).alias("node"), F.col(y).alias("next"))
+    arcs = edges.select(F.explode(F.array(arc("a", "b"), arc("b", "a"))).alias("e")).select("e.*")
+    below = F.when(F.col("next") < F.col("node"), F.col("next"))
+    found = arcs.groupBy("node").agg(F.min(below).alias("m"), F.max(below).alias("top"), F.max("next").alias("hi"))
+    several, between = F.col("m") < F.col("top"), F.col("hi") > F.col("node")
+    found = found.filter(F.col("m").isNotNull() & (several | between)).select("node", "m", several.alias("several"), between.alias("between"))
+    seen = Observation()
+    found = cut(found.observe(seen, F.count_if("several").alias("s"), F.count_if("between").alias("b")))
+    return found, seen.get["s"], seen.get["b"]
+
+
+def _joined(edges: DataFrame, end: str, minima: DataFrame, rows: int) -> DataFrame:
+    """edges with m of the node at this end, null where there is none. A long table of minima is joined by a shuffle in
+    which each node is spread over parts, since one node may be on a third of all edges."""
+    if rows <= BROADCAST:
+        return edges.join(F.broadcast(minima.select(F.col("node").alias(end), "m")), end, "left")
+    other = "b" if end == "a" else "a"
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    spread = minima.select(F.col("node").alias(end), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return salted.join(spread, [end, "salt"], "left")
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Stars of each partition's edges, written to the checkpoint folder, and their number."""
+    seen = Observation()
+    out = cut(edges.mapInArrow(_contract, "a long, b long").observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest node it reaches.
 
-    Null ends and loops are ignored, direction and repetition of an edge do not matter. Each round is
-    written to the checkpoint folder; it ends when a round leaves the edges as they were.
+    Ends are longs. Null ends and loops are ignored, direction and repetition of an edge do not matter. The edges of a
+    partition are contracted to stars before anything is shuffled; partitions are then put together until they hold
+    about CHUNK edges, and contracted again, so a graph of CHUNK edges or less is done. Else each round finds the nodes
+    that are not part of a star (one partial aggregate), and hands their least neighbour to their smaller neighbours
+    (small star) or to their larger ones (large star) by a join with these nodes only, so the leaves of a large star are
+    not moved. Edges and minima of a round are written to the checkpoint folder; it ends when all that is left are stars.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
-    e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = mark(e)
+    e, n = _contracted(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b"))
+    small, parts = True, None
     for _ in range(max_rounds):
-        if not before[0]:
-            break
-        e = cut(_stars(_stars(e, large=True), large=False).distinct())  # neither step multiplies rows
-        after = mark(e)
-        if tuple(after) == tuple(before):
+        if parts is None or 2 * n <= parts * CHUNK:
+            parts = max(1, -(-n // CHUNK))
+            e, n = _contracted(e.coalesce(parts))
+            if parts == 1:
+                break
+        minima, several, between = _minima(e)
+        if not several and not between:
             break
-        before = after
+        small = bool(several) and (small or not between)
+        if small:
+            pairs = [(F.col("a"), F.coalesce("m", "b")), (F.col("b"), F.coalesce("m", "b"))]
+            hit = _joined(e, "a", minima.filter("several"), several)
+        else:
+            pairs = [(F.col("a"), F.coalesce("m", "b"))]
+            hit = _joined(e, "b", minima.filter("between"), between)
+        moved = hit.select(F.explode(F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in pairs])).alias("e")).select("e.*")
+        e, n = _contracted(moved.filter("a <> b"))
+        small = not small
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    node = F.explode(F.array("a", "b"))  # a star's centre comes once for each leaf
+    return e.select("b", node.alias("node")).groupBy("node").agg(F.min("b").alias("component"))

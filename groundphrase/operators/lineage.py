@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir stands; a folder of this machine is set only where none is named (tests)."""
+    """The session's spark.checkpoint.dir stands. Where none is named, a run on one machine (tests) gets a folder of that
+    machine; on a cluster, whose executors could not share it, that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="groundphrase-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="groundphrase-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

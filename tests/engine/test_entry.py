@@ -1,5 +1,7 @@
 """The entry contract, and golden cases of the rules."""
 
+import os
+import shutil
 import subprocess
 import sys
 
@@ -17,6 +19,19 @@ def test_import_needs_no_session():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=entry.__file__.rpartition("/")[0])
 
 
+def test_queries_without_the_optional_parts(tmp_path):
+    """The other queries stand when the llm folder is deleted, with or without the pipeline's file."""
+    root = entry.__file__.rpartition("/")[0]
+    skip = shutil.ignore_patterns(".git", "llm", "__pycache__")
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    env["PYTHONPATH"] = os.pathsep.join(x for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x and x != root)
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 170 and set(e.oracle_sql()) <= set(e.queries()) and 'pipeline' not in e.queries()"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path / "copy", env=env)
+        (tmp_path / "copy/corpus_pipeline.py").unlink(missing_ok=True)
+
+
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["combo", "n_unique"] and df.count() > 0
