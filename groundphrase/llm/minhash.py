@@ -76,19 +76,17 @@ def signatures(docs: DataFrame, words: int, size: int, id_col: str = "doc_id", t
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(cluster, doc_id, size, set) of docs (cluster, doc_id, text): the set's sorted 64-bit hashes as bytes."""
+    """(cluster, blocks, doc_id, set) of docs (cluster, blocks, doc_id, text): the set's sorted 64-bit hashes as bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
+            sets = [shingle_set(t, words).tobytes() for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["cluster", "doc_id", "size", "set"],
-            )
+                [*batch.columns[:3], pa.array(sets, pa.binary())], ["cluster", "blocks", "doc_id", "set"]
+            )
 
-    return docs.select("cluster", "doc_id", "text").mapInArrow(
-        work, "cluster long, doc_id long, size long, set binary"
+    return docs.select("cluster", "blocks", "doc_id", "text").mapInArrow(
+        work, "cluster long, blocks int, doc_id long, set binary"
     )
 
 
@@ -162,13 +160,19 @@ def _solve(share: int):
     return work
 
 
-def verified_ties(sets: DataFrame, share: int, piece: int = PIECE) -> DataFrame:
+def with_blocks(clusters: DataFrame, sizes: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(doc_id, cluster, blocks): into how many blocks the sets of a cluster are dealt, from the sizes (rep, n_shingles)."""
+    sized = clusters.join(sizes.select(F.col("rep").alias("doc_id"), "n_shingles"), "doc_id")
+    total = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / F.lit(piece // 2)).cast("int").alias("blocks"))
+    return clusters.join(total, "cluster")
+
+
+def verified_ties(sets: DataFrame, share: int) -> DataFrame:
     """(a, b): ties whose components are those of the links inside each cluster.
 
-    Clusters beyond `piece` shingles are split into blocks of half that size, and each pair of blocks is a piece.
+    Clusters of more than two blocks are dealt as pairs of blocks, each a piece.
     """
-    total = sets.groupBy("cluster").agg(F.ceil(F.sum("size") / F.lit(piece // 2)).cast("int").alias("blocks"))
-    placed = sets.join(total, "cluster").withColumn(
+    placed = sets.withColumn(
         "block", F.when(F.col("blocks") <= 2, 0).otherwise(F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     )
     other = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -198,9 +202,8 @@ def near_classes(
     share, n_bands = round(threshold * 100), bands_for(threshold, rows, miss)
     sig = cut(signatures(docs, words, rows * n_bands, id_col, text_col))
     with_set = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = with_set.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    member = cut(with_set.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep").distinct())
-    reps = with_set.join(member.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    least = {c: F.min_by(c, "doc_id").alias(c) for c in ("n_shingles", "sig")}  # equal in all rows of a set_key
+    classes = cut(with_set.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *least.values()))
     width = 4 * rows
     band = F.explode(
         F.transform(
@@ -208,18 +211,19 @@ def near_classes(
             lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))),
         )
     )
-    buckets = reps.select("doc_id", band.alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"))
+    buckets = classes.select("rep", band.alias("bucket"))
+    heads = buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("last"))
     heads = heads.filter("head < last").drop("last")
-    tied = buckets.join(heads, "bucket").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    clusters = components(tied.distinct()).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    tied = buckets.join(heads, "bucket").select("rep", "head")
+    clusters = components(tied, "rep", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    placed = with_blocks(cut(clusters), classes, piece)
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    once = whole.join(clusters, "doc_id")
-    sets = cut(shingle_sets(once, words).dropDuplicates(["doc_id", "set"]))
+    sets = shingle_sets(whole.join(placed, "doc_id").dropDuplicates(["doc_id", "text"]), words)
+    member = with_set.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
     # an id with several texts ties their classes together
     several = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last")
     same_id = member.join(several.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b")
-    links = components(verified_ties(sets, share, piece).unionByName(same_id)).select(
+    links = components(verified_ties(sets, share).unionByName(same_id)).select(
         F.col("node").alias("rep"), F.col("component").alias("root")
     )
     found = (
