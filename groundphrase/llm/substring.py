@@ -5,14 +5,18 @@ is its anchor (leftmost of ties), and equal windows have equal anchors. Anchors
 counting them in all documents is cheap; a window whose anchor stands in one document only repeats nowhere else, and
 its suffix is a lone leaf that no tree needs.
 
-Partition by prefixes. The suffixes that start at anchors are split by their first words: the anchor itself where few
-suffixes share it, and the whole window where many do, in whatever number of documents. So each group is small enough for memory, or one
-leaf class of which only the smallest document matters, which a partial aggregate finds.
-
-Trees. In a group the suffixes come with the words before them (the left context of all windows that the anchor
-stands for). Words are sorted by depth-doubling names, and the nodes at window depth are the repeats; each node's smallest
-document is its owner, and windows of other documents under the node are marked. Every word that a marked window covers
-goes.
+Partition by prefixes. The suffixes of the windows around an anchor share the anchor's words. Where at most `group`
+places share them, they are one group. Where more do, the common words grow: windows that start up to half way before
+the anchor share the words after it, the others those before it, about `window - (window - anchor) / 2` words. Where still more
+than `group` places share these, they grow to the whole window: then the group is one leaf class of which only the
+smallest document matters, which a partial aggregate finds. So the length of the prefix varies with what fits into
+memory; counts are of places, in however few documents.
+
+Trees. The words of a group are numbered (exactly, by their bytes), all suffixes of its texts are ranked by depth
+doubling, the suffixes that start windows are sorted by rank, and the common prefix of neighbours is measured on the words'
+numbers. Runs of neighbours with at least `window` words in common are the leaves under one deep node; the node's
+smallest document is its owner, and the windows of other documents under it are marked. Hashes choose the group only;
+they decide nothing in it. Classes of whole windows have 128-bit names. Every word that a marked window covers goes.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from groundphrase.llm.batches import slices
 from groundphrase.llm.shingles import mix64, rolling, word_hashes
 from groundphrase.operators.lineage import cut
 
-#: Words of an anchor; suffixes that a group may hold before its prefix grows to the whole window.
-ANCHOR, GROUP = 8, 500
+#: Words of an anchor; places that a group may hold before its prefix grows.
+ANCHOR, GROUP = 8, 4096
+#: Key of the second of two hashes that name a whole window.
+SECOND = "fedcba9876543210"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -38,91 +44,161 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").split()
 
 
-def anchors(words: list[bytes], window: int, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share an anchor: (hash of the anchor's words, its place, first window), by first window."""
-    none = np.zeros(0, "uint64"), np.zeros(0, "int64"), np.zeros(0, "int64")
-    if len(words) < window:
-        return none
-    grams = rolling(word_hashes(words), anchor)
-    wide = window - anchor + 1
-    order = mix64(grams)  # hashes of neighbouring runs are independent; one more mix keeps common words out of the order
-    view = np.lib.stride_tricks.sliding_window_view(order, wide)
-    place = np.empty(len(view), "int64")
-    for lo in range(0, len(view), 4096):
-        place[lo : lo + 4096] = view[lo : lo + 4096].argmin(axis=1)
-    place += np.arange(len(view))
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    return grams[place[first]], place[first], first
+class Anchors:
+    """Runs of a document's windows that share an anchor, by first window: key (hash of the anchor's words), place of the
+    anchor, first and last window, and the hashes of the longer prefixes of the windows that start up to `half` words
+    before the anchor (`near`) and of those that start earlier (`far`); 0 where there are no such windows."""
+
+    def __init__(self, words: list[bytes], window: int, anchor: int = ANCHOR):
+        self.window, self.half = window, (window - anchor) // 2
+        none = np.zeros(0, "int64")
+        self.key = self.near = self.far = self.place = self.first = self.last = none
+        if len(words) < window:
+            return
+        hashes = word_hashes(words)
+        grams = rolling(hashes, anchor)
+        order = mix64(grams)  # hashes of neighbouring runs are independent; one more mix keeps common words out of the order
+        view = np.lib.stride_tricks.sliding_window_view(order, window - anchor + 1)
+        place = np.empty(len(view), "int64")
+        for lo in range(0, len(view), 4096):
+            place[lo : lo + 4096] = view[lo : lo + 4096].argmin(axis=1)
+        place += np.arange(len(view))
+        self.first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        self.last = np.append(self.first[1:], len(view)) - 1
+        self.place = place[self.first]
+        self.key = grams[self.place].view("int64")
+        after, before = rolling(hashes, window - self.half), rolling(hashes, self.half + 1 + anchor)
+        has_near, has_far = self.last >= self.place - self.half, self.first < self.place - self.half
+        self.near, self.far = np.zeros(len(self.key), "int64"), np.zeros(len(self.key), "int64")
+        self.near[has_near] = after.view("int64")[self.place[has_near]]
+        self.far[has_far] = before.view("int64")[self.place[has_far] - self.half - 1]
+
+    def runs(self, known: list[int], longer: bool) -> Iterator[tuple[int, int, int]]:
+        """(key, first, last window) of the runs with these keys: of anchors, or of their longer prefixes."""
+        wanted = np.array(known, "int64")
+        if not longer:
+            for i in np.flatnonzero(np.isin(self.key, wanted)):
+                yield int(self.key[i]), int(self.first[i]), int(self.last[i])
+            return
+        for i in np.flatnonzero(np.isin(self.near, wanted) & (self.near != 0)):
+            yield int(self.near[i]), int(max(self.first[i], self.place[i] - self.half)), int(self.last[i])
+        for i in np.flatnonzero(np.isin(self.far, wanted) & (self.far != 0)):
+            yield int(self.far[i]), int(self.first[i]), int(min(self.last[i], self.place[i] - self.half - 1))
 
 
 def _anchor_rows(window: int, anchor: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [
-                np.unique(anchors(words_of(text) if doc is not None else [], window, anchor)[0], return_counts=True)
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            ]
-            ends = pa.array(np.cumsum([0, *(len(keys) for keys, _ in found)], dtype="int32"))
-            none = np.zeros(0, "int64")
-            lists = [
-                pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*values, none])))
-                for values in ([k.view("int64") for k, _ in found], [n.astype("int64") for _, n in found])
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "anchors", "suffixes"])
+            found = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = Anchors(words_of(text) if doc is not None else [], window, anchor)
+                rows, n = np.unique(np.stack([x.key, x.near, x.far]), axis=1, return_counts=True)
+                found.append((*rows, n.astype("int64")))
+            ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)], dtype="int32"))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c))) for c in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "anchor", "near", "far", "places"])
 
     return work
 
 
-def _segments(window: int, anchor: int, column: int):
-    """Rows (doc_id, text, cold, hot) become one row for each suffix at an anchor of the column's list, with its
-    context. Documents without such anchors are passed over."""
+def _texts_at(window: int, anchor: int):
+    """Rows (doc_id, text, anchors, longer) become (key, doc_id, start, words): the text of each run of windows at these
+    anchors or longer prefixes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "doc_id", "start", "words"]
         for batch in slices(batches):
             out: list[tuple] = []
-            known_lists, ids = batch.column(column).to_pylist(), batch.column(0).to_pylist()
-            for row, known in enumerate(known_lists):
-                if not known:
+            docs, short, longer = (batch.column(c).to_pylist() for c in (0, 2, 3))
+            for row, doc in enumerate(docs):
+                if not short[row] and not longer[row]:
                     continue
-                doc, words = ids[row], words_of(batch.column(1)[row].as_py())
-                key, _, first = anchors(words, window, anchor)
-                last = np.append(first[1:], len(words) - window + 1)
-                for i in np.flatnonzero(np.isin(key.view("int64"), np.array(known, "int64"))):
-                    lo, hi = int(first[i]), int(last[i])
-                    out.append((int(key[i].view("int64")), doc, lo, b" ".join(words[lo : hi + window - 1])))
+                words = words_of(batch.column(1)[row].as_py())
+                x = Anchors(words, window, anchor)
+                for known, grown in ((short[row], False), (longer[row], True)):
+                    for key, lo, hi in x.runs(known or [], grown):
+                        out.append((key, doc, lo, b" ".join(words[lo : hi + window])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["key", "doc_id", "start", "words"])
 
     return work
 
 
-def window_names(blob: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of segments: (segment, offset in it, name); equal windows have equal 64-bit names."""
-    parts = [b.split(b" ") for b in blob]
-    sizes = np.array([len(p) for p in parts], "int64")
-    names = rolling(word_hashes([w for p in parts for w in p]), window)
-    count = np.maximum(sizes - window + 1, 0)
-    segment = np.repeat(np.arange(len(parts)), count)
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return segment, offset, names[begin[segment] + offset]
+def _whole_windows(window: int, anchor: int):
+    """Rows (doc_id, text, keys) become (name, check, doc_id, places): each different window at these longer prefixes once
+    a document, with all its places."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for row, keys in enumerate(batch.column(2).to_pylist()):
+                if not keys:
+                    continue
+                words = words_of(batch.column(1)[row].as_py())
+                runs = list(Anchors(words, window, anchor).runs(keys, True))
+                place = np.unique(np.concatenate([np.arange(lo, hi + 1) for _, lo, hi in runs] + [np.zeros(0, "int64")]))
+                name, check = (rolling(h, window).view("int64")[place] for h in (word_hashes(words), word_hashes(words, SECOND)))
+                order = np.lexsort((place, check, name))
+                name, check, place = name[order], check[order], place[order]
+                new = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (check[1:] != check[:-1]))[: len(name)])
+                ends = pa.array(np.append(new, len(name)).astype("int32"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name[new]), pa.array(check[new]), pa.array(np.full(len(new), batch.column(0)[row].as_py(), "int64")),
+                     pa.ListArray.from_arrays(ends, pa.array(place))],
+                    ["name", "check", "doc_id", "places"],
+                )
 
+    return work
 
-def deep_nodes(anchor: np.ndarray, doc: np.ndarray, segment: np.ndarray, name: np.ndarray) -> np.ndarray:
-    """For each suffix of the groups, whether a smaller document is under its node at window depth.
 
-    Suffixes are sorted by group (the prefix) and by the name of their first `window` words: leaves under one node are
-    neighbours, and the node's owner is the least document among them.
-    """
-    prefix, owner = anchor[segment], doc[segment]
-    order = np.lexsort((owner, name, prefix))
-    p, n, o = prefix[order], name[order], owner[order]
-    new = np.append(True, (p[1:] != p[:-1]) | (n[1:] != n[:-1]))[: len(p)]
-    least = o[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))] if len(p) else o
-    marked = np.zeros(len(p), bool)
-    marked[order] = least < o
-    return marked
+class SuffixForest:
+    """Suffixes of texts (lists of words), ranked by depth doubling: level k names the first 2**k words of each suffix, or
+    all its words where the text ends before. Equal numbers are equal words: nothing is hashed."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        self.size = np.array([len(t) for t in texts], "int64")
+        self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype("int64")
+        cells = np.empty(int(self.size.sum()), object)
+        cells[:] = [w for t in texts for w in t]
+        self.left = np.repeat(self.begin + self.size, self.size) - np.arange(len(cells))  # words up to the text's end
+        self.levels = [pd.factorize(cells)[0].astype("int64") + 1]
+        while 1 << len(self.levels) < 2 * self.size.max(initial=0):
+            step, rank = 1 << (len(self.levels) - 1), self.levels[-1]
+            after = np.zeros(len(rank), "int64")
+            more = np.flatnonzero(self.left > step)
+            after[more] = rank[more + step]
+            self.levels.append(np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1] + 1)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words that the suffixes at a and b have in common at their start."""
+        out, a, b = np.zeros(len(a), "int64"), a.copy(), b.copy()
+        left = np.minimum(self.left[a], self.left[b])
+        for k in range(len(self.levels) - 1, -1, -1):
+            on = np.flatnonzero(out + (1 << k) <= left)
+            on = on[self.levels[k][a[on] + out[on]] == self.levels[k][b[on] + out[on]]]
+            out[on] += 1 << k
+        return out
+
+
+def deep_nodes(forest: SuffixForest, group: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a group (a number for each suffix in starts) in the order of their words, and for each of them the
+    deep node that it is a leaf of: neighbours with `window` or more words in common have the same."""
+    order = np.lexsort((forest.levels[-1][starts], group))
+    g, s = group[order], starts[order]
+    apart = np.ones(len(order), bool)
+    apart[1:] = (g[1:] != g[:-1]) | (forest.common(s[:-1], s[1:]) < window)
+    return order, np.cumsum(apart) - 1
+
+
+def marked_windows(key: np.ndarray, doc: np.ndarray, texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, offset in it) of the windows whose words also start a window of a smaller document in a text of the same key."""
+    forest = SuffixForest(texts)
+    count = np.maximum(forest.size - window + 1, 0)
+    text = np.repeat(np.arange(len(texts)), count)
+    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    order, node = deep_nodes(forest, key[text], forest.begin[text] + offset, window)
+    owner = np.full(node[-1] + 1 if len(node) else 0, np.iinfo("int64").max)
+    np.minimum.at(owner, node, doc[text[order]])
+    hit = order[owner[node] < doc[text[order]]]
+    return text[hit], offset[hit]
 
 
 def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,14 +210,13 @@ def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc[cuts], place[cuts], place[last]
 
 
-def _trees(window: int, rows_at_once: int = 8192):
-    """Rows (anchor, doc_id, start, windows, words) sorted by anchor become marked runs; whole groups at a time."""
+def _trees(window: int, rows_at_once: int = 4096):
+    """Rows (key, doc_id, start, words) sorted by key become marked runs; whole groups at a time."""
 
     def solve(frame: pd.DataFrame) -> pa.RecordBatch:
         doc, start = frame["doc_id"].to_numpy("int64"), frame["start"].to_numpy("int64")
-        segment, offset, name = window_names(frame["words"].tolist(), window)
-        marked = deep_nodes(frame["anchor"].to_numpy("int64"), doc, segment, name)
-        runs = _runs(doc[segment[marked]], (start[segment] + offset)[marked])
+        text, offset = marked_windows(frame["key"].to_numpy("int64"), doc, [w.split(b" ") for w in frame["words"]], window)
+        runs = _runs(doc[text], start[text] + offset)
         return pa.RecordBatch.from_arrays([pa.array(r) for r in runs], ["doc_id", "first", "last"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +229,7 @@ def _trees(window: int, rows_at_once: int = 8192):
                 rows += len(part)
                 if rows >= rows_at_once:
                     frame = pd.concat(held, ignore_index=True)
-                    open_group = frame["anchor"] == frame["anchor"].iloc[-1]  # may go on in the next batch
+                    open_group = frame["key"] == frame["key"].iloc[-1]  # may go on in the next batch
                     if not open_group.all():
                         yield solve(frame[~open_group])
                     held = [frame[open_group]]
@@ -165,40 +240,30 @@ def _trees(window: int, rows_at_once: int = 8192):
     return work
 
 
-def _hot_windows(window: int, anchor: int):
-    """Suffixes at hot anchors become one row for each window: its name as the whole prefix."""
-    suffixes = _segments(window, anchor, 3)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(suffixes(batches), 4096):
-            frame = batch.to_pandas()
-            segment, offset, name = window_names(frame["words"].tolist(), window)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(frame["anchor"].to_numpy("int64")[segment]), pa.array(name.view("int64")),
-                 pa.array(frame["doc_id"].to_numpy("int64")[segment]),
-                 pa.array((frame["start"].to_numpy("int64")[segment] + offset))],
-                ["anchor", "name", "doc_id", "place"],
-            )
-
-    return work
-
-
-def shared_anchors(found: DataFrame, group: int = GROUP) -> DataFrame:
-    """(anchor, hot) of rows (doc_id, anchor, suffixes): anchors of two documents or more; hot with more than `group`
-    suffixes in all documents."""
+def shared_keys(places: DataFrame, group: int = GROUP) -> DataFrame:
+    """(key, hot) of rows (doc_id, key, places): keys of two documents or more; hot with more than `group` places in all."""
     return (
-        found.groupBy("anchor")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("suffixes").alias("n"))
+        places.groupBy("key")
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("places").alias("n"))
         .filter("lo < hi")
-        .select("anchor", (F.col("n") > group).alias("hot"))
+        .select("key", (F.col("n") > group).alias("hot"))
     )
 
 
-def found_anchors(slim: DataFrame, window: int = 50, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, anchor, suffixes): how many suffixes of a document start at an anchor."""
-    found = cut(slim.mapInArrow(_anchor_rows(window, anchor), "doc_id long, anchors array<long>, suffixes array<long>"))
-    pairs = F.explode(F.arrays_zip("anchors", "suffixes")).alias("x")
-    return found.select("doc_id", pairs).select("doc_id", F.col("x.anchors").alias("anchor"), "x.suffixes")
+def keys_of_documents(slim: DataFrame, window: int = 50, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
+    """(doc_id, key, level): the prefixes by which a document's windows are dealt; level 0 anchors, 1 longer prefixes,
+    2 longer prefixes whose windows are dealt whole."""
+    kind = "doc_id long, anchor array<long>, near array<long>, far array<long>, places array<long>"
+    found = cut(slim.mapInArrow(_anchor_rows(window, anchor), kind))
+    rows = found.select("doc_id", F.explode(F.arrays_zip("anchor", "near", "far", "places")).alias("x"))
+    rows = rows.select("doc_id", F.col("x.anchor").alias("key"), "x.near", "x.far", "x.places")
+    # written tables on both sides of the joins: adaptive execution can split a hot key
+    dealt = cut(rows.join(cut(shared_keys(rows, group)), "key"))
+    longer = dealt.filter("hot").select("doc_id", F.explode(F.array("near", "far")).alias("key"), "places").filter("key <> 0")
+    grown = longer.join(cut(shared_keys(longer, group)), "key")
+    return dealt.filter("not hot").select("doc_id", "key", F.lit(0).alias("level")).unionByName(
+        grown.select("doc_id", "key", F.when(F.col("hot"), 2).otherwise(1).alias("level"))
+    )
 
 
 def repeated_windows(
@@ -209,27 +274,32 @@ def repeated_windows(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, first, last): runs of window starts (in words) whose windows also start in a document of smaller id.
+    """(doc_id, runs array<struct<first, last>>): runs of window starts (in words) whose windows also start in a document
+    of smaller id; a document may have several rows.
 
     Runs of a document may touch or overlap. Null texts have no words, a null id takes no part.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = found_anchors(slim, window, anchor)
-    by_doc = found.join(shared_anchors(found, group), "anchor").groupBy("doc_id").agg(
-        F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"),
-        F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"),
-    )
+    keys = keys_of_documents(slim, window, anchor, group)
+    by_doc = keys.groupBy("doc_id").agg(*[F.collect_set(F.when(F.col("level") == i, F.col("key"))).alias(f"keys{i}") for i in range(3)])
     # left, so that this exchange of the texts is the one that the last join uses, too
-    known = slim.join(by_doc, "doc_id", "left").select("doc_id", "text", "cold", "hot")
-    few = known.mapInArrow(_segments(window, anchor, 2), "anchor long, doc_id long, start long, words binary")
-    trees = few.repartition("anchor").sortWithinPartitions("anchor")
+    known = slim.join(by_doc, "doc_id", "left")
+    texts = known.select("doc_id", "text", "keys0", "keys1").mapInArrow(
+        _texts_at(window, anchor), "key long, doc_id long, start long, words binary"
+    )
+    trees = texts.repartition("key").sortWithinPartitions("key")
     cold = trees.mapInArrow(_trees(window), "doc_id long, first long, last long")
-    wide = known.mapInArrow(_hot_windows(window, anchor), "anchor long, name long, doc_id long, place long")
-    owners = wide.groupBy("anchor", "name").agg(F.min("doc_id").alias("owner"))
-    hot = wide.join(owners, ["anchor", "name"]).filter("owner < doc_id").select(
-        "doc_id", F.col("place").alias("first"), F.col("place").alias("last")
+    wide = known.select("doc_id", "text", "keys2").mapInArrow(
+        _whole_windows(window, anchor), "name long, check long, doc_id long, places array<long>"
+    )
+    wide = cut(wide)
+    owners = wide.groupBy("name", "check").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    owners = cut(owners.filter("owner < last").drop("last"))
+    hot = wide.join(owners, ["name", "check"]).filter("owner < doc_id")
+    run = lambda first, last: F.struct(first.alias("first"), last.alias("last"))
+    return cold.select("doc_id", F.array(run(F.col("first"), F.col("last"))).alias("runs")).unionByName(
+        hot.select("doc_id", F.transform("places", lambda p: run(p, p)).alias("runs"))
     )
-    return cold.unionByName(hot)
 
 
 def removed_words(n_words: int, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
@@ -277,7 +347,7 @@ def remove_repeats(
     same places.
     """
     runs = repeated_windows(docs, window, anchor, group, id_col, text_col)
-    marks = runs.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    marks = runs.groupBy("doc_id").agg(F.flatten(F.collect_set("runs")).alias("runs"))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.join(marks, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(
         _apply(window), "doc_id long, n_words long, n_removed long, kept_text string"

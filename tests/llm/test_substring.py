@@ -1,6 +1,7 @@
 import random
 
 import __spark_entry__ as entry
+import numpy as np
 from groundphrase.llm import substring as s
 from oracle import same
 
@@ -64,8 +65,50 @@ def test_few_documents_that_repeat_a_line_are_hot(spark):
     line = " ".join(f"l{i}" for i in range(7)) + "\n"
     t = {i: f"start {i}\n" + line * 2000 for i in range(3)} | {3: "one " * 5000, 4: "one " * 5000, 5: line * 3}
     docs = spark.createDataFrame(list(t.items()), "doc_id long, text string")
-    shared = {r.anchor: r.hot for r in s.shared_anchors(s.found_anchors(docs, 12, 4)).collect()}
-    held = s.found_anchors(docs, 12, 4).groupBy("anchor").sum("suffixes").collect()
-    assert sum(shared.values()) >= 2 and all(n <= s.GROUP for a, n in held if a in shared and not shared[a])
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in s.remove_repeats(docs, 12, 4).collect()}
+    assert {r.level for r in s.keys_of_documents(docs, 12, 4, 500).collect()} >= {2}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in s.remove_repeats(docs, 12, 4, 500).collect()}
     assert got == brute(t, 12)
+
+
+def test_prefixes_grow_until_a_group_fits(spark):
+    """Each place is in one group of its level, and no group of a tree has more than `group` places."""
+    docs = spark.createDataFrame(list(texts().items()), "doc_id long, text string")
+    window, anchor, group = 20, 8, 12
+    levels = {}
+    for r in s.keys_of_documents(docs, window, anchor, group).collect():
+        levels.setdefault(r.level, set()).add(r.key)
+    assert set(levels) == {0, 1, 2}
+    held = {}
+    for text in texts().values():
+        x = s.Anchors(s.words_of(text), window, anchor)
+        for level, longer in ((0, False), (1, True)):
+            for key, lo, hi in x.runs(list(levels[level]), longer):
+                assert lo <= hi
+                held[key] = held.get(key, 0) + 1
+    assert held and max(held.values()) <= group
+
+
+def test_many_documents_that_repeat_a_line(spark):
+    """A line that stands 2,000 times in each of 60 documents: places are counted, so no group holds them."""
+    line = " ".join(f"r{i}" for i in range(9)) + "\n"
+    t = {i: f"head {i}\n" + line * 2000 + f"tail {i}" for i in range(60)}
+    docs = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in s.remove_repeats(docs).collect()}
+    assert got == {i: (18_004, 18_001 if i else 0) for i in t}  # "tail" ends a repeated window
+
+
+def test_suffixes_are_sorted_and_common_prefixes_exact():
+    random.seed(2)
+    texts = [[random.choice([b"a", b"b"]) for _ in range(random.randint(0, 40))] for _ in range(12)]
+    f = s.SuffixForest(texts)
+    at = [(t, i) for t, x in enumerate(texts) for i in range(len(x))]
+    order, node = s.deep_nodes(f, np.zeros(len(at), "int64"), np.array([f.begin[t] + i for t, i in at]), 5)
+    suffix = lambda k: texts[at[k][0]][at[k][1] :]
+    number = {w: f.levels[0][f.begin[t] + i] for t, x in enumerate(texts) for i, w in enumerate(x)}
+    ranks = [[number[w] for w in suffix(k)] for k in order]
+    assert ranks == sorted(ranks)
+    for i in range(1, len(order)):
+        a, b = suffix(order[i - 1]), suffix(order[i])
+        n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        starts = [np.array([f.begin[at[order[j]][0]] + at[order[j]][1]]) for j in (i - 1, i)]
+        assert f.common(*starts)[0] == n and (node[i] == node[i - 1]) == (n >= 5)
