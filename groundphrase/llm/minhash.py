@@ -223,7 +223,8 @@ def near_classes(
     # an id with several texts ties their classes together
     several = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last")
     same_id = member.join(several.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b")
-    links = components(verified_ties(sets, share).unionByName(same_id)).select(
+    # written first: a second Python step in the same stage would hold a second worker for each core
+    links = components(cut(verified_ties(sets, share)).unionByName(same_id)).select(
         F.col("node").alias("rep"), F.col("component").alias("root")
     )
     found = (
