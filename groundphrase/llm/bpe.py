@@ -238,12 +238,12 @@ class Utf8Stream:
 class _Pieces(dict):
     """Piece to the bytes of its int32 ids; the newer of two generations, so that common pieces outlive a bound."""
 
-    def __init__(self, machine: Transducer):
+    def __init__(self, machine: Transducer, bound: int = MAX_PIECES):
         super().__init__()
-        self.machine, self.older = machine, {}
+        self.machine, self.bound, self.older = machine, bound, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
+        if len(self) >= self.bound:
             self.older = dict(self)
             self.clear()
         found = self.older.get(piece)
@@ -256,10 +256,10 @@ class _Pieces(dict):
 class Codec:
     """What one Python worker needs to encode and decode."""
 
-    def __init__(self, raw: bytes, pattern: str):
+    def __init__(self, raw: bytes, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
         ranks = parse_ranks(raw)
         self.pattern = regex.compile(pattern)
-        self.pieces = _Pieces(Transducer(ranks))
+        self.pieces = _Pieces(Transducer(ranks, max_states), max_pieces)
         tokens = self.pieces.machine.tokens
         size = max(tokens, default=-1) + 1
         self.sizes = np.array([len(tokens.get(i, b"")) for i in range(size)], "int64")
@@ -283,14 +283,15 @@ class Codec:
         return "".join([*parts, stream.close()])
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
-def _codec(raw: bytes, pattern: str) -> Codec:
-    """One codec for each vocabulary and Python worker, kept between tasks."""
-    key = hash(raw), pattern
+def _codec(raw: bytes, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> Codec:
+    """The codec of this Python worker, kept between tasks; one of another vocabulary or other bounds takes its place."""
+    key = hash(raw), pattern, max_states, max_pieces
     if key not in _codecs:
-        _codecs[key] = Codec(raw, pattern)
+        _codecs.clear()
+        _codecs[key] = Codec(raw, pattern, max_states, max_pieces)
     return _codecs[key]
 
 
@@ -306,8 +307,11 @@ def encode(
     text_col: str = "text",
     ids_col: str = "ids",
     decoded_col: str | None = None,
+    max_states: int = MAX_STATES,
+    max_pieces: int = MAX_PIECES,
 ) -> DataFrame:
-    """docs with ids array<int>: the text's tokens; null and empty texts get an empty array.
+    """docs with ids array<int>: the text's tokens; null and empty texts get an empty array. max_states and max_pieces bound
+    what a Python worker keeps in memory; results are the same under any bounds.
 
     With decoded_col the ids are decoded again on the spot, as a round trip. A narrow map over Arrow batches: no
     shuffle, one pass, other columns pass through. The rank file is broadcast (its size is the vocabulary's). A result
@@ -322,7 +326,7 @@ def encode(
     text_at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(raw.value, pattern)
+        codec = _codec(raw.value, pattern, max_states, max_pieces)
         for part in slices(batches):
             ids = [codec.encode(t or "") for t in part.column(text_at).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype="int32")

@@ -92,8 +92,10 @@ def _anchor_rows(window: int, anchor: int):
             found = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = Anchors(words_of(text) if doc is not None else [], window, anchor)
-                rows, n = np.unique(np.stack([x.key, x.near, x.far]), axis=1, return_counts=True)
-                found.append((*rows, n.astype("int64")))
+                order = np.lexsort((x.far, x.near, x.key))
+                rows = np.stack([x.key, x.near, x.far])[:, order]
+                new = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))[: len(order)])
+                found.append((*rows[:, new], np.diff(np.append(new, len(order)))))
             ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)], dtype="int32"))
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c))) for c in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "anchor", "near", "far", "places"])
