@@ -56,7 +56,8 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Sorted by place, rows are in the order in which docs was written, which is that of the mixture.
     """
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(placed(docs), ranks, public_tokenizers.PATTERN, decoded_col="decoded")
+    # workers that other stages have used keep less here: about 100 MB each, for more time
+    ids = bpe.encode(placed(docs), ranks, public_tokenizers.PATTERN, decoded_col="decoded", max_states=40_000, max_pieces=60_000)
     return ids.select("doc_id", "lang", "source", "place", "ids", "decoded")
 
 
