@@ -105,31 +105,29 @@ def angle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.degrees(F.atan2(ay - by, bx - ax))
 
 
-def directions(a: Column, sectors: str = "reference") -> tuple[Column, Column]:
-    """(is_borderline, possible directions) of an angle.
+def directions(a: Column, sectors: str = "reference") -> tuple[Column, Column, Column]:
+    """(is_borderline, direction, second possible direction or null) of an angle, a column of degrees in [-180, 180].
 
     sectors="reference": nothing covers (157.5, 180], which falls to the bottom right. "eight": it is to the right.
     Within OVERLAP of an edge the direction that shares the edge is possible, too; the outer edges have no neighbour.
+    The sector is a number, its neighbours are the numbers beside it; on an edge the one tried first counts.
     """
     if sectors not in ("reference", "eight"):
         raise ValueError(sectors)
-    border, lists = F.lit(False), []
-    for name, low, high in SECTORS:
-        here = a.between(low, high)
-        near_low, near_high = F.abs(a - low) < OVERLAP, F.abs(a - high) < OVERLAP
-        border = border | here & (near_low | near_high)
-        own = [F.lit(name)]
-        for near, edge, end in ((near_low, low, 2), (near_high, high, 1)):
-            own += [F.when(near, s[0]) for s in SECTORS if s[end] == edge]
-        lists.append(F.when(here, F.array_compact(F.array(*own))).otherwise(F.array().cast("array<string>")))
-    possible = F.array_distinct(F.flatten(F.array(*lists)))
-    if sectors == "eight":
-        right = a > 157.5
-        near = F.abs(a - 157.5) < OVERLAP
-        wide = F.when(near, F.array(F.lit("to the right of"), F.lit("to the bottom right of"))).otherwise(F.array(F.lit("to the right of")))
-        return F.when(right, near).otherwise(border), F.when(right, wide).otherwise(possible)
-    missing = F.array(F.lit("to the bottom right of"))
-    return border, F.when(F.size(possible) == 0, missing).otherwise(possible)
+    around = {round((low + high) / 90): name for name, low, high in SECTORS if low != -180}  # by multiples of 45 degrees
+    last = "to the right of" if sectors == "eight" else "to the bottom right of"
+    names = F.array(F.lit("to the right of"), *[F.lit(around[k]) for k in range(-3, 4)], F.lit(last))
+    k = F.when(a == -22.5, 0).otherwise((F.ceil((a + 22.5) / 45) - 1).cast("int"))
+    low, high = F.when(k == -4, -180.0).otherwise(k * 45 - 22.5), k * 45 + 22.5
+    near_low, near_high = a - low < OVERLAP, high - a < OVERLAP
+    name = lambda n: F.get(names, n + 4)
+    outer = F.lit(sectors == "eight")
+    second = (
+        F.when(k == 4, F.when(outer & near_low, F.lit("to the bottom right of")))
+        .when(near_low & (k > -4), name(k - 1))
+        .when(near_high & (k < 3), name(k + 1))
+    )
+    return F.when(k == 4, outer & near_low).otherwise(near_low | near_high), name(k), second
 
 
 def group_direction(a: Column) -> Column:

@@ -54,6 +54,38 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def components_within(edges: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node on an edge, where no edge leaves its group (key) and no node is in two groups.
+
+    One shuffle by the key; a task solves whole groups, some at a time, so a group's edges must fit into memory.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        rows = 0
+
+        def out(e: np.ndarray) -> pa.RecordBatch:
+            node, least = stars(e[1], e[2])
+            centre = np.unique(least)
+            pair = np.concatenate([node, centre]), np.concatenate([least, centre])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pair], ["node", "component"])
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            rows += batch.num_rows
+            if rows >= CHUNK // 4:
+                e = np.concatenate(held, axis=1)
+                whole = int(np.searchsorted(e[0], e[0, -1]))  # the last group may go on in the next batch
+                if whole:
+                    yield out(e[:, :whole])
+                held, rows = [e[:, whole:]], e.shape[1] - whole
+        if rows:
+            yield out(np.concatenate(held, axis=1))
+
+    ends = edges.select(F.xxhash64(key).alias("k"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
+    return ends.repartition("k").sortWithinPartitions("k").mapInArrow(work, "node long, component long")
+
+
 def _minima(edges: DataFrame) -> tuple[DataFrame, int, int]:
     """(node, m, several, between) of the nodes whose edges are not those of a star, m their least neighbour, and how many
     have several smaller neighbours, and both smaller and larger ones."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundphrase.functions import phrases as p
+from groundphrase.operators import relations as r
 
 
 def _cell(text: Column, dummy: Column) -> Column:
@@ -50,12 +51,60 @@ def object_phrases(attributed: DataFrame, relations: DataFrame, use_size: bool =
     return o.select("patch_id", "object_id", F.posexplode(every).alias("pos", "x")).select("patch_id", "object_id", "pos", "x.text", "x.dummy")
 
 
-def unique_phrases(phrases: DataFrame, target: str = "object_id", size: str | None = None) -> DataFrame:
-    """Phrases whose standardised text occurs once in a patch; dummies count, but do not stay."""
-    norm = p.standardize_phrase(F.col("text"))
-    n = F.count("*").over(Window.partitionBy("patch_id", "norm"))
-    kept = phrases.withColumn("norm", norm).withColumn("n", n).filter("n = 1 and not dummy")
-    return kept.select("patch_id", target, "pos", F.col("norm").alias("text"))
+def unique_phrases(phrases: DataFrame, target: str = "object_id") -> DataFrame:
+    """(patch_id, target, pos, text): phrases whose standardised text occurs once in a patch; dummies count, but do not stay."""
+    said = phrases.select("patch_id", p.standardize_phrase(F.col("text")).alias("text"), target, "pos", "dummy")
+    found = said.groupBy("patch_id", "text").agg(F.count("*").alias("n"), F.min(target).alias(target), F.min("pos").alias("pos"), F.max("dummy").alias("dummy"))
+    return found.filter("n = 1 and not dummy").select("patch_id", target, "pos", "text")
+
+
+def unique_object_phrases(attributed: DataFrame, base: float = 150.0, sectors: str = "reference", use_size: bool = False) -> DataFrame:
+    """(patch_id, object_id, text): unique_phrases() of object_phrases() and relate(), by one shuffle of the objects.
+
+    attributed has the columns that object_phrases() takes, the box and its geometry; best hash-partitioned by patch_id,
+    which then serves the join of a patch's objects and the count of its phrases. Names are standardised on the objects, before phrases
+    are made of them. A pair of an object with itself stands for its own phrases. What is said several times by rule
+    (clear colours, borderline directions) is made once, with its number.
+    """
+    c, low = F.col, lambda *parts: F.lower(F.concat_ws(" ", *parts))
+    name = p.standardize_phrase(c("category"))
+    e, s = c("extreme_position"), c("size_attribute") if use_size else F.lit(None).cast("string")
+    colours = p.suppress_colours(c("category"), F.coalesce("colours", F.array().cast("array<string>")))
+    clear = ~c("is_ambiguous") & (F.size(colours) > 0)
+
+    def heads(colour: list[Column], n: Column, dummy: Column) -> Column:
+        head = lambda on, bare, *more: F.when(on, F.struct(
+            low(F.lit("the"), *colour, *more, name).alias("head"), F.lit(bare).alias("bare"), n.alias("n"), dummy.alias("dummy")))
+        has_e, has_s = e.isNotNull(), s.isNotNull()
+        sized = [head(has_s, False, s), head(has_s & has_e, False, s, e)] if use_size else []
+        return F.array(head(F.lit(True), True), head(has_e, True, e), *sized)
+
+    plain = heads([], F.when(clear, 2).otherwise(1), c("is_cutoff"))
+    coloured = F.flatten(F.transform(colours, lambda k: heads([k], F.lit(1), c("is_cutoff") | c("is_ambiguous"))))
+    box = ("xmin", "ymin", "xmax", "ymax", "cx", "cy", "width", "height")
+    a = attributed.withColumn("heads", F.array_compact(F.concat(plain, coloured))).select(
+        "patch_id", *[c(x).alias(f"a_{x}") for x in ("object_id", *box, "grid_position", "heads")]
+    )
+    b = attributed.select("patch_id", *[c(x).alias(f"b_{x}") for x in ("object_id", *box, "is_cutoff")], name.alias("b_name"))
+    own = c("a_object_id") == c("b_object_id")
+    pairs = r.with_directions(a.join(b, "patch_id").filter(own | r.near_enough(base)), sectors)
+    told = lambda d: F.concat(F.lit(" "), "a_grid_position", F.lit(" that is "), d, F.lit(" a "), "b_name")
+    tails = (
+        F.when(own, F.array(F.lit(""), F.concat(F.lit(" "), "a_grid_position")))
+        .when(c("second").isNull(), F.array(told(c("direction"))))
+        .otherwise(F.array(told(c("direction")), told(c("second"))))
+    )
+    rows = pairs.select(
+        "patch_id", c("a_object_id").alias("object_id"), tails.alias("tails"), "a_heads",
+        F.when(own | c("second").isNull(), 1).otherwise(2).alias("times"), (~own & c("b_is_cutoff")).alias("far_dummy"),
+    )
+    rows = rows.select("*", F.explode_outer("tails").alias("tail")).drop("tails")
+    rows = rows.select("*", F.explode_outer("a_heads").alias("h")).filter("h.bare or tail <> ''")
+    said = rows.select(
+        "patch_id", "object_id", F.concat("h.head", "tail").alias("text"), (c("h.n") * c("times")).alias("n"), (c("h.dummy") | c("far_dummy")).alias("dummy")
+    )
+    found = said.groupBy("patch_id", "text").agg(F.sum("n").alias("n"), F.min("object_id").alias("object_id"), F.max("dummy").alias("dummy"))
+    return found.filter("n = 1 and not dummy").select("patch_id", "object_id", "text")
 
 
 def group_phrases(groups: DataFrame, relations: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundphrase.functions import geometry as g
-from groundphrase.operators.graph import components
+from groundphrase.operators.graph import components_within
 
 
 def _side(df: DataFrame, prefix: str, key: list[str]) -> DataFrame:
@@ -19,29 +19,42 @@ def self_pairs(df: DataFrame, key: list[str], on: Column) -> DataFrame:
     return _side(df, "a_", key).join(_side(df, "b_", key), key).filter(on)
 
 
+def near_enough(base: float) -> Column:
+    """Whether two objects (a_, b_ with geometry) are near enough for their size, and neither is in the other."""
+    c = F.col
+    reach = base + (c("a_width") + c("a_height")) / 4 + (c("b_width") + c("b_height")) / 4
+    return (c("a_object_id") != c("b_object_id")) & (_distance() <= reach) & ~g.contained("a_", "b_")
+
+
+def _distance() -> Column:
+    dx, dy = F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy")
+    return F.sqrt(dx * dx + dy * dy)
+
+
+_BOX = ("xmin", "ymin", "xmax", "ymax", "cx", "cy", "width", "height")
+
+
+def with_directions(pairs: DataFrame, sectors: str = "reference") -> DataFrame:
+    """pairs (a_*, b_*) with is_borderline, direction, second. The angle is a column of its own: it is computed once."""
+    told = pairs.withColumn("_angle", g.angle(F.col("a_cx"), F.col("a_cy"), F.col("b_cx"), F.col("b_cy")))
+    border, first, second = g.directions(F.col("_angle"), sectors)
+    return told.withColumns({"is_borderline": border, "direction": first, "second": second}).drop("_angle")
+
+
 def relate(objects: DataFrame, base: float = 150.0, sectors: str = "reference") -> DataFrame:
     """(patch_id, object_id, target_id, category, target_category, direction, distance, target_cutoff, is_borderline,
     possible_directions): one row per ordered pair of a patch that is near enough and not contained, and per possible
     direction if the angle is near a sector's edge."""
-    o = g.with_geometry(objects).select(
-        "patch_id", "object_id", "category", "xmin", "ymin", "xmax", "ymax", "cx", "cy", "width", "height", "is_cutoff"
-    )
+    o = g.with_geometry(objects).select("patch_id", "object_id", "category", *_BOX, "is_cutoff")
     c = F.col
-    dx, dy = c("b_cx") - c("a_cx"), c("b_cy") - c("a_cy")
-    distance = F.sqrt(dx * dx + dy * dy)
-    reach = base + (c("a_width") + c("a_height")) / 4 + (c("b_width") + c("b_height")) / 4
-    near = (c("a_object_id") != c("b_object_id")) & (distance <= reach) & ~g.contained("a_", "b_")
-    border, possible = g.directions(c("angle"), sectors)
-    pairs = self_pairs(o, ["patch_id"], near).select(
+    pairs = with_directions(self_pairs(o, ["patch_id"], near_enough(base)), sectors)
+    # never empty: "outer" keeps the optimiser from testing that on every pair of the join
+    possible = F.array_compact(F.array("direction", "second"))
+    return pairs.withColumns({"distance": _distance(), "possible_directions": possible}).select(
         "patch_id", c("a_object_id").alias("object_id"), c("b_object_id").alias("target_id"),
-        c("a_category").alias("category"), c("b_category").alias("target_category"), distance.alias("distance"),
-        c("b_is_cutoff").alias("target_cutoff"), g.angle(c("a_cx"), c("a_cy"), c("b_cx"), c("b_cy")).alias("angle"),
-    )
-    pairs = pairs.withColumns({"is_borderline": border, "p": possible})  # the angle is a column: it is computed once
-    shown = F.when(c("is_borderline"), c("p")).otherwise(F.slice("p", 1, 1))
-    return pairs.withColumn("possible_directions", shown).select(
-        "patch_id", "object_id", "target_id", "category", "target_category",
-        F.explode("possible_directions").alias("direction"), "distance", "target_cutoff", "is_borderline", "possible_directions",
+        c("a_category").alias("category"), c("b_category").alias("target_category"),
+        F.explode_outer("possible_directions").alias("direction"), "distance", c("b_is_cutoff").alias("target_cutoff"),
+        "is_borderline", "possible_directions",
     )
 
 
@@ -71,19 +84,19 @@ def clusters(objects: DataFrame, eps: float = 40.0, min_samples: int = 2, max_sa
 
     A point is core if it has min_samples points, itself included, within eps. Core points that are near each other
     share a cluster; a border point joins that of its least core neighbour. Clusters of more than max_samples dissolve.
-    object_id must be unique over all patches.
+    object_id must be unique over all patches. Clusters lie inside patches, so each task solves whole patches.
     """
     pairs = near_pairs(objects, eps)
     both = pairs.select("patch_id", "category", "a", "b").unionByName(
         pairs.select("patch_id", "category", F.col("b").alias("a"), F.col("a").alias("b"))
     )
+    of = lambda links: components_within(links, "patch_id").withColumnRenamed("node", "object_id")
     if min_samples <= 2:  # whoever has a neighbour is core
-        found = components(pairs.select("a", "b")).withColumnRenamed("node", "object_id")
+        found = of(pairs)
     else:
         core = both.groupBy("a").count().filter(F.col("count") >= min_samples - 1).select(F.col("a").alias("object_id"))
         inner = pairs.join(core.withColumnRenamed("object_id", "a"), "a").join(core.withColumnRenamed("object_id", "b"), "b")
-        linked = components(inner.select("a", "b")).withColumnRenamed("node", "object_id")
-        cores = core.join(linked, "object_id", "left").select("object_id", F.coalesce("component", "object_id").alias("component"))
+        cores = core.join(of(inner), "object_id", "left").select("object_id", F.coalesce("component", "object_id").alias("component"))
         border = both.join(cores.withColumnRenamed("object_id", "b"), "b").join(core.withColumnRenamed("object_id", "a"), "a", "left_anti")
         found = cores.unionByName(border.groupBy(F.col("a").alias("object_id")).agg(F.min_by("component", "b").alias("component")))
     members = objects.select("patch_id", "category", "object_id").join(found, "object_id")
@@ -110,10 +123,13 @@ def unassigned(objects: DataFrame, members: DataFrame) -> DataFrame:
     return objects.filter(~F.col("is_cutoff")).join(members.select("object_id"), "object_id", "left_anti")
 
 
-def singles_near_clusters(objects: DataFrame, relations: DataFrame, members: DataFrame) -> DataFrame:
-    """Unassigned objects with a relation to a member of a cluster."""
-    hits = relations.join(members.select(F.col("object_id").alias("target_id")), "target_id", "left_semi")
-    return unassigned(objects, members).join(hits.select("object_id"), "object_id", "left_semi")
+def singles_near_clusters(objects: DataFrame, members: DataFrame, base: float = 150.0) -> DataFrame:
+    """Unassigned objects that are near enough to a member of a cluster to be related to it."""
+    alone = unassigned(objects, members)
+    inside = objects.join(members.select("object_id"), "object_id", "left_semi")
+    a, b = (_side(g.with_geometry(x).select("patch_id", "object_id", *_BOX), p, ["patch_id"]) for x, p in ((alone, "a_"), (inside, "b_")))
+    hits = a.join(b, "patch_id").filter(near_enough(base)).select(F.col("a_object_id").alias("object_id"))
+    return alone.join(hits, "object_id", "left_semi")
 
 
 def class_groups(objects: DataFrame) -> DataFrame:
@@ -206,21 +222,26 @@ def relate_groups(geometry: DataFrame, base: float = 150.0) -> DataFrame:
     )
 
 
-def extremes(objects: DataFrame, width: int, height: int, margin: float = 0.05) -> DataFrame:
-    """(patch_id, object_id, extreme_position): outermost by more than the margin; of several the last named counts."""
-    o = g.with_geometry(objects)
+def with_extremes(objects: DataFrame, width: int, height: int, margin: float = 0.05) -> DataFrame:
+    """objects (with geometry) with extreme_position: outermost by more than the margin; of several the last named counts."""
 
     def outer(order: Column, axis: str, size: int) -> Column:
         w = Window.partitionBy("patch_id", "category").orderBy(order)
         gap = F.abs(F.lead(axis).over(w) - F.col(axis))
         return (F.row_number().over(w) == 1) & (gap > margin * size)
 
-    marks = o.withColumns({
-        "t": outer(F.col("cy").asc(), "cy", height), "b": outer(F.col("cy").desc(), "cy", height),
-        "l": outer(F.col("cx").asc(), "cx", width), "r": outer(F.col("cx").desc(), "cx", width),
+    marks = objects.withColumns({
+        "_t": outer(F.col("cy").asc(), "cy", height), "_b": outer(F.col("cy").desc(), "cy", height),
+        "_l": outer(F.col("cx").asc(), "cx", width), "_r": outer(F.col("cx").desc(), "cx", width),
     })
-    named = F.when(F.col("r"), "rightmost").when(F.col("l"), "leftmost").when(F.col("b"), "bottommost").when(F.col("t"), "topmost")
-    return marks.select("patch_id", "object_id", named.alias("extreme_position")).filter("extreme_position is not null")
+    named = F.when(F.col("_r"), "rightmost").when(F.col("_l"), "leftmost").when(F.col("_b"), "bottommost").when(F.col("_t"), "topmost")
+    return marks.withColumn("extreme_position", named).drop("_t", "_b", "_l", "_r")
+
+
+def extremes(objects: DataFrame, width: int, height: int, margin: float = 0.05) -> DataFrame:
+    """(patch_id, object_id, extreme_position) of the outermost objects, see with_extremes()."""
+    marks = with_extremes(g.with_geometry(objects), width, height, margin)
+    return marks.select("patch_id", "object_id", "extreme_position").filter("extreme_position is not null")
 
 
 def size_attribute(objects: DataFrame, width: int, height: int, ratio: float = 1.5) -> DataFrame:
@@ -228,7 +249,7 @@ def size_attribute(objects: DataFrame, width: int, height: int, ratio: float = 1
     sought among objects whose box is inside the image."""
     o = g.with_geometry(objects)
     big = Window.partitionBy("patch_id", "category").orderBy(F.col("area").desc(), "object_id")
-    largest = o.filter(F.lit(True)).withColumn("next", F.lead("area").over(big)).withColumn("n", F.row_number().over(big))
+    largest = o.withColumn("next", F.lead("area").over(big)).withColumn("n", F.row_number().over(big))
     largest = largest.filter((F.col("n") == 1) & (F.col("area") > ratio * F.col("next"))).select("patch_id", "object_id", F.lit("largest").alias("size_attribute"))
     inside = o.filter((F.col("xmin") >= 0) & (F.col("ymin") >= 0) & (F.col("xmax") <= width) & (F.col("ymax") <= height))
     low = Window.partitionBy("patch_id", "category").orderBy("area", "object_id")

@@ -242,12 +242,12 @@ def dedup_directions(o: DataFrame) -> DataFrame:
 
 def every_group(o: DataFrame) -> DataFrame:
     members = r.clusters(o)
-    singles = r.singles_near_clusters(o, r.relate(o), members)
-    return cut(r.all_groups(r.cluster_groups(o, r.number_clusters(o, members), singles), r.class_groups(o), r.pair_groups(o)))
+    singles = r.singles_near_clusters(o, members)
+    return r.all_groups(r.cluster_groups(o, r.number_clusters(o, members), singles), r.class_groups(o), r.pair_groups(o))
 
 
 def described_groups(o: DataFrame) -> DataFrame:
-    groups = every_group(o)
+    groups = cut(every_group(o))  # it is used twice
     boxes = r.group_geometry(r.group_members(groups, o.drop("category")))
     named = boxes.join(groups.select("patch_id", "group_id", "category"), ["patch_id", "group_id"])
     return cut(named.withColumn("grid_position", g.grid_position(c("cx"), c("cy"), F.lit(SIZE), F.lit(SIZE))))
@@ -270,7 +270,7 @@ def unassigned_objects(o: DataFrame) -> DataFrame:
 
 @rules.add("singles_near_clusters", "objects", "SELECT object_id, category FROM singles")
 def singles_near_clusters(o: DataFrame) -> DataFrame:
-    return r.singles_near_clusters(o, r.relate(o), r.clusters(o)).select("object_id", "category")
+    return r.singles_near_clusters(o, r.clusters(o)).select("object_id", "category")
 
 
 @rules.add("class_groups", "objects", """SELECT m.patch_id, m.group_id, m.group_class AS category, string_agg(CAST(m.object_id AS VARCHAR), ',' ORDER BY o.pos) AS ids
@@ -319,14 +319,12 @@ def group_relations(o: DataFrame) -> DataFrame:
 # ---- phrases
 
 def attributed(o: DataFrame) -> DataFrame:
-    """Objects with all attributes; colours are made up from ids, since the tables have no pictures of them."""
+    """Objects with all attributes, dealt by patch; colours are made up from ids, since the tables have no pictures of them."""
     colours = F.expr("CASE object_id % 4 WHEN 0 THEN array('light') WHEN 1 THEN array('light', 'dark') WHEN 2 THEN array('green') ELSE array() END")
-    return (
-        g.with_geometry(o)
-        .withColumns({"grid_position": g.grid_position(c("cx"), c("cy"), F.lit(SIZE), F.lit(SIZE)), "colours": colours, "is_ambiguous": c("object_id") % 4 == 1})
-        .join(r.extremes(o, SIZE, SIZE), ["patch_id", "object_id"], "left")
-        .join(r.size_attribute(o, SIZE, SIZE), ["patch_id", "object_id"], "left")
-    )
+    extreme = r.with_extremes(g.with_geometry(o.repartition("patch_id")), SIZE, SIZE)
+    return extreme.withColumns({
+        "grid_position": g.grid_position(c("cx"), c("cy"), F.lit(SIZE), F.lit(SIZE)), "colours": colours, "is_ambiguous": c("object_id") % 4 == 1,
+    })
 
 
 def phrases_of(o: DataFrame) -> DataFrame:
@@ -345,7 +343,7 @@ def object_phrases(o: DataFrame) -> DataFrame:
 
 @rules.add("unique_phrases", "objects", "SELECT patch_id, object_id, text FROM unique_rows")
 def unique_phrases(o: DataFrame) -> DataFrame:
-    return ph.unique_phrases(phrases_of(o)).drop("pos")
+    return ph.unique_object_phrases(attributed(o))
 
 
 def texts_of_groups(o: DataFrame) -> DataFrame:
@@ -433,4 +431,4 @@ def drop_colour_phrases(e: DataFrame) -> DataFrame:
 @rules.add("flagship", "objects", f"""SELECT combo, count(*) AS n_unique FROM (SELECT {_COMBO} AS combo FROM (SELECT u.*, {_FLAGS} FROM unique_rows u) f) q GROUP BY combo""")
 def flagship(o: DataFrame) -> DataFrame:
     """Which phrase shapes identify exactly one object, and how many phrases do."""
-    return ph.unique_phrases(phrases_of(o)).groupBy(p.feature_combo(c("text")).alias("combo")).agg(F.count("*").alias("n_unique"))
+    return ph.unique_object_phrases(attributed(o)).groupBy(p.feature_combo(c("text")).alias("combo")).agg(F.count("*").alias("n_unique"))

@@ -55,11 +55,38 @@ def objects(spark, *rows):
     (22.5, "reference", True, ["to the left of", "to the bottom left of"]), (-175.0, "reference", True, ["to the right of"]),
 ])
 def test_directions(spark, angle, mode, border, said):
-    b, d = g.directions(F.lit(angle), mode)
-    row = spark.range(1).select(b.alias("b"), d.alias("d")).first()
+    b, first, second = g.directions(F.col("a"), mode)
+    row = spark.createDataFrame([(angle,)], "a double").select(b.alias("b"), F.array_compact(F.array(first, second)).alias("d")).first()
     assert (row.b, row.d) == (border, said)
 
 
+def test_sectors_by_their_definition(spark):
+    """Every half degree, and the edges, against the list of ranges."""
+    near = lambda a, edge: abs(a - edge) < g.OVERLAP
+
+    def brute(a):
+        here = [s for s in g.SECTORS if s[1] <= a <= s[2]]
+        said = [n for s in here for n in [s[0], *(o[0] for o in g.SECTORS if (near(a, s[1]) and o[2] == s[1]) or (near(a, s[2]) and o[1] == s[2]))]]
+        return any(near(a, s[1]) or near(a, s[2]) for s in here), list(dict.fromkeys(said)) or ["to the bottom right of"]
+
+    b, first, second = g.directions(F.col("a"))
+    df = spark.range(-360, 361).select((F.col("id") / 2).alias("a"))
+    for r in df.select("a", b.alias("b"), F.array_compact(F.array(first, second)).alias("d")).collect():
+        assert (r.b, r.d) == brute(r.a), r
+
+
+def test_unique_phrases_in_one_pass_are_those_of_the_steps(spark):
+    o = objects(spark, *[box(i, (i * i * 37) % 400, (i * 91) % 400, ("ship", "plane", "Large_Vehicle")[i % 3], i % 4, 10 + i % 7, i % 11 == 0) for i in range(60)])
+    at = r.with_extremes(g.with_geometry(o), 480, 480).withColumns({
+        "grid_position": g.grid_position(F.col("cx"), F.col("cy"), F.lit(480), F.lit(480)), "is_ambiguous": F.expr("object_id % 4 = 1"),
+        "size_attribute": F.expr("if(object_id % 6 = 0, 'largest', null)"),
+        "colours": F.expr("CASE object_id % 4 WHEN 0 THEN array('light') WHEN 1 THEN array('light', 'Dark') WHEN 2 THEN null ELSE array() END")})
+    for use_size in (False, True):
+        steps = ph.unique_phrases(ph.object_phrases(at, r.relate(o), use_size)).drop("pos")
+        one = ph.unique_object_phrases(at, use_size=use_size)
+        assert steps.columns == ["patch_id", "object_id", "text"] and sorted(steps.collect()) == sorted(one.select(*steps.columns).collect()) != []
+
+
 def kept(spark, o, colours="array()", ambiguous="false"):
     a = g.with_geometry(o).withColumns({
         "grid_position": g.grid_position(F.col("cx"), F.col("cy"), F.lit(480), F.lit(480)), "extreme_position": F.lit(None).cast("string"),
