@@ -44,6 +44,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").split()
 
 
+def _longer(grams: np.ndarray, at: np.ndarray, length: int, anchor: int) -> np.ndarray:
+    """Hashes of the `length` words at some places, from those of the runs of `anchor` words that cover them."""
+    out = grams[at]
+    for step in [*range(anchor, length - anchor, anchor), length - anchor]:
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + grams[at + step])
+    return out.view("int64")
+
+
 class Anchors:
     """Runs of a document's windows that share an anchor, by first window: key (hash of the anchor's words), place of the
     anchor, first and last window, and the hashes of the longer prefixes of the windows that start up to `half` words
@@ -67,11 +75,10 @@ class Anchors:
         self.last = np.append(self.first[1:], len(view)) - 1
         self.place = place[self.first]
         self.key = grams[self.place].view("int64")
-        after, before = rolling(hashes, window - self.half), rolling(hashes, self.half + 1 + anchor)
         has_near, has_far = self.last >= self.place - self.half, self.first < self.place - self.half
         self.near, self.far = np.zeros(len(self.key), "int64"), np.zeros(len(self.key), "int64")
-        self.near[has_near] = after.view("int64")[self.place[has_near]]
-        self.far[has_far] = before.view("int64")[self.place[has_far] - self.half - 1]
+        self.near[has_near] = _longer(grams, self.place[has_near], window - self.half, anchor)
+        self.far[has_far] = _longer(grams, self.place[has_far] - self.half - 1, self.half + 1 + anchor, anchor)
 
     def runs(self, known: list[int], longer: bool) -> Iterator[tuple[int, int, int]]:
         """(key, first, last window) of the runs with these keys: of anchors, or of their longer prefixes."""
