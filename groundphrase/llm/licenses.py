@@ -1,86 +1,114 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Lines that speak of licences, wherever they stand in a file, are compared with short templates. Words that templates
-hold get their inverse document frequency from all such lines of the table; any other word counts as one that stands in
-a single line, so the vocabulary never has to be joined. A file without a licence of its own takes that of the licence
-file in the nearest directory above it, by an equi-join of its ancestor paths with the directories of licence files.
-DataFrame functions only.
+Units. What is compared are single lines, header blocks and whole licence files. A block is a run of lines that each
+hold a key word, with blank lines (or bare comment marks) between them or not, so a notice that is wrapped over lines or has
+several paragraphs is one vector, in a comment or not. A file with a licence file's name is a vector as a whole.
+
+Key words. The heaviest words of a template that together hold more than 1 - least ** 2 of its squared weight: a text
+without any of them cannot reach the cosine `least` (the words that are left bound it), so nothing that could match is
+passed over. They follow from the table's own document frequencies; words that are common in it are not among them.
+
+Weights. Term frequency times inverse document frequency over all files of the table, for all words, those that no
+template has included. A tag SPDX-License-Identifier names its licence with score 1. A file without a licence of its
+own takes that of the licence file in the nearest directory above it, by an equi-join of its ancestor paths with the
+directories of licence files. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundphrase.llm.license_texts import TEMPLATES
 from groundphrase.operators.lineage import cut
 
-#: Statements by which licences are known.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("BSD-3-Clause", "Licensed under the 3-Clause BSD License"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("MPL-2.0", "Subject to the terms of the Mozilla Public License, version 2.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
-    ("Proprietary", "Copyright. All rights reserved"),
-]
-#: A line is a statement if it has one of these words.
-CUE = r"(?i)licen[sc]|copyright|rights reserved|public domain|hereby granted|redistribution"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 LEAST = 0.6
 
 
 def words(text: Column) -> Column:
     """Lower-case words; hyphens and points join, so BY-NC and 2.0 are words."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[-.][a-z0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]++(?:[-.][a-z0-9]++)*+"), F.lit(0))
 
 
-def template_words(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(template, license, word, tf): as many rows as the templates have words."""
+def template_weights(
+    files: DataFrame, df: DataFrame, n: int, templates: list[tuple[str, str]]
+) -> list[tuple[str, int, str, float, float]]:
+    """(word, template, license, idf, share) of the templates' words; the squared shares of a template add up to 1."""
     rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
-    t = spark.createDataFrame(rows, "template int, license string, text string")
-    return t.select("template", "license", F.explode(words(F.col("text"))).alias("word")).groupBy(
-        "template", "license", "word"
-    ).agg(F.count("*").alias("tf"))
+    t = files.sparkSession.createDataFrame(rows, "template int, license string, text string")
+    tf = t.select("template", "license", F.explode(words(F.col("text"))).alias("word")).groupBy("template", "license", "word").count()
+    known = tf.join(df, "word", "left").collect()  # as many rows as the templates have words
+    idf = {r.word: math.log((1 + n) / (1 + (r.df or 0))) + 1 for r in known}
+    length: dict[int, float] = {}
+    for r in known:
+        length[r.template] = length.get(r.template, 0.0) + (r["count"] * idf[r.word]) ** 2
+    return [(r.word, r.template, r.license, idf[r.word], r["count"] * idf[r.word] / math.sqrt(length[r.template])) for r in known]
+
+
+def key_words(weights: list[tuple[str, int, str, float, float]], least: float) -> list[str]:
+    """For each template its heaviest words, until the squared shares of the others are below least ** 2."""
+    out: set[str] = set()
+    for template in {w[1] for w in weights}:
+        left = 1.0
+        for word, share in sorted(((w[0], w[4]) for w in weights if w[1] == template), key=lambda x: (-x[1], x[0])):
+            if left < least**2 - 1e-9:
+                break
+            out.add(word)
+            left -= share**2
+    return sorted(out)
+
+
+def units(path: Column, text: Column, keys: list[str]) -> Column:
+    """The texts to compare: lines with a key word, runs of such lines (blank lines end a run, or do not), and a licence
+    file as a whole. Each different one once."""
+    lines = F.split(text, r"\r\n|[\n\r]")
+    has_key = lambda line: F.arrays_overlap(words(line), F.array(*map(F.lit, keys)))
+    blank = lambda line: ~line.rlike(r"[\p{L}\p{N}]")
+    # other lines become empty: two line feeds end a run; a blank line that does not end one becomes a space
+    broken = F.array_join(F.transform(lines, lambda x: F.when(has_key(x), x).otherwise("")), "\n")
+    joined = F.array_join(F.transform(lines, lambda x: F.when(has_key(x), x).when(blank(x), " ").otherwise("")), "\n")
+    runs = F.concat(F.split(broken, "\n"), F.split(broken, "\n\n+"), F.split(joined, "\n\n+"))
+    whole = F.when(path.rlike(LICENCE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(runs, whole), F.trim))
 
 
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(path, license, score): the best statement of each file whose cosine to a template reaches `least`.
+    """(path, license, score) of each file that states a licence; score is a cosine of `least` or more.
 
-    Ties go to the licence of the greater name. Files without a statement are not among the rows.
+    Of several statements the SPDX tag counts, else the one that has most in common with its template (the cosine times
+    the length of the unit's vector), so a line inside a longer notice does not stand for it; ties go to the greater
+    score, then to the greater name.
     """
-    lines = files.filter(F.col("text").rlike(CUE)).select(
-        "path", F.posexplode(F.split("text", "\n")).alias("line", "said")
-    )
-    tf = lines.filter(F.col("said").rlike(CUE)).select("path", "line", F.explode(words(F.col("said"))).alias("word"))
-    tf = cut(tf.groupBy("path", "line", "word").agg(F.count("*").alias("tf")))
-    known = template_words(files.sparkSession, templates)
-    n = tf.select("path", "line").distinct().count()
-    rarest = F.log(F.lit(1.0 + n)) + 1
-    idf = known.select("word").distinct().join(tf.groupBy("word").agg(F.count("*").alias("df")), "word", "left")
-    idf = cut(idf.select("word", (F.log((1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")))
-    weights = known.join(F.broadcast(idf), "word").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = weights.join(F.broadcast(norms), "template").select(
-        "word", "template", "license", (F.col("w") / F.col("norm")).alias("share")
+    f = files.select("path", "text").filter("text is not null")
+    n = f.count()
+    df = cut(f.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
+    weights = template_weights(files, df, n, templates)
+    keys = key_words(weights, least)
+    near = f.filter(F.arrays_overlap(words(F.col("text")), F.array(*map(F.lit, keys))))
+    unit = near.select("path", F.explode(units(F.col("path"), F.col("text"), keys)).alias("said"))
+    unit = unit.select("path", F.xxhash64("said").alias("unit"), words(F.col("said")).alias("w")).filter(F.size("w") > 0)
+    tf = unit.select("path", "unit", F.explode("w").alias("word")).groupBy("path", "unit", "word").agg(F.count("*").alias("tf"))
+    idf = F.log((1.0 + n) / (1 + F.col("df"))) + 1
+    weighed = cut(cut(tf).join(df, "word").select("path", "unit", "word", (F.col("tf") * idf).alias("w")))
+    length = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    shares = files.sparkSession.createDataFrame(
+        [(w, t, name, share) for w, t, name, _, share in weights], "word string, template int, license string, share double"
     )
-    weighed = tf.join(F.broadcast(idf), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rarest))
-    length = weighed.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dot = weighed.join(F.broadcast(weights), "word").groupBy("path", "line", "template", "license").agg(
+    dot = weighed.join(F.broadcast(shares), "word").groupBy("path", "unit", "template", "license").agg(
         F.sum(F.col("w") * F.col("share")).alias("dot")
     )
-    scored = dot.join(length, ["path", "line"]).select(
-        "path", "license", F.round(F.col("dot") / F.col("length"), 6).alias("score")
+    dot = dot.filter(F.col("dot") > 0)
+    scored = dot.join(length, ["path", "unit"]).select(
+        "path", F.lit(0).alias("tag"), F.round("dot", 3).alias("common"), F.round(F.col("dot") / F.col("length"), 6).alias("score"), "license"
     )
-    best = scored.filter(F.col("score") >= least).groupBy("path").agg(F.max(F.struct("score", "license")).alias("b"))
+    tags = F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("license")
+    tagged = f.select("path", F.lit(1).alias("tag"), F.lit(0.0).alias("common"), F.lit(1.0).alias("score"), tags)
+    rank = F.struct("tag", "common", "score", "license")
+    best = scored.filter(F.col("score") >= least).unionByName(tagged).groupBy("path").agg(F.max(rank).alias("b"))
     return best.select("path", "b.license", "b.score")
 
 

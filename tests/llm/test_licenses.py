@@ -13,24 +13,49 @@ def tokens(t):
     return re.findall(r"[a-z0-9]+(?:[-.][a-z0-9]+)*", t.lower())
 
 
-def brute(files):
-    lines = [(p, x) for p, t in files for x in (t or "").split("\n") if re.search(lic.CUE, x)]
-    n = len(lines)
-    df = Counter(w for _, x in lines for w in set(tokens(x)))
-    vocabulary = {w for _, t in lic.TEMPLATES for w in tokens(t)}
-    idf = lambda w: math.log((1 + n) / (1 + df[w])) + 1 if w in vocabulary else math.log(1 + n) + 1
+def split_units(path, text, keys):
+    lines = re.split(r"\r\n|[\n\r]", text)
+    has = [bool(set(tokens(x)) & keys) for x in lines]
+    out = {x for x, h in zip(lines, has) if h}
+    for blanks in (False, True):
+        run = []
+        for x, h in [*zip(lines, has), ("end", False)]:
+            if h or blanks and not re.search(r"[^\W_]", x):
+                run.append(x)
+            else:
+                out.add("\n".join(run))
+                run = []
+    return out | ({text} if re.search(lic.LICENCE_FILE, path) else set())
+
+
+def brute(files, templates=lic.TEMPLATES):
+    """All lines, runs and licence files against all templates; lines are compared whether they have key words or not."""
+    texts = [t for _, t in files if t is not None]
+    n, df = len(texts), Counter(w for t in texts for w in set(tokens(t)))
+    idf = lambda w: math.log((1 + n) / (1 + df[w])) + 1
     vec = lambda t: {w: c * idf(w) for w, c in Counter(tokens(t)).items()}
     size = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    templates = [(name, vec(t)) for name, t in lic.TEMPLATES]
+    known = [(name, v, size(v)) for name, v in ((name, vec(t)) for name, t in templates)]
+    keys = set()
+    for _, v, length in known:
+        left = 1.0
+        for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+            if left < lic.LEAST**2 - 1e-9:
+                break
+            keys.add(w)
+            left -= (x / length) ** 2
     own = {}
-    for p, x in lines:
-        v = vec(x)
-        for name, t in templates:
-            dot = sum(v[w] * t[w] for w in v if w in t)
-            if dot:
-                s = round(dot / size(v) / size(t), 6)
-                if s >= lic.LEAST and (s, name) > own.get(p, (0, "")):
-                    own[p] = (s, name)
+    for p, t in files:
+        found = [(1, 0.0, 1.0, x) for x in re.findall(lic.SPDX, t or "")]
+        for x in split_units(p, t or "", keys) | set(re.split(r"[\n\r]", t or "")):
+            v = vec(x)
+            if v:
+                length = size(v)
+                dots = [(name, sum(v[w] * u[w] for w in v if w in u) / m) for name, u, m in known]
+                found += [(0, round(d, 3), round(d / length, 6), name) for name, d in dots]
+        found = [f for f in found if f[2] >= lic.LEAST]
+        if found:
+            own[p] = max(found)[2:]
     holders = {}
     for p in sorted(own):
         if re.search(lic.LICENCE_FILE, p):
@@ -60,6 +85,50 @@ def test_query_against_brute_force(spark):
         assert (g[0], g[1], g[3]) == (w[0], w[1], w[3]) and abs((g[2] or 0) - (w[2] or 0)) < 2e-6, (p, g, w)
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+TEXTS = {name: text for name, text in lic.TEMPLATES if len(text) > 600}
+
+
+def wrapped(text, mark, width=70):
+    import textwrap
+
+    return "\n".join(f"{mark} {x}".rstrip() for p in text.split("\n") for x in textwrap.wrap(p, width) or [""])
+
+
+def test_standard_headers_and_files(spark):
+    code = "import os\n\ndef main(argument):\n    return os.path.join(argument, 'x')\n"
+    cases = {"a/apache_c.c": (f"/*\n{wrapped(APACHE, ' *')}\n */\n{code}", "Apache-2.0"), "a/apache_line.txt": (APACHE.replace("\n", " "), "Apache-2.0"),
+             "a/apache_prose.txt": (f"Once upon a time there was a river.\n{APACHE}\nThe river ran into the sea.", "Apache-2.0"),
+             "a/gpl.py": (f"{wrapped(GPL, '#')}\n\n{code}", "GPL-3.0"), "a/gpl_line.txt": (GPL.replace("\n", " "), "GPL-3.0"),
+             "a/spdx.rs": ("// SPDX-License-Identifier: MIT\nfn main() {}\n", "MIT"),
+             "a/said.txt": ("The driver showed a licence to the guard, who looked at the licence and the car.\n" + code, None),
+             "a/none.txt": (code, None)}
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "Unlicense"):
+        cases[f"l/{name}/LICENSE"] = (f"Copyright (c) 2021 A. N. Author\n\n{wrapped(TEXTS[name], '')}\n", name)
+        cases[f"l/{name}.js"] = (f"{wrapped(TEXTS[name], '//')}\n{code}", name)
+    cases |= {f"p/{i}.txt": (f"report {i} of the river and the mill near the road number {i % 7}\n", None) for i in range(40)}
+    df = spark.createDataFrame([(p, t) for p, (t, _) in cases.items()], "path string, text string")
+    got = {r.path: r.license for r in lic.scan_licenses(df).collect()}
+    assert {p: got[p] for p in cases} == {p: want for p, (_, want) in cases.items()}
+    few = [(p, t) for p, (t, _) in cases.items() if p in ("a/apache_c.c", "a/gpl.py", "l/BSD-2-Clause.js", "a/none.txt")]
+    few = {r.path: r.license for r in lic.scan_licenses(spark.createDataFrame(few, "path string, text string")).collect()}
+    assert few == {"a/apache_c.c": "Apache-2.0", "a/gpl.py": "GPL-3.0", "l/BSD-2-Clause.js": "BSD-2-Clause", "a/none.txt": None}
+
+
 def test_inheritance_and_edges(spark):
     apache, mit = "Licensed under the Apache License, Version 2.0.", "Intro\nReleased under the MIT License.\n"
     rows = [("LICENSE", apache), ("a.txt", "x"), ("d/COPYING.md", mit), ("d/e/f/b.txt", None), ("d/LICENSE", "none here"),
