@@ -94,12 +94,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
     store = sharding.ShardStore(spark, root, target=32 << 20)
     docs = table(spark, sf_dir, "documents")
-    store.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")), "arrival")
+    lot = "arrival"
+    while lot in {c.lower() for c in docs.columns}:
+        lot = f"_{lot}"
+    store.append(docs.withColumn(lot, F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")), lot)
     store.compact(vacuum=True)
     store.vacuum()
     rows = [(s.name, s.size, s.rows, s.tier(store.smallest, store.fan_in)) for s in store.manifest()]
     shards = spark.createDataFrame(rows, "shard string, shard_bytes long, shard_rows long, tier int")
-    shard = F.regexp_extract(F.col("_metadata.file_path"), r"(shards/[^/]+(?:/arrival=[^/]+)?)/[^/]+$", 1)
+    shard = F.regexp_extract(F.col("_metadata.file_path"), rf"(shards/[^/]+(?:/{lot}=[^/]+)?)/[^/]+$", 1)
     return (
         store.read()
         .select(shard.alias("shard"), "doc_id", "n_chars", F.sha2("text", 256).alias("text_sha256"))

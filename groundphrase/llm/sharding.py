@@ -2,17 +2,23 @@
 
 Arrivals become small immutable shards, a folder of Parquet files each. A manifest names the shards of one version; it is
 written aside and renamed to its place, which fails if that version exists, so a commit is all or nothing and two
-writers can't both win. Compaction takes runs of similar size (tiers are powers of the fan-in over the smallest size),
-rewrites `fan_in` of them as files of the target size, and commits a version that names the result instead. A shard of
-any size that holds `fan_in` files below half the target is rewritten in the same way, alone. Readers hold to a
-manifest, so they never see a half-done merge. All files go through Spark's file system, on any store.
+writers can't both win: who comes second takes its change to the newer version and tries again. Compaction takes runs
+of similar size (tiers are powers of the fan-in over the smallest size), rewrites `fan_in` of them as files of the
+target size, and commits a version that names the result instead. A shard of any size that holds `fan_in` files below
+half the target is rewritten in the same way, alone. Merges that share no shard run side by side. Readers hold to a
+manifest, so they never see a half-done merge. A writer leaves a note (intents/) before it writes and takes it away
+after its commit; vacuum spares what a note names. All files go through Hadoop's file system; the rename must be atomic
+and refuse to overwrite, as that of HDFS and of local and cluster file systems is. That of plain object stores is not.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
@@ -21,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a target file, shards that are merged at once, least size of a tier.
 TARGET, FAN_IN, SMALLEST = 128 << 20, 4, 1 << 20
+#: Merges that run at a time; times that a commit is tried; seconds after which a writer that left a note is given up.
+AT_ONCE, TRIES, ABANDONED = 4, 50, 7 * 24 * 3600
 
 
 @dataclass(frozen=True)
@@ -42,7 +50,8 @@ class ShardStore:
         self.java = spark._jvm.org.apache.hadoop
         self.conf = spark._jsc.hadoopConfiguration()
         self.fs = self._path(root).getFileSystem(self.conf)
-        self.fs.mkdirs(self._path(f"{root}/manifests"))
+        for folder in ("manifests", "intents", "shards"):
+            self.fs.mkdirs(self._path(f"{root}/{folder}"))
 
     def _path(self, name: str):
         return self.java.fs.Path(name)
@@ -83,6 +92,30 @@ class ShardStore:
             raise
         return base + 1
 
+    def change(self, edit: Callable[[list[Shard]], list[Shard] | None]) -> int | None:
+        """Commits edit(shards) on top of the latest version, and again on the next one where another writer was first.
+        None, and no commit, if edit gives None."""
+        for _ in range(TRIES):
+            base = self.version()
+            shards = edit(self.manifest(base))
+            if shards is None:
+                return None
+            try:
+                return self.commit(base, shards)
+            except FileExistsError:
+                continue
+        raise RuntimeError(f"no commit in {TRIES} tries")
+
+    @contextmanager
+    def _intent(self, folder: str) -> Iterator[None]:
+        """A note that this folder is being written; it goes when the folder is committed or given up."""
+        note = self._path(f"{self.root}/intents/{folder.rpartition('/')[2]}")
+        self.fs.create(note, True).close()
+        try:
+            yield
+        finally:
+            self.fs.delete(note, False)
+
     def _shard(self, name: str, rows: int) -> Shard:
         files = [s for s in self.fs.listStatus(self._path(f"{self.root}/{name}")) if s.isFile()]
         sizes = tuple(sorted(s.getLen() for s in files if s.getPath().getName()[0] not in "._"))
@@ -98,19 +131,19 @@ class ShardStore:
         while not arrival_col and col.lower() in {c.lower() for c in df.columns}:
             col = f"_{col}"
         df = df if arrival_col else df.withColumn(col, F.lit(0))
-        df.write.partitionBy(col).parquet(f"{self.root}/{batch}")
-        folders = [s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.root}/{batch}")) if s.isDirectory()]
-        added = []
-        if not folders:
-            return added
-        place = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), "([^/]+)/[^/]+$", 1)
-        files = self.spark.read.option("basePath", f"{self.root}/{batch}").parquet(*[f"{self.root}/{batch}/{f}" for f in folders])
-        counts = {r[0]: r[1] for r in files.groupBy(place).count().collect()}  # a row per arrival
-        for folder in sorted(folders):
-            shard = self._shard(f"{batch}/{folder}", counts.get(folder, 0))
-            base = self.version()
-            self.commit(base, [*self.manifest(base), shard])
-            added.append(shard.name)
+        added: list[str] = []
+        with self._intent(batch):
+            df.write.partitionBy(col).parquet(f"{self.root}/{batch}")
+            folders = [s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.root}/{batch}")) if s.isDirectory()]
+            if not folders:
+                return added
+            place = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), "([^/]+)/[^/]+$", 1)
+            files = self.spark.read.option("basePath", f"{self.root}/{batch}").parquet(*[f"{self.root}/{batch}/{f}" for f in folders])
+            counts = {r[0]: r[1] for r in files.groupBy(place).count().collect()}  # a row per arrival
+            for folder in sorted(folders):
+                shard = self._shard(f"{batch}/{folder}", counts.get(folder, 0))
+                self.change(lambda shards, shard=shard: [*shards, shard])
+                added.append(shard.name)
         return added
 
     def read(self, version: int | None = None, shards: list[Shard] | None = None) -> DataFrame | None:
@@ -135,42 +168,61 @@ class ShardStore:
         """Whether fan_in or more of the shard's files are below half the target size."""
         return sum(2 * n < self.target for n in shard.sizes) >= self.fan_in
 
-    def compact(self, vacuum: bool = False) -> int:
+    def runs(self, shards: list[Shard], fresh: set[str]) -> list[list[Shard]]:
+        """Merges that can be done at once: full runs of every tier; if there are none, scattered shards, each alone."""
+        tiers: dict[int, list[Shard]] = {}
+        for s in sorted(shards, key=lambda s: (s.size, s.name)):
+            if s.size < self.target:
+                tiers.setdefault(s.tier(self.smallest, self.fan_in), []).append(s)
+        found = [t[i : i + self.fan_in] for _, t in sorted(tiers.items()) for i in range(0, len(t) - self.fan_in + 1, self.fan_in)]
+        return found or [[s] for s in shards if s.name not in fresh and self.scattered(s)]
+
+    def _merge(self, run: list[Shard], vacuum: bool) -> str | None:
+        """Rewrites a run as one shard and commits it; None if another writer has merged one of its shards first."""
+        name, gone = f"shards/m-{uuid.uuid4().hex}", {s.name for s in run}
+        with self._intent(name):
+            self.read(shards=run).write.parquet(f"{self.root}/{name}")
+            made = self._shard(name, sum(s.rows for s in run))
+
+            def edit(shards: list[Shard]) -> list[Shard] | None:
+                return [*(s for s in shards if s.name not in gone), made] if gone <= {s.name for s in shards} else None
+
+            done = self.change(edit)
+        for x in (gone if vacuum else set()) if done else {name}:
+            self.fs.delete(self._path(f"{self.root}/{x}"), True)
+        return name if done else None
+
+    def compact(self, vacuum: bool = False, at_once: int = AT_ONCE) -> int:
         """Merges until no tier below the target size holds fan_in shards and none is scattered; the number of merges.
 
         A merge reads whole shards and writes their files in piles of at most the target size, a file each, so no row is
-        shuffled; all piles but the last are above half of it. A shard that a merge wrote is not rewritten alone in the
-        same call, even if its files came out smaller. With vacuum the merged shards are deleted after each commit, for
-        which no reader may hold an older version.
+        shuffled; all piles but the last are above half of it. Up to `at_once` merges run side by side. A shard that a
+        merge wrote is not rewritten alone in the same call, even if its files came out smaller. With vacuum the merged
+        shards are deleted after their commit, for which no reader may hold an older version.
         """
         merges, fresh = 0, set()
-        while True:
-            base, tiers = self.version(), {}
-            shards = self.manifest(base)
-            for s in sorted(shards, key=lambda s: (s.size, s.name)):
-                if s.size < self.target:
-                    tiers.setdefault(s.tier(self.smallest, self.fan_in), []).append(s)
-            run = next((t[: self.fan_in] for _, t in sorted(tiers.items()) if len(t) >= self.fan_in), None)
-            run = run or next(([s] for s in shards if s.name not in fresh and self.scattered(s)), None)
-            if run is None:
-                return merges
-            name = f"shards/m-{uuid.uuid4().hex}"
-            with self._packed():
-                self.read(shards=run).write.parquet(f"{self.root}/{name}")
-            fresh.add(name)
-            gone = {s.name for s in run}
-            self.commit(base, [*(s for s in shards if s.name not in gone), self._shard(name, sum(s.rows for s in run))])
-            merges += 1
-            if vacuum:
-                self.vacuum()
-
-    def vacuum(self) -> None:
-        """Deletes the shards that the latest version does not name, and older manifests."""
+        with self._packed(), ThreadPoolExecutor(at_once) as pool:
+            while runs := self.runs(self.manifest(), fresh):
+                made = [name for name in pool.map(lambda run: self._merge(run, vacuum), runs) if name]
+                fresh.update(made)
+                merges += len(made)
+        return merges
+
+    def vacuum(self, abandoned: float = ABANDONED) -> None:
+        """Deletes the shards that the latest version does not name, and older manifests, but for folders that a writer's note
+        names; notes older than `abandoned` seconds are those of lost writers and go, too."""
+        notes = set()
+        for note in self.fs.listStatus(self._path(f"{self.root}/intents")):  # before the manifest: a note goes after its commit
+            if time.time() - note.getModificationTime() / 1000 < abandoned:
+                notes.add(note.getPath().getName())
+            else:
+                self.fs.delete(note.getPath(), False)
+        folders = [s.getPath() for s in self.fs.listStatus(self._path(f"{self.root}/shards")) if s.getPath().getName() not in notes]
         last = self.version()
         live = {s.name for s in self.manifest(last)}
-        for batch in self.fs.listStatus(self._path(f"{self.root}/shards")):
-            name = f"shards/{batch.getPath().getName()}"
-            inner = [f"{name}/{s.getPath().getName()}" for s in self.fs.listStatus(batch.getPath()) if s.isDirectory()]
+        for folder in folders:
+            name = f"shards/{folder.getName()}"
+            inner = [f"{name}/{s.getPath().getName()}" for s in self.fs.listStatus(folder) if s.isDirectory()]
             for x in inner or [name]:
                 if x not in live:
                     self.fs.delete(self._path(f"{self.root}/{x}"), True)

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from groundphrase.llm.queries import op8_sharding
 from groundphrase.llm.sharding import Shard, ShardStore
@@ -57,3 +59,52 @@ def test_shards_of_many_small_files_are_rewritten_at_any_size(spark, tmp_path):
     assert max(after.sizes) <= s.target * 1.1 and sum(2 * n < s.target for n in after.sizes) <= 1
     assert sorted(r.id for r in s.read().collect()) == list(range(8000))
     assert s.compact() == 0 and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_two_writers(spark, tmp_path):
+    """Appends and merges of two stores on one folder: all commits succeed, no row is lost or doubled."""
+    root = f"file://{tmp_path}/store"
+    a, b = (ShardStore(spark, root, target=1 << 20, fan_in=3, smallest=1 << 30) for _ in range(2))
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(s.append, spark.range(100 * i, 100 * i + 100, 1, 1)) for i, s in enumerate([a, b] * 4)]:
+            assert len(done.result()) == 1
+        merges = [pool.submit(s.compact) for s in (a, b)]
+        assert sum(m.result() for m in merges) >= 2
+    assert a.version() == b.version() and sorted(r.id for r in a.read().collect()) == list(range(800))
+    a.vacuum()
+    assert sorted(r.id for r in b.read().collect()) == list(range(800))
+
+
+def test_vacuum_spares_what_is_being_written(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/store"
+    a, b = ShardStore(spark, root), ShardStore(spark, root)
+    a.append(spark.range(10))
+    commit = ShardStore.commit
+
+    def slow(self, base, shards):
+        if self is a:
+            b.vacuum()  # between the writing of the shard and its commit
+        return commit(self, base, shards)
+
+    monkeypatch.setattr(ShardStore, "commit", slow)
+    a.append(spark.range(10, 20))
+    assert sorted(r.id for r in b.read().collect()) == list(range(20))
+    monkeypatch.undo()
+    with pytest.raises(ValueError), a._intent("shards/lost"):
+        spark.range(3).write.parquet(f"{root}/shards/lost")
+        b.vacuum()
+        assert (tmp_path / "store/shards/lost").exists()
+        raise ValueError
+    b.vacuum()
+    assert not (tmp_path / "store/shards/lost").exists() and b.read().count() == 20
+    a.fs.create(a._path(f"{root}/intents/gone"), True).close()
+    b.vacuum(abandoned=0)
+    assert not (tmp_path / "store/intents/gone").exists()
+
+
+def test_merges_side_by_side(spark, tmp_path):
+    s = ShardStore(spark, f"file://{tmp_path}/store", target=1 << 20, fan_in=2, smallest=1 << 30)
+    for i in range(6):
+        s.append(spark.range(i, i + 1))
+    assert [len(r) for r in s.runs(s.manifest(), set())] == [2, 2, 2]
+    assert s.compact(vacuum=True, at_once=3) == 5 and len(s.manifest()) == 1 and s.read().count() == 6
