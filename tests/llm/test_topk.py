@@ -34,3 +34,28 @@ def test_edges(spark):
     assert got[0][3] == 256 * 256_000_000 + 512 * 256_000_000_000
     assert topk.top_k(df.limit(0), "vec_id % 50 = 0").count() == 0
     assert topk.top_k(df.filter("vec_id = 0"), "vec_id % 50 = 0").count() == 0
+
+
+def test_blocks_of_other_clusters_are_dropped(spark, monkeypatch):
+    """On vectors in clusters few pairs of blocks meet; the result is that of brute force."""
+    random.seed(8)
+    centres = [[random.choice([-8.0, 8.0]) for _ in range(12)] for _ in range(9)]
+    rows = [(i, [x + random.random() / 4 for x in centres[i % 9]]) for i in range(1800)]
+    met, near = [], topk.near_blocks
+
+    def seen(c, q, n, longest):
+        out = near(c, q, n, longest)
+        met.append((out.count(), c.count() * n))
+        return out
+
+    monkeypatch.setattr(topk, "near_blocks", seen)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 50 = 0", 3, block=100)
+    import math
+
+    ints = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for i in range(0, 1800, 50):
+        best = sorted((-sum(a * b for a, b in zip(ints[i], v)), n) for n, v in ints.items() if n != i)[:3]
+        want += [(i, r + 1, n, -s) for r, (s, n) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert met[0][0] * 3 < met[0][1]
