@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 REPLY = "enhanced_expressions array<struct<original_expression:string,variation:string>>, unique_description string, unique_expressions array<string>"
+#: What may stand around an object in a reply.
+FENCES = [r"(?s)```json\s*(.*?)\s*```", r"(?s)```\s*(.*?)\s*```", r"(?s)`(.*?)`"]
 INSTRUCTION = "Rewrite each phrase once, then write two new phrases that point to the marked target only."
 
 
-def _parsed(text: Column, schema: str) -> Column:
-    """The value, or null for text that is no object with a known field."""
-    got = F.from_json(F.trim(text), schema)
-    known = F.coalesce(*[got[f.strip().split(" ")[0]].isNotNull().cast("string") for f in _fields(schema)])
-    some = F.lit(False)
+def _known(got: Column, schema: str) -> Column:
+    """Whether an object has a field of the schema that is not null."""
+    out = F.lit(False)
     for f in _fields(schema):
-        some = some | got[f.strip().split(" ")[0]].isNotNull()
-    return F.when(some & known.isNotNull(), got)
+        out = out | got[f.strip().split(" ")[0]].isNotNull()
+    return out
+
+
+def _parsed(texts: Column, schema: str) -> Column:
+    """The first value of an array of texts, or null where none is an object with a known field. Each text is parsed once."""
+    got = F.transform(texts, lambda t: F.from_json(F.trim(t), schema))
+    return F.get(F.filter(got, lambda g: _known(g, schema)), F.lit(0))
 
 
 def _fields(schema: str) -> list[str]:
@@ -33,11 +39,10 @@ def _fields(schema: str) -> list[str]:
 def recover_json(text: Column, schema: str = REPLY) -> Column:
     """The object in a reply: the whole text, a fenced block marked json, any fenced block, text in backticks, or what
     lies between the first and last brace; null if nothing parses."""
-    tries = [_parsed(text, schema)]
-    for pattern in (r"(?s)```json\s*(.*?)\s*```", r"(?s)```\s*(.*?)\s*```", r"(?s)`(.*?)`"):
-        found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda t: _parsed(t, schema)), lambda v: v.isNotNull())
-        tries.append(F.try_element_at(found, F.lit(1)))
-    tries.append(_parsed(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema))
+    tries = [_parsed(F.array(text), schema)]
+    for pattern in FENCES:
+        tries.append(_parsed(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), schema))
+    tries.append(_parsed(F.array(F.regexp_extract(text, r"(?s)\{.*\}", 0)), schema))
     return F.coalesce(*tries)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from groundphrase.operators.raster import gray
 
 CLASS_LEVEL, PAIR_LEVEL = 1_000_000, 2_000_000
-#: Area, aspect and solidity that components of a class must have.
+#: Area, aspect and solidity that components of a class must have.
 COMPONENT_RULES = {"building": (100, 50_000, 0.1, 10.0, 0.3), "water": (200, 200_000, 0.0, 1e9, 0.0), "road": (300, 1_000_000, 0.0, 1e9, 0.0)}
 
 
@@ -32,26 +32,38 @@ def sample_n(df: DataFrame, n: int, by: str, id_col: str, order: Column | None =
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
+def ranked(df: DataFrame, by: str, key: Column, id_col: str, parts: int = 64) -> DataFrame:
+    """Adds _n, the rank of a row in its value of `by` by (key, id) from 1, and _t, the number of such rows.
+
+    key is a number. Its range in each value of `by` is cut into `parts` equal pieces, whose counts are summed up, so
+    the largest value is ranked by as many tasks as it has rows for; null is a value of its own. Nothing is approximate: uneven pieces cost
+    time only.
+    """
+    d = df.withColumns({"_g": F.struct(F.col(by)), "_k": key})  # structs with a null are equal in joins
+    ends = d.groupBy("_g").agg(F.min("_k").cast("double").alias("_lo"), F.max("_k").cast("double").alias("_hi"))
+    place = F.floor((F.col("_k").cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * parts)
+    d = d.join(ends, "_g").withColumn("_p", F.coalesce(place, F.lit(-1)))
+    sizes = d.groupBy("_g", "_p").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy("_g")  # as many rows as parts
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_g", "_p", before.alias("_b"), F.sum("_c").over(whole).alias("_t"))
+    inside = Window.partitionBy("_g", "_p").orderBy("_k", id_col)
+    out = d.join(offsets, ["_g", "_p"]).withColumn("_n", F.row_number().over(inside) + F.col("_b"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "_n", "_t")
+
+
 def sample_pct(df: DataFrame, pct: float, by: str, id_col: str, order: Column | None = None, seed: int = 42) -> DataFrame:
-    """floor(count * pct / 100) rows of each value of `by`."""
+    """floor(count * pct / 100) rows of each value of `by`; order is a number."""
     key = hashed(seed, id_col) if order is None else order
-    w = Window.partitionBy(by).orderBy(key, id_col)
-    counts = df.groupBy(by).agg(F.floor(F.count("*") * pct / 100).alias("_m"))
-    ranked = df.withColumn("_n", F.row_number().over(w)).join(counts, by)
-    return ranked.filter(F.col("_n") <= F.col("_m")).drop("_n", "_m")
+    return ranked(df, by, key, id_col).filter(F.col("_n") <= F.floor(F.col("_t") * pct / 100)).drop("_n", "_t")
 
 
 def split_ratio(df: DataFrame, ratio: float, id_col: str, order: Column | None = None, parts: Column | None = None, seed: int = 42) -> DataFrame:
-    """Adds split: the first floor(n * ratio) rows in the order are train, the others val; within `parts` if given.
-
-    Without parts one hash threshold would only be near the ratio, so the rank is exact within hashed parts."""
-    part = F.pmod(F.xxhash64(id_col), F.lit(64)) if parts is None else parts
+    """Adds split: the first floor(n * ratio) rows in the order (a number) are train, the others val; within `parts` if given."""
     key = hashed(seed, id_col) if order is None else order
-    d = df.withColumn("_p", part)
-    n = d.groupBy("_p").agg(F.floor(F.count("*") * ratio).alias("_m"))
-    w = Window.partitionBy("_p").orderBy(key, id_col)
-    out = d.withColumn("_n", F.row_number().over(w)).join(n, "_p")
-    return out.withColumn("split", F.when(F.col("_n") <= F.col("_m"), "train").otherwise("val")).drop("_p", "_n", "_m")
+    out = ranked(df.withColumn("_part", F.lit(0) if parts is None else parts), "_part", key, id_col)
+    first = F.col("_n") <= F.floor(F.col("_t") * ratio)
+    return out.withColumn("split", F.when(first, "train").otherwise("val")).drop("_part", "_n", "_t")
 
 
 def filter_min_size(df: DataFrame, size: int) -> DataFrame:
@@ -172,17 +184,24 @@ def first_round(exprs: DataFrame) -> DataFrame:
 
 
 def assign_effects(images: DataFrame, by: str, id_col: str, order: Column | None = None, n: int = 3, seed: int = 42) -> DataFrame:
-    """Adds effect 1..n in equal parts of each value of `by`; what is left over goes to the first."""
+    """Adds effect 1..n in equal parts of each value of `by`; what is left over goes to the first. order is a number."""
     key = hashed(seed, id_col) if order is None else order
-    return images.withColumn("effect", F.ntile(n).over(Window.partitionBy(by).orderBy(key, id_col)))
+    small, more = F.floor(F.col("_t") / n), F.col("_t") % n  # the first `more` effects have one row more
+    at, long = F.col("_n") - 1, F.floor(F.col("_t") / n) + 1
+    effect = F.when(at < more * long, F.floor(at / long)).otherwise(more + F.floor((at - more * long) / F.greatest(small, F.lit(1))))
+    return ranked(images, by, key, id_col).withColumn("effect", (effect + 1).cast("int")).drop("_n", "_t")
+
+
+def effect_counts(images: DataFrame, by: str = "split") -> DataFrame:
+    """(by, effect, n) of images with an effect."""
+    return images.groupBy(by, "effect").agg(F.count("*").alias("n"))
 
 
 def assign_transfers(images: DataFrame, domains: list[str], id_col: str, order: Column | None = None, seed: int = 42) -> DataFrame:
     """Adds target: half of a domain (the greater) stays (null), the rest goes to the two other domains in turn, the
-    first getting what is left over."""
+    first getting what is left over. order is a number."""
     key = hashed(seed, id_col) if order is None else order
-    w, all_rows = Window.partitionBy("domain").orderBy(key, id_col), Window.partitionBy("domain")
-    d = images.withColumn("_n", F.row_number().over(w)).withColumn("_t", F.count("*").over(all_rows))
+    d = ranked(images, "domain", key, id_col)
     moved = F.floor(F.col("_t") / 2)
     at = F.col("_n") - (F.col("_t") - moved)
     first, second = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -193,10 +212,89 @@ def assign_transfers(images: DataFrame, domains: list[str], id_col: str, order:
     return d.withColumn("target", target).drop("_n", "_t")
 
 
-def first_ascii(refs: DataFrame, key: list[str], test: Column) -> DataFrame:
-    """Of each key the first row that passes the test, else the first row; by pos."""
-    w = Window.partitionBy(*key).orderBy(test.desc(), "pos")
-    return refs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def first_matching(df: DataFrame, key: list[str], test: Column, order: str) -> DataFrame:
+    """(key, order): of each key the first row that passes the test, else the first row. A partial aggregate, no window,
+    for keys that hold many rows; a test that is null is not passed."""
+    best = F.min(F.struct((~F.coalesce(test, F.lit(False))).alias("other"), F.col(order))).alias("b")
+    return df.groupBy(*key).agg(best).select(*key, F.col(f"b.{order}").alias(order))
+
+
+def filter_domain(files: DataFrame, domain: str) -> DataFrame:
+    return files.filter(F.col("domain") == domain)
+
+
+def clean_columns(df: DataFrame, keep: list[str], renamed: dict[str, str] | None = None) -> DataFrame:
+    """Only the columns to publish, some under other names; one that is not there is passed over."""
+    return df.select(*[F.col(f"`{c}`").alias((renamed or {}).get(c, c)) for c in keep if c in df.columns])
+
+
+def sample_with_classes(pixels: DataFrame, classes: list[int], n: int, order: Column | None = None, least: int = 100, seed: int = 42) -> DataFrame:
+    """(image_id): n random images with `least` or more pixels of these classes."""
+    hit = pixels.groupBy("image_id").agg(F.count_if(F.col("class_id").isin(classes)).alias("n")).filter(F.col("n") >= least)
+    return hit.orderBy(hashed(seed, "image_id") if order is None else order, "image_id").limit(n).select("image_id")
+
+
+def latest_result(results: DataFrame, by: str, time_col: str, id_col: str) -> DataFrame:
+    """(by, id) of the last result of each value of `by`; of equal times the greater id."""
+    return results.groupBy(by).agg(F.max_by(id_col, F.struct(time_col, id_col)).alias(id_col))
+
+
+def top_by_count(df: DataFrame, key: Column | str, n: int, name: str = "image") -> DataFrame:
+    """(name, n): the n most frequent values; ties by value."""
+    k = F.col(key) if isinstance(key, str) else key
+    return df.groupBy(k.alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(n)
+
+
+def rank_by_count(df: DataFrame, key: str) -> DataFrame:
+    """(key, n, rank): values by their count, ties by value. One window over all values: for keys with few, such as classes."""
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), key)))
+
+
+def order_categories(df: DataFrame, fixed: list[str], key: str = "category") -> DataFrame:
+    """(key, n, ord): the named values in their order, the others after them by name with a null ord."""
+    known = df.sparkSession.createDataFrame([(k, i + 1) for i, k in enumerate(fixed)], f"{key} string, ord int")
+    return df.groupBy(key).agg(F.count("*").alias("n")).join(F.broadcast(known), key, "left").orderBy(F.asc_nulls_last("ord"), key)
+
+
+def sample_items(df: DataFrame, group: str, n_groups: int, n: int, group_order: Column, order: list[Column | str]) -> DataFrame:
+    """n rows, in an order that looks random, out of n_groups groups that are chosen likewise."""
+    groups = df.select(group).distinct().orderBy(group_order, group).limit(n_groups)
+    return df.join(groups, group, "left_semi").orderBy(*order).limit(n)
+
+
+def limit_rows(df: DataFrame, n: int) -> DataFrame:
+    """Any n rows: reading stops early."""
+    return df.limit(n)
+
+
+def combine_datasets(parts: dict[str, DataFrame], exclude: tuple[str, ...] = ()) -> DataFrame:
+    """The named tables as one, with their names as dataset; columns that a table lacks are null."""
+    kept = [df.withColumn("dataset", F.lit(k)) for k, df in parts.items() if k not in exclude]
+    return combine(*kept)
+
+
+def combine(*parts: DataFrame) -> DataFrame:
+    """All rows of some tables, such as both splits; columns that a table lacks are null."""
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def distinct_values(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key).distinct()
+
+
+def missing_values(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key): values that are expected and not found."""
+    return expected.select(key).distinct().join(found.select(key).distinct(), key, "left_anti")
+
+
+def class_presence(pixels: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(image_id, class_id, phrase): one sample for each class that an image shows, with the class's phrase; classes without
+    one are passed over."""
+    return pixels.select("image_id", "class_id").distinct().join(phrases.select("class_id", "phrase"), "class_id").select("image_id", "class_id", "phrase")
 
 
 def assign_ids(df: DataFrame, group: str, order: list[str], id_col: str = "new_id") -> DataFrame:

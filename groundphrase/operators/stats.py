@@ -14,17 +14,21 @@ def _n(on: Column) -> Column:
 
 
 def dataset_stats(exprs: DataFrame) -> DataFrame:
-    """By split, and in total (split null): patches, targets of either kind, phrases by type and phrases per target."""
+    """By split, and in total (split null): patches, targets of either kind, samples (all targets), phrases by type and
+    phrases per target. Phrases are counted by target first, so the distinct counts see targets only."""
     kind = lambda k: F.col("target_kind") == k
     target = lambda k: F.when(kind(k), F.struct("patch_id", "target_id"))
-    out = exprs.rollup("split").agg(
+    types = ("original", "enhanced", "unique")
+    t = exprs.groupBy("split", "patch_id", "target_kind", "target_id").agg(
+        F.count("*").alias("n"), *[_n(F.col("expr_type") == x).alias(x) for x in types]
+    )
+    out = t.rollup("split").agg(
         F.count_distinct("patch_id").alias("patches"),
         F.count_distinct(target("individual")).alias("objects"),
         F.count_distinct(target("group")).alias("groups"),
-        _n(kind("individual")).alias("object_phrases"),
-        _n(kind("group")).alias("group_phrases"),
-        *[_n(F.col("expr_type") == t).alias(t) for t in ("original", "enhanced", "unique")],
-        F.count("*").alias("phrases"),
+        *[F.coalesce(F.sum(F.when(kind(k), F.col("n"))), F.lit(0)).alias(name) for k, name in (("individual", "object_phrases"), ("group", "group_phrases"))],
+        *[F.sum(x).alias(x) for x in types],
+        F.sum("n").alias("phrases"),
     )
     per = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 4)
     return out.withColumns({"per_object": per("object_phrases", "objects"), "per_group": per("group_phrases", "groups")})
@@ -61,6 +65,19 @@ def quality_metrics(exprs: DataFrame) -> DataFrame:
     )
 
 
+def target_metrics(objects: DataFrame, exprs: DataFrame, pair_level: int = 2_000_000) -> DataFrame:
+    """By split: objects, those skipped (no phrase), those without a mask, and targets that are special pairs.
+
+    objects has split, patch_id, object_id and mask (null or empty: missing)."""
+    said = exprs.filter("target_kind = 'individual'").select("patch_id", F.col("target_id").alias("object_id")).distinct()
+    o = objects.join(said.withColumn("said", F.lit(True)), ["patch_id", "object_id"], "left")
+    seen = o.groupBy("split").agg(
+        F.count("*").alias("objects"), _n(F.col("said").isNull()).alias("skipped"), _n(F.coalesce(F.length("mask"), F.lit(0)) == 0).alias("without_mask")
+    )
+    pairs = exprs.filter(F.col("target_id") >= pair_level).groupBy("split").agg(F.count_distinct("patch_id", "target_id").alias("pairs"))
+    return seen.join(pairs, "split", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+
+
 def enrichment_mismatch(exprs: DataFrame) -> DataFrame:
     """Patches whose counts of original and enhanced phrases differ."""
     c = exprs.groupBy("patch_id").agg(
@@ -100,6 +117,14 @@ def batch_usage(results: DataFrame, price_in: float = 0.05, price_out: float = 0
     })
 
 
+def tokens_by_modality(results: DataFrame) -> DataFrame:
+    """(modality, requests, tokens, mean) of successful results; details is array<struct<modality, tokens>> of a request, in
+    which a modality may come several times."""
+    d = results.filter("ok").select("request_id", F.explode("details").alias("d")).select("request_id", "d.*").filter("modality is not null")
+    each = d.groupBy("request_id", "modality").agg(F.sum("tokens").alias("n"))
+    return each.groupBy("modality").agg(F.count("*").alias("requests"), F.sum("n").alias("tokens"), F.round(F.avg("n"), 4).alias("mean"))
+
+
 def cost_table(results: DataFrame, prices: DataFrame, requests: int = 300_000) -> DataFrame:
     """By model: mean tokens, price per request and for many requests."""
     mean = results.groupBy("model").agg(F.avg("tokens_in").alias("i"), F.avg("tokens_out").alias("o"), F.count("*").alias("n"))
@@ -115,15 +140,34 @@ def iou(inter: Column, union: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
 
 
+def exact_median(df: DataFrame, group: str, value: str, bins: int = 4096) -> DataFrame:
+    """(group, median) of values from 0 to 1, exactly and without a buffer of all of them: a histogram finds the bins of
+    the middle ranks, and only the different values of these bins are then counted in order."""
+    d = df.select(group, F.col(value).alias("_v"), F.floor(F.col(value) * bins).alias("_b"))
+    bars = d.groupBy(group, "_b").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(group)  # a row a bin
+    upto = F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    bars = bars.withColumns({"_before": upto - F.col("_c"), "_t": F.sum("_c").over(whole)})
+    low, high = F.floor((F.col("_t") + 1) / 2), F.floor((F.col("_t") + 2) / 2)
+    holds = lambda rank: (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_c"))
+    wanted = bars.filter(holds(low) | holds(high)).select(group, "_b", "_before", low.alias("_low"), high.alias("_high"))
+    inside = d.join(wanted, [group, "_b"]).groupBy(group, "_b", "_before", "_low", "_high", "_v").agg(F.count("*").alias("_c"))
+    at = F.col("_before") + F.sum("_c").over(Window.partitionBy(group, "_b").orderBy("_v"))
+    ranked = inside.withColumn("_at", at)
+    first = lambda rank: F.min(F.when(F.col("_at") >= F.col(rank), F.col("_v")))
+    return ranked.groupBy(group).agg(((first("_low") + first("_high")) / 2).alias("median"))
+
+
 def seg_scores(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean and overall IoU, pass rates, least, greatest and median, over rows (inter, union_)."""
-    s = scores.withColumn("iou", iou(F.col("inter"), F.col("union_")))
+    s = scores.withColumns({"iou": iou(F.col("inter"), F.col("union_")), "_g": F.struct(*by) if by else F.lit(0)})
     rate = lambda t: F.round(F.avg((F.col("iou") >= t).cast("int")), 6).alias(f"pass_{int(t * 100)}")
-    return s.groupBy(*(by or [])).agg(
+    out = s.groupBy(*(["_g", *by] if by else [])).agg(
         F.count("*").alias("n"), F.round(F.avg("iou"), 6).alias("miou"), F.round(F.sum("inter") / F.sum("union_"), 6).alias("oiou"),
         rate(0.5), rate(0.7), rate(0.9), F.round(F.min("iou"), 6).alias("least"), F.round(F.max("iou"), 6).alias("greatest"),
-        F.round(F.median("iou"), 6).alias("median"),
     )
+    out = out if by else out.withColumn("_g", F.lit(0))
+    return out.join(exact_median(s, "_g", "iou"), "_g", "left").drop("_g").withColumn("median", F.round("median", 6))
 
 
 def iou_histogram(scores: DataFrame, bins: int = 20) -> DataFrame:
@@ -171,13 +215,29 @@ def source_stats(images: DataFrame) -> DataFrame:
 
 
 def publication_stats(samples: DataFrame) -> DataFrame:
-    """(dimension, value, n): samples by split, type, kind and domain, one pass over grouping sets."""
-    dims = ["split", "expr_type", "target_kind", "domain"]
-    sets = samples.groupingSets([[d] for d in dims], *dims).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    """(dimension, value, n, images): samples and images by split, type, kind, domain and category, and of all (dimension
+    and value null). Samples are counted by image first; the sets are grouped over these counts. A null value is "none"."""
+    dims = ["split", "expr_type", "target_kind", "domain", "category"]
+    d = samples.withColumns({x: F.coalesce(F.col(x).cast("string"), F.lit("none")) for x in dims})
+    counts = d.groupBy("image", *dims).agg(F.count("*").alias("n"))
+    sets = counts.groupingSets([[], *([d] for d in dims)], *dims).agg(F.sum("n").alias("n"), F.count_distinct("image").alias("images"), F.grouping_id().alias("g"))
     name = F.lit(None).cast("string")
-    for i, d in enumerate(dims):
-        name = F.when(F.col("g").bitwiseAND(1 << (len(dims) - 1 - i)) == 0, d).otherwise(name)
-    return sets.select(name.alias("dimension"), F.coalesce(*dims).alias("value"), "n")
+    for i, x in enumerate(dims):
+        name = F.when(F.col("g").bitwiseAND(1 << (len(dims) - 1 - i)) == 0, x).otherwise(name)
+    return sets.select(name.alias("dimension"), F.coalesce(*dims).alias("value"), "n", "images")
+
+
+def label_counts(labels: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of human labels."""
+    return labels.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def run_totals(results: DataFrame, by: str) -> DataFrame:
+    """By run: items, those done (ok), retries (the sum of tries) and the success rate in per cent."""
+    ok = _n(F.col("ok"))
+    return results.groupBy(by).agg(
+        F.count("*").alias("items"), ok.alias("done"), F.sum("tries").alias("retries"), F.round(100 * ok / F.count("*"), 4).alias("success")
+    )
 
 
 def merge_split_stats(stats: DataFrame, key: str) -> DataFrame:
@@ -186,18 +246,49 @@ def merge_split_stats(stats: DataFrame, key: str) -> DataFrame:
     return p.withColumn("total", F.col("train") + F.col("val"))
 
 
-def validate_tables(exprs: DataFrame) -> DataFrame:
-    """(check_name, expected, actual, ok): whether tables that are counted in different ways agree."""
-    by_split = merge_split_stats(exprs.groupBy("expr_type", "split").agg(F.count("*").alias("n")), "expr_type")
-    total = exprs.agg(F.count("*")).scalar()
-    checks = [
-        ("splits", by_split.agg(F.sum("total").alias("expected"))),
-        ("kinds", exprs.groupBy("target_kind").agg(F.count("*").alias("n")).agg(F.sum("n").alias("expected"))),
-        ("taxonomy", dataset_stats(exprs).filter("split is null").select((F.col("original") + F.col("enhanced") + F.col("unique")).alias("expected"))),
-    ]
-    rows = [e.select(F.lit(k).alias("check_name"), "expected", total.alias("actual")) for k, e in checks]
-    out = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return out.withColumn("ok", F.col("expected") == F.col("actual"))
+#: Columns of the published dataset table.
+MEASURES = ["patches", "objects", "groups", "samples", "object_phrases", "group_phrases", "original", "enhanced", "unique", "phrases"]
+
+
+def published_tables(exprs: DataFrame) -> dict[str, DataFrame]:
+    """The tables that validate_tables() compares: dataset (by split train, val and total), llm shares and taxonomy by split.
+
+    A patch counts once in the split of each of its phrases, so totals are sums of splits."""
+    d = dataset_stats(exprs).filter("split is not null").withColumn("samples", F.col("objects") + F.col("groups")).select("split", *MEASURES)
+    total = d.agg(*[F.sum(m).alias(m) for m in MEASURES]).select(F.lit("total").alias("split"), *MEASURES)
+    types = exprs.rollup("expr_type", "split").agg(F.count("*").alias("n")).filter("expr_type is not null")
+    kinds = exprs.groupBy("target_kind", "split").agg(F.count("*").alias("n"))
+    return {"dataset": d.unionByName(total), "llm": types.select("expr_type", F.coalesce("split", F.lit("total")).alias("split"), "n"), "kinds": kinds}
+
+
+def validate_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """(check_name, expected, actual, ok): whether published tables agree with themselves and each other.
+
+    splits: train and val make the total, for each measure; samples: objects and groups make the samples of a split;
+    kinds and types: phrases by kind and by type make all phrases; llm: the share table has the dataset table's counts
+    by type, and its subtotals; by_kind: the same for a table of kinds."""
+    data = tables["dataset"].unpivot(["split"], MEASURES, "measure", "n")
+    parts = data.groupBy("measure").agg(
+        F.sum(F.when(F.col("split") != "total", F.col("n"))).alias("expected"), F.sum(F.when(F.col("split") == "total", F.col("n"))).alias("actual")
+    ).select(F.concat(F.lit("splits/"), "measure").alias("check_name"), "expected", "actual")
+    sums = {"samples": (["objects", "groups"], "samples"), "kinds": (["object_phrases", "group_phrases"], "phrases"),
+            "types": (["original", "enhanced", "unique"], "phrases")}
+    rows = [parts]
+    for name, (summed, whole) in sums.items():
+        expected = sum((F.col(x) for x in summed[1:]), F.col(summed[0]))
+        rows.append(tables["dataset"].select(F.concat(F.lit(f"{name}/"), "split").alias("check_name"), expected.alias("expected"), F.col(whole).alias("actual")))
+    key = ["measure", "split"]
+    told = tables["llm"].select(F.col("expr_type").alias("measure"), "split", F.col("n").alias("actual"))
+    named = {"individual": "object_phrases", "group": "group_phrases"}
+    kind = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    by_kind = tables["kinds"].select(F.try_element_at(kind, F.col("target_kind")).alias("measure"), "split", F.col("n").alias("actual"))
+    for name, t in (("llm", told), ("by_kind", by_kind)):
+        both = t.join(data.withColumnRenamed("n", "expected"), key, "left")
+        rows.append(both.select(F.concat_ws("/", F.lit(name), "measure", "split").alias("check_name"), "expected", "actual"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.withColumn("ok", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
 
 
 def with_domain(df: DataFrame, name: str = "name") -> DataFrame:

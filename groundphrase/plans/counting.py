@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundphrase.operators import selection as se
 from groundphrase.operators import stats as st
 from groundphrase.plans.registry import Registry
 
@@ -130,7 +131,7 @@ def mask_encoding_profile(x: DataFrame) -> DataFrame:
 @add("class_presence", "pixels", "SELECT DISTINCT image_id, class_id, 'all class ' || class_id || ' in the image' AS phrase FROM pixels WHERE class_id < 6")
 def class_presence(x: DataFrame) -> DataFrame:
     said = x.sparkSession.range(6).select(c("id").cast("int").alias("class_id"), F.concat(F.lit("all class "), "id", F.lit(" in the image")).alias("phrase"))
-    return x.select("image_id", "class_id").distinct().join(F.broadcast(said), "class_id").select("image_id", "class_id", "phrase")
+    return se.class_presence(x, said)
 
 
 @add("class_examples", "pixels", "SELECT class_id, min(image_id) AS first_image, count(DISTINCT image_id) AS images FROM pixels GROUP BY class_id")
@@ -138,9 +139,9 @@ def class_examples(x: DataFrame) -> DataFrame:
     return st.class_examples(x.select("image_id", "class_id").distinct())
 
 
-@add("merge_refs", "exprs", "SELECT patch_id, text, split, string_agg(CAST(target_id AS VARCHAR), ',' ORDER BY target_id) AS ids FROM exprs WHERE pos >= 2 GROUP BY patch_id, text, split")
+@add("merge_refs", "exprs", "SELECT patch_id, text, split, string_agg(CAST(target_id AS VARCHAR), ',' ORDER BY target_id) AS ids FROM exprs GROUP BY patch_id, text, split")
 def merge_refs(e: DataFrame) -> DataFrame:
-    return st.merge_refs(e.filter("pos >= 2")).withColumn("ids", F.array_join(c("ids").cast("array<string>"), ","))
+    return st.merge_refs(e).withColumn("ids", F.array_join(c("ids").cast("array<string>"), ","))
 
 
 @add("source_stats", "objects", """SELECT split, count(*) AS images, CAST(sum(instances) AS BIGINT) AS instances, min_by(width || 'x' || height, (width * height, image_id)) AS least, max_by(width || 'x' || height, (width * height, image_id)) AS greatest,
@@ -150,10 +151,15 @@ def source_stats(o: DataFrame) -> DataFrame:
     return st.source_stats(images.withColumn("split", F.when(c("image_id") % 5 == 0, "val").otherwise("train")))
 
 
-@add("publication_stats", "exprs", """SELECT dimension, value, count(*) AS n FROM (SELECT unnest([{'dimension': 'split', 'value': split}, {'dimension': 'expr_type', 'value': expr_type}, {'dimension': 'target_kind', 'value': target_kind},
- {'dimension': 'domain', 'value': CASE target_id % 3 WHEN 0 THEN 'iSAID' ELSE 'LoveDA' END}], recursive := true) FROM exprs) q GROUP BY ALL""")
-def publication_stats(e: DataFrame) -> DataFrame:
-    return st.publication_stats(e.withColumn("domain", F.when(c("target_id") % 3 == 0, "iSAID").otherwise("LoveDA")))
+counting.part("published", """SELECT e.*, e.patch_id AS image, CASE e.target_id % 3 WHEN 0 THEN 'iSAID' ELSE 'LoveDA' END AS domain, coalesce(o.category, 'none') AS category
+ FROM exprs e LEFT JOIN objects o ON o.object_id = e.target_id""")
+
+
+@add("publication_stats", "exprs objects", """SELECT dimension, value, count(*) AS n, count(DISTINCT image) AS images FROM (SELECT image, unnest([{'dimension': 'split', 'value': split}, {'dimension': 'expr_type', 'value': expr_type},
+ {'dimension': 'target_kind', 'value': target_kind}, {'dimension': 'domain', 'value': domain}, {'dimension': 'category', 'value': category}, {'dimension': NULL, 'value': NULL}], recursive := true) FROM published) q GROUP BY ALL""")
+def publication_stats(e: DataFrame, o: DataFrame) -> DataFrame:
+    d = e.withColumns({"domain": F.when(c("target_id") % 3 == 0, "iSAID").otherwise("LoveDA"), "image": c("patch_id")})
+    return st.publication_stats(d.join(o.select(c("object_id").alias("target_id"), "category"), "target_id", "left"))
 
 
 @add("merge_split_stats", "exprs", "SELECT text, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val, count(*) AS total FROM exprs GROUP BY text")
@@ -161,27 +167,48 @@ def merge_split_stats(e: DataFrame) -> DataFrame:
     return st.merge_split_stats(e.groupBy("text", "split").agg(F.count("*").alias("n")), "text")
 
 
-@add("validate_tables", "exprs", "SELECT unnest(['splits', 'kinds', 'taxonomy']) AS check_name, count(*) AS expected, count(*) AS actual, true AS ok FROM exprs")
+counting.part("by_split", f"SELECT *, objects + groups AS samples FROM (SELECT split, {_BY} FROM exprs GROUP BY split) q")
+counting.part("tables", f"SELECT {', '.join(['split', *(chr(34) + m + chr(34) for m in st.MEASURES)])} FROM by_split UNION ALL SELECT 'total', {', '.join(f'CAST(sum({chr(34)}{m}{chr(34)}) AS BIGINT)' for m in st.MEASURES)} FROM by_split")
+_CHECKS = [*(f"""SELECT 'splits/{m}' AS check_name, CAST(sum("{m}") AS BIGINT) AS expected, CAST(sum("{m}") AS BIGINT) AS actual FROM by_split""" for m in st.MEASURES),
+           *(f"SELECT '{n}/' || split, {e}, {w} FROM tables" for n, e, w in (("samples", "objects + groups", "samples"), ("kinds", "object_phrases + group_phrases", "phrases"), ("types", 'original + enhanced + "unique"', "phrases"))),
+           *(f"""SELECT 'llm/{m}/' || split, "{m}", "{m}" FROM tables""" for m in ("original", "enhanced", "unique")),
+           *(f"SELECT 'by_kind/{m}/' || split, {m}, {m} FROM by_split" for m in ("object_phrases", "group_phrases"))]
+
+
+@add("validate_tables", "exprs", f"SELECT *, expected = actual AS ok FROM ({' UNION ALL '.join(_CHECKS)}) q")
 def validate_tables(e: DataFrame) -> DataFrame:
-    return st.validate_tables(e)
+    return st.validate_tables(st.published_tables(e))
+
+
+@add("target_metrics", "objects exprs", """SELECT split, count(*) AS objects, count(*) FILTER (WHERE object_id NOT IN (SELECT target_id FROM exprs WHERE target_kind = 'individual')) AS skipped,
+ count(*) FILTER (WHERE object_id % 9 = 0) AS without_mask, CAST(0 AS BIGINT) AS pairs FROM (SELECT *, CASE WHEN object_id % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM objects) q GROUP BY split""")
+def target_metrics(o: DataFrame, e: DataFrame) -> DataFrame:
+    d = o.withColumns({"split": F.when(c("object_id") % 5 == 0, "val").otherwise("train"), "mask": F.when(c("object_id") % 9 != 0, "runs")})
+    return st.target_metrics(d, e)
+
+
+@add("tokens_by_modality", "responses", """SELECT modality, count(*) AS requests, CAST(sum(n) AS BIGINT) AS tokens, round(avg(n), 4) AS mean FROM (SELECT 'TEXT' AS modality, n_chars + 3 AS n FROM responses WHERE conv_id % 5 <> 0
+ UNION ALL SELECT 'IMAGE', 258 FROM responses WHERE conv_id % 5 <> 0 AND turn % 2 = 0) q GROUP BY modality""")
+def tokens_by_modality(x: DataFrame) -> DataFrame:
+    part = lambda m, n: F.struct(F.lit(m).alias("modality"), n.cast("bigint").alias("tokens"))
+    image = F.when(c("turn") % 2 == 0, part("IMAGE", F.lit(258)))
+    details = F.array_compact(F.array(part("TEXT", c("n_chars")), image, part("TEXT", F.lit(3))))
+    return st.tokens_by_modality(x.select((c("conv_id") * 1000 + c("turn")).alias("request_id"), (c("conv_id") % 5 != 0).alias("ok"), details.alias("details")))
 
 
 @add("label_counts", "labels", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic")
 def label_counts(x: DataFrame) -> DataFrame:
-    return x.groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    return st.label_counts(x, ["quality", "toxic"])
 
 
 @add("enrichment_run_stats", "responses", "SELECT role, count(*) AS items, count(*) FILTER (WHERE conv_id % 5 <> 0) AS done, CAST(sum(turn) AS BIGINT) AS retries, round(100.0 * count(*) FILTER (WHERE conv_id % 5 <> 0) / count(*), 4) AS success FROM responses GROUP BY role")
 def enrichment_run_stats(x: DataFrame) -> DataFrame:
-    ok = F.count_if(c("conv_id") % 5 != 0)
-    return x.groupBy("role").agg(F.count("*").alias("items"), ok.alias("done"), F.sum("turn").alias("retries"), F.round(100 * ok / F.count("*"), 4).alias("success"))
+    return st.run_totals(x.withColumns({"ok": c("conv_id") % 5 != 0, "tries": c("turn")}), "role")
 
 
 @add("effect_counts", "files", "SELECT split, effect, count(*) AS n FROM (SELECT split, CAST(ntile(3) OVER (PARTITION BY split ORDER BY (file_id * 7919 + 13) % 10007, file_id) AS INT) AS effect FROM files) q GROUP BY split, effect")
 def effect_counts(f: DataFrame) -> DataFrame:
-    from groundphrase.operators.selection import assign_effects
-
-    return assign_effects(f, "split", "file_id", F.expr("(file_id * 7919 + 13) % 10007")).groupBy("split", "effect").agg(F.count("*").alias("n"))
+    return se.effect_counts(se.assign_effects(f, "split", "file_id", F.expr("(file_id * 7919 + 13) % 10007")))
 
 
 @add("report_rows", "exprs", """SELECT row_name, '| ' || row_name || ' | ' || train || ' | ' || val || ' | ' || total || ' |' AS line FROM (SELECT expr_type AS row_name, count(*) FILTER (WHERE split = 'train') AS train,

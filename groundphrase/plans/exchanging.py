@@ -64,10 +64,10 @@ def match_descriptions(o: DataFrame) -> DataFrame:
     return ma.match_descriptions(o.drop("pos"), said.unionByName(again), ["patch_id", "xmin", "ymin", "xmax", "ymax"]).select("object_id", "description")
 
 
-@add("join_by_image", "objects files", "SELECT o.object_id, max(f.file_id) AS file_id FROM objects o JOIN files f ON floor(f.file_id / 20.0) = o.patch_id WHERE o.pos < 3 GROUP BY o.object_id")
+@add("join_by_image", "objects files", "SELECT o.object_id, max(f.file_id) AS file_id FROM objects o JOIN files f ON floor(f.file_id / 20.0) = o.patch_id GROUP BY o.object_id")
 def join_by_image(o: DataFrame, f: DataFrame) -> DataFrame:
     right = f.select(F.floor(c("file_id") / 20).alias("patch_id"), "file_id", "name")
-    return ma.join_by_image(o.filter("pos < 3").select("object_id", "patch_id"), right, "patch_id", "file_id").select("object_id", "file_id")
+    return ma.join_by_image(o.select("object_id", "patch_id"), right, "patch_id", "file_id").select("object_id", "file_id")
 
 
 @add("box_descriptions", "objects exprs", "SELECT o.object_id, coalesce(e.text, 'the object in the image') AS description FROM objects o LEFT JOIN exprs e ON e.target_id = o.object_id AND e.pos = 2")
@@ -218,9 +218,9 @@ def export_samples(e: DataFrame, o: DataFrame) -> DataFrame:
     return si.published(ma.samples(e, o).withColumn("sample_id", F.concat_ws("/", "patch_id", "target_id", "pos"))).select("sample_id", "split", "domain", "text", "category", "xmin", "ymin")
 
 
-@add("chat_jsonl", "exprs", """SELECT target_id, '{"messages":[{"role":"system","content":"s"},{"role":"user","content":"' || text || '"},{"role":"assistant","content":"' || expr_type || '"}]}' AS line FROM exprs WHERE pos = 2""")
+@add("chat_jsonl", "exprs", """SELECT target_id, pos, '{"messages":[{"role":"system","content":"s"},{"role":"user","content":"' || text || '"},{"role":"assistant","content":"' || expr_type || '"}]}' AS line FROM exprs""")
 def chat_jsonl(e: DataFrame) -> DataFrame:
-    return e.filter("pos = 2").select("target_id", si.chat_line("s", c("text"), c("expr_type")).alias("line"))
+    return e.select("target_id", "pos", si.chat_line("s", c("text"), c("expr_type")).alias("line"))
 
 
 @add("export_bundle_manifest", "files", "SELECT split, count(*) AS n, min(name) AS first_name FROM files WHERE NOT starts_with(name, 'D') GROUP BY split")

@@ -59,7 +59,7 @@ def domain_counts(f: DataFrame) -> DataFrame:
 
 @add("filter_domain", "files", "SELECT file_id FROM named WHERE domain = 'LoveDA'")
 def filter_domain(f: DataFrame) -> DataFrame:
-    return named(f).filter("domain = 'LoveDA'").select("file_id")
+    return s.filter_domain(named(f), "LoveDA").select("file_id")
 
 
 @add("expr_type_counts", "exprs", "SELECT expr_type AS kind, count(*) AS n FROM exprs GROUP BY expr_type")
@@ -97,7 +97,7 @@ def drop_empty_targets(o: DataFrame, e: DataFrame) -> DataFrame:
 
 @add("clean_columns", "objects", "SELECT object_id, patch_id, category, xmin, ymin, xmax, ymax FROM objects")
 def clean_columns(o: DataFrame) -> DataFrame:
-    return o.drop("pos", "is_cutoff")
+    return s.clean_columns(o, ["object_id", "patch_id", "category", "xmin", "ymin", "xmax", "ymax", "not_there"])
 
 
 @add("pending_targets", "exprs", "SELECT patch_id FROM (SELECT patch_id, bool_or(expr_type = 'enhanced') AND bool_or(expr_type = 'unique') AS d FROM exprs WHERE target_id % 17 <> 0 OR expr_type <> 'unique' GROUP BY patch_id, target_kind, target_id) q GROUP BY patch_id HAVING NOT bool_and(d)")
@@ -137,8 +137,7 @@ def filter_class_area(x: DataFrame) -> DataFrame:
 @add("sample_with_classes", "pixels", """SELECT image_id FROM (SELECT image_id, row_number() OVER (ORDER BY (image_id * 7919) % 101, image_id) AS n FROM
  (SELECT image_id FROM pixels GROUP BY image_id HAVING count(*) FILTER (WHERE class_id IN (1, 2)) >= 100) q) z WHERE n <= 10""")
 def sample_with_classes(x: DataFrame) -> DataFrame:
-    hit = x.groupBy("image_id").agg(F.count_if(c("class_id").isin(1, 2)).alias("n")).filter("n >= 100")
-    return hit.orderBy((c("image_id") * 7919) % 101, "image_id").limit(10).select("image_id")
+    return s.sample_with_classes(x, [1, 2], 10, (c("image_id") * 7919) % 101)
 
 
 @add("valid_llm_items", "objects", "SELECT object_id FROM objects WHERE object_id % 11 <> 0 AND object_id % 7 <> 0")
@@ -184,9 +183,7 @@ def assign_transfers(f: DataFrame) -> DataFrame:
 
 @add("first_ascii_sentence", "documents", r"SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY regexp_matches(text, '^[\x00-\x7F]*$') DESC, doc_id) AS n FROM documents) q WHERE n = 1")
 def first_ascii_sentence(d: DataFrame) -> DataFrame:
-    """The first ASCII document of each source; a partial aggregate instead of a window, for sources that hold many rows."""
-    best = F.min(F.struct((~p.is_ascii(c("text"))).alias("other"), c("doc_id"))).alias("b")
-    return d.groupBy("source").agg(best).select("source", "b.doc_id")
+    return s.first_matching(d, ["source"], p.is_ascii(c("text")), "doc_id")
 
 
 @add("is_ascii", "documents", r"SELECT doc_id, regexp_matches(text, '^[\x00-\x7F]*$') AS ascii FROM documents")
@@ -201,7 +198,7 @@ def refcoco_ids(e: DataFrame) -> DataFrame:
 
 @add("latest_result", "events", "SELECT event_type, CAST(max_by(event_id, (ts, event_id)) AS BIGINT) AS event_id FROM events GROUP BY event_type")
 def latest_result(e: DataFrame) -> DataFrame:
-    return e.groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return s.latest_result(e, "event_type", "ts", "event_id")
 
 
 # ---- orders and limits
@@ -211,23 +208,17 @@ selecting.part("image_counts", r"SELECT regexp_extract(name, '^(.*?)_patch_', 1)
 
 @add("top_images", "files", "SELECT image, n FROM image_counts ORDER BY n DESC, image LIMIT 10")
 def top_images(f: DataFrame) -> DataFrame:
-    image = p.parse_patch_name(c("name"))[0]
-    return f.groupBy(image).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "image").limit(10)
+    return s.top_by_count(f, p.parse_patch_name(c("name"))[0], 10)
 
 
 @add("rank_categories", "objects", "SELECT category, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, category) AS INT) AS rank FROM objects GROUP BY category")
 def rank_categories(o: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    counts = o.groupBy("category").agg(F.count("*").alias("n"))  # one row per class
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "category")))
+    return s.rank_by_count(o, "category")
 
 
 @add("order_categories", "objects", "SELECT category, count(*) AS n, CASE category WHEN 'ship' THEN 1 WHEN 'plane' THEN 2 END AS ord FROM objects GROUP BY category")
 def order_categories(o: DataFrame) -> DataFrame:
-    fixed = o.sparkSession.createDataFrame([("ship", 1), ("plane", 2)], "category string, ord int")
-    counts = o.groupBy("category").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(fixed), "category", "left").orderBy(F.asc_nulls_last("ord"), "category")
+    return s.order_categories(o, ["ship", "plane"])
 
 
 @add("one_per_image", "exprs", "SELECT patch_id, target_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY (target_id * 31 + pos * 17) % 101, target_id, pos) AS n FROM exprs) q WHERE n = 1")
@@ -237,14 +228,16 @@ def one_per_image(e: DataFrame) -> DataFrame:
 
 @add("sample_items", "exprs", "SELECT target_id, pos FROM exprs WHERE patch_id IN (SELECT patch_id FROM (SELECT DISTINCT patch_id FROM exprs) d ORDER BY (patch_id * 7919) % 1009, patch_id LIMIT 20) ORDER BY (target_id * 31 + pos) % 1013, target_id, pos LIMIT 40")
 def sample_items(e: DataFrame) -> DataFrame:
-    patches = e.select("patch_id").distinct().orderBy((c("patch_id") * 7919) % 1009, "patch_id").limit(20)
-    items = e.join(patches, "patch_id", "left_semi")
-    return items.orderBy((c("target_id") * 31 + c("pos")) % 1013, "target_id", "pos").limit(40).select("target_id", "pos")
+    order = [(c("target_id") * 31 + c("pos")) % 1013, "target_id", "pos"]
+    return s.sample_items(e, "patch_id", 20, 40, (c("patch_id") * 7919) % 1009, order).select("target_id", "pos")
 
 
-@add("limit_rows", "exprs")
+@add("limit_rows", "exprs", "SELECT least(25, count(*)) AS n, least(25, count(*)) AS known FROM exprs")
 def limit_rows(e: DataFrame) -> DataFrame:
-    return e.select("target_id", "pos").limit(25)
+    """How many rows a limit gives, and how many of them are rows of the table: which rows they are is open."""
+    some = s.limit_rows(e.select("target_id", "pos"), 25)
+    known = some.join(e.select("target_id", "pos").distinct().withColumn("is_known", F.lit(1)), ["target_id", "pos"], "left")
+    return known.agg(F.count("*").alias("n"), F.count("is_known").alias("known"))
 
 
 # ---- sets
@@ -252,15 +245,6 @@ def limit_rows(e: DataFrame) -> DataFrame:
 _SETS = [("iSAID", "P"), ("LoveDA", "L"), ("DeepGlobe", "D")]
 
 
-def combine_datasets(parts: dict[str, DataFrame], exclude: tuple[str, ...] = ()) -> DataFrame:
-    """The named tables as one, with their names; columns that a table lacks are null."""
-    kept = [df.withColumn("dataset", F.lit(k)) for k, df in parts.items() if k not in exclude]
-    out = kept[0]
-    for df in kept[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out
-
-
 def parts_of(f: DataFrame) -> dict[str, DataFrame]:
     cols = {"iSAID": ["file_id", "name"], "LoveDA": ["file_id", "split"], "DeepGlobe": ["file_id", "name", "split"]}
     return {k: f.filter(F.startswith("name", F.lit(x))).select(*cols[k]) for k, x in _SETS}
@@ -271,27 +255,27 @@ _UNION = """SELECT file_id, CASE WHEN domain <> 'LoveDA' THEN name END AS name,
 
 @add("combine_datasets", "files", _UNION)
 def all_datasets(f: DataFrame) -> DataFrame:
-    return combine_datasets(parts_of(f))
+    return s.combine_datasets(parts_of(f))
 
 
 @add("combine_exclude", "files", f"{_UNION} WHERE domain <> 'DeepGlobe'")
 def some_datasets(f: DataFrame) -> DataFrame:
-    return combine_datasets(parts_of(f), ("DeepGlobe",))
+    return s.combine_datasets(parts_of(f), ("DeepGlobe",))
 
 
 @add("all_splits", "files", "SELECT file_id, split FROM files")
 def all_splits(f: DataFrame) -> DataFrame:
-    return f.filter("split = 'train'").unionByName(f.filter("split = 'val'")).select("file_id", "split")
+    return s.combine(f.filter("split = 'train'"), f.filter("split = 'val'")).select("file_id", "split")
 
 
 @add("distinct_categories", "objects", "SELECT DISTINCT category FROM objects")
 def distinct_categories(o: DataFrame) -> DataFrame:
-    return o.select("category").distinct()
+    return s.distinct_values(o, "category")
 
 
 @add("missing_classes", "pixels", "SELECT class_id FROM (SELECT unnest(range(0, 12)) AS class_id) e WHERE class_id NOT IN (SELECT class_id FROM pixels)")
 def missing_classes(x: DataFrame) -> DataFrame:
-    return x.sparkSession.range(12).select(c("id").alias("class_id")).join(x.select("class_id").distinct(), "class_id", "left_anti")
+    return s.missing_values(x.sparkSession.range(12).select(c("id").alias("class_id")), x, "class_id")
 
 
 # ---- names
