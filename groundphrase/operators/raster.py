@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundphrase.operators.graph import components
+from groundphrase.operators.graph import components_within
+from groundphrase.operators.lineage import cut
 
 CHANNELS = ("b", "g", "r")
 #: Rows of the sepia matrix for b, g and r from b, g and r.
@@ -47,16 +49,18 @@ def _uniform(seed: int, *ids: str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(1 << 30)) + 0.5) / float(1 << 30)
 
 
-def film_grain(pixels: DataFrame, intensity: float = 0.1, seed: int = 1, value: str = "v") -> DataFrame:
-    """Gaussian noise of 255 * intensity, the same for a pixel under any partitioning."""
+def film_grain(pixels: DataFrame, intensity: float = 0.1, seed: int = 1, value: str = "v", draws: tuple[Column, Column] | None = None) -> DataFrame:
+    """Gaussian noise of 255 * intensity, the same for a pixel under any partitioning; draws: two numbers in (0, 1) of a
+    pixel instead of hashes."""
     ids = ("image_id", "x", "y")
-    noise = F.sqrt(-2 * F.log(_uniform(seed, *ids))) * F.cos(2 * math.pi * _uniform(seed + 1, *ids))
-    return pixels.withColumn("out", byte(F.col(value) + noise * 255 * intensity))
+    one, two = draws or (_uniform(seed, *ids), _uniform(seed + 1, *ids))
+    return pixels.withColumn("out", byte(F.col(value) + F.sqrt(-2 * F.log(one)) * F.cos(2 * math.pi * two) * 255 * intensity))
 
 
-def uniform_noise(pixels: DataFrame, seed: int = 1, value: str = "v", top: int = 50) -> DataFrame:
-    add = F.pmod(F.xxhash64(F.lit(seed), "image_id", "x", "y"), F.lit(top))
-    return pixels.withColumn("out", F.least(F.lit(255), F.col(value) + add).cast("int"))
+def uniform_noise(pixels: DataFrame, seed: int = 1, value: str = "v", top: int = 50, draw: Column | None = None) -> DataFrame:
+    """Adds 0..top - 1, by a hash of the pixel or another whole number that is not negative."""
+    number = F.xxhash64(F.lit(seed), "image_id", "x", "y") if draw is None else draw
+    return pixels.withColumn("out", F.least(F.lit(255), F.col(value) + F.pmod(number, F.lit(top))).cast("int"))
 
 
 def moments(pixels: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
@@ -158,6 +162,15 @@ def overlay(pixels: DataFrame, mask: DataFrame, alpha: float = 0.4, colour: tupl
     return d.withColumns(out).drop("_on")
 
 
+def highlight(pixels: DataFrame, boxes: DataFrame, colour: tuple[int, int, int] = (0, 0, 255), thick: int = 2) -> DataFrame:
+    """Channels o_* with the outlines of boxes (image_id, xmin, ymin, xmax, ymax; ends excluded) drawn inside them, `thick`
+    pixels wide. The outline's pixels are made from the box and met by an equi-join."""
+    span = lambda lo, hi: F.explode(F.sequence(F.col(lo), F.col(hi) - 1))
+    near = lambda p, lo, hi: (F.col(p) < F.col(lo) + thick) | (F.col(p) >= F.col(hi) - thick)
+    cells = boxes.filter("xmin < xmax and ymin < ymax").withColumn("x", span("xmin", "xmax")).withColumn("y", span("ymin", "ymax"))
+    return overlay(pixels, cells.filter(near("x", "xmin", "xmax") | near("y", "ymin", "ymax")), 1.0, colour)
+
+
 def pack(pixels: DataFrame) -> DataFrame:
     """(image_id, width, height, data): pixels as rows of b, g, r bytes, the layout of Spark's image source."""
     cell = F.struct("y", "x", F.concat(*[F.lpad(F.hex(F.col(c).cast("bigint")), 2, "0") for c in CHANNELS]).alias("h"))
@@ -166,10 +179,10 @@ def pack(pixels: DataFrame) -> DataFrame:
 
 
 def unpack(images: DataFrame) -> DataFrame:
-    """Pixels of packed pictures."""
+    """Pixels of packed pictures. Bytes are taken by their place, so a pixel costs the same in any picture."""
     at = F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i")
-    d = images.select("image_id", "width", F.hex("data").alias("h"), at)
-    value = lambda k: F.conv(F.substring(F.col("h"), F.col("i") * 6 + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    d = images.select("image_id", "width", "data", at)
+    value = lambda k: F.conv(F.hex(F.substring(F.col("data"), F.col("i") * 3 + k + 1, F.lit(1))), 16, 10).cast("int")
     return d.select("image_id", (F.col("i") % F.col("width")).cast("int").alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"),
                     *[value(k).alias(c) for k, c in enumerate(CHANNELS)])
 
@@ -204,58 +217,105 @@ def mask_stats(mask: DataFrame, key: list[str], source_area: Column | None = Non
     return out.withColumn("is_cutoff", (F.col("area") / source_area < share) & (F.col("area") < least))
 
 
-def rasterize(polygons: DataFrame) -> DataFrame:
-    """(polygon_id, x, y): pixels whose centres lie inside a polygon (even-odd rule), and which the image holds.
+def rasterize_runs(polygons: DataFrame) -> DataFrame:
+    """(polygon_id, y, x0, x1): runs x0..x1 - 1 of pixels whose centres lie inside a polygon (even-odd rule), and which the
+    image holds. Edges meet the rows that they cross, and the cuts of a row are paired in order.
 
     polygons: polygon_id, points (x0, y0, x1, y1, ...), width, height. A boundary rule of its own: a centre on an edge
     belongs to the pixel right of or below it. Fewer than three points give no pixels."""
+    n = F.floor(F.size("points") / 2).cast("int")
+    point = lambda i: F.struct(F.get("points", 2 * i).alias("x"), F.get("points", 2 * i + 1).alias("y"))
+    edge = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(point(i).alias("p"), point((i + 1) % n).alias("q")))
+    e = polygons.filter(n >= 3).select("polygon_id", "width", "height", F.explode(edge).alias("e")).select("polygon_id", "width", "height", "e.*")
+    low, high = F.least("p.y", "q.y"), F.greatest("p.y", "q.y")
+    first, last = F.greatest(F.lit(0), F.floor(low)).cast("int"), F.least(F.col("height"), F.ceil(high)).cast("int") - 1
+    rows = e.filter(first <= last).withColumn("y", F.explode(F.sequence(first, last)))
+    cy = F.col("y") + 0.5
+    crossed = rows.filter((F.col("p.y") <= cy) != (F.col("q.y") <= cy))
+    at = F.col("p.x") + (cy - F.col("p.y")) * (F.col("q.x") - F.col("p.x")) / (F.col("q.y") - F.col("p.y"))
+    cuts = crossed.groupBy("polygon_id", "y", "width").agg(F.sort_array(F.collect_list(at)).alias("c"))
+    end = lambda i, hi: F.ceil(F.get("c", i) - 0.5).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("c") / 2).cast("int") - 1), lambda i: F.struct(
+        F.greatest(F.lit(0), end(2 * i, 0)).alias("x0"), F.least(F.col("width"), end(2 * i + 1, 0)).alias("x1")))
+    return cuts.select("polygon_id", "y", F.explode(pairs).alias("r")).select("polygon_id", "y", "r.*").filter("x0 < x1")
 
-    def fill(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                pts = [] if row.points is None else list(zip(row.points[::2], row.points[1::2], strict=False))
-                if len(pts) < 3:
-                    continue
-                for y in range(max(0, math.floor(min(p[1] for p in pts))), min(row.height, math.ceil(max(p[1] for p in pts)))):
-                    cy, cuts = y + 0.5, []
-                    for (x0, y0), (x1, y1) in zip(pts, pts[1:] + pts[:1], strict=True):
-                        if (y0 <= cy) != (y1 <= cy):
-                            cuts.append(x0 + (cy - y0) * (x1 - x0) / (y1 - y0))
-                    cuts.sort()
-                    for a, b in zip(cuts[::2], cuts[1::2], strict=False):
-                        out += [(row.polygon_id, x, y) for x in range(max(0, math.ceil(a - 0.5)), min(row.width, math.ceil(b - 0.5)))]
-            yield pd.DataFrame(out, columns=["polygon_id", "x", "y"])
-
-    return polygons.select("polygon_id", "points", "width", "height").mapInPandas(fill, "polygon_id long, x int, y int")
+
+def rasterize(polygons: DataFrame) -> DataFrame:
+    """(polygon_id, x, y) of rasterize_runs()."""
+    return rasterize_runs(polygons).select("polygon_id", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "y")
+
+
+def shape_stats(mask: DataFrame, key: list[str]) -> DataFrame:
+    """(key, area, aspect, solidity) of components' pixels: width by height of the box, and the area by that of the convex hull
+    of the pixels' centres (0 for a hull without area). Hulls are made from the ends of a component's rows."""
+    ends = mask.groupBy(*key, "y").agg(F.count("*").alias("n"), F.min("x").alias("x1"), F.max("x").alias("x2"))
+
+    def hulls(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = sorted({(float(x), float(y)) for y, a, b in zip(pdf["y"], pdf["x1"], pdf["x2"], strict=True) for x in (a, b)})
+        chain: list[list] = []
+        for side in (points, points[::-1]):
+            out: list[tuple[float, float]] = []
+            for p in side:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                    out.pop()
+                out.append(p)
+            chain.append(out[:-1])
+        hull = chain[0] + chain[1]
+        double = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1], strict=True))
+        area = int(pdf["n"].sum())
+        width, height = pdf["x2"].max() - pdf["x1"].min() + 1, pdf["y"].max() - pdf["y"].min() + 1
+        row = [pdf[k].iloc[0] for k in key] + [area, width / height, 2 * area / abs(double) if double else 0.0]
+        return pd.DataFrame([row], columns=[*key, "area", "aspect", "solidity"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mask.schema if f.name in key)
+    return ends.groupBy(*key).applyInPandas(hulls, f"{kinds}, area long, aspect double, solidity double").select(*key, "area", "aspect", "solidity")
+
+
+def _shifted(a: np.ndarray, dx: int, dy: int, fill: bool) -> np.ndarray:
+    """a moved by (dx, dy); what comes in from outside is `fill`."""
+    out = np.full_like(a, fill)
+    h, w = a.shape
+    if abs(dx) < w and abs(dy) < h:
+        out[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)] = a[max(0, -dy) : h + min(0, -dy), max(0, -dx) : w + min(0, -dx)]
+    return out
 
 
 def _offsets(radius: int) -> list[tuple[int, int]]:
     return [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
 
 
-def _spread(mask: DataFrame, key: list[str], radius: int, width: int, height: int) -> DataFrame:
-    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in _offsets(radius)])
-    d = mask.select(*key, "x", "y", F.explode(steps).alias("o")).select(*key, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    return d.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+def morph(mask: DataFrame, key: list[str], steps: list[tuple[str, int]], width: int, height: int) -> DataFrame:
+    """(key, x, y) after some steps ("dilate" or "erode", radius of a disc), one shuffle by mask. A mask is a picture of width by
+    height pixels, held as such; what lies outside it is passed over. Erosion counts what is outside the picture as mask."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros((height, width), bool)
+        inside = pdf["x"].between(0, width - 1) & pdf["y"].between(0, height - 1)
+        on[pdf["y"][inside], pdf["x"][inside]] = True
+        for step, radius in steps:
+            moved = [_shifted(on, dx, dy, step == "erode") for dx, dy in _offsets(radius)]
+            on = np.logical_or.reduce(moved) if step == "dilate" else np.logical_and.reduce(moved)
+        ys, xs = np.nonzero(on)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(xs) for k in key}, "x": xs, "y": ys})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mask.select(*key).schema)
+    return mask.select(*key, "x", "y").groupBy(*key).applyInPandas(work, f"{kinds}, x int, y int")
 
 
 def dilate(mask: DataFrame, key: list[str], radius: int, width: int, height: int) -> DataFrame:
-    return _spread(mask, key, radius, width, height).distinct()
+    return morph(mask, key, [("dilate", radius)], width, height)
 
 
 def erode(mask: DataFrame, key: list[str], radius: int, width: int, height: int) -> DataFrame:
-    """Pixels all of whose neighbours inside the image are in the mask: what is outside counts as mask."""
-    inside = sum((((F.col("x") + a).between(0, width - 1) & (F.col("y") + b).between(0, height - 1)).cast("int") for a, b in _offsets(radius)), F.lit(0))
-    return _spread(mask, key, radius, width, height).groupBy(*key, "x", "y").agg(F.count("*").alias("_n")).filter(F.col("_n") == inside).drop("_n")
+    return morph(mask, key, [("erode", radius)], width, height)
 
 
 def opening(mask: DataFrame, key: list[str], radius: int, width: int, height: int) -> DataFrame:
-    return dilate(erode(mask, key, radius, width, height), key, radius, width, height)
+    return morph(mask, key, [("erode", radius), ("dilate", radius)], width, height)
 
 
 def closing(mask: DataFrame, key: list[str], radius: int, width: int, height: int) -> DataFrame:
-    return erode(dilate(mask, key, radius, width, height), key, radius, width, height)
+    return morph(mask, key, [("dilate", radius), ("erode", radius)], width, height)
 
 
 def mask_components(mask: DataFrame, key: list[str], stride: int = 1 << 16) -> DataFrame:
@@ -269,14 +329,15 @@ def mask_components(mask: DataFrame, key: list[str], stride: int = 1 << 16) -> D
     runs = runs.withColumn("node", (F.col(k).cast("bigint") * stride + F.col("y")) * stride + F.col("x1"))
     up = runs.select(k, (F.col("y") + 1).alias("y"), F.col("x1").alias("u1"), F.col("x2").alias("u2"), F.col("node").alias("up"))
     edges = runs.join(up, [k, "y"]).filter((F.col("x1") <= F.col("u2") + 1) & (F.col("u1") <= F.col("x2") + 1))
-    found = components(edges.select(F.col("node").alias("a"), F.col("up").alias("b")))
+    found = components_within(edges.select(k, F.col("node").alias("a"), F.col("up").alias("b")), k)
     named = runs.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return named.select(k, F.explode(F.sequence("x1", "x2")).alias("x"), "y", "component")
 
 
 def clean_mask(mask: DataFrame, key: str, radius_open: int, radius_close: int, least: int, width: int, height: int) -> DataFrame:
     """Opening, closing, and removal of components below `least` pixels."""
-    m = closing(opening(mask, [key], radius_open, width, height), [key], radius_close, width, height)
+    steps = [("erode", radius_open), ("dilate", radius_open), ("dilate", radius_close), ("erode", radius_close)]
+    m = cut(morph(mask, [key], steps, width, height))  # runs and their edges both read it
     parts = mask_components(m, [key])
     big = parts.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return parts.join(big.select("component"), "component", "left_semi").select(key, "x", "y")

@@ -46,14 +46,19 @@ def raster_contrast_gamma(x: DataFrame) -> DataFrame:
     return ra.contrast_gamma(grays(x), 0.85, 1.1).select("image_id", "x", "y", "out")
 
 
-@add("raster_grain", "pixels")
+#: Two numbers of a pixel that look random: the queries take them in place of hashes, so that SQL can follow.
+_DRAWS = ["(image_id * 7919 + x * 104729 + y * 1299709) % 1009", "(image_id * 104723 + x * 7907 + y * 15485863) % 1013"]
+
+
+@add("raster_grain", "pixels", f"""SELECT image_id, x, y, {_BYTE.format(x=f'v + sqrt(-2 * ln(({_DRAWS[0]} + 0.5) / 1009.0)) * cos(2 * 3.141592653589793 * (({_DRAWS[1]} + 0.5) / 1013.0)) * 255 * 0.1')} AS out FROM grays""")
 def raster_grain(x: DataFrame) -> DataFrame:
-    return ra.film_grain(grays(x)).select("image_id", "x", "y", "out")
+    draws = tuple((F.expr(d) + 0.5) / float(m) for d, m in zip(_DRAWS, (1009, 1013), strict=True))
+    return ra.film_grain(grays(x), draws=draws).select("image_id", "x", "y", "out")
 
 
-@add("raster_noise", "pixels")
+@add("raster_noise", "pixels", f"SELECT image_id, x, y, CAST(least(255, v + {_DRAWS[0]} % 50) AS INT) AS out FROM grays")
 def raster_noise(x: DataFrame) -> DataFrame:
-    return ra.uniform_noise(grays(x)).select("image_id", "x", "y", "out")
+    return ra.uniform_noise(grays(x), draw=F.expr(_DRAWS[0])).select("image_id", "x", "y", "out")
 
 
 _SEPIA = ", ".join(f"least(255, CAST(floor(round({' + '.join(f'{k} * {ch}' for k, ch in zip(row, 'bgr', strict=True))} + 0.5, 6)) AS INT)) AS s_{n}" for n, row in zip("bgr", ra.SEPIA, strict=True))
@@ -87,7 +92,25 @@ def raster_moment_transfer(x: DataFrame) -> DataFrame:
     return ra.moment_transfer(x, to.join(bank_of(x), "domain").drop("domain", "num_images")).select("image_id", "x", "y", "t_b", "t_g", "t_r")
 
 
-@add("raster_lab_transfer", "pixels")
+_LIN = "CASE WHEN {k} / 255.0 > 0.04045 THEN pow(({k} / 255.0 + 0.055) / 1.055, 2.4) ELSE {k} / 255.0 / 12.92 END"
+_CUBE = "CASE WHEN {v} > 0.008856 THEN pow({v}, 1.0 / 3) ELSE 7.787 * {v} + 16 / 116.0 END"
+_BACK = "CASE WHEN {v} > 0.206893 THEN pow({v}, 3) ELSE ({v} - 16 / 116.0) / 7.787 END"
+_GAM = "CASE WHEN {v} > 0.0031308 THEN 1.055 * pow({v}, 1 / 2.4) - 0.055 ELSE 12.92 * ({v}) END"
+pictures.part("linear", f"SELECT image_id, x, y, {', '.join(_LIN.format(k=k) + f' AS {k}' for k in 'bgr')} FROM (SELECT image_id, x, y, CAST(b AS DOUBLE) AS b, CAST(g AS DOUBLE) AS g, CAST(r AS DOUBLE) AS r FROM pixels) q")
+pictures.part("xyz", """SELECT image_id, x, y, (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456 AS cx, 0.212671 * r + 0.715160 * g + 0.072169 * b AS cy,
+ (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.088754 AS cz FROM linear""")
+pictures.part("cubes", f"SELECT image_id, x, y, {', '.join(_CUBE.format(v=f'c{k}') + f' AS f{k}' for k in 'xyz')} FROM xyz")
+pictures.part("lab", "SELECT image_id, x, y, 116 * fy - 16 AS l, 500 * (fx - fy) AS a_, 200 * (fy - fz) AS b_ FROM cubes")
+pictures.part("lab_moments", "SELECT image_id, " + ", ".join(f"avg({k}) AS m_{k}, stddev_pop({k}) AS s_{k}" for k in ("l", "a_", "b_")) + " FROM lab GROUP BY image_id")
+pictures.part("lab_moved", "SELECT p.image_id, p.x, p.y, " + ", ".join(f"CASE WHEN o.s_{k} > 0 THEN (p.{k} - o.m_{k}) / o.s_{k} * t.s_{k} + t.m_{k} ELSE p.{k} END AS {k}" for k in ("l", "a_", "b_"))
+              + " FROM lab p JOIN lab_moments o ON o.image_id = p.image_id JOIN lab_moments t ON t.image_id = p.image_id + 1")
+pictures.part("lab_back", "SELECT image_id, x, y, (l + 16) / 116 + a_ / 500 AS fx, (l + 16) / 116 AS fy, (l + 16) / 116 - b_ / 200 AS fz FROM lab_moved")
+pictures.part("xyz_back", f"SELECT image_id, x, y, {_BACK.format(v='fx')} AS ux, {_BACK.format(v='fy')} AS uy, {_BACK.format(v='fz')} AS uz FROM lab_back")
+pictures.part("rgb_back", """SELECT image_id, x, y, 3.240479 * (ux * 0.950456) - 1.53715 * uy - 0.498535 * (uz * 1.088754) AS r, -0.969256 * (ux * 0.950456) + 1.875991 * uy + 0.041556 * (uz * 1.088754) AS g,
+ 0.055648 * (ux * 0.950456) - 0.204043 * uy + 1.057311 * (uz * 1.088754) AS b FROM xyz_back""")
+
+
+@add("raster_lab_transfer", "pixels", "SELECT image_id, x, y, " + ", ".join(f"CAST(floor(round(greatest(0.0, least(255.0, ({_GAM.format(v=k)}) * 255)) + 0.5, 6)) AS INT) AS t_{k}" for k in "bgr") + " FROM rgb_back")
 def raster_lab_transfer(x: DataFrame) -> DataFrame:
     m = ra.moments(ra.to_lab(x), ("l", "a_", "b_"))
     bank = m.withColumn("image_id", c("image_id") - 1)
@@ -161,11 +184,32 @@ def mask_stats(x: DataFrame) -> DataFrame:
     return ra.mask_stats(x, ["image_id", "class_id"], 100.0 + c("class_id") * 20, 0.5, 60)
 
 
-@add("raster_polygons", "objects")
+pictures.part("scanlines", "SELECT object_id, xmin, ymin, xmax, ymax, unnest(range(ymin, least(480, ymax))) AS y FROM objects")
+
+
+@add("raster_polygons", "objects", """SELECT object_id AS polygon_id, CAST(sum(w) AS BIGINT) AS area FROM (SELECT object_id, least(480, xmax) - CAST(ceil(xmax + (y + 0.5 - ymax) * (xmin - xmax) / CAST(ymin - ymax AS DOUBLE) - 0.5) AS BIGINT) AS w
+ FROM scanlines) q WHERE w > 0 GROUP BY object_id""")
 def raster_polygons(o: DataFrame) -> DataFrame:
     pts = F.array(*[c(k).cast("double") for k in ("xmin", "ymin", "xmax", "ymin", "xmax", "ymax")])
-    pixels = ra.rasterize(o.select(c("object_id").alias("polygon_id"), pts.alias("points"), F.lit(480).alias("width"), F.lit(480).alias("height")))
-    return pixels.groupBy("polygon_id").agg(F.count("*").alias("area"))
+    runs = ra.rasterize_runs(o.select(c("object_id").alias("polygon_id"), pts.alias("points"), F.lit(480).alias("width"), F.lit(480).alias("height")))
+    return runs.groupBy("polygon_id").agg(F.sum(c("x1") - c("x0")).alias("area"))
+
+
+@add("component_shapes", "pixels", """SELECT image_id * 100 + class_id AS mask, count(*) AS area, round((max(x) - min(x) + 1) / CAST(max(y) - min(y) + 1 AS DOUBLE), 6) AS aspect,
+ max(x) > min(x) AND max(y) > min(y) AS has_hull FROM pixels GROUP BY image_id, class_id""")
+def component_shapes(x: DataFrame) -> DataFrame:
+    """Shapes of whole class masks; hulls are held against brute force in the tests."""
+    s = ra.shape_stats(of_class(x), ["mask"])
+    return s.select("mask", "area", F.round("aspect", 6).alias("aspect"), (c("solidity") > 0).alias("has_hull"))
+
+
+pictures.part("marked", """SELECT p.image_id, p.x, p.y FROM pixels p WHERE (p.x BETWEEN 4 AND 14 AND p.y BETWEEN 6 AND 16) AND (p.x < 6 OR p.x >= 13 OR p.y < 8 OR p.y >= 15)""")
+
+
+@add("raster_highlight", "pixels", "SELECT p.image_id, p.x, p.y, CASE WHEN m.x IS NULL THEN p.r ELSE 255 END AS o_r, CASE WHEN m.x IS NULL THEN p.b ELSE 0 END AS o_b FROM pixels p LEFT JOIN marked m ON m.image_id = p.image_id AND m.x = p.x AND m.y = p.y")
+def raster_highlight(x: DataFrame) -> DataFrame:
+    boxes = x.select("image_id").distinct().selectExpr("image_id", "4 AS xmin", "6 AS ymin", "15 AS xmax", "17 AS ymax")
+    return ra.highlight(x, boxes).select("image_id", "x", "y", "o_r", "o_b")
 
 
 pictures.part("plus_shape", "SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy)")
@@ -188,7 +232,15 @@ def mask_components(x: DataFrame) -> DataFrame:
     return parts.groupBy("mask", "n").agg(F.count("*").alias("parts"))
 
 
-@add("clean_mask", "pixels")
+pictures.part("opened", "SELECT DISTINCT e.image_id, e.class_id, CAST(e.x + o.dx AS INT) AS x, CAST(e.y + o.dy AS INT) AS y FROM eroded e JOIN plus_shape o ON e.x + o.dx BETWEEN 0 AND 19 AND e.y + o.dy BETWEEN 0 AND 19")
+pictures.part("grown", "SELECT DISTINCT e.image_id, e.class_id, CAST(e.x + o.dx AS INT) AS x, CAST(e.y + o.dy AS INT) AS y FROM opened e JOIN plus_shape o ON e.x + o.dx BETWEEN 0 AND 19 AND e.y + o.dy BETWEEN 0 AND 19")
+pictures.part("closed", """SELECT p.image_id, p.class_id, p.x, p.y FROM grown p JOIN plus_shape o ON p.x + o.dx BETWEEN 0 AND 19 AND p.y + o.dy BETWEEN 0 AND 19
+ LEFT JOIN grown n ON n.image_id = p.image_id AND n.class_id = p.class_id AND n.x = p.x + o.dx AND n.y = p.y + o.dy GROUP BY ALL HAVING count(*) = count(n.x)""")
+pictures.part("closed_arcs", "SELECT a.image_id, a.class_id, a.x * 20 + a.y AS a, b.x * 20 + b.y AS b FROM closed a JOIN closed b ON a.image_id = b.image_id AND a.class_id = b.class_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1")
+pictures.part("closed_reach", "/* RECURSIVE */ SELECT image_id, class_id, a, b FROM closed_arcs UNION SELECT r.image_id, r.class_id, r.a, e.b FROM closed_reach r JOIN closed_arcs e ON e.image_id = r.image_id AND e.class_id = r.class_id AND e.a = r.b")
+
+
+@add("clean_mask", "pixels", """SELECT image_id * 100 + class_id AS mask, CAST(floor(a / 20.0) AS INT) AS x, CAST(a % 20 AS INT) AS y FROM closed_reach GROUP BY image_id, class_id, a HAVING count(*) >= 10""")
 def clean_mask(x: DataFrame) -> DataFrame:
     return ra.clean_mask(of_class(x), "mask", 1, 1, 10, 20, 20)
 
