@@ -90,7 +90,35 @@ def add_missing_class_group(groups: DataFrame, class_pixels: DataFrame, name: st
     return groups.unionByName(new)
 
 
-def samples(exprs: DataFrame, objects: DataFrame) -> DataFrame:
-    """One row per target and phrase, with the target's box; groups have none of their own here."""
-    one = exprs.filter("target_kind = 'individual'").join(objects.select(F.col("object_id").alias("target_id"), "category", "xmin", "ymin", "xmax", "ymax"), "target_id")
-    return one.unionByName(exprs.filter("target_kind = 'group'"), allowMissingColumns=True)
+def samples(exprs: DataFrame, objects: DataFrame, groups: DataFrame | None = None, patch: str = "patch_id") -> DataFrame:
+    """One row per target and phrase, with the target's class, box and mask (if objects have one). A group's box is that of
+    its members (groups: patch, group_id, instance_ids, and category, mask, size, grid_position, centroid where known);
+    without groups it has none."""
+    box, key = ("xmin", "ymin", "xmax", "ymax"), [patch, "target_id"]
+    more = lambda df, *names: [x for x in names if x in df.columns]
+    own = objects.select(patch, F.col("object_id").alias("target_id"), "category", *box, *more(objects, "mask", "possible_colours", "grid_position"))
+    one = exprs.filter("target_kind = 'individual'").join(own, key)
+    several = exprs.filter("target_kind = 'group'")
+    if groups is not None:
+        inside = groups.select(patch, F.col("group_id").alias("target_id"), F.explode("instance_ids").alias("object_id"))
+        ends = inside.join(objects.select(patch, "object_id", *box), [patch, "object_id"]).groupBy(*key).agg(
+            *[f(c).alias(c) for c, f in zip(box, (F.min, F.min, F.max, F.max), strict=True)]
+        )
+        told = groups.withColumnRenamed("group_id", "target_id").select(*key, "instance_ids", *more(groups, "category", "mask", "size", "grid_position", "centroid"))
+        several = several.join(told, key, "left").join(ends, key, "left")
+    return one.unionByName(several, allowMissingColumns=True)
+
+
+def described_boxes(docs: DataFrame, annotations: DataFrame, split: str, fallback: str = "the object in the image") -> DataFrame:
+    """(image_id, bbox, segmentation, description): annotations of the split's images, described by the first object of the
+    image's document with exactly this box and a description, else by the fallback.
+
+    docs: image_id, split, object array<struct<bndbox, description>>; annotations: annotations array<struct<image_id, bbox
+    (corners), segmentation array>>, of which the last of an image counts; the first mask of it is taken."""
+    a = annotations.select(F.posexplode("annotations").alias("n", "a")).select("n", "a.*")
+    last = a.groupBy("image_id").agg(F.max_by(F.struct("bbox", "segmentation"), "n").alias("a")).select("image_id", "a.*")
+    d = docs.filter((F.col("split") == split) & F.col("image_id").isNotNull()).join(last, "image_id")
+    corners = lambda o: F.array(*[o["bndbox"][x] for x in ("xmin", "ymin", "xmax", "ymax")])
+    fits = F.filter("object", lambda o: (corners(o) == F.col("bbox")) & (F.coalesce(o["description"], F.lit("")) != ""))
+    said = F.coalesce(F.get(fits, F.lit(0))["description"], F.lit(fallback))
+    return d.select("image_id", "bbox", F.get("segmentation", F.lit(0)).alias("segmentation"), said.alias("description"))

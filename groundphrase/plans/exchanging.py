@@ -122,6 +122,24 @@ def xml_documents(o: DataFrame) -> DataFrame:
     return documents_of(o).select("patch_id", "filename", F.size("object").cast("bigint").alias("n"), F.array_min(c("object")["id"]).alias("first_id"))
 
 
+def tables_of(e: DataFrame, o: DataFrame) -> dict[str, DataFrame]:
+    """Objects, groups and phrases under the names of their patches' files."""
+    name = F.concat(F.lit("P"), "patch_id", F.lit(".png")).alias("filename")
+    patches = o.select("patch_id").distinct().select(name, F.lit(480).alias("width"), F.lit(480).alias("height"))
+    said = e.select(name, "target_kind", "target_id", "pos", "expr_type", "text", (c("pos") % 3 == 1).alias("is_dummy"))
+    objects = o.select(name, "*").withColumn("mask", F.concat(F.lit("m"), "object_id"))
+    return {"patches": patches, "objects": objects, "groups": groups_of(e, o).select(name, "*"), "expressions": said}
+
+
+@add("xml_expressions", "exprs objects", """SELECT 'P' || e.patch_id || '.png' AS filename, e.target_kind, e.target_id, e.pos, e.expr_type, e.text, e.pos % 3 = 1 AS is_dummy FROM exprs e
+ WHERE e.target_kind = 'group' AND EXISTS (SELECT 1 FROM objects g WHERE g.patch_id = e.patch_id AND g.pos < 5) OR e.target_kind = 'individual' AND e.target_id IN (SELECT object_id FROM objects)""")
+def xml_expressions(e: DataFrame, o: DataFrame) -> DataFrame:
+    """Phrases of objects and groups, written as XML documents and parsed again."""
+    docs = si.full_documents(tables_of(e, o))
+    text = docs.select(F.to_xml(F.struct(*docs.columns), {"rowTag": "annotation"}).alias("t"))
+    return rd.explode_documents(text.select(F.from_xml("t", rd.FULL).alias("d")).select("d.*"))["expressions"].withColumn("pos", c("pos").cast("int"))
+
+
 @add("scan_xml_objects", "objects", "SELECT 'P' || patch_id || '.png' AS filename, object_id, category, xmin, ymin, xmax, ymax, is_cutoff FROM objects")
 def scan_xml_objects(o: DataFrame) -> DataFrame:
     """Each patch as an XML document, parsed again."""
@@ -129,9 +147,35 @@ def scan_xml_objects(o: DataFrame) -> DataFrame:
     return rd.explode_annotations(text.select(F.from_xml("t", rd.ANNOTATION).alias("d")).select("d.*"))
 
 
-@add("samples_from_annotations", "exprs objects", "SELECT e.patch_id, e.target_id, e.pos, e.text, o.category, o.xmin, o.ymax FROM exprs e LEFT JOIN objects o ON e.target_kind = 'individual' AND o.object_id = e.target_id")
+exchanging.part("first_five", "SELECT patch_id, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM objects WHERE pos < 5 GROUP BY patch_id")
+
+
+def groups_of(e: DataFrame, o: DataFrame) -> DataFrame:
+    """The group targets of the phrases; the first five objects of a patch stand for their members."""
+    members = o.filter("pos < 5").groupBy("patch_id").agg(F.sort_array(F.collect_list("object_id")).alias("instance_ids"))
+    return e.filter("target_kind = 'group'").select("patch_id", c("target_id").alias("group_id")).distinct().join(members, "patch_id")
+
+
+@add("samples_from_annotations", "exprs objects", """SELECT e.patch_id, e.target_id, e.pos, e.text, o.category, coalesce(o.xmin, g.xmin) AS xmin, coalesce(o.ymax, g.ymax) AS ymax, 'm' || o.object_id AS mask FROM exprs e
+ LEFT JOIN objects o ON e.target_kind = 'individual' AND o.object_id = e.target_id LEFT JOIN first_five g ON e.target_kind = 'group' AND g.patch_id = e.patch_id""")
 def samples_from_annotations(e: DataFrame, o: DataFrame) -> DataFrame:
-    return ma.samples(e, o).select("patch_id", "target_id", "pos", "text", "category", "xmin", "ymax")
+    masked = o.withColumn("mask", F.concat(F.lit("m"), "object_id"))
+    return ma.samples(e, masked, groups_of(e, o)).select("patch_id", "target_id", "pos", "text", "category", "xmin", "ymax", "mask")
+
+
+@add("described_boxes", "objects", """SELECT patch_id AS image_id, CASE WHEN patch_id % 3 = 0 THEN 'the object in the image' ELSE 'box ' || object_id END AS description,
+ (xmin + CASE WHEN patch_id % 3 = 0 THEN 1 ELSE 0 END) || ',' || ymin || ',' || xmax || ',' || ymax AS bbox, 'mask ' || object_id AS segmentation FROM objects o WHERE patch_id % 2 = 0
+ AND object_id = (SELECT max(object_id) FROM objects l WHERE l.patch_id = o.patch_id)""")
+def described_boxes(o: DataFrame) -> DataFrame:
+    """Each patch as a document and an annotation file of its own; the last object's box counts, moved where patch_id % 3 = 0."""
+    thing = F.struct(F.struct("xmin", "ymin", "xmax", "ymax").alias("bndbox"), F.concat(F.lit("box "), "object_id").alias("description"))
+    docs = o.groupBy("patch_id").agg(F.collect_list(thing).alias("object"))
+    docs = docs.select(c("patch_id").alias("image_id"), F.when(c("patch_id") % 2 == 0, "val").otherwise("train").alias("split"), "object")
+    box = F.array(c("xmin") + (c("patch_id") % 3 == 0).cast("int"), "ymin", "xmax", "ymax")
+    a = F.struct("object_id", c("patch_id").alias("image_id"), box.alias("bbox"), F.array(F.concat(F.lit("mask "), "object_id"), F.lit("no")).alias("segmentation"))
+    files = o.groupBy("patch_id").agg(F.sort_array(F.collect_list(a)).alias("annotations")).select(F.to_json(F.struct("annotations")).alias("j"))
+    parsed = files.select(F.from_json("j", rd.MASKED).alias("d")).select("d.*")
+    return ma.described_boxes(docs, parsed, "val").withColumn("bbox", F.array_join(c("bbox").cast("array<string>"), ","))
 
 
 @add("scan_landcover_paths", "files", "SELECT file_id, split, left(name, 1) AS domain, 'masks' AS kind, regexp_extract(name, '^([^.]*)', 1) AS id FROM files WHERE name LIKE '%.png'")
@@ -213,9 +257,19 @@ def refcoco_counts(e: DataFrame) -> DataFrame:
     return si.refcoco_summary(si.refcoco(e))
 
 
-@add("export_samples", "exprs objects", "SELECT e.patch_id || '/' || e.target_id || '/' || e.pos AS sample_id, e.split, 'Unknown' AS domain, e.text, coalesce(o.category, '') AS category, CAST(coalesce(o.xmin, 0) AS BIGINT) AS xmin, CAST(coalesce(o.ymin, 0) AS BIGINT) AS ymin FROM exprs e LEFT JOIN objects o ON e.target_kind = 'individual' AND o.object_id = e.target_id")
+@add("export_samples", "exprs objects", """SELECT CAST(e.pos AS VARCHAR) AS expression_id, e.split, CASE WHEN e.patch_id % 2 = 0 THEN 'iSAID' ELSE 'Unknown' END AS domain_name, CASE WHEN e.patch_id % 2 = 0 THEN 0 ELSE -1 END AS domain_id,
+ e.text AS expression_text, e.target_kind AS object_type, CASE WHEN e.target_kind = 'group' THEN '' ELSE CAST(e.target_id AS VARCHAR) END AS object_id, CASE WHEN e.target_kind = 'group' THEN CAST(e.target_id AS VARCHAR) ELSE '' END AS group_id,
+ coalesce(o.category, '') AS category, coalesce(o.xmin, g.xmin, 0) AS xmin, coalesce(o.ymax, g.ymax, 0) AS ymax, coalesce((o.xmax - o.xmin) * (o.ymax - o.ymin), (g.xmax - g.xmin) * (g.ymax - g.ymin), 0) AS area,
+ CASE WHEN o.object_id IS NOT NULL THEN 'c' || o.object_id ELSE '' END AS counts, CAST(CASE WHEN g.patch_id IS NOT NULL THEN g.n ELSE 0 END AS BIGINT) AS members, coalesce((o.xmin + o.xmax) / 2.0, (g.xmin + g.xmax) / 2.0, 0) AS cx
+ FROM exprs e LEFT JOIN objects o ON e.target_kind = 'individual' AND o.object_id = e.target_id LEFT JOIN (SELECT f.*, k.n FROM first_five f JOIN (SELECT patch_id, count(*) AS n FROM objects WHERE pos < 5 GROUP BY patch_id) k ON k.patch_id = f.patch_id) g
+ ON e.target_kind = 'group' AND g.patch_id = e.patch_id""")
 def export_samples(e: DataFrame, o: DataFrame) -> DataFrame:
-    return si.published(ma.samples(e, o).withColumn("sample_id", F.concat_ws("/", "patch_id", "target_id", "pos"))).select("sample_id", "split", "domain", "text", "category", "xmin", "ymin")
+    masked = o.withColumn("mask", F.concat(F.lit('{"size":[480,480],"counts":"c'), "object_id", F.lit('"}')))
+    told = ma.samples(e, masked, groups_of(e, o)).withColumn("domain", F.when(c("patch_id") % 2 == 0, "iSAID"))
+    return si.published(told).select(
+        "expression_id", "split", "domain_name", "domain_id", "expression_text", "object_type", "object_id", "group_id", "category", "bbox.xmin", "bbox.ymax", "area",
+        "rle_mask.counts", F.size("instance_ids").cast("bigint").alias("members"), c("centroid.x").cast("double").alias("cx"),
+    )
 
 
 @add("chat_jsonl", "exprs", """SELECT target_id, pos, '{"messages":[{"role":"system","content":"s"},{"role":"user","content":"' || text || '"},{"role":"assistant","content":"' || expr_type || '"}]}' AS line FROM exprs""")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundphrase.operators.matching import described_boxes, samples
 from groundphrase.operators.selection import expr_type
 
 COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int>>,
@@ -18,9 +19,9 @@ FULL = f"""filename string, width int, height int, object array<struct<id:bigint
 bndbox:struct<xmin:int,ymin:int,xmax:int,ymax:int>,is_cutoff:boolean,grid_position:string,extreme_position:string,
 size_attribute:string,color:string,is_ambiguous:boolean,possible_colors:string,
 relationships:struct<relationship:array<struct<target_id:bigint,target_category:string,direction:string,distance:double,
-is_cutoff:boolean,is_borderline:boolean,possible_directions:string>>>,expressions:{_SAID},dummy_expression_ids:string>>,
+is_cutoff:boolean,is_borderline:boolean,possible_directions:string>>>,segmentation:string,expressions:{_SAID},dummy_expression_ids:string>>,
 groups array<struct<`group`:array<struct<id:bigint,instance_ids:string,size:int,category:string,grid_position:string,
-centroid:struct<x:double,y:double>,expressions:{_SAID}>>,
+centroid:struct<x:double,y:double>,segmentation:string,expressions:{_SAID},dummy_expression_ids:string>>,
 relationships:struct<relationship:array<struct<source_id:bigint,target_id:bigint,direction:string,distance:double>>>>>"""
 REFS = "refs array<struct<ref_id:bigint,ann_id:bigint,image_id:bigint,split:string,sentences:array<struct<sent:string>>>>"
 
@@ -50,21 +51,29 @@ def _listed(text: Column, kind: str = "string") -> Column:
     return F.split(text, r"\s*,\s*").cast(f"array<{kind}>")
 
 
-def _expressions(df: DataFrame, kind: str, said: Column, target: Column) -> DataFrame:
-    d = df.select("filename", F.lit(kind).alias("target_kind"), target.alias("target_id"), F.posexplode(said).alias("pos", "e"))
-    return d.select("filename", "target_kind", "target_id", "pos", expr_type("e._type", "e._id").alias("expr_type"), F.col("e._VALUE").alias("text"))
+def _expressions(df: DataFrame, kind: str, of: Column) -> DataFrame:
+    """Expressions of targets; dummy ones are those whose place in the list is among dummy_expression_ids."""
+    dummies = F.coalesce(_listed(of["dummy_expression_ids"], "int"), F.array().cast("array<int>"))
+    d = df.select("filename", F.lit(kind).alias("target_kind"), of["id"].alias("target_id"), dummies.alias("d"), F.posexplode(of["expressions"]["expression"]).alias("pos", "e"))
+    return d.select("filename", "target_kind", "target_id", "pos", expr_type("e._type", "e._id").alias("expr_type"), F.col("e._VALUE").alias("text"),
+                    F.array_contains("d", F.col("pos")).alias("is_dummy"))
 
 
 def read_annotations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """patches, objects, relations, groups, group_relations and expressions of annotation XML.
+    """The tables of annotation XML, see explode_documents()."""
+    return explode_documents(spark.read.option("rowTag", "annotation").schema(FULL).xml(path))
+
+
+def explode_documents(docs: DataFrame) -> dict[str, DataFrame]:
+    """patches, objects, relations, groups, group_relations and expressions of documents of the schema FULL.
 
     Of several group lists of a patch the first counts. Relations have one row as they are written; expressions have
-    their place in the list as pos, and their type from their attributes."""
-    docs = spark.read.option("rowTag", "annotation").schema(FULL).xml(path)
+    their place in the list as pos, and their type from their attributes. mask is the text of a segmentation."""
     o = docs.select("filename", F.explode("object").alias("o"))
     objects = o.select(
         "filename", F.col("o.id").alias("object_id"), F.col("o.name").alias("category"), "o.bndbox.*", "o.is_cutoff", "o.grid_position",
         "o.extreme_position", "o.size_attribute", F.col("o.color").alias("colour"), "o.is_ambiguous", _listed(F.col("o.possible_colors")).alias("possible_colours"),
+        F.col("o.segmentation").alias("mask"),
     )
     relations = o.select("filename", F.col("o.id").alias("object_id"), F.explode("o.relationships.relationship").alias("r")).select(
         "filename", "object_id", "r.target_id", "r.target_category", "r.direction", "r.distance", F.col("r.is_cutoff").alias("target_cutoff"),
@@ -72,20 +81,33 @@ def read_annotations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     )
     first = docs.select("filename", F.try_element_at("groups", F.lit(1)).alias("f"))
     g = first.select("filename", F.explode("f.group").alias("g"))
-    groups = g.select("filename", F.col("g.id").alias("group_id"), "g.category", "g.size", "g.grid_position", "g.centroid", _listed(F.col("g.instance_ids"), "bigint").alias("instance_ids"))
+    groups = g.select("filename", F.col("g.id").alias("group_id"), "g.category", "g.size", "g.grid_position", "g.centroid",
+                      _listed(F.col("g.instance_ids"), "bigint").alias("instance_ids"), F.col("g.segmentation").alias("mask"))
     between = first.select("filename", F.explode("f.relationships.relationship").alias("r")).select("filename", "r.*")
-    said = _expressions(o, "individual", F.col("o.expressions.expression"), F.col("o.id")).unionByName(
-        _expressions(g, "group", F.col("g.expressions.expression"), F.col("g.id"))
-    )
+    said = _expressions(o, "individual", F.col("o")).unionByName(_expressions(g, "group", F.col("g")))
     return {"patches": docs.select("filename", "width", "height"), "objects": objects, "relations": relations, "groups": groups,
             "group_relations": between, "expressions": said}
 
 
 def read_samples(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """One row per target and phrase of annotation XML, with the target's class and box."""
+    """One row per target and phrase of annotation XML, with the target's class, box and mask; a group's box is that of its
+    members."""
     a = read_annotations(spark, path)
-    box = a["objects"].select("filename", F.col("object_id").alias("target_id"), F.lit("individual").alias("target_kind"), "category", "xmin", "ymin", "xmax", "ymax")
-    return a["expressions"].join(box, ["filename", "target_kind", "target_id"], "left").withColumn("split", F.lit(split))
+    return samples(a["expressions"], a["objects"], a["groups"], "filename").withColumn("split", F.lit(split))
+
+
+#: A patch's document with a description of each box, and the annotations whose boxes (corners) are looked up in it.
+DESCRIBED = "split string, object array<struct<bndbox:struct<xmin:int,ymin:int,xmax:int,ymax:int>,description:string>>"
+MASKED = "annotations array<struct<image_id:bigint,bbox:array<int>,segmentation:array<string>>>"
+
+
+def read_box_descriptions(spark: SparkSession, xml: str, json: str, split: str, fallback: str = "the object in the image") -> DataFrame:
+    """(image_id, bbox, segmentation, description) of a split: the annotations of a JSON file, described by the XML file whose
+    name is their image's number, see described_boxes()."""
+    docs = spark.read.option("rowTag", "annotation").schema(DESCRIBED).xml(xml)
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.xml$", 1).try_cast("bigint")
+    annotations = spark.read.schema(MASKED).json(json, multiLine=True)
+    return described_boxes(docs.select(number.alias("image_id"), "split", "object"), annotations, split, fallback)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

@@ -80,9 +80,12 @@ def test_full_annotation(spark, tmp_path):
     said = sorted((r.target_kind, r.pos, r.expr_type, r.text) for r in a["expressions"].collect())
     assert said == [("group", 0, "original", "all ships"), ("individual", 0, "original", "the ship"), ("individual", 1, "enhanced", "a boat"), ("individual", 2, "unique", "one")]
     samples = rd.read_samples(spark, str(tmp_path), "val")
-    assert sorted((r.text, r.xmin) for r in samples.collect()) == [("a boat", 1), ("all ships", None), ("one", 1), ("the ship", 1)]
+    assert sorted((r.text, r.xmin) for r in samples.collect()) == [("a boat", 1), ("all ships", 1), ("one", 1), ("the ship", 1)]
     si.export_samples(samples, f"{tmp_path}/s")
-    assert spark.read.parquet(f"{tmp_path}/s").filter("text = 'all ships' and xmin = 0 and category = '' and split = 'val'").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/s").filter("expression_text = 'all ships' and bbox.xmin = 1 and category = 'ship' and group_size = 2 and split = 'val'").count() == 1
+    published = spark.read.parquet(f"{tmp_path}/s")
+    assert sorted(published.columns) == sorted(si.SAMPLE) and len(si.SAMPLE) == 23
+    assert all(published.filter(f"{c} is null").count() == 0 for c in published.columns)
 
 
 def test_exports(spark, tmp_path):
@@ -97,3 +100,40 @@ def test_exports(spark, tmp_path):
     f = spark.createDataFrame([("P1.png", "val"), ("D1.png", "val"), ("L1.png", "train")], "name string, split string")
     si.export_bundle(f, f"{tmp_path}/b", "D")
     assert sorted(x.name for x in spark.read.parquet(f"{tmp_path}/b").collect()) == ["L1.png", "P1.png"]
+
+
+def test_full_documents_come_back(spark, tmp_path):
+    """Objects, relations, groups, relations of groups, phrases and masks: written, read, written and read again."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text("""<annotation><filename>P1.png</filename><width>480</width><height>480</height>
+<object><id>1</id><name>ship</name><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox><is_cutoff>true</is_cutoff><grid_position>in the center</grid_position><color>light</color>
+<possible_colors>light,dark</possible_colors><segmentation>{"size": [480, 480], "counts": "abc"}</segmentation><relationships><relationship><target_id>2</target_id><target_category>plane</target_category>
+<direction>above</direction><distance>1.5</distance><is_cutoff>false</is_cutoff><is_borderline>true</is_borderline><possible_directions>above,below</possible_directions></relationship></relationships>
+<expressions><expression>the ship</expression><expression id="1">a boat</expression><expression type="unique">one</expression></expressions><dummy_expression_ids>0,2</dummy_expression_ids></object>
+<object><id>2</id><name>plane</name><bndbox><xmin>10</xmin><ymin>20</ymin><xmax>30</xmax><ymax>40</ymax></bndbox><is_cutoff>false</is_cutoff></object>
+<groups><group><id>7</id><instance_ids>1,2</instance_ids><size>2</size><category>ship</category><grid_position>in the center</grid_position><centroid><x>1.5</x><y>2.5</y></centroid>
+<expressions><expression>all ships</expression></expressions></group><relationships><relationship><source_id>7</source_id><target_id>8</target_id><direction>below</direction><distance>2.0</distance></relationship></relationships></groups></annotation>
+""")
+    (tmp_path / "in" / "b.xml").write_text("<annotation><filename>P2.png</filename><width>480</width><height>480</height></annotation>")
+    first = rd.read_annotations(spark, f"{tmp_path}/in")
+    assert first["objects"].filter("mask is not null").count() == 1 and first["expressions"].filter("is_dummy").count() == 2
+    si.write_annotations_xml(si.full_documents(first), f"{tmp_path}/out")
+    second = rd.read_annotations(spark, f"{tmp_path}/out")
+    for name, table in first.items():
+        assert sorted(map(repr, table.collect())) == sorted(map(repr, second[name].collect())), name
+    assert {k: v.count() for k, v in second.items()} == {"patches": 2, "objects": 2, "relations": 1, "groups": 1, "group_relations": 1, "expressions": 4}
+    s = rd.read_samples(spark, f"{tmp_path}/out", "val").filter("target_kind = 'group'").first()
+    assert (s.xmin, s.ymin, s.xmax, s.ymax, s.category) == (1, 2, 30, 40, "ship")
+
+
+def test_boxes_with_descriptions(spark, tmp_path):
+    thing = "<object><bndbox><xmin>{}</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox><description>{}</description></object>"
+    (tmp_path / "xml").mkdir()
+    for i, split in ((1, "val"), (2, "val"), (3, "train"), (4, "val")):
+        (tmp_path / "xml" / f"{i:05d}.xml").write_text(f"<annotation><split>{split}</split>{thing.format(9, 'other')}{thing.format(1, 'first')}{thing.format(1, 'second')}</annotation>")
+    (tmp_path / "xml" / "notes.xml").write_text("<annotation><split>val</split></annotation>")
+    anns = [{"image_id": i, "bbox": b, "segmentation": [{"size": [4, 4], "counts": f"m{n}"}, {}]} for n, (i, b) in enumerate([(1, [7, 7, 8, 8]), (1, [1, 2, 3, 4]), (2, [0, 0, 1, 1]), (3, [1, 2, 3, 4]), (9, [1, 2, 3, 4])])]
+    (tmp_path / "i.json").write_text(json.dumps({"annotations": anns}))
+    got = rd.read_box_descriptions(spark, f"{tmp_path}/xml", f"{tmp_path}/i.json", "val").collect()
+    assert sorted((r.image_id, r.bbox, r.description) for r in got) == [(1, [1, 2, 3, 4], "first"), (2, [0, 0, 1, 1], "the object in the image")]
+    assert json.loads(next(r.segmentation for r in got if r.image_id == 1))["counts"] == "m1"
