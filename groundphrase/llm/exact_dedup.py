@@ -1,6 +1,7 @@
 """Exact deduplication with a heavy-hitter split.
 
-Digests of normalised texts are what moves, never texts. A Misra-Gries summary (Spark's freqItems, the
+Groups are found on digests of normalised texts; only drop_exact_copies(), whose result is whole rows, moves rows, once, and
+without the copies of frequent texts. A Misra-Gries summary (Spark's freqItems, the
 Karp-Shenker-Papadimitriou form of it) finds digests that may be frequent; their exact counts and first rows are
 then taken in one aggregate, and these verified winners, at most 1/support of them, are broadcast so that copies of
 frequent texts are settled where they are read. All other digests use an ordinary shuffle.

@@ -19,28 +19,11 @@ from pyspark.sql.window import Window
 
 from groundphrase.operators.lineage import cut
 
-#: Documents of a block; slots of a rounded period at least; scheduled blocks to broadcast at most; rows of a numbered
-#: part of a source.
-BLOCK, PERIOD, BROADCAST, PART = 64, 2_000, 500_000, 2_000
+#: Documents of a block; scheduled blocks to broadcast at most; rows of a numbered part of a source.
+BLOCK, BROADCAST, PART = 64, 500_000, 2_000
 NO_SOURCE = "\u0000"
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period: largest remainders, one at least; the period grows with many sources.
-
-    Rounded, so mix() doesn't use them."""
-    if not weights or min(weights.values()) <= 0:
-        raise ValueError("weights must be positive")
-    total, period = sum(map(Fraction, weights.values())), max(period, 10 * len(weights))
-    exact = {s: Fraction(w) / total * period for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (slots[s] - exact[s], s))
-    left = period - sum(slots.values())
-    for s in order[: max(0, left)]:
-        slots[s] += 1
-    return slots
-
-
 def schedule(weights: dict[str, float | Fraction], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
     """The given number of blocks of each source, earliest deadline first: (source, nth block, release, deadline, slot).
 
@@ -70,11 +53,6 @@ def schedule(weights: dict[str, float | Fraction], blocks: dict[str, int]) -> It
         slot += 1
 
 
-def pfair(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period of whole numbers of slots."""
-    return list(schedule(slots, slots))
-
-
 def _source(source_col: str) -> Column:
     return F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
 
@@ -93,7 +71,7 @@ def mix(
 
     Without weights they are the sources' counts to the power `temper`; a source without a weight gets the mean of the
     others. Null is a source of its own. place orders all documents: block by block in the order of slots, inside a
-    block in hashed order of ids (null first; rows that repeat an id are neighbours). No row is dropped: when a source
+    block in hashed order of ids (null first; rows that repeat an id are neighbours, in hashed order of all their columns). No row is dropped: when a source
     ends, its slots stay empty and the others go on; on_target is true up to the first slot that its source could not
     fill. An empty table gives an empty result. A column named as mix_col is refused.
 
@@ -135,7 +113,8 @@ def _mixed_rows(
     sizes = cut(salted.groupBy("s", "p").count())
     before = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("s", "p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    order = Window.partitionBy("s", "p").orderBy(F.xxhash64("i"), "i")
+    told = [F.col(f"d.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    order = Window.partitionBy("s", "p").orderBy(F.xxhash64("i"), "i", F.xxhash64(*told))
     numbered = (
         salted.drop("parts")
         .join(offsets, ["s", "p"])

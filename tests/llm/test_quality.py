@@ -4,6 +4,7 @@ import numpy as np
 from groundphrase.llm import quality as q
 from groundphrase.llm.queries import op4_quality
 from groundphrase.sources import table
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.1"
 
@@ -40,6 +41,24 @@ def test_normal_equations_and_isotonic():
     assert np.isfinite(q.statistics(None)).all() and q.statistics("") == q.statistics(None)
 
 
+def test_summed_equations_against_a_direct_solution(spark):
+    """The weights from partition sums are those of least squares on all rows at once, with the penalty as further rows."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = q.fit(docs, labels, features=24)
+    known = labels.filter(~q.held_out(F.col("doc_id"))).join(docs, "doc_id")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(q.SEED + 1)), F.lit(4)) == 0
+    rows = known.select("quality", "text", fold.alias("fold")).collect()
+    x, y = np.array([q.statistics(r.text) for r in rows]), np.array([r.quality for r in rows], "float64")
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.std, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1), atol=1e-6)
+    learn = np.array([not r.fold for r in rows])
+    z = model.fourier(x[learn])
+    penalty = np.sqrt(1e-3 * len(rows) / 24) * np.eye(25)
+    direct = np.linalg.lstsq(np.vstack([z, penalty]), np.concatenate([y[learn], np.zeros(25)]), rcond=None)[0]
+    assert np.allclose(z @ direct, z @ model.weight, atol=1e-6)
+    knots, levels = q.isotonic(model.raw(x[~learn]), y[~learn])
+    assert np.allclose(knots, model.knots) and np.allclose(levels, model.levels)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.2), (None, "a b", 0.3), (3, "x " * 200_000, 0.4)], "doc_id long, text string, score double")
     none = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, quality int")
