@@ -38,7 +38,7 @@ FEATURE_WORDS = {
                      "that is to the bottom right of", "that is to the right of", "that is to the top right of",
                      "that is above", "that is to the top left of"],
 }
-CHROMATIC = ["red", "orange", "yellow", "green", "cyan", "blue", "purple", "magenta"]
+CHROMATIC = [c for c in FEATURE_WORDS["color"] if c not in ("light", "dark")]
 #: Phrases of land-cover classes.
 LANDCOVER_PHRASES = {
     "building": "all buildings in the image",
@@ -68,11 +68,8 @@ def _plural_word(word: str) -> str:
     return word[:-1] + "ies" if word.endswith("y") else word + ("es" if word.endswith(("s", "sh", "ch")) else "s")
 
 
-def standardize_phrase(phrase: Column, size: Column | None = None) -> Column:
-    """Class names become words, "group of 1 X" becomes X, larger groups and "all" take the plural, lower case.
-
-    The plural of the phrase's own group size and of other groups in it are the same rule, so size is not needed.
-    """
+def standardize_phrase(phrase: Column) -> Column:
+    """Class names become words, "group of 1 X" becomes X, larger groups and "all" take the plural, lower case."""
     out = F.lower(phrase)
     for name, said in CLASS_NAMES.items():
         if name.lower() != said:
@@ -151,13 +148,24 @@ def sample_kind(ids: Column) -> Column:
     return F.when(F.size(ids) > 1, "group").otherwise("individual")
 
 
+#: Sources by the first letter of their files' names.
+DOMAINS = {"P": "iSAID", "L": "LoveDA", "D": "DeepGlobe"}
+
+
 def domain_of(name: Column, default: str = "Unknown") -> Column:
     """The source of a file from its first letter."""
-    return F.when(name.startswith("P"), "iSAID").when(name.startswith("L"), "LoveDA").when(name.startswith("D"), "DeepGlobe").otherwise(default)
+    out = F.lit(default)
+    for letter, domain in DOMAINS.items():
+        out = F.when(name.startswith(letter), domain).otherwise(out)
+    return out
 
 
 def transform_suffix(domain: Column) -> Column:
-    return F.when(domain == "iSAID", "_toP").when(domain == "DeepGlobe", "_toD").when(domain == "LoveDA", "_toL").otherwise("_unk")
+    """What names of pictures in the style of a source end in."""
+    out = F.lit("_unk")
+    for letter, known in DOMAINS.items():
+        out = F.when(domain == known, f"_to{letter}").otherwise(out)
+    return out
 
 
 def parse_patch_name(name: Column) -> list[Column]:

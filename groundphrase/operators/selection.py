@@ -297,20 +297,21 @@ def class_presence(pixels: DataFrame, phrases: DataFrame) -> DataFrame:
     return pixels.select("image_id", "class_id").distinct().join(phrases.select("class_id", "phrase"), "class_id").select("image_id", "class_id", "phrase")
 
 
-def assign_ids(df: DataFrame, group: str, order: list[str], id_col: str = "new_id") -> DataFrame:
-    """Running ids from 1: the rank inside a group plus the rows of all groups before it.
+def assign_ids(df: DataFrame, group: str, order: list[str], id_col: str = "new_id", parts: int = 64) -> DataFrame:
+    """Running ids from 1: the rank inside a group (a number) plus the rows of all groups before it.
 
-    Groups' counts are summed over ranges of groups first, so no window holds all rows."""
+    Groups' counts are summed over ranges of groups first, so no window holds all rows or all groups; groups are ranged by
+    their rank among the ends, read by a subquery of the same plan."""
     counts = df.groupBy(group).agg(F.count("*").alias("_c"))
-    n_parts = 64
-    low, high = counts.agg(F.min(group), F.max(group)).first()
-    width = max(1, ((high or 0) - (low or 0)) // n_parts + 1)
-    counts = counts.withColumn("_r", F.floor((F.col(group) - F.lit(low or 0)) / width))
+    low, high = (counts.agg(f(F.col(group).cast("double"))).scalar() for f in (F.min, F.max))
+    place = F.floor((F.col(group).cast("double") - low) / (high - low + 1) * parts)
+    counts = counts.withColumn("_r", F.coalesce(place, F.lit(-1)))
     totals = counts.groupBy("_r").agg(F.sum("_c").alias("_t"))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("_s", F.coalesce(F.sum("_t").over(before), F.lit(0))).select("_r", "_s")  # n_parts rows
+    starts = totals.withColumn("_s", F.coalesce(F.sum("_t").over(before), F.lit(0))).select("_r", "_s")  # a row a range
     inside = Window.partitionBy("_r").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_o", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(F.broadcast(starts), "_r")
-    offsets = offsets.select(group, (F.col("_o") + F.col("_s")).alias("_b"))
+    offsets = offsets.select(F.struct(group).alias("_g"), (F.col("_o") + F.col("_s")).alias("_b"))  # null is a group, too
     w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).join(offsets, group).withColumn(id_col, F.col("_n") + F.col("_b")).drop("_n", "_b")
+    numbered = df.withColumns({"_n": F.row_number().over(w), "_g": F.struct(group)}).join(offsets, "_g")
+    return numbered.withColumn(id_col, F.col("_n") + F.col("_b")).select(*df.columns, id_col)

@@ -226,10 +226,12 @@ def scan_result_dir(x: DataFrame) -> DataFrame:
     return d.groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
-@add("compile_run_metrics", "exprs", r"SELECT patch_id, 'a|b|c|d|e' AS lines FROM (SELECT DISTINCT patch_id FROM exprs) q")
-def compile_run_metrics(e: DataFrame) -> DataFrame:
-    texts = e.select("patch_id").distinct().withColumn("value", F.lit("a\n\nb\n  \nc\nd\ne\nf\n"))
-    return rd.metric_lines(texts, c("patch_id")).select(c("run").alias("patch_id"), F.array_join("lines", "|").alias("lines"))
+@add("compile_run_metrics", "objects", "SELECT object_id, concat_ws('|', category, xmin, ymin, xmax, CASE WHEN pos % 2 = 0 THEN ymax ELSE object_id END) AS lines FROM objects")
+def compile_run_metrics(o: DataFrame) -> DataFrame:
+    """An object's values as a run's metrics file, with blank lines, and more lines than count."""
+    last = F.when(c("pos") % 2 == 0, c("ymax").cast("string")).otherwise("  ")
+    text = F.concat_ws("\n", "category", F.lit(""), "xmin", F.lit("  "), "ymin", "xmax", last, "object_id", F.lit("end"), F.lit(""))
+    return rd.metric_lines(o.select("object_id", text.alias("value")), c("object_id")).select(c("run").alias("object_id"), F.array_join("lines", "|").alias("lines"))
 
 
 # ---- sinks
