@@ -11,8 +11,10 @@ partial aggregate and a join, so the number of ties is linear and a bucket may h
 Verification. Classes that ties connect form a cluster; each true link lies inside one. Full shingle sets are taken
 once more from the whole texts, only for documents in clusters, and dealt by cluster. A cluster that fits the bound is
 solved by one index of its shingles: exact overlaps of a set with all others, for every set outside the largest
-component. A larger cluster is dealt as pairs of blocks, and the components of the pieces are joined afterwards: no
-pair is lost, none is emitted unless it links.
+component. A cluster beyond the bound (buckets that chain unlike texts make such) is first split without loss: two sets that
+link share one of their rarest shingles, if each takes as many as the threshold leaves room for (prefix filter), so sets that
+share none of these fall apart. What is too large even then, true groups of very many near copies, is dealt as
+pairs of blocks, and the components of the pieces are joined afterwards: no pair is lost, none is emitted unless it links.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from groundphrase.llm.batches import slices
@@ -167,6 +169,32 @@ def with_blocks(clusters: DataFrame, sizes: DataFrame, piece: int = PIECE) -> Da
     return clusters.join(total, "cluster")
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, doc_id, set) with the set as a list of its hashes."""
+    for batch in slices(batches):
+        sets = [np.frombuffer(s, "int64") for s in batch.column(2).to_pylist()]
+        ends = pa.array(np.cumsum([0, *map(len, sets)], dtype="int32"))
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, "int64")])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["cluster", "doc_id", "elements"])
+
+
+def split_clusters(sets: DataFrame, share: int) -> DataFrame:
+    """(doc_id, cluster): clusters of rows (cluster, doc_id, set) split by the prefix filter; sets that can link with none
+    are left out.
+
+    Of n shingles, rarest in the cluster first, a set takes n - ceil(n * share / 100) + 1. Sets that share one of those
+    are tied to the smallest of them."""
+    listed = sets.select("cluster", "doc_id", "set").mapInArrow(_elements, "cluster long, doc_id long, elements array<long>")
+    rows = cut(listed.select("cluster", "doc_id", F.explode("elements").alias("e")))
+    counts = cut(rows.groupBy("cluster", "e").agg(F.count("*").alias("n")))
+    by_set = rows.join(counts, ["cluster", "e"]).groupBy("cluster", "doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("x"))
+    room = (F.size("x") - F.floor((F.size("x") * share + 99) / 100) + 1).cast("int")
+    rarest = cut(by_set.select("cluster", "doc_id", F.explode(F.slice("x", F.lit(1), room)).alias("x")).filter("x.n > 1").select("cluster", "doc_id", "x.e"))
+    heads = rarest.groupBy("cluster", "e").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last")
+    ties = rarest.join(cut(heads.drop("last")), ["cluster", "e"]).select("doc_id", "head")
+    return components(ties, "doc_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+
+
 def verified_ties(sets: DataFrame, share: int) -> DataFrame:
     """(a, b): ties whose components are those of the links inside each cluster.
 
@@ -182,6 +210,13 @@ def verified_ties(sets: DataFrame, share: int) -> DataFrame:
     return dealt.repartition("piece").sortWithinPartitions("piece", "doc_id").mapInArrow(_solve(share), "a long, b long")
 
 
+def _placed(clusters: DataFrame, sizes: DataFrame, piece: int) -> tuple[DataFrame, int]:
+    """with_blocks(), written, and how many of its documents are in clusters of more than two blocks."""
+    seen = Observation()
+    out = cut(with_blocks(cut(clusters), sizes, piece).observe(seen, F.count_if(F.col("blocks") > 2).alias("n")))
+    return out, seen.get["n"]
+
+
 def near_classes(
     docs: DataFrame,
     words: int = 5,
@@ -216,9 +251,13 @@ def near_classes(
     heads = heads.filter("head < last").drop("last")
     tied = buckets.join(heads, "bucket").select("rep", "head")
     clusters = components(tied, "rep", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    placed = with_blocks(cut(clusters), classes, piece)
+    placed, large = _placed(clusters, classes, piece)
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = shingle_sets(whole.join(placed, "doc_id").dropDuplicates(["doc_id", "text"]), words)
+    sets_of = lambda p: shingle_sets(whole.join(p, "doc_id").dropDuplicates(["doc_id", "text"]), words)
+    if large:
+        split = split_clusters(sets_of(placed.filter("blocks > 2")), share)
+        placed = placed.filter("blocks <= 2").unionByName(_placed(split, classes, piece)[0])
+    sets = sets_of(placed)
     member = with_set.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
     # an id with several texts ties their classes together
     several = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last")

@@ -6,6 +6,7 @@ import numpy as np
 from groundphrase.llm import minhash as m
 from groundphrase.llm.shingles import rolling, shingle_set, word_hashes
 from oracle import same
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -81,3 +82,24 @@ def test_signature_estimates_and_rolling():
         assert len(h) == len(grams)
         assert all((h[i] == h[j]) == (grams[i] == grams[j]) for i in range(len(h)) for j in range(len(h)))
     assert len(shingle_set("a b", 3)) == 1
+
+
+def test_large_clusters_are_split_without_loss(spark):
+    """Texts that share a long common part are one cluster, but no two of different groups share a rare shingle."""
+    random.seed(11)
+    common = [f"c{i}" for i in range(60)]
+    texts = {}
+    for group in range(12):
+        own = [f"g{group}_{i}" for i in range(70)]
+        for k in range(5):
+            w = list(own)
+            w[random.randrange(len(w))] = f"z{group}_{k}"
+            texts[group * 10 + k] = " ".join(common + w)
+    docs = spark.createDataFrame([(0, d, t) for d, t in texts.items()], "cluster long, doc_id long, text string")
+    sets = m.shingle_sets(docs.withColumn("blocks", F.lit(9)), 3)
+    parts = {}
+    for r in m.split_clusters(sets, 85).collect():
+        parts.setdefault(r.cluster, set()).add(r.doc_id)
+    assert sorted(map(sorted, parts.values())) == [[g * 10 + k for k in range(5)] for g in range(12)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.near_classes(docs.drop("cluster"), 3, 0.85, rows=1, piece=2000).collect()}
+    assert got == brute(texts, 3, 85)
