@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from groundphrase.llm.batches import slices
 
 #: Bounds of what a Python worker keeps.
-MAX_STATES, MAX_PIECES, DECODE_BLOCK = 120_000, 150_000, 1 << 16
+MAX_STATES, MAX_PIECES, DECODE_BLOCK = 300_000, 150_000, 1 << 16
 #: No rank.
 NEVER = 1 << 62
 
