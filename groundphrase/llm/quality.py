@@ -2,7 +2,7 @@
 
 Statistics are shares and spreads of bytes, words and lines of the whole text; nothing else of a row is an input.
 The model is fitted on a bounded sample of labelled rows: each partition sums its part of the normal equations, the
-sums are added and solved, and pool-adjacent-violators on rows that the fit has not seen makes the scores
+sums are added in a tree and solved, and pool-adjacent-violators on rows that the fit has not seen makes the scores
 probabilities. Scoring is one narrow pass.
 """
 
@@ -14,7 +14,9 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -22,8 +24,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from groundphrase.llm.batches import slices
 from groundphrase.operators.lineage import cut
 
-#: Labelled rows that a fit takes at most (expected); Fourier features; partitions of the fit; seed.
-FIT_ROWS, FEATURES, FIT_PARTS, SEED = 30_000, 256, 8, 20_240_601
+#: Labelled rows that a fit takes at most (expected); Fourier features; partitions of the fit; sums that reach the driver; seed.
+FIT_ROWS, FEATURES, FIT_PARTS, SUM_GROUPS, SEED = 30_000, 256, 8, 8, 20_240_601
 #: Classes of bytes whose shares are statistics.
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".,;:'\"-()", b"!?",
            b"|\t", b"#$%&*+/<=>@[\\]^_`{}~"]
@@ -113,7 +115,14 @@ def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summed(rows: DataFrame, make) -> list[np.ndarray]:
-    """Partition sums of make(x, y), added up; FIT_PARTS partitions, so a bounded message to the driver."""
+    """Sums of make(x, y) over all rows: added up in each partition, then in SUM_GROUPS groups of partitions, and these few
+    on the driver, in the order of partitions, so the last digits don't depend on which task ends first."""
+
+    def added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        total = parts[0]
+        for part in parts[1:]:
+            total = [a + b for a, b in zip(total, part, strict=True)]
+        return total
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: list[np.ndarray] | None = None
@@ -121,14 +130,22 @@ def _summed(rows: DataFrame, make) -> list[np.ndarray]:
             if batch.num_rows:
                 x, y = np.array(batch.column(2).to_pylist()), np.array(batch.column(1).to_pylist(), "float64")
                 part = make(x, y)
-                total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
+                total = part if total is None else added([total, part])
         if total is not None:
             cells = [pa.array([t.tobytes()], pa.binary()) for t in total]
-            yield pa.RecordBatch.from_arrays(cells, [f"s{i}" for i in range(len(cells))])
+            number = pa.array([TaskContext.get().partitionId()], pa.int64())
+            yield pa.RecordBatch.from_arrays([number, *cells], ["part", *(f"s{i}" for i in range(len(cells)))])
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values("part")
+        total = added([[np.frombuffer(c) for c in cells] for cells in ordered[names].itertuples(index=False)])
+        return pd.DataFrame([[int(ordered["part"].iloc[0]), *(t.tobytes() for t in total)]], columns=["part", *names])
 
     n = len(make(np.zeros((1, WIDTH)), np.zeros(1)))
-    sums = rows.mapInArrow(work, ", ".join(f"s{i} binary" for i in range(n))).collect()
-    return [sum(np.frombuffer(r[i]) for r in sums) for i in range(n)] if sums else []
+    names = [f"s{i}" for i in range(n)]
+    kind = ", ".join(["part long", *(f"{c} binary" for c in names)])
+    sums = rows.mapInArrow(work, kind).groupBy(F.col("part") % SUM_GROUPS).applyInPandas(group, kind).collect()
+    return added([[np.frombuffer(r[c]) for c in names] for r in sorted(sums, key=lambda r: r["part"])]) if sums else []
 
 
 def fit(
