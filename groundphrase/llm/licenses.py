@@ -4,9 +4,10 @@ Units. What is compared are single lines, header blocks and whole licence files.
 hold a key word, with blank lines (or bare comment marks) between them or not, so a notice that is wrapped over lines or has
 several paragraphs is one vector, in a comment or not. A file with a licence file's name is a vector as a whole.
 
-Key words. The heaviest words of a template that together hold more than 1 - least ** 2 of its squared weight: a text
+Key words. The rarest words of a template that together hold more than 1 - least ** 2 of its squared weight: a text
 without any of them cannot reach the cosine `least` (the words that are left bound it), so nothing that could match is
 passed over. They follow from the table's own document frequencies; words that are common in it are not among them.
+Units whose other words alone make them too long for the bound are not weighed either (may_reach()).
 
 Weights. Term frequency times inverse document frequency over all files of the table, for all words, those that no
 template has included. A tag SPDX-License-Identifier names its licence with score 1. A file without a licence of its
@@ -50,11 +51,11 @@ def template_weights(
 
 
 def key_words(weights: list[tuple[str, int, str, float, float]], least: float) -> list[str]:
-    """For each template its heaviest words, until the squared shares of the others are below least ** 2."""
+    """For each template its rarest words, until the squared shares of the others are below least ** 2."""
     out: set[str] = set()
     for template in {w[1] for w in weights}:
         left = 1.0
-        for word, share in sorted(((w[0], w[4]) for w in weights if w[1] == template), key=lambda x: (-x[1], x[0])):
+        for _, share, word in sorted((-w[3], w[4], w[0]) for w in weights if w[1] == template):
             if left < least**2 - 1e-9:
                 break
             out.add(word)
@@ -76,6 +77,21 @@ def units(path: Column, text: Column, keys: list[str]) -> Column:
     return F.array_distinct(F.transform(F.concat(runs, whole), F.trim))
 
 
+def may_reach(w: Column, weights: list[tuple[str, int, str, float, float]], least: float) -> Column:
+    """Whether a unit of these words can reach `least` with any template. Its product with a template is at most that with
+    the greatest share that each word has in any; its length is that of the templates' words at least, and an idf of 1 or
+    more for each other word."""
+    of = {x[0]: F.struct(F.lit(x[3]).alias("idf"), F.lit(max(y[4] for y in weights if y[0] == x[0])).alias("share")) for x in weights}
+    shared = F.array_intersect(w, F.array(*map(F.lit, sorted(of))))
+    known = F.create_map(*[x for word in sorted(of) for x in (F.lit(word), of[word])])
+    weighed = F.transform(shared, lambda s: F.struct(
+        (F.size(F.filter(w, lambda x: x == s)) * F.element_at(known, s)["idf"]).alias("w"), F.element_at(known, s)["share"].alias("share")))
+    sums = F.aggregate(weighed, F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square")), lambda total, x: F.struct(
+        (total["dot"] + x["w"] * x["share"]).alias("dot"), (total["square"] + x["w"] * x["w"]).alias("square")))
+    others = F.size(F.array_distinct(w)) - F.size(shared)
+    return (F.size(w) > 0) & (sums["dot"] * (1 + 1e-9) >= least * F.sqrt(sums["square"] + others))
+
+
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(path, license, score) of each file that states a licence; score is a cosine of `least` or more.
 
@@ -90,7 +106,7 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     keys = key_words(weights, least)
     near = f.filter(F.arrays_overlap(words(F.col("text")), F.array(*map(F.lit, keys))))
     unit = near.select("path", F.explode(units(F.col("path"), F.col("text"), keys)).alias("said"))
-    unit = unit.select("path", F.xxhash64("said").alias("unit"), words(F.col("said")).alias("w")).filter(F.size("w") > 0)
+    unit = unit.select("path", F.xxhash64("said").alias("unit"), words(F.col("said")).alias("w")).filter(may_reach(F.col("w"), weights, least))
     tf = unit.select("path", "unit", F.explode("w").alias("word")).groupBy("path", "unit", "word").agg(F.count("*").alias("tf"))
     idf = F.log((1.0 + n) / (1 + F.col("df"))) + 1
     weighed = cut(cut(tf).join(df, "word").select("path", "unit", "word", (F.col("tf") * idf).alias("w")))

@@ -39,11 +39,11 @@ def brute(files, templates=lic.TEMPLATES):
     keys = set()
     for _, v, length in known:
         left = 1.0
-        for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+        for _, x, w in sorted((-idf(w), x / length, w) for w, x in v.items()):
             if left < lic.LEAST**2 - 1e-9:
                 break
             keys.add(w)
-            left -= (x / length) ** 2
+            left -= x**2
     own = {}
     for p, t in files:
         found = [(1, 0.0, 1.0, x) for x in re.findall(lic.SPDX, t or "")]
