@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundphrase.llm import bpe, chat, exact_dedup, licenses, minhash, mixing, quality, sharding, substring, topk
+from groundphrase.llm import bpe, chat, exact_dedup, licenses, merkle, minhash, mixing, quality, sharding, substring, topk
 from groundphrase.operators.lineage import ensure_checkpoint_dir
 from groundphrase.sources import table
 
@@ -118,7 +118,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
-QUERIES = [op1_bpe, op2_chat, op3_mixing, op4_quality, op5_substring, op6_exact_dedup, op7_licenses, op8_sharding, op9_minhash, op10_topk]
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents")).drop("witness")
+
+
+QUERIES = [op1_bpe, op2_chat, op3_mixing, op4_quality, op5_substring, op6_exact_dedup, op7_licenses, op8_sharding, op9_minhash, op10_topk,
+           op11_merkle]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -208,5 +213,53 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 
+OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT *, CAST(doc_id AS VARCHAR) AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents
+), f AS (
+  SELECT doc_id, lang, text, low,
+    coalesce(octet_length(encode(id)) || ':' || id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+      || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+    xor(list_reduce(list_transform(range(1, len(id) + 1), lambda k: CAST(ascii(id[k]) AS BIGINT)), lambda c, x:
+      list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a // 2, (a % 2) * 3988292384)), 4294967295), 4294967295) % 3 = 0 AS hit
+  FROM d
+), l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(octet_length(encode(text)) || ':' || CASE WHEN hit THEN low ELSE text END, '-')) AS now FROM f
+), o AS (
+  SELECT doc_id, lang, leaf, now, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY lang) AS n FROM l
+), t AS (
+  SELECT lang, 0 AS lev, i, leaf AS h, n FROM o
+  UNION ALL SELECT lang, lev + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM t WHERE n > 1 GROUP BY lang, lev, i // 8, n
+), s AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1
+), r AS (
+  SELECT 0 AS lev, i, subroot AS h, n FROM s
+  UNION ALL SELECT lev + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM r WHERE n > 1 GROUP BY lev, i // 8, n
+), p AS (
+  SELECT lang, i AS leaf_i, 0 AS lev, i, now AS h, '' AS proof, n FROM o
+  UNION ALL
+  SELECT p.lang, p.leaf_i, p.lev + 1, p.i // 8, sha256(string_agg(CASE WHEN t.i = p.i THEN p.h ELSE t.h END, '' ORDER BY t.i)),
+    p.proof || coalesce(string_agg(CASE WHEN t.i <> p.i THEN t.h END, '' ORDER BY t.i), ''), (p.n + 7) // 8
+  FROM p JOIN t ON p.lang IS NOT DISTINCT FROM t.lang AND p.lev = t.lev AND p.i // 8 = t.i // 8
+  WHERE p.n > 1 GROUP BY p.lang, p.leaf_i, p.lev, p.i, p.h, p.proof, p.n
+), q AS (
+  SELECT p.lang, p.leaf_i, 0 AS lev, s.i, p.h, p.proof, s.n FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang WHERE p.n = 1
+  UNION ALL
+  SELECT q.lang, q.leaf_i, q.lev + 1, q.i // 8, sha256(string_agg(CASE WHEN r.i = q.i THEN q.h ELSE r.h END, '' ORDER BY r.i)),
+    q.proof || coalesce(string_agg(CASE WHEN r.i <> q.i THEN r.h END, '' ORDER BY r.i), ''), (q.n + 7) // 8
+  FROM q JOIN r ON q.lev = r.lev AND q.i // 8 = r.i // 8
+  WHERE q.n > 1 GROUP BY q.lang, q.leaf_i, q.lev, q.i, q.h, q.proof, q.n
+)
+SELECT o.doc_id, o.leaf, s.subroot, x.root, sha256(q.proof) AS proof_sha256, q.h AS folded_root, q.h = x.root AS verified
+FROM o JOIN s ON o.lang IS NOT DISTINCT FROM s.lang
+JOIN q ON q.n = 1 AND o.lang IS NOT DISTINCT FROM q.lang AND o.i = q.leaf_i
+CROSS JOIN (SELECT h AS root FROM r WHERE n = 1) x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2, "op10_topk": OP10, "op5_substring": OP5, "op6_exact_dedup": OP6, "op9_minhash": OP9}
+    return {"op11_merkle": OP11, "op2_chat": OP2, "op10_topk": OP10, "op5_substring": OP5, "op6_exact_dedup": OP6, "op9_minhash": OP9}
