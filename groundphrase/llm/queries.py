@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundphrase.llm import bpe, chat, exact_dedup, licenses, merkle, minhash, mixing, quality, sharding, substring, topk
+from groundphrase.llm import bpe, chat, exact_dedup, licenses, merkle, minhash, mixing, negatives, quality, sharding, substring, topk
 from groundphrase.operators.lineage import ensure_checkpoint_dir
 from groundphrase.sources import table
 
@@ -122,8 +122,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_documents(table(spark, sf_dir, "documents")).drop("witness")
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", noisy), "vec_id % 100 = 0")
+
+
 QUERIES = [op1_bpe, op2_chat, op3_mixing, op4_quality, op5_substring, op6_exact_dedup, op7_licenses, op8_sharding, op9_minhash, op10_topk,
-           op11_merkle]
+           op11_merkle, op13_negatives]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -261,5 +267,27 @@ CROSS JOIN (SELECT h AS root FROM r WHERE n = 1) x
 """
 
 
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle": OP11, "op2_chat": OP2, "op10_topk": OP10, "op5_substring": OP5, "op6_exact_dedup": OP6, "op9_minhash": OP9}
+    return {"op13_negatives": OP13, "op11_merkle": OP11, "op2_chat": OP2, "op10_topk": OP10, "op5_substring": OP5, "op6_exact_dedup": OP6, "op9_minhash": OP9}
