@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundphrase.llm import bpe, chat, exact_dedup, licenses, merkle, minhash, mixing, negatives, quality, sharding, substring, topk
+from groundphrase.llm import bpe, chat, exact_dedup, licenses, merkle, minhash, mixing, negatives, quality, sharding, substring, suffixes, topk
 from groundphrase.operators.lineage import ensure_checkpoint_dir
 from groundphrase.sources import table
 
@@ -122,6 +122,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_documents(table(spark, sf_dir, "documents")).drop("witness")
 
 
+def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -129,7 +135,7 @@ def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [op1_bpe, op2_chat, op3_mixing, op4_quality, op5_substring, op6_exact_dedup, op7_licenses, op8_sharding, op9_minhash, op10_topk,
-           op11_merkle, op13_negatives]
+           op11_merkle, op12_suffix_array, op13_negatives]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -267,6 +273,33 @@ CROSS JOIN (SELECT h AS root FROM r WHERE n = 1) x
 """
 
 
+OP12 = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents
+), s AS (
+  SELECT r, x, unnest(range(1, CAST(len(x) AS BIGINT) // 2 - 398)) AS i FROM d WHERE len(x) >= 800
+), h AS (
+  SELECT r, i, md5_number(substr(x, 2 * i - 1, 800)) AS h FROM s
+), m AS (
+  SELECT h FROM h GROUP BY h HAVING count(*) > 1
+), c AS (
+  SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS fresh FROM h JOIN m USING (h)
+), n AS (
+  SELECT r, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS g FROM c
+), g AS (
+  SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM n GROUP BY r, g
+), k AS (
+  SELECT r, list(lo ORDER BY lo) AS lo, list(hi ORDER BY lo) AS hi FROM g GROUP BY r
+)
+SELECT d.doc_id, CAST(len(x) AS BIGINT) // 2 AS n_bytes, CAST(coalesce(list_sum(hi) - list_sum(lo), 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(len(lo), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN lo IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(lo) + 1), lambda j:
+    substr(x, CASE WHEN j = 0 THEN 1 ELSE 2 * hi[j] - 1 END,
+      CASE WHEN j = len(lo) THEN CAST(len(x) AS BIGINT) ELSE 2 * lo[j + 1] - 2 END - CASE WHEN j = 0 THEN 0 ELSE 2 * hi[j] - 2 END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
 OP13 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -290,4 +323,4 @@ QUALIFY rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_negatives": OP13, "op11_merkle": OP11, "op2_chat": OP2, "op10_topk": OP10, "op5_substring": OP5, "op6_exact_dedup": OP6, "op9_minhash": OP9}
+    return {"op12_suffix_array": OP12, "op13_negatives": OP13, "op11_merkle": OP11, "op2_chat": OP2, "op10_topk": OP10, "op5_substring": OP5, "op6_exact_dedup": OP6, "op9_minhash": OP9}
