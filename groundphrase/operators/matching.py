@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _window_index(low: Column, high: Column, size: Column, patch: int, step: int) -> Column:
+def window_index(low: Column, high: Column, size: Column, patch: int, step: int) -> Column:
     """Indices of the windows along a side that overlap (low, high) strictly; empty if the side is too short."""
     last = F.floor((size - patch) / step)
     first = F.greatest(F.lit(0), F.floor((low - patch) / step) + 1)
@@ -29,8 +29,8 @@ def assign_windows(images: DataFrame, boxes: DataFrame, patch: int = 480, overla
     windows may be a part of image_windows(), such as those that are not black. share is the part of the box inside."""
     step = max(1, int(patch * (1 - overlap)))
     sides = boxes.join(images.select("image_id", "width", "height"), "image_id")
-    d = sides.withColumn("ix", F.explode(_window_index(F.col("xmin"), F.col("xmax"), F.col("width"), patch, step)))
-    d = d.withColumn("iy", F.explode(_window_index(F.col("ymin"), F.col("ymax"), F.col("height"), patch, step))).drop("width", "height")
+    d = sides.withColumn("ix", F.explode(window_index(F.col("xmin"), F.col("xmax"), F.col("width"), patch, step)))
+    d = d.withColumn("iy", F.explode(window_index(F.col("ymin"), F.col("ymax"), F.col("height"), patch, step))).drop("width", "height")
     w = image_windows(images, patch, overlap) if windows is None else windows
     d = d.join(w, ["image_id", "ix", "iy"])
     cut = lambda lo, hi, at: (F.greatest(F.col(lo) - F.col(at), F.lit(0)), F.least(F.col(hi) - F.col(at), F.lit(patch)))

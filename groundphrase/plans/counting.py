@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundphrase.operators import selection as se
 from groundphrase.operators import stats as st
+from groundphrase.operators.masks import run_overlap
 from groundphrase.plans.registry import Registry
 
 counting = Registry()
@@ -20,9 +21,10 @@ counting.part("split_pixels", "SELECT *, CASE WHEN image_id % 5 = 0 THEN 'val' E
 
 
 def shares(x: DataFrame) -> DataFrame:
-    """Two equal squares, one shifted: intersection and union."""
-    meet = F.greatest(F.lit(0), c("side") - c("dx")) * F.greatest(F.lit(0), c("side") - c("dy"))
-    return x.select("sample_id", meet.alias("inter"), (2 * c("side") * c("side") - meet).alias("union_"))
+    """Intersection and union of two tables of masks: equal squares, one shifted."""
+    square = lambda dx, dy: x.select("sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), c("side") - 1)).alias("x"), dx.alias("dx"), dy.alias("dy"), "side").select(
+        "sample_id", ((c("x") + c("dx")) * 64 + c("dy")).alias("start"), c("side").alias("length"))
+    return run_overlap(square(F.lit(0), F.lit(0)), square(c("dx"), c("dy")), ["sample_id"])
 
 
 def replies(x: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundphrase.operators import enrichment as en
+from groundphrase.operators import masks as ms
 from groundphrase.operators import matching as ma
 from groundphrase.operators import selection as se
 from groundphrase.plans.registry import Registry
@@ -39,6 +40,31 @@ def window_overlap(o: DataFrame) -> DataFrame:
     return d.select("image_id", "object_id", "ix", "iy", *as_long, F.round("share", 6).alias("share"))
 
 
+exchanging.part("outlines", """SELECT patch_id AS image_id, object_id, xmin * 3 AS x, ymin * 3 AS y, xmax - xmin AS w, ymax - ymin AS h, CAST(4 + object_id % 60 AS BIGINT) AS v FROM objects""")
+exchanging.part("columns_", """SELECT image_id, object_id, unnest(range(x, x + w + 1)) AS cx, y AS y0, y + h + 1 AS y1 FROM outlines UNION ALL
+ SELECT image_id, object_id, cx, t, CAST(CASE WHEN cx = px THEN t + v ELSE greatest(floor(line), CASE WHEN w >= v THEN floor(line + 0.5) ELSE least(t + v, ceil(after) - 1) END) END AS BIGINT) + 1
+ FROM (SELECT *, t + v + (cx - px) * CAST(-v AS DOUBLE) / -w AS line, t + v + (cx + 0.5 - px) * CAST(-v AS DOUBLE) / -w AS after FROM (SELECT *, x + 5 + w AS px, y + h - 3 AS t, unnest(range(x + 5, x + 6 + w)) AS cx FROM outlines) q) q""")
+exchanging.part("window_runs", """SELECT c.image_id, object_id, ix, iy, (cx - ix * 384) * 480 + greatest(0, y0 - iy * 384) AS s, (cx - ix * 384) * 480 + least(480, least(y1, i.height) - iy * 384) AS e
+ FROM columns_ c JOIN scenes i ON c.image_id = i.image_id JOIN (SELECT ix, iy FROM range(6) a(ix), range(6) b(iy)) w
+ ON w.ix * 384 + 480 <= i.width AND w.iy * 384 + 480 <= i.height AND cx >= ix * 384 AND cx < ix * 384 + 480 AND y0 < iy * 384 + 480 AND least(y1, i.height) > iy * 384""")
+exchanging.part("window_islands", """SELECT image_id, object_id, ix, iy, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN s > before THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, object_id, ix, iy ORDER BY s, e) AS k FROM
+ (SELECT *, coalesce(max(e) OVER (PARTITION BY image_id, object_id, ix, iy ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM window_runs) q) q GROUP BY image_id, object_id, ix, iy, k""")
+
+
+@add("window_masks", "objects", """SELECT m.*, m.area / (o.w * o.h + o.w * o.v / 2.0) < 0.5 AND m.area < 500 AS is_cutoff FROM (SELECT image_id, object_id, ix, iy, CAST(sum(e - s) AS BIGINT) AS area,
+ CAST(min(s // 480) AS INT) AS xmin, CAST(min(CASE WHEN s // 480 = (e - 1) // 480 THEN s % 480 ELSE 0 END) AS INT) AS ymin, CAST(max((e - 1) // 480) + 1 AS INT) AS xmax,
+ CAST(max(CASE WHEN s // 480 = (e - 1) // 480 THEN (e - 1) % 480 + 1 ELSE 480 END) AS INT) AS ymax, string_agg(s || ':' || (e - s), ' ' ORDER BY s) AS runs FROM window_islands GROUP BY ALL) m JOIN outlines o ON o.object_id = m.object_id""")
+def window_masks(o: DataFrame) -> DataFrame:
+    """Masks of two polygons each, a rectangle and a triangle, in the windows of a scene."""
+    at = o.selectExpr("patch_id AS image_id", "object_id", "xmin * 3 AS x", "ymin * 3 AS y", "xmax - xmin AS w", "ymax - ymin AS h", "CAST(4 + object_id % 60 AS BIGINT) AS v")
+    right, low = c("x") + c("w") + 5, c("y") + c("h") - 3
+    corners = lambda *p: F.array(*[(k + 0.75).cast("double") for k in p])
+    boxes = corners(c("x"), c("y"), c("x") + c("w"), c("y"), c("x") + c("w"), c("y") + c("h"), c("x"), c("y") + c("h"))
+    a = at.select("image_id", "object_id", F.array(boxes, corners(c("x") + 5, low, right, low, right, low + c("v"))).alias("segmentation"), (c("w") * c("h") + c("w") * c("v") / 2).alias("area"))
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["start"], r["length"])), " ")
+    return ms.window_masks(scenes(o), a).withColumn("runs", said).drop("source_area")
+
+
 @add("patch_yield", "objects", """SELECT image_id, possible, coalesce(h, 0) AS with_objects, possible - coalesce(h, 0) AS without FROM (SELECT image_id, CAST((floor((width - 480) / 384.0) + 1) * (floor((height - 480) / 384.0) + 1) AS BIGINT) AS possible FROM scenes) s
  LEFT JOIN (SELECT image_id, count(DISTINCT ix * 100 + iy) AS h FROM cut_cells WHERE (r - l) * (b - t) / CAST((xmax - xmin) * (ymax - ymin) AS DOUBLE) >= 0.5 GROUP BY image_id) q USING (image_id)""")
 def patch_yield(o: DataFrame) -> DataFrame:
