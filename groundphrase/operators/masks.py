@@ -31,17 +31,20 @@ def polygon_columns(polygons: DataFrame, key: list[str]) -> DataFrame:
     columns = e.filter(first <= last).withColumn("x", F.explode(F.sequence(first, last)))
     dx, dy = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")
     line = lambda x: F.col("p.y") + (x - F.col("p.x")) * dy / F.nullif(dx, F.lit(0.0))
-    cuts = columns.filter((F.col("p.x") <= F.col("x")) != (F.col("q.x") <= F.col("x"))).groupBy(*key, "x").agg(F.sort_array(F.collect_list(line(F.col("x")))).alias("c"))
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("c") / 2).cast("int") - 1), lambda i: F.struct(F.ceil(F.get("c", 2 * i)).alias("y0"), (F.floor(F.get("c", 2 * i + 1)) + 1).alias("y1")))
-    inside = cuts.select(*key, "x", F.explode(pairs).alias("r")).select(*key, "x", "r.y0", "r.y1")
     top, bottom = F.least("p.y", "q.y"), F.greatest("p.y", "q.y")
     before, after = line(F.col("x") - 0.5), line(F.col("x") + 0.5)
     flat = F.floor(line(F.col("x")) + 0.5)
     y0 = F.when(dx == 0, top).when(F.abs(dx) >= F.abs(dy), flat).when(dy * dx > 0, F.greatest(F.ceil(before), top)).otherwise(F.greatest(F.floor(after) + 1, top))
     y1 = F.when(dx == 0, bottom).when(F.abs(dx) >= F.abs(dy), flat).when(dy * dx > 0, F.least(F.ceil(after) - 1, bottom)).otherwise(F.least(F.floor(before), bottom))
-    outline = columns.select(*key, "x", y0.cast("bigint").alias("y0"), (y1.cast("bigint") + 1).alias("y1"))
-    both = inside.unionByName(outline).withColumns({"y0": F.greatest(F.lit(0), F.col("y0")), "y1": F.least(F.col("height"), F.col("y1"))})
-    return both.filter("y0 < y1").select(*key, "x", "y0", "y1")
+    run = lambda y0, y1: F.struct(y0.cast("bigint").alias("y0"), (y1.cast("bigint") + 1).alias("y1"))
+    crossed = (F.col("p.x") <= F.col("x")) != (F.col("q.x") <= F.col("x"))
+    by_column = columns.groupBy(*key, "x").agg(
+        F.sort_array(F.collect_list(F.when(crossed, line(F.col("x"))))).alias("c"), F.collect_set(run(y0, y1)).alias("outline")
+    )
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("c") / 2).cast("int") - 1), lambda i: run(F.ceil(F.get("c", 2 * i)), F.floor(F.get("c", 2 * i + 1))))
+    inside = F.when(F.size("c") > 0, pairs).otherwise(F.array().cast("array<struct<y0:bigint,y1:bigint>>"))
+    both = by_column.select(*key, "x", F.explode(F.concat(inside, "outline")).alias("r"))
+    return both.select(*key, "x", F.greatest(F.lit(0), "r.y0").alias("y0"), F.least("height", "r.y1").alias("y1")).filter("y0 < y1")
 
 
 def cut_runs(runs: DataFrame, patch: int, step: int) -> DataFrame:
@@ -80,6 +83,9 @@ def window_masks(
     step = max(1, int(patch * (1 - overlap)))
     key = ["image_id", "object_id", "source_area"]
     sides = annotations.join(images.select("image_id", "width", "height"), "image_id")
+    # all that follows is grouped by more than these two: this exchange, of polygons, is the only one, and as wide as can be
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = sides.repartition(parts, "image_id", "object_id")
     polygons = sides.select("image_id", "object_id", F.col("area").alias("source_area"), "width", "height", F.posexplode("segmentation").alias("_polygon", "points"))
     d = cut_runs(polygon_columns(polygons, [*key, "width", "height", "_polygon"]).drop("_polygon"), patch, step)
     if windows is not None:
