@@ -54,36 +54,55 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def components_within(edges: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node on an edge, where no edge leaves its group (key) and no node is in two groups.
+def components_within(edges: DataFrame, key: str, a: str = "a", b: str = "b", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(carry, node, component, size) for every node on an edge, where no edge leaves its group (key) and no node is in two
+    groups; carry are columns that are the same on all edges of a component, size the nodes of the component.
 
-    One shuffle by the key; a task solves whole groups, some at a time, so a group's edges must fit into memory.
+    One shuffle by the key; a task solves whole groups, some at a time. Edges are contracted to stars as they arrive, so a
+    group may have any number of edges, but its nodes must fit into memory.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[pa.Table] = []
         rows = 0
 
-        def out(e: np.ndarray) -> pa.RecordBatch:
-            node, least = stars(e[1], e[2])
-            centre = np.unique(least)
-            pair = np.concatenate([node, centre]), np.concatenate([least, centre])
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pair], ["node", "component"])
+        def solved(e: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            return stars(e["a"].to_numpy(), e["b"].to_numpy())
+
+        def out(e: pa.Table) -> pa.RecordBatch:
+            node, least = solved(e)
+            centre, first, size = np.unique(least, return_index=True, return_counts=True)
+            nodes, root = np.concatenate([node, centre]), np.concatenate([np.searchsorted(centre, least), np.arange(len(centre))])
+            ends, at = np.unique(np.concatenate([e["a"].to_numpy(), e["b"].to_numpy()]), return_index=True)
+            row = pa.array(at[np.searchsorted(ends, nodes)] % e.num_rows)
+            told = [e[c].take(row).combine_chunks() for c in carry]
+            return pa.RecordBatch.from_arrays([*told, pa.array(nodes), pa.array(centre[root]), pa.array(size[root] + 1)], [*carry, "node", "component", "size"])
 
         for batch in batches:
-            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            held.append(pa.Table.from_batches([batch]))
             rows += batch.num_rows
             if rows >= CHUNK // 4:
-                e = np.concatenate(held, axis=1)
-                whole = int(np.searchsorted(e[0], e[0, -1]))  # the last group may go on in the next batch
+                e = pa.concat_tables(held)
+                k = e["k"].to_numpy()
+                whole = int(np.searchsorted(k, k[-1]))  # the last group may go on in the next batch
                 if whole:
-                    yield out(e[:, :whole])
-                held, rows = [e[:, whole:]], e.shape[1] - whole
-        if rows:
-            yield out(np.concatenate(held, axis=1))
-
-    ends = edges.select(F.xxhash64(key).alias("k"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
-    return ends.repartition("k").sortWithinPartitions("k").mapInArrow(work, "node long, component long")
+                    yield out(e.slice(0, whole))
+                e = e.slice(whole)
+                node, least = solved(e)
+                ends, at = np.unique(e["a"].to_numpy(), return_index=True)
+                more, other = np.unique(e["b"].to_numpy(), return_index=True)
+                row = np.where(np.isin(node, ends), at[np.minimum(np.searchsorted(ends, node), len(at) - 1)], other[np.minimum(np.searchsorted(more, node), len(other) - 1)])
+                stand = {c: e[c].take(pa.array(row)) for c in ("k", *carry)}
+                e = pa.table(stand | {"a": pa.array(node), "b": pa.array(least)}).select(e.column_names)
+                held, rows = [e], e.num_rows
+                if rows >= CHUNK // 8:  # little to gain: wait for as much again
+                    rows = 0
+        if held and sum(t.num_rows for t in held):
+            yield out(pa.concat_tables(held))
+
+    ends = edges.select(F.xxhash64(key).alias("k"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), *carry).filter("a <> b")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in edges.select(*carry).schema) if carry else ""
+    return ends.repartition("k").sortWithinPartitions("k").mapInArrow(work, f"{kinds}node long, component long, size long")
 
 
 def _minima(edges: DataFrame) -> tuple[DataFrame, int, int]:

@@ -8,15 +8,13 @@ from pyspark.sql.window import Window
 
 from groundphrase.functions import geometry as g
 from groundphrase.operators.graph import components_within
-
-
-def _side(df: DataFrame, prefix: str, key: list[str]) -> DataFrame:
-    return df.select(*key, *[F.col(c).alias(prefix + c) for c in df.columns if c not in key])
+from groundphrase.operators.lineage import cut
+from groundphrase.operators.proximity import cell_join, side
 
 
 def self_pairs(df: DataFrame, key: list[str], on: Column) -> DataFrame:
     """Pairs (a_*, b_*) of rows with equal keys that meet a condition: an equi-join with a residual."""
-    return _side(df, "a_", key).join(_side(df, "b_", key), key).filter(on)
+    return side(df, "a_", key).join(side(df, "b_", key), key).filter(on)
 
 
 def near_enough(base: float) -> Column:
@@ -31,6 +29,11 @@ def _distance() -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def _reach(base: float) -> Column:
+    """How far near_enough() may hold from the larger one of two objects."""
+    return base + (F.col("width") + F.col("height")) / 2
+
+
 _BOX = ("xmin", "ymin", "xmax", "ymax", "cx", "cy", "width", "height")
 
 
@@ -47,7 +50,7 @@ def relate(objects: DataFrame, base: float = 150.0, sectors: str = "reference")
     direction if the angle is near a sector's edge."""
     o = g.with_geometry(objects).select("patch_id", "object_id", "category", *_BOX, "is_cutoff")
     c = F.col
-    pairs = with_directions(self_pairs(o, ["patch_id"], near_enough(base)), sectors)
+    pairs = with_directions(cell_join(o, o, ["patch_id"], _reach(base), 2 * base, near_enough(base)), sectors)
     # never empty: "outer" keeps the optimiser from testing that on every pair of the join
     possible = F.array_compact(F.array("direction", "second"))
     return pairs.withColumns({"distance": _distance(), "possible_directions": possible}).select(
@@ -66,9 +69,10 @@ def rank_relations(relations: DataFrame) -> DataFrame:
 
 def near_pairs(objects: DataFrame, eps: float = 40.0) -> DataFrame:
     """(patch_id, category, a, b, gap): objects of one class whose boxes are at most eps apart, a < b; cut-off ones out."""
-    o = objects.filter(~F.col("is_cutoff")).select("patch_id", "category", "object_id", "xmin", "ymin", "xmax", "ymax")
+    o = g.with_geometry(objects.filter(~F.col("is_cutoff"))).select("patch_id", "category", "object_id", *_BOX)
     gap = g.box_gap("a_", "b_")
-    pairs = self_pairs(o, ["patch_id", "category"], (F.col("a_object_id") < F.col("b_object_id")) & (gap <= eps))
+    reach = eps + F.greatest("width", "height")
+    pairs = cell_join(o, o, ["patch_id", "category"], reach, 2 * eps, (F.col("a_object_id") < F.col("b_object_id")) & (gap <= eps))
     return pairs.select("patch_id", "category", F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"), gap.alias("gap"))
 
 
@@ -87,49 +91,107 @@ def clusters(objects: DataFrame, eps: float = 40.0, min_samples: int = 2, max_sa
     object_id must be unique over all patches. Clusters lie inside patches, so each task solves whole patches.
     """
     pairs = near_pairs(objects, eps)
-    both = pairs.select("patch_id", "category", "a", "b").unionByName(
-        pairs.select("patch_id", "category", F.col("b").alias("a"), F.col("a").alias("b"))
-    )
-    of = lambda links: components_within(links, "patch_id").withColumnRenamed("node", "object_id")
+    key = ["patch_id", "category"]
+    of = lambda links: components_within(links, "patch_id", carry=tuple(key)).withColumnRenamed("node", "object_id")
+    fits = F.col("size").between(min(2, min_samples), max_samples)
     if min_samples <= 2:  # whoever has a neighbour is core
-        found = of(pairs)
-    else:
-        core = both.groupBy("a").count().filter(F.col("count") >= min_samples - 1).select(F.col("a").alias("object_id"))
-        inner = pairs.join(core.withColumnRenamed("object_id", "a"), "a").join(core.withColumnRenamed("object_id", "b"), "b")
-        cores = core.join(of(inner), "object_id", "left").select("object_id", F.coalesce("component", "object_id").alias("component"))
-        border = both.join(cores.withColumnRenamed("object_id", "b"), "b").join(core.withColumnRenamed("object_id", "a"), "a", "left_anti")
-        found = cores.unionByName(border.groupBy(F.col("a").alias("object_id")).agg(F.min_by("component", "b").alias("component")))
-    members = objects.select("patch_id", "category", "object_id").join(found, "object_id")
-    sizes = members.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n").between(min(2, min_samples), max_samples))
-    return members.join(sizes.select("component"), "component", "left_semi").select("patch_id", "category", "object_id", "component")
+        return of(pairs).filter(fits).select(*key, "object_id", "component")
+    both = pairs.select(*key, "a", "b").unionByName(pairs.select(*key, F.col("b").alias("a"), F.col("a").alias("b")))
+    core = both.groupBy(*key, "a").count().filter(F.col("count") >= min_samples - 1).select(*key, F.col("a").alias("object_id"))
+    inner = pairs.join(core.withColumnRenamed("object_id", "a"), [*key, "a"]).join(core.withColumnRenamed("object_id", "b"), [*key, "b"])
+    cores = core.join(of(inner), [*key, "object_id"], "left").select(*key, "object_id", F.coalesce("component", "object_id").alias("component"))
+    border = both.join(cores.withColumnRenamed("object_id", "b"), [*key, "b"]).join(core.withColumnRenamed("object_id", "a"), [*key, "a"], "left_anti")
+    found = cores.unionByName(border.groupBy(*key, F.col("a").alias("object_id")).agg(F.min_by("component", "b").alias("component")))
+    return found.withColumn("size", F.count("*").over(Window.partitionBy(*key, "component"))).filter(fits).drop("size")
+
+
+def with_clusters(objects: DataFrame, members: DataFrame) -> DataFrame:
+    """objects with component (null outside clusters), dealt by patch: marks are added to the rows instead of joined, so one
+    exchange by patch serves all that follows."""
+    marks = members.select("patch_id", "object_id", "component").withColumn("_mark", F.lit(True))
+    every = objects.withColumns({"component": F.lit(None).cast("bigint"), "_mark": F.lit(False)}).unionByName(marks, allowMissingColumns=True)
+    found = F.max("component").over(Window.partitionBy("patch_id", "object_id"))
+    return every.repartition("patch_id").withColumn("component", found).filter("not _mark").drop("_mark")
+
+
+def _cluster_number(inside: Column) -> Column:
+    """1000 * (class order + 1) + label of rows with_clusters() that meet a condition; classes are ordered by their first object that
+    is not cut off, labels by a cluster's first member (pos)."""
+    of_class = Window.partitionBy("patch_id", "category")
+    return F.when(inside, (F.col("_class") * 1000 + F.dense_rank().over(of_class.orderBy(F.col("_start").asc_nulls_last())) - 1).cast("bigint"))
+
+
+def _ordered(tagged: DataFrame) -> DataFrame:
+    """tagged with _class (order of the class in the patch, from 1) and _start (first pos of the row's cluster)."""
+    first = F.min(F.when(~F.col("is_cutoff"), F.col("pos"))).over(Window.partitionBy("patch_id", "category"))
+    start = F.when(F.col("component").isNotNull(), F.min("pos").over(Window.partitionBy("patch_id", "component")))
+    d = tagged.withColumns({"_first": first, "_start": start})
+    return d.withColumn("_class", F.dense_rank().over(Window.partitionBy("patch_id").orderBy(F.col("_first").asc_nulls_last())))
 
 
 def number_clusters(objects: DataFrame, members: DataFrame) -> DataFrame:
     """(patch_id, category, object_id, group_id): 1000 * (class order + 1) + label.
 
     Classes are ordered by their first object that is not cut off, labels by a cluster's first member (pos)."""
-    first = objects.filter(~F.col("is_cutoff")).groupBy("patch_id", "category").agg(F.min("pos").alias("first_pos"))
-    m = members.join(objects.select("object_id", "pos"), "object_id")
-    starts = m.groupBy("patch_id", "category", "component").agg(F.min("pos").alias("start"))
-    label = F.dense_rank().over(Window.partitionBy("patch_id", "category").orderBy("start")) - 1
-    order = F.dense_rank().over(Window.partitionBy("patch_id").orderBy("first_pos"))
-    numbered = starts.withColumn("label", label).join(first.withColumn("o", order), ["patch_id", "category"])
-    numbered = numbered.select("component", (F.col("o") * 1000 + F.col("label")).cast("bigint").alias("group_id"))
-    return members.join(numbered, "component").select("patch_id", "category", "object_id", "group_id")
+    d = _ordered(with_clusters(objects, members))
+    numbered = d.withColumn("group_id", _cluster_number(F.col("component").isNotNull()))
+    return numbered.filter("component is not null").select("patch_id", "category", "object_id", "group_id")
 
 
 def unassigned(objects: DataFrame, members: DataFrame) -> DataFrame:
     """Objects that are not cut off and in no cluster."""
-    return objects.filter(~F.col("is_cutoff")).join(members.select("object_id"), "object_id", "left_anti")
+    return with_clusters(objects, members).filter("not is_cutoff and component is null").drop("component")
+
+
+def _near_clusters(tagged: DataFrame, base: float) -> DataFrame:
+    """(patch_id, object_id), perhaps repeated: objects in no cluster that are near enough to a member of one."""
+    o = g.with_geometry(tagged).select("patch_id", "object_id", *_BOX, "is_cutoff", "component")
+    alone, inside = o.filter("not is_cutoff and component is null"), o.filter("component is not null")
+    hits = cell_join(alone, inside, ["patch_id"], _reach(base), 2 * base, near_enough(base))
+    return hits.select("patch_id", F.col("a_object_id").alias("object_id"))
 
 
 def singles_near_clusters(objects: DataFrame, members: DataFrame, base: float = 150.0) -> DataFrame:
     """Unassigned objects that are near enough to a member of a cluster to be related to it."""
-    alone = unassigned(objects, members)
-    inside = objects.join(members.select("object_id"), "object_id", "left_semi")
-    a, b = (_side(g.with_geometry(x).select("patch_id", "object_id", *_BOX), p, ["patch_id"]) for x, p in ((alone, "a_"), (inside, "b_")))
-    hits = a.join(b, "patch_id").filter(near_enough(base)).select(F.col("a_object_id").alias("object_id"))
-    return alone.join(hits, "object_id", "left_semi")
+    tagged = cut(with_clusters(objects, members))
+    return tagged.drop("component").join(_near_clusters(tagged, base), ["patch_id", "object_id"], "left_semi").select(*objects.columns)
+
+
+def group_rows(objects: DataFrame, members: DataFrame, base: float = 150.0, small: str = "Small_Vehicle", large: str = "Large_Vehicle") -> DataFrame:
+    """objects with group_id and group_category, a row for each group that an object is in, dealt by patch.
+
+    Groups are the clusters, above them single objects that are near one (number 1000 * class order + 500000 + the number of
+    the patch's groups before it), classes with more than one object (from 1000000 on, in the order of their first object),
+    and both vehicle classes of a patch together (2000000). All kinds are windows over the same patch, so objects and the
+    marks on them are dealt by patch once, and what follows by patch and group needs no exchange.
+    """
+    tagged = cut(with_clusters(objects, members))
+    near = _near_clusters(tagged, base).withColumn("_near", F.lit(True))
+    every = tagged.withColumn("_near", F.lit(False)).unionByName(near, allowMissingColumns=True).repartition("patch_id")
+    marked = F.max("_near").over(Window.partitionBy("patch_id", "object_id"))
+    d = every.withColumn("_single", marked).filter("not _near")
+    patch, of_class = Window.partitionBy("patch_id"), Window.partitionBy("patch_id", "category")
+    inside = F.col("component").isNotNull()
+    d = _ordered(d).withColumns({
+        "_cluster": _cluster_number(inside), "_n": F.count("*").over(of_class), "_head": F.min("pos").over(of_class),
+        "_nth": F.row_number().over(patch.orderBy(F.col("_single").desc(), "pos")), "_before": F.size(F.collect_set("component").over(patch)),
+        "_pair": (F.count_if(F.col("category") == small).over(patch) > 0) & (F.count_if(F.col("category") == large).over(patch) > 0),
+    })
+    many = F.dense_rank().over(patch.orderBy(F.when(F.col("_n") > 1, F.col("_head")).asc_nulls_last())) - 1
+    alone = F.when(F.col("_single"), (F.col("_class") * 1000 + 500_000 + F.col("_nth") - 1 + F.col("_before")).cast("bigint"))
+    row = lambda number, name: F.struct(number.cast("bigint").alias("group_id"), name.alias("group_category"))
+    groups = F.array(
+        row(F.coalesce("_cluster", alone), F.col("category")), row(F.when(F.col("_n") > 1, 1_000_000 + many), F.col("category")),
+        row(F.when(F.col("_pair") & F.col("category").isin(small, large), 2_000_000), F.lit("vehicle_pair")),
+    )
+    told = d.withColumn("_groups", groups).select(*objects.columns, F.explode(F.filter("_groups", lambda x: x["group_id"].isNotNull())).alias("_g"))
+    return told.select(*objects.columns, "_g.group_id", "_g.group_category")
+
+
+def groups_of(rows: DataFrame) -> DataFrame:
+    """(patch_id, group_id, category, instance_ids) of group_rows(); ids in the order of pos."""
+    found = rows.groupBy("patch_id", "group_id").agg(F.max("group_category").alias("category"), F.sort_array(F.collect_list(F.struct("pos", "object_id"))).alias("m"))
+    return found.select("patch_id", "group_id", "category", F.col("m.object_id").alias("instance_ids"))
 
 
 def class_groups(objects: DataFrame) -> DataFrame:
@@ -153,34 +215,6 @@ def pair_groups(objects: DataFrame, small: str = "Small_Vehicle", large: str = "
     )
 
 
-def cluster_groups(objects: DataFrame, numbered: DataFrame, singles: DataFrame | None = None) -> DataFrame:
-    """(patch_id, group_id, category, instance_ids) of clusters and, above them, of single objects.
-
-    A single's id is 1000 * class order + 500000 + the number of the patch's groups before it."""
-    pos = objects.select("object_id", "pos")
-    out = numbered.join(pos, "object_id").groupBy("patch_id", "group_id", "category").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "object_id"))).alias("m")
-    )
-    out = out.select("patch_id", "group_id", "category", F.col("m.object_id").alias("instance_ids"))
-    if singles is None:
-        return out
-    first = objects.filter(~F.col("is_cutoff")).groupBy("patch_id", "category").agg(F.min("pos").alias("first_pos"))
-    first = first.withColumn("o", F.dense_rank().over(Window.partitionBy("patch_id").orderBy("first_pos")))
-    before = out.groupBy("patch_id").agg(F.count("*").alias("before"))
-    s = singles.select("patch_id", "category", "object_id", "pos").join(first, ["patch_id", "category"]).join(before, "patch_id", "left")
-    n = F.row_number().over(Window.partitionBy("patch_id").orderBy("pos")) - 1 + F.coalesce("before", F.lit(0))
-    alone = s.select("patch_id", (F.col("o") * 1000 + 500_000 + n).cast("bigint").alias("group_id"), "category", F.array("object_id").alias("instance_ids"))
-    return out.unionByName(alone)
-
-
-def all_groups(*groups: DataFrame) -> DataFrame:
-    """Clusters, class groups and pairs together; their ids are disjoint by range."""
-    out = groups[0]
-    for more in groups[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 def group_members(groups: DataFrame, objects: DataFrame) -> DataFrame:
     """(patch_id, group_id, category of the object, and its columns), one row per group and object."""
     inside = groups.select("patch_id", "group_id", F.explode("instance_ids").alias("object_id"))
@@ -188,9 +222,12 @@ def group_members(groups: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def group_geometry(members: DataFrame) -> DataFrame:
-    """(patch_id, group_id, size, cx, cy, xmin, ymin, xmax, ymax): mean centroid and box of all members."""
+    """(patch_id, group_id, size, cx, cy, xmin, ymin, xmax, ymax): mean centroid and box of all members, and category if members
+    have group_category."""
     m = g.with_geometry(members)
+    named = [F.max("group_category").alias("category")] if "group_category" in members.columns else []
     return m.groupBy("patch_id", "group_id").agg(
+        *named,
         F.count("*").alias("size"), F.avg("cx").alias("cx"), F.avg("cy").alias("cy"), F.min("xmin").alias("xmin"),
         F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"),
     )
@@ -215,7 +252,7 @@ def relate_groups(geometry: DataFrame, base: float = 150.0) -> DataFrame:
         (c("a_group_id") != c("b_group_id")) & ((c("a_size") > 1) | (c("b_size") > 1)) & (distance <= base)
         & ~g.box_inside("a_", "b_") & ~g.box_inside("b_", "a_")
     )
-    pairs = self_pairs(e, ["patch_id"], on)
+    pairs = cell_join(e, e, ["patch_id"], F.lit(base), base, on)
     return pairs.select(
         "patch_id", c("a_group_id").alias("source_id"), c("b_group_id").alias("target_id"),
         g.group_direction(g.angle(c("a_cx"), c("a_cy"), c("b_cx"), c("b_cy"))).alias("direction"), distance.alias("distance"),

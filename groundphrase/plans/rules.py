@@ -240,17 +240,14 @@ def dedup_directions(o: DataFrame) -> DataFrame:
 
 # ---- groups
 
-def every_group(o: DataFrame) -> DataFrame:
-    members = r.clusters(o)
-    singles = r.singles_near_clusters(o, members)
-    return r.all_groups(r.cluster_groups(o, r.number_clusters(o, members), singles), r.class_groups(o), r.pair_groups(o))
+def group_rows(o: DataFrame) -> DataFrame:
+    return r.group_rows(o, r.clusters(o))
 
 
 def described_groups(o: DataFrame) -> DataFrame:
-    groups = cut(every_group(o))  # it is used twice
-    boxes = r.group_geometry(r.group_members(groups, o.drop("category")))
-    named = boxes.join(groups.select("patch_id", "group_id", "category"), ["patch_id", "group_id"])
-    return cut(named.withColumn("grid_position", g.grid_position(c("cx"), c("cy"), F.lit(SIZE), F.lit(SIZE))))
+    rows = group_rows(o)
+    boxes = r.group_geometry(rows).withColumn("grid_position", g.grid_position(c("cx"), c("cy"), F.lit(SIZE), F.lit(SIZE)))
+    return cut(boxes)
 
 
 @rules.add("cluster_members", "objects", "SELECT patch_id, category, object_id, component FROM members")
@@ -287,23 +284,23 @@ def pair_groups(o: DataFrame) -> DataFrame:
 
 @rules.add("all_groups", "objects", "SELECT patch_id, group_id, group_class AS category, count(*) AS size FROM in_groups GROUP BY patch_id, group_id, group_class")
 def all_groups(o: DataFrame) -> DataFrame:
-    return every_group(o).select("patch_id", "group_id", "category", F.size("instance_ids").cast("bigint").alias("size"))
+    return r.groups_of(group_rows(o)).select("patch_id", "group_id", "category", F.size("instance_ids").cast("bigint").alias("size"))
 
 
 @rules.add("group_members", "objects", "SELECT patch_id, group_id, object_id FROM in_groups")
 def group_members(o: DataFrame) -> DataFrame:
-    return r.group_members(every_group(o).drop("category"), o).select("patch_id", "group_id", "object_id")
+    return r.group_members(r.groups_of(group_rows(o)), o.drop("category")).select("patch_id", "group_id", "object_id")
 
 
 @rules.add("group_geometry", "objects", "SELECT patch_id, group_id, size, round(cx, 4) AS cx, round(cy, 4) AS cy, xmin, ymin, xmax, ymax FROM group_boxes")
 def group_geometry(o: DataFrame) -> DataFrame:
-    boxes = r.group_geometry(r.group_members(every_group(o).drop("category"), o))
+    boxes = r.group_geometry(group_rows(o)).drop("category")
     return boxes.withColumns({"cx": F.round("cx", 4), "cy": F.round("cy", 4)})
 
 
 @rules.add("group_category", "objects", "SELECT DISTINCT patch_id, group_id, group_class AS category FROM in_groups")
 def group_category(o: DataFrame) -> DataFrame:
-    return r.group_category(r.group_members(every_group(o).drop("category"), o))
+    return r.group_category(group_rows(o))
 
 
 @rules.add("group_grid_position", "objects", f"SELECT patch_id, group_id, {_grid('cx', 'cy')} AS grid_position FROM group_boxes")
