@@ -8,7 +8,8 @@ target size, and commits a version that names the result instead. A shard of any
 half the target is rewritten in the same way, alone. Merges that share no shard run side by side. Readers hold to a
 manifest, so they never see a half-done merge. A writer leaves a note (intents/) before it writes and takes it away
 after its commit; vacuum spares what a note names. All files go through Hadoop's file system; the rename must be atomic
-and refuse to overwrite, as that of HDFS and of local and cluster file systems is. That of plain object stores is not.
+and refuse to overwrite, as that of HDFS is. On local and mounted file systems (file:) a hard link stands for it. Plain object
+stores have neither.
 """
 
 from __future__ import annotations
@@ -63,7 +64,9 @@ class ShardStore:
 
     def manifest(self, version: int | None = None) -> list[Shard]:
         """The shards of a version, the latest if none is named. Its length grows with files, not with rows."""
-        version = self.version() if version is None else version
+        return self.latest()[1] if version is None else self._named(version)
+
+    def _named(self, version: int) -> list[Shard]:
         if not version:
             return []
         stream = self.fs.open(self._path(f"{self.root}/manifests/{version:09d}.json"))
@@ -73,6 +76,31 @@ class ShardStore:
             stream.close()
         return [Shard(**{**s, "sizes": tuple(s.get("sizes", ()))}) for s in json.loads(text)["shards"]]
 
+    def latest(self) -> tuple[int, list[Shard]]:
+        """The latest version and its shards. Another one's vacuum may take a manifest away as soon as there is a newer one:
+        then that one is read."""
+        for _ in range(TRIES):
+            version = self.version()
+            try:
+                return version, self._named(version)
+            except Exception:
+                if self.version() == version:
+                    raise
+        raise RuntimeError(f"no manifest stood still in {TRIES} tries")
+
+    def _rename_new(self, aside, place) -> None:
+        """Renames a file to a place that nothing may have; of several at a time one wins. A local rename looks and moves in
+        two steps, so there a hard link is made instead, which fails if the place is taken."""
+        gateway, jvm = self.spark._sc._gateway, self.spark._jvm
+        if self.fs.getUri().getScheme() == "file":
+            more = gateway.new_array(jvm.java.lang.String, 0)
+            ends = [jvm.java.nio.file.Paths.get(p.toUri().getPath(), more) for p in (place, aside)]
+            jvm.java.nio.file.Files.createLink(*ends)
+            self.fs.delete(aside, False)
+            return
+        none = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        self.java.fs.FileContext.getFileContext(aside.toUri() if aside.toUri().getScheme() else self.fs.getUri(), self.conf).rename(aside, place, none)
+
     def commit(self, base: int, shards: list[Shard]) -> int:
         """Version base + 1 with these shards; FileExistsError if another writer has made it first."""
         aside = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
@@ -82,9 +110,8 @@ class ShardStore:
         finally:
             out.close()
         place = self._path(f"{self.root}/manifests/{base + 1:09d}.json")
-        none = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            self.java.fs.FileContext.getFileContext(aside.toUri() if aside.toUri().getScheme() else self.fs.getUri(), self.conf).rename(aside, place, none)
+            self._rename_new(aside, place)
         except Exception as error:
             self.fs.delete(aside, False)
             if "FileAlreadyExists" in str(error):
@@ -96,8 +123,8 @@ class ShardStore:
         """Commits edit(shards) on top of the latest version, and again on the next one where another writer was first.
         None, and no commit, if edit gives None."""
         for _ in range(TRIES):
-            base = self.version()
-            shards = edit(self.manifest(base))
+            base, before = self.latest()
+            shards = edit(before)
             if shards is None:
                 return None
             try:
@@ -178,10 +205,17 @@ class ShardStore:
         return found or [[s] for s in shards if s.name not in fresh and self.scattered(s)]
 
     def _merge(self, run: list[Shard], vacuum: bool) -> str | None:
-        """Rewrites a run as one shard and commits it; None if another writer has merged one of its shards first."""
+        """Rewrites a run as one shard and commits it; None if another writer has merged one of its shards first, and
+        perhaps deleted it already."""
         name, gone = f"shards/m-{uuid.uuid4().hex}", {s.name for s in run}
         with self._intent(name):
-            self.read(shards=run).write.parquet(f"{self.root}/{name}")
+            try:
+                self.read(shards=run).write.parquet(f"{self.root}/{name}")
+            except Exception:
+                if gone <= {s.name for s in self.manifest()}:
+                    raise
+                self.fs.delete(self._path(f"{self.root}/{name}"), True)
+                return None
             made = self._shard(name, sum(s.rows for s in run))
 
             def edit(shards: list[Shard]) -> list[Shard] | None:
@@ -208,24 +242,43 @@ class ShardStore:
                 merges += len(made)
         return merges
 
-    def vacuum(self, abandoned: float = ABANDONED) -> None:
-        """Deletes the shards that the latest version does not name, and older manifests, but for folders that a writer's note
-        names; notes older than `abandoned` seconds are those of lost writers and go, too."""
+    def _folders(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.root}/shards"))]
+
+    def _notes(self, abandoned: float) -> set[str]:
+        """Folders that a note names; notes older than `abandoned` seconds go."""
         notes = set()
-        for note in self.fs.listStatus(self._path(f"{self.root}/intents")):  # before the manifest: a note goes after its commit
+        for note in self.fs.listStatus(self._path(f"{self.root}/intents")):
             if time.time() - note.getModificationTime() / 1000 < abandoned:
                 notes.add(note.getPath().getName())
             else:
                 self.fs.delete(note.getPath(), False)
-        folders = [s.getPath() for s in self.fs.listStatus(self._path(f"{self.root}/shards")) if s.getPath().getName() not in notes]
-        last = self.version()
-        live = {s.name for s in self.manifest(last)}
+        return notes
+
+    def vacuum(self, abandoned: float = ABANDONED) -> None:
+        """Deletes the shards that the latest version does not name, but for folders that a writer's note names, and manifests of
+        earlier versions; notes and manifests go when they are older than `abandoned` seconds, those of lost writers. A
+        younger manifest stays, since it keeps a slow writer from taking its version again.
+
+        Folders are listed first, then notes, then the manifest is read. A writer makes its note before its folder and takes
+        it away after its commit: a folder without a note when the notes are listed is in the manifest that is read after
+        that, or no longer wanted. What is made after the first listing isn't looked at.
+        """
+        folders = self._folders()
+        notes = self._notes(abandoned)
+        last, shards = self.latest()
+        live = {s.name for s in shards}
         for folder in folders:
-            name = f"shards/{folder.getName()}"
-            inner = [f"{name}/{s.getPath().getName()}" for s in self.fs.listStatus(folder) if s.isDirectory()]
+            if folder in notes:
+                continue
+            name = f"shards/{folder}"
+            here = self._path(f"{self.root}/{name}")
+            if not self.fs.exists(here):  # another vacuum was here
+                continue
+            inner = [f"{name}/{s.getPath().getName()}" for s in self.fs.listStatus(here) if s.isDirectory()]
             for x in inner or [name]:
                 if x not in live:
                     self.fs.delete(self._path(f"{self.root}/{x}"), True)
         for m in self.fs.listStatus(self._path(f"{self.root}/manifests")):
-            if m.getPath().getName() < f"{last:09d}.json":
+            if m.getPath().getName() < f"{last:09d}.json" and time.time() - m.getModificationTime() / 1000 >= abandoned:
                 self.fs.delete(m.getPath(), False)

@@ -1,3 +1,4 @@
+import os
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -108,3 +109,99 @@ def test_merges_side_by_side(spark, tmp_path):
         s.append(spark.range(i, i + 1))
     assert [len(r) for r in s.runs(s.manifest(), set())] == [2, 2, 2]
     assert s.compact(vacuum=True, at_once=3) == 5 and len(s.manifest()) == 1 and s.read().count() == 6
+
+
+GAPS = ["start", "folders", "notes", "manifest", "end"]
+
+
+@pytest.mark.parametrize("begin, commit", [(i, j) for i in range(5) for j in range(i, 5)])
+def test_vacuum_spares_writers_that_start_between_its_listings(spark, tmp_path, monkeypatch, begin, commit):
+    """A writer that begins in one gap of vacuum() and commits in the same or a later one keeps all its rows."""
+    store = ShardStore(spark, str(tmp_path / "s"))
+    store.append(spark.range(10).coalesce(1))
+    name = "shards/a-late"
+    note = store._intent(name)
+
+    def reach(gap):
+        if GAPS[begin] == gap:
+            note.__enter__()
+            spark.range(10, 15).coalesce(1).write.parquet(f"{store.root}/{name}")
+        if GAPS[commit] == gap:
+            store.change(lambda shards: [*shards, store._shard(name, 5)])
+            note.__exit__(None, None, None)
+
+    busy = []
+
+    def after(method, gap):
+        whole = getattr(store, method)
+
+        def run(*args):
+            out = whole(*args)
+            if not busy:
+                busy.append(gap)
+                reach(gap)
+                busy.clear()
+            return out
+
+        monkeypatch.setattr(store, method, run)
+
+    for method, gap in (("_folders", "folders"), ("_notes", "notes"), ("latest", "manifest")):
+        after(method, gap)
+    busy.append("start")
+    reach("start")
+    busy.clear()
+    store.vacuum()
+    busy.append("end")
+    reach("end")
+    assert sorted(r.id for r in store.read().collect()) == list(range(15))
+    store.vacuum()
+    assert sorted(r.id for r in store.read().collect()) == list(range(15))
+
+
+def test_two_compactions_that_vacuum_side_by_side(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"), target=1 << 20, fan_in=2, smallest=1)
+    for i in range(12):
+        store.append(spark.range(i * 100, i * 100 + 100).coalesce(1))
+    others = [ShardStore(spark, store.root, target=1 << 20, fan_in=2, smallest=1) for _ in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda s: (s.compact(vacuum=True), s.vacuum()), others))
+    assert sorted(r.id for r in store.read().collect()) == list(range(1200))
+    assert len(store.manifest()) < 12
+
+
+def test_a_merge_whose_shards_are_gone_gives_up(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"), fan_in=2, smallest=1)
+    for i in range(2):
+        store.append(spark.range(i, i + 1).coalesce(1))
+    run = store.manifest()
+    assert store.compact(vacuum=True) == 1
+    assert store._merge(run, True) is None
+    assert sorted(r.id for r in store.read().collect()) == [0, 1]
+
+
+def test_one_of_many_writers_of_a_version_wins(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"))
+
+    def tried(i):
+        try:
+            return store.commit(version, [Shard(f"shards/{i}", 0, 0)]) and i
+        except FileExistsError:
+            return None
+
+    for version in range(25):
+        with ThreadPoolExecutor(8) as pool:
+            won = [i for i in pool.map(tried, range(8)) if i is not None]
+        assert len(won) == 1 and store.manifest(version + 1)[0].name == f"shards/{won[0]}"
+    assert not [n for n in os.listdir(tmp_path / "s/manifests") if "tmp" in n]
+
+
+def test_a_slow_writer_does_not_take_a_version_that_was_vacuumed(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"))
+    store.append(spark.range(3).coalesce(1))
+    base, before = store.latest()
+    for i in range(3):
+        store.append(spark.range(10 * i, 10 * i + 3).coalesce(1))
+    store.vacuum()
+    with pytest.raises(FileExistsError):
+        store.commit(base, before)
+    assert store.read().count() == 12
