@@ -92,46 +92,80 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     )
 
 
+class Parts:
+    """Components of sets: a label each, members relabelled with the smaller side of a union, and the largest so far."""
+
+    def __init__(self, n: int):
+        self.label, self.count, self.top = np.arange(n), np.ones(n, "int64"), 0
+        self.members: dict[int, list[np.ndarray]] = {}
+
+    def unite(self, a: int, b: int) -> None:
+        a, b = (a, b) if self.count[a] >= self.count[b] else (b, a)
+        moved = self.members.pop(b, [np.array([b])])
+        for x in moved:
+            self.label[x] = a
+        self.members.setdefault(a, [np.array([a])]).append(np.concatenate(moved))
+        self.count[a] += self.count[b]
+        if self.count[a] > self.count[self.top] or self.top == b:
+            self.top = a
+
+
 def linked_parts(sets: list[np.ndarray], share: int) -> np.ndarray:
     """Component number of each set; two sets are linked if 100 * intersection >= share * union. Exact.
 
-    The sets' elements are indexed once. A set's overlaps with all others are one count over its elements' lists. Sets
-    are taken until all that are left are in the largest component: a link between components has an end outside
-    it, and that end has been compared with all.
+    Two sets that link share one of their rarest elements, if each takes as many as the share leaves room for; only
+    these are indexed. A set meets those of other components in its elements' lists, and its overlaps with them are
+    counted on the whole sets. A list whose sets are all in one component is closed. Sets are taken until all that are
+    left are in the largest component: a link between components has an end outside it, and that end has been compared with all.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], "int64")
-    flat = np.concatenate([*sets, np.zeros(0, "uint64")])
-    order = np.argsort(flat, kind="stable")
-    lists = np.repeat(np.arange(n, dtype="int32"), sizes)[order]  # sets by element
-    new = np.append(True, flat[order][1:] != flat[order][:-1])[: len(flat)]
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(flat))[: len(starts)]
-    number = np.empty(len(flat), "int64")
-    number[order] = np.cumsum(new) - 1
+    owner = np.repeat(np.arange(n, dtype="int32"), sizes)
+    number, freq = np.unique(np.concatenate([*sets, np.zeros(0, "uint64")]), return_inverse=True, return_counts=True)[1:]
+    number = number[np.lexsort((number, freq[number], owner))]  # rarest first
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    shared = np.concatenate([[0], np.cumsum((ends - starts)[number])])
-    central = shared[begin[1:]] - shared[begin[:-1]]
-    label, count = np.arange(n), np.ones(n, "int64")
-    done = np.zeros(n, bool)
-    turns = np.argsort(-central, kind="stable")
+    room = np.where(sizes, sizes + (-share * sizes // 100) + 1, 0)
+    rare = np.arange(len(number)) - begin[owner] < room[owner]
+    order = np.argsort(number[rare], kind="stable")
+    lists = owner[rare][order]  # sets by element
+    starts, ends = (np.searchsorted(number[rare][order], np.arange(len(freq)), s) for s in ("left", "right"))
+    closed, mark = np.zeros(len(freq), bool), np.zeros(len(freq), bool)
+    parts = Parts(n)
+    label = parts.label
+
+    def spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+
+    def compare(x: int) -> None:
+        mine = number[begin[x] : begin[x] + room[x]]
+        mine = mine[~closed[mine]]
+        if not len(mine):
+            return
+        size = ends[mine] - starts[mine]
+        found = lists[spread(starts[mine], size)]
+        other = label[found] != label[x]
+        closed[mine[np.add.reduceat(other, np.cumsum(size) - size, dtype="int64") == 0]] = True
+        near = np.unique(found[other])
+        near = near[100 * np.minimum(sizes[near], sizes[x]) >= share * np.maximum(sizes[near], sizes[x])]
+        if not len(near):
+            return
+        own = number[begin[x] : begin[x + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[number[spread(begin[near], sizes[near])]], np.cumsum(sizes[near]) - sizes[near], dtype="int64")
+        mark[own] = False
+        for y in near[100 * both >= share * (sizes[near] + sizes[x] - both)].tolist():
+            if label[y] != label[x]:
+                parts.unite(int(label[x]), int(label[y]))
+
+    central = np.bincount(owner, freq[number], n) if len(number) else np.zeros(n)
+    turns, done = np.argsort(-central, kind="stable"), np.zeros(n, bool)
     while len(turns):
-        for x in turns:
-            if count[label[x]] > 1 and label[x] == count.argmax():
+        for x in turns.tolist():
+            if parts.count[label[x]] > 1 and label[x] == parts.top:
                 continue
             done[x] = True
-            mine = number[begin[x] : begin[x + 1]]
-            size = ends[mine] - starts[mine]
-            at = np.arange(size.sum()) + np.repeat(starts[mine] - (np.cumsum(size) - size), size)
-            both = np.bincount(lists[at], minlength=n)
-            hit = (both > 0) & (100 * both >= share * (sizes + sizes[x] - both))
-            for other in np.unique(label[hit]):
-                if other != label[x]:
-                    a, b = (label[x], other) if count[label[x]] >= count[other] else (other, label[x])
-                    count[a] += count[b]
-                    count[b] = 0
-                    label[label == b] = a
-        turns = turns[~done[turns] & (label[turns] != count.argmax())]  # another component may be the largest now
+            compare(x)
+        turns = turns[~done[turns] & (label[turns] != parts.top)]  # another component may be the largest now
     return label
 
 
