@@ -239,11 +239,13 @@ def _blocks(rows: DataFrame, size: int, dim: int, tree: bool, by_label: bool) ->
     """Blocks of about `size` rows, of one label each (kind) or of any: (kind, part, ids, labels, v), with points, parent and
     edge for anchors. Rows are dealt by a hash over as many parts as their count asks for, so a label may hold any share.
     """
-    kind = (F.col("label") if by_label else F.lit("")).alias("kind")
-    kinds = rows.select(kind, "vec_id", "label", "v")
-    counts = kinds.groupBy("kind").agg(F.ceil(F.count("*") / size).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("vec_id", F.lit(13)), F.col("parts"))
-    dealt = kinds.join(counts, "kind").select("kind", part.alias("part"), "vec_id", "label", "v")
+    number = F.xxhash64("vec_id", F.lit(13))
+    if by_label:
+        counts = rows.groupBy("label").agg(F.ceil(F.count("*") / size).cast("long").alias("parts"))
+        dealt = rows.join(counts, "label").select(F.col("label").alias("kind"), F.pmod(number, F.col("parts")).alias("part"), "vec_id", "label", "v")
+    else:
+        parts = max(1, -(-rows.count() // size))
+        dealt = rows.select(F.lit("").alias("kind"), F.pmod(number, F.lit(parts)).alias("part"), "vec_id", "label", "v")
     out = "kind string, part long, ids binary, labels array<string>, v binary" + ", points binary, parent binary, edge binary" * tree
     ordered = dealt.repartition("kind", "part").sortWithinPartitions("kind", "part", "vec_id")
     return cut(ordered.mapInArrow(_pack(dim, tree), out))
