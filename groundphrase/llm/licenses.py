@@ -26,8 +26,10 @@ from groundphrase.llm.license_texts import TEMPLATES
 from groundphrase.operators.lineage import cut
 
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
-SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
-LEAST = 0.6
+#: A tag's whole expression: names, AND, OR, WITH, and brackets.
+SPDX = r"SPDX-License-Identifier:[ \t]*([(]*[A-Za-z0-9.+-]+[)]*(?:[ \t]+(?:AND|OR|WITH)[ \t]+[(]*[A-Za-z0-9.+-]+[)]*)*)"
+#: Least cosine of a unit, and of a licence file's title.
+LEAST, TITLE = 0.6, 0.8
 
 
 def words(text: Column) -> Column:
@@ -63,18 +65,24 @@ def key_words(weights: list[tuple[str, int, str, float, float]], least: float) -
     return sorted(out)
 
 
-def units(path: Column, text: Column, keys: list[str]) -> Column:
-    """The texts to compare: lines with a key word, runs of such lines (blank lines end a run, or do not), and a licence
-    file as a whole. Each different one once."""
-    lines = F.split(text, r"\r\n|[\n\r]")
+def units(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(path, said, title): the texts to compare: lines with a key word, runs of such lines (blank lines end a run, or do not),
+    and a licence file as a whole. Each different one of a file once. title marks the first two lines with a letter or
+    digit of a licence file, which are a unit of their own."""
     has_key = lambda line: F.arrays_overlap(words(line), F.array(*map(F.lit, keys)))
     blank = lambda line: ~line.rlike(r"[\p{L}\p{N}]")
+    lines = F.split("text", r"\r\n|[\n\r]")
+    told = files.select("path", "text", F.transform(lines, lambda x: F.struct(x.alias("x"), has_key(x).alias("key"), blank(x).alias("blank"))).alias("_l"))
     # other lines become empty: two line feeds end a run; a blank line that does not end one becomes a space
-    broken = F.array_join(F.transform(lines, lambda x: F.when(has_key(x), x).otherwise("")), "\n")
-    joined = F.array_join(F.transform(lines, lambda x: F.when(has_key(x), x).when(blank(x), " ").otherwise("")), "\n")
-    runs = F.concat(F.split(broken, "\n"), F.split(broken, "\n\n+"), F.split(joined, "\n\n+"))
-    whole = F.when(path.rlike(LICENCE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.transform(F.concat(runs, whole), F.trim))
+    broken = F.array_join(F.transform("_l", lambda x: F.when(x["key"], x["x"]).otherwise("")), "\n")
+    joined = F.array_join(F.transform("_l", lambda x: F.when(x["key"], x["x"]).when(x["blank"], " ").otherwise("")), "\n")
+    head = F.array_join(F.transform(F.slice(F.filter("_l", lambda x: ~x["blank"]), 1, 2), lambda x: x["x"]), " ")
+    own, none = F.col("path").rlike(LICENCE_FILE), F.array().cast("array<string>")
+    told = told.select("path", "text", broken.alias("broken"), joined.alias("joined"), F.when(own, F.array(head)).otherwise(none).alias("head"))
+    runs = F.concat(F.split("broken", "\n"), F.split("broken", "\n\n+"), F.split("joined", "\n\n+"), F.when(own, F.array("text")).otherwise(none))
+    row = lambda title: lambda x: F.struct(x.alias("said"), F.lit(title).alias("title"))
+    every = F.concat(F.transform(F.array_distinct(F.transform(runs, F.trim)), row(False)), F.transform("head", row(True)))
+    return told.select("path", F.explode(every).alias("u")).select("path", "u.said", "u.title")
 
 
 def may_reach(w: Column, weights: list[tuple[str, int, str, float, float]], least: float) -> Column:
@@ -92,10 +100,17 @@ def may_reach(w: Column, weights: list[tuple[str, int, str, float, float]], leas
     return (F.size(w) > 0) & (sums["dot"] * (1 + 1e-9) >= least * F.sqrt(sums["square"] + others))
 
 
+def expression(tag: Column) -> Column:
+    """An SPDX expression without brackets around the whole of it, or such as belong to what stands around the tag."""
+    bare = F.regexp_replace(tag, r"^[(]([^()]*)[)]$", "$1")
+    return F.when(F.contains(bare, F.lit("(")), bare).otherwise(F.replace(bare, F.lit(")"), F.lit("")))
+
+
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(path, license, score) of each file that states a licence; score is a cosine of `least` or more.
 
-    Of several statements the SPDX tag counts, else the one that has most in common with its template (the cosine times
+    Of several statements the SPDX tag counts, with its whole expression; else the title of a licence file (cosine TITLE or
+    more); else the one that has most in common with its template (the cosine times
     the length of the unit's vector), so a line inside a longer notice does not stand for it; ties go to the greater
     score, then to the greater name.
     """
@@ -105,8 +120,8 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     weights = template_weights(files, df, n, templates)
     keys = key_words(weights, least)
     near = f.filter(F.arrays_overlap(words(F.col("text")), F.array(*map(F.lit, keys))))
-    unit = near.select("path", F.explode(units(F.col("path"), F.col("text"), keys)).alias("said"))
-    unit = unit.select("path", F.xxhash64("said").alias("unit"), words(F.col("said")).alias("w")).filter(may_reach(F.col("w"), weights, least))
+    unit = units(near, keys).select("path", F.struct("title", F.xxhash64("said").alias("hash")).alias("unit"), words(F.col("said")).alias("w"))
+    unit = unit.filter(may_reach(F.col("w"), weights, least))
     tf = unit.select("path", "unit", F.explode("w").alias("word")).groupBy("path", "unit", "word").agg(F.count("*").alias("tf"))
     idf = F.log((1.0 + n) / (1 + F.col("df"))) + 1
     weighed = cut(cut(tf).join(df, "word").select("path", "unit", "word", (F.col("tf") * idf).alias("w")))
@@ -118,13 +133,15 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         F.sum(F.col("w") * F.col("share")).alias("dot")
     )
     dot = dot.filter(F.col("dot") > 0)
+    title = F.col("unit.title")
     scored = dot.join(length, ["path", "unit"]).select(
-        "path", F.lit(0).alias("tag"), F.round("dot", 3).alias("common"), F.round(F.col("dot") / F.col("length"), 6).alias("score"), "license"
-    )
+        "path", title.cast("int").alias("tag"), F.when(title, 0.0).otherwise(F.round("dot", 3)).alias("common"),
+        F.round(F.col("dot") / F.col("length"), 6).alias("score"), "license",
+    )
     tags = F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("license")
-    tagged = f.select("path", F.lit(1).alias("tag"), F.lit(0.0).alias("common"), F.lit(1.0).alias("score"), tags)
+    tagged = f.select("path", F.lit(2).alias("tag"), F.lit(0.0).alias("common"), F.lit(1.0).alias("score"), tags).withColumn("license", expression(F.col("license")))
     rank = F.struct("tag", "common", "score", "license")
-    best = scored.filter(F.col("score") >= least).unionByName(tagged).groupBy("path").agg(F.max(rank).alias("b"))
+    best = scored.filter(F.col("score") >= F.when(F.col("tag") == 1, max(least, TITLE)).otherwise(least)).unionByName(tagged).groupBy("path").agg(F.max(rank).alias("b"))
     return best.select("path", "b.license", "b.score")
 
 

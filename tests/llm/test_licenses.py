@@ -46,7 +46,11 @@ def brute(files, templates=lic.TEMPLATES):
             left -= x**2
     own = {}
     for p, t in files:
-        found = [(1, 0.0, 1.0, x) for x in re.findall(lic.SPDX, t or "")]
+        found = [(2, 0.0, 1.0, x) for x in re.findall(lic.SPDX, t or "")]
+        head = vec(" ".join([x for x in re.split(r"\r\n|[\n\r]", t or "") if re.search(r"[^\W_]", x)][:2]))
+        if head and re.search(lic.LICENCE_FILE, p):
+            titles = [(name, round(sum(head[w] * u[w] for w in head if w in u) / m / size(head), 6)) for name, u, m in known]
+            found += [(1, 0.0, score, name) for name, score in titles if score >= lic.TITLE]
         for x in split_units(p, t or "", keys) | set(re.split(r"[\n\r]", t or "")):
             v = vec(x)
             if v:
@@ -140,3 +144,29 @@ def test_inheritance_and_edges(spark):
     assert got["own.txt"] == ("MIT", "own", None) and got[None] == (None, "none", None)
     assert len(got) == len(rows)
     assert lic.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_expressions_notes_and_titles(spark):
+    """Whole SPDX expressions, a note that names no licence as proprietary, titles of files whose text is no template."""
+    body = "\n".join(f"{i}. The library, the program or the work may be conveyed under the terms of version {i % 4} of this license." for i in range(60))
+    title = lambda kind, version: f"                  {kind}\n                       {version}\n\n Everyone is permitted to copy it.\n\n{body}"
+    note = "// Copyright (c) 2009 The Go Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n"
+    tag = lambda x: f"// SPDX-License-Identifier: {x}\nfn main() {{}}\n"
+    cases = {"a.rs": (tag("(MIT OR Apache-2.0)"), "MIT OR Apache-2.0"), "b.rs": (tag("MIT OR Apache-2.0"), "MIT OR Apache-2.0"),
+             "c.rs": (tag("GPL-2.0-only WITH Classpath-exception-2.0"), "GPL-2.0-only WITH Classpath-exception-2.0"),
+             "d.rs": (tag("(MIT AND (ISC OR Zlib))"), "(MIT AND (ISC OR Zlib))"), "e.md": ("(SPDX-License-Identifier: MIT) or later", "MIT"),
+             "go.go": (note, "BSD-3-Clause"), "bare.txt": ("Copyright (c) 2020 Some Body. All rights reserved.\n\nThe story begins.\n", None),
+             "mini.js": ("/*! (c) me | MIT License */\nvar a=1\n", "MIT"),
+             "x.c": ("/* Confidential and proprietary.\n * Unauthorized copying of this file, via any medium,\n * is strictly prohibited. */\n", "Proprietary"),
+             "l3/COPYING": (title("GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"), "LGPL-3.0"),
+             "l2/COPYING": (title("GNU LESSER GENERAL PUBLIC LICENSE", "Version 2.1, February 1999"), "LGPL-2.1"),
+             "g3/LICENSE": (title("GNU GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"), "GPL-3.0"),
+             "g1/LICENSE": (title("GNU GENERAL PUBLIC LICENSE", "Version 1, February 1989"), "GPL-1.0"),
+             "a3/LICENSE": (title("GNU AFFERO GENERAL PUBLIC LICENSE", "Version 3, 19 November 2007"), "AGPL-3.0"),
+             "f3/LICENSE": (title("GNU Free Documentation License", "Version 1.3, 3 November 2008"), "GFDL-1.3"),
+             "c0/LICENSE": (title("Creative Commons Legal Code", "CC0 1.0 Universal"), "CC0-1.0"),
+             "m1/LICENSE": (title("Mozilla Public License", "Version 1.1"), "MPL-1.1")}
+    cases |= {f"p/{i}.txt": (f"report {i} of the river and the mill, for me, near the road number {i % 7}\n", None) for i in range(400)}
+    df = spark.createDataFrame([(p, t) for p, (t, _) in cases.items()], "path string, text string")
+    got = {r.path: r.license for r in lic.scan_licenses(df).collect()}
+    assert {p: got[p] for p in cases if got[p] != cases[p][1]} == {}
