@@ -153,10 +153,10 @@ DOMAINS = {"P": "iSAID", "L": "LoveDA", "D": "DeepGlobe"}
 
 
 def domain_of(name: Column, default: str = "Unknown") -> Column:
-    """The source of a file from its first letter."""
-    out = F.lit(default)
+    """The source of a file from the first letter of its base name, in either case; folders before it don't matter."""
+    out, first = F.lit(default), F.upper(F.regexp_extract(name, r"([^/\\])[^/\\]*$", 1))
     for letter, domain in DOMAINS.items():
-        out = F.when(name.startswith(letter), domain).otherwise(out)
+        out = F.when(first == letter, domain).otherwise(out)
     return out
 
 
