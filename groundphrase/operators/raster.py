@@ -68,14 +68,22 @@ def moments(pixels: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFram
     return pixels.groupBy("image_id").agg(*[f(c).alias(f"{n}_{c}") for c in channels for n, f in (("m", F.avg), ("s", F.stddev_pop))])
 
 
-def style_bank(pixels: DataFrame, domains: DataFrame, most: int = 500) -> DataFrame:
-    """(domain, means, deviations, num_images): averages over at most `most` images of a domain, in hashed order."""
+def first_of_domains(domains: DataFrame, most: int) -> DataFrame:
+    """At most `most` images (image_id, domain) of a domain, in hashed order."""
     w = Window.partitionBy("domain").orderBy(F.xxhash64("image_id"), "image_id")
-    chosen = domains.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
-    m = moments(pixels).join(chosen, "image_id")
+    return domains.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+
+
+def averaged(m: DataFrame) -> DataFrame:
+    """(domain, means, deviations, num_images) of images' moments with their domain."""
     return m.groupBy("domain").agg(*[F.avg(f"{n}_{c}").alias(f"{n}_{c}") for c in CHANNELS for n in "ms"], F.count("*").alias("num_images"))
 
 
+def style_bank(pixels: DataFrame, domains: DataFrame, most: int = 500) -> DataFrame:
+    """(domain, means, deviations, num_images): averages over at most `most` images of a domain, in hashed order."""
+    return averaged(moments(pixels).join(first_of_domains(domains, most), "image_id"))
+
+
 def moment_transfer(pixels: DataFrame, bank: DataFrame, channels: tuple[str, ...] = CHANNELS, as_bytes: bool = True) -> DataFrame:
     """Channels t_* with the bank row's moments; bank has image_id and those it takes. A flat channel keeps its values."""
     own = moments(pixels, channels).select("image_id", *[F.col(f"{n}_{c}").alias(f"o{n}_{c}") for c in channels for n in "ms"])
@@ -89,10 +97,14 @@ def moment_transfer(pixels: DataFrame, bank: DataFrame, channels: tuple[str, ...
 
 
 def match_histogram(pixels: DataFrame, pairs: DataFrame, value: str = "v") -> DataFrame:
+    """(image_id, level, matched) of match_levels() for a table of pixels."""
+    return match_levels(pixels.groupBy("image_id", F.col(value).alias("level")).agg(F.count("*").alias("n")), pairs)
+
+
+def match_levels(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(image_id, level, matched): where each grey level of an image goes so that its distribution is that of another.
 
-    pairs has image_id and target_id. Levels, at most 256 an image, meet levels; pixels do not."""
-    counts = pixels.groupBy("image_id", F.col(value).alias("level")).agg(F.count("*").alias("n"))
+    counts has image_id, level, n; pairs image_id and target_id. Levels, at most 256 an image, meet levels; pixels do not."""
     w = Window.partitionBy("image_id")
     up = w.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     cdf = counts.select("image_id", "level", (F.sum("n").over(up) / F.sum("n").over(w)).alias("cdf"))
@@ -171,9 +183,9 @@ def highlight(pixels: DataFrame, boxes: DataFrame, colour: tuple[int, int, int]
     return overlay(pixels, cells.filter(near("x", "xmin", "xmax") | near("y", "ymin", "ymax")), 1.0, colour)
 
 
-def pack(pixels: DataFrame) -> DataFrame:
-    """(image_id, width, height, data): pixels as rows of b, g, r bytes, the layout of Spark's image source."""
-    cell = F.struct("y", "x", F.concat(*[F.lpad(F.hex(F.col(c).cast("bigint")), 2, "0") for c in CHANNELS]).alias("h"))
+def pack(pixels: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
+    """(image_id, width, height, data): pixels as rows of bytes, b, g, r in the layout of Spark's image source."""
+    cell = F.struct("y", "x", F.concat(*[F.lpad(F.hex(F.col(c).cast("bigint")), 2, "0") for c in channels]).alias("h"))
     out = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.sort_array(F.collect_list(cell)).alias("p"))
     return out.select("image_id", "width", "height", F.unhex(F.concat_ws("", "p.h")).alias("data"))
 
@@ -357,12 +369,15 @@ def tile_resize(pixels: DataFrame, crop: int, size: int, value: str = "class_id"
 
 def style_distance(pixels: DataFrame, pairs: DataFrame, bins: int = 50) -> DataFrame:
     """(a, b, mean_distance, std_distance, histogram_distance) of pairs (a, b) of images."""
-    m = moments(pixels)
+    cell = [F.floor(F.col(c) * bins / 256).alias(f"q_{c}") for c in CHANNELS]
+    return distances(moments(pixels), pixels.groupBy("image_id", *cell).agg(F.count("*").alias("n")), pairs)
+
+
+def distances(m: DataFrame, h: DataFrame, pairs: DataFrame) -> DataFrame:
+    """style_distance() from images' moments and the counts n of their cells of colours (image_id, q_b, q_g, q_r)."""
     side = lambda x: m.select(F.col("image_id").alias(x), *[F.col(f"{n}_{c}").alias(f"{x}{n}_{c}") for c in CHANNELS for n in "ms"])
     norm = lambda n: F.sqrt(sum((F.pow(F.col(f"a{n}_{c}") - F.col(f"b{n}_{c}"), 2) for c in CHANNELS), F.lit(0.0)))
     dist = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", norm("m").alias("mean_distance"), norm("s").alias("std_distance"))
-    cell = [F.floor(F.col(c) * bins / 256).alias(f"q_{c}") for c in CHANNELS]
-    h = pixels.groupBy("image_id", *cell).agg(F.count("*").alias("n"))
     total = h.groupBy("image_id").agg(F.sum("n").alias("t"))
     h = h.join(total, "image_id").withColumn("p", F.col("n") / F.col("t"))
     qs = [f"q_{c}" for c in CHANNELS]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundphrase.functions.phrases import landcover_phrase
+from groundphrase.operators import blocks as bl
 from groundphrase.operators import raster as ra
 from groundphrase.plans.registry import Registry
 
@@ -26,8 +27,13 @@ pictures.part("runs", """SELECT image_id, class_id, min(p) AS start, count(*) AS
  FROM (SELECT DISTINCT image_id, class_id, x * 20 + y AS p FROM pixels) d) q GROUP BY image_id, class_id, k""")
 
 
+def packed(x: DataFrame, *channels: str) -> DataFrame:
+    """The pixels' pictures as blocks; a small limit gives pictures of 20 by 20 pixels several blocks each."""
+    return bl.to_blocks(ra.pack(x, channels or ra.CHANNELS), len(channels) or 3, 600)
+
+
 def grays(x: DataFrame) -> DataFrame:
-    return x.select("image_id", "x", "y", ra.gray().alias("v"))
+    return bl.gray(packed(x))
 
 
 def of_class(x: DataFrame) -> DataFrame:
@@ -37,28 +43,34 @@ def of_class(x: DataFrame) -> DataFrame:
 
 @add("raster_gray", "pixels", "SELECT * FROM grays")
 def raster_gray(x: DataFrame) -> DataFrame:
-    return grays(x)
+    return bl.pixels_of(grays(x), ("v",))
 
 
 @add("raster_contrast_gamma", "pixels", f"""SELECT image_id, x, y, {_BYTE.format(x='(p - m) * 0.85 + m')} AS out FROM (SELECT *, avg(p) OVER (PARTITION BY image_id) AS m FROM
  (SELECT *, pow(v / 255.0, 1.1) * 255.0 AS p FROM grays) a) q""")
 def raster_contrast_gamma(x: DataFrame) -> DataFrame:
-    return ra.contrast_gamma(grays(x), 0.85, 1.1).select("image_id", "x", "y", "out")
+    return bl.pixels_of(bl.contrast_gamma(grays(x), 0.85, 1.1), ("out",))
 
 
 #: Two numbers of a pixel that look random: the queries take them in place of hashes, so that SQL can follow.
-_DRAWS = ["(image_id * 7919 + x * 104729 + y * 1299709) % 1009", "(image_id * 104723 + x * 7907 + y * 15485863) % 1013"]
+_FACTORS, _MODULI = [(7919, 104729, 1299709), (104723, 7907, 15485863)], (1009, 1013)
+_DRAWS = [f"(image_id * {i} + x * {a} + y * {b}) % {m}" for (i, a, b), m in zip(_FACTORS, _MODULI, strict=True)]
+
+
+def _drawn(n: int, image, x, y):
+    i, a, b = _FACTORS[n]
+    return (image * i + x * a + y * b) % _MODULI[n]
 
 
 @add("raster_grain", "pixels", f"""SELECT image_id, x, y, {_BYTE.format(x=f'v + sqrt(-2 * ln(({_DRAWS[0]} + 0.5) / 1009.0)) * cos(2 * 3.141592653589793 * (({_DRAWS[1]} + 0.5) / 1013.0)) * 255 * 0.1')} AS out FROM grays""")
 def raster_grain(x: DataFrame) -> DataFrame:
-    draws = tuple((F.expr(d) + 0.5) / float(m) for d, m in zip(_DRAWS, (1009, 1013), strict=True))
-    return ra.film_grain(grays(x), draws=draws).select("image_id", "x", "y", "out")
+    draws = tuple(lambda i, x, y, n=n: (_drawn(n, i, x, y) + 0.5) / _MODULI[n] for n in (0, 1))
+    return bl.pixels_of(bl.film_grain(grays(x), draws=draws), ("out",))
 
 
 @add("raster_noise", "pixels", f"SELECT image_id, x, y, CAST(least(255, v + {_DRAWS[0]} % 50) AS INT) AS out FROM grays")
 def raster_noise(x: DataFrame) -> DataFrame:
-    return ra.uniform_noise(grays(x), draw=F.expr(_DRAWS[0])).select("image_id", "x", "y", "out")
+    return bl.pixels_of(bl.uniform_noise(grays(x), draw=lambda i, x, y: _drawn(0, i, x, y)), ("out",))
 
 
 _SEPIA = ", ".join(f"least(255, CAST(floor(round({' + '.join(f'{k} * {ch}' for k, ch in zip(row, 'bgr', strict=True))} + 0.5, 6)) AS INT)) AS s_{n}" for n, row in zip("bgr", ra.SEPIA, strict=True))
@@ -66,12 +78,12 @@ _SEPIA = ", ".join(f"least(255, CAST(floor(round({' + '.join(f'{k} * {ch}' for k
 
 @add("raster_sepia", "pixels", f"SELECT image_id, x, y, {_SEPIA} FROM pixels")
 def raster_sepia(x: DataFrame) -> DataFrame:
-    return ra.sepia(x).select("image_id", "x", "y", "s_b", "s_g", "s_r")
+    return bl.pixels_of(bl.sepia(packed(x)), ("s_b", "s_g", "s_r"))
 
 
 def bank_of(x: DataFrame) -> DataFrame:
     domain = F.when(c("image_id") % 2 == 0, "even").otherwise("odd")
-    return ra.style_bank(x, x.select("image_id").distinct().withColumn("domain", domain))
+    return bl.style_bank(packed(x), x.select("image_id").distinct().withColumn("domain", domain))
 
 
 pictures.part("bank", "SELECT CASE WHEN image_id % 2 = 0 THEN 'even' ELSE 'odd' END AS domain, " + ", ".join(f"avg({n}_{k}) AS {n}_{k}" for k in "bgr" for n in "ms") + ", count(*) AS num_images FROM image_moments GROUP BY ALL")
@@ -89,7 +101,8 @@ _MOVED = ", ".join(_BYTE.format(x=f"CASE WHEN o.s_{k} > 0 THEN (p.{k} - o.m_{k})
 @add("raster_moment_transfer", "pixels", f"SELECT p.image_id, p.x, p.y, {_MOVED} FROM pixels p JOIN image_moments o ON p.image_id = o.image_id JOIN bank t ON t.domain = CASE WHEN p.image_id % 2 = 0 THEN 'odd' ELSE 'even' END")
 def raster_moment_transfer(x: DataFrame) -> DataFrame:
     to = x.select("image_id").distinct().withColumn("domain", F.when(c("image_id") % 2 == 0, "odd").otherwise("even"))
-    return ra.moment_transfer(x, to.join(bank_of(x), "domain").drop("domain", "num_images")).select("image_id", "x", "y", "t_b", "t_g", "t_r")
+    bank = to.join(bank_of(x), "domain").drop("domain", "num_images")
+    return bl.pixels_of(bl.moment_transfer(packed(x), bank), ("t_b", "t_g", "t_r"))
 
 
 _LIN = "CASE WHEN {k} / 255.0 > 0.04045 THEN pow(({k} / 255.0 + 0.055) / 1.055, 2.4) ELSE {k} / 255.0 / 12.92 END"
@@ -112,9 +125,9 @@ pictures.part("rgb_back", """SELECT image_id, x, y, 3.240479 * (ux * 0.950456) -
 
 @add("raster_lab_transfer", "pixels", "SELECT image_id, x, y, " + ", ".join(f"CAST(floor(round(greatest(0.0, least(255.0, ({_GAM.format(v=k)}) * 255)) + 0.5, 6)) AS INT) AS t_{k}" for k in "bgr") + " FROM rgb_back")
 def raster_lab_transfer(x: DataFrame) -> DataFrame:
-    m = ra.moments(ra.to_lab(x), ("l", "a_", "b_"))
-    bank = m.withColumn("image_id", c("image_id") - 1)
-    return ra.moment_transfer_lab(x, bank).select("image_id", "x", "y", "t_b", "t_g", "t_r")
+    b = packed(x)
+    bank = bl.lab_moments(b).withColumn("image_id", c("image_id") - 1)
+    return bl.pixels_of(bl.moment_transfer_lab(b, bank), ("t_b", "t_g", "t_r"))
 
 
 @add("raster_histogram_match", "pixels", f"""SELECT image_id, level, CASE WHEN n IS NULL THEN 255 WHEN n.t = 0 THEN 0 ELSE {_BYTE.format(x='n.t - 1 + (cdf - n.p) / (n.c - n.p)')} END AS matched FROM
@@ -122,17 +135,30 @@ def raster_lab_transfer(x: DataFrame) -> DataFrame:
  ON t.image_id = s.image_id + 1 GROUP BY ALL) q""")
 def raster_histogram_match(x: DataFrame) -> DataFrame:
     pairs = x.select("image_id").distinct().withColumn("target_id", c("image_id") + 1)
-    return ra.match_histogram(grays(x), pairs.join(x.select(c("image_id").alias("target_id")).distinct(), "target_id", "left_semi"))
+    pairs = pairs.join(x.select(c("image_id").alias("target_id")).distinct(), "target_id", "left_semi")
+    return ra.match_levels(bl.levels(grays(x)).drop("channel"), pairs)
+
+
+pictures.part("matched", f"""SELECT image_id, level, CASE WHEN n IS NULL THEN 255 WHEN n.t = 0 THEN 0 ELSE {_BYTE.format(x='n.t - 1 + (cdf - n.p) / (n.c - n.p)')} END AS matched FROM
+ (SELECT s.image_id, s.level, s.cdf, min({{'t': t.level, 'c': t.cdf, 'p': t.p}}) FILTER (WHERE t.cdf > s.cdf) AS n FROM levels s JOIN (SELECT *, coalesce(lag(cdf) OVER (PARTITION BY image_id ORDER BY level), 0) AS p FROM levels) t
+ ON t.image_id = s.image_id + 1 GROUP BY ALL) q""")
+
+
+@add("raster_matched_pictures", "pixels", "SELECT g.image_id, g.x, g.y, m.matched AS out FROM grays g JOIN matched m ON m.image_id = g.image_id AND m.level = g.v")
+def raster_matched_pictures(x: DataFrame) -> DataFrame:
+    pairs = x.select("image_id").distinct().withColumn("target_id", c("image_id") + 1)
+    pairs = pairs.join(x.select(c("image_id").alias("target_id")).distinct(), "target_id", "left_semi")
+    return bl.pixels_of(bl.match_histogram(grays(x), pairs), ("out",))
 
 
 @add("raster_vignette", "pixels", f"SELECT image_id, x, y, {_BYTE.format(x='v * greatest(0.7, least(1.0, 1 - sqrt(pow(x - 10, 2) + pow(y - 10, 2)) / sqrt(200) * 0.3))')} AS out FROM grays")
 def raster_vignette(x: DataFrame) -> DataFrame:
-    return ra.vignette(grays(x), 20, 20).select("image_id", "x", "y", "out")
+    return bl.pixels_of(bl.vignette(grays(x), size=(20, 20)), ("out",))
 
 
 @add("raster_hsv", "pixels", "SELECT image_id, x, y, h, s, v FROM hsv")
 def raster_hsv(x: DataFrame) -> DataFrame:
-    return ra.to_hsv(x).select("image_id", "x", "y", "h", "s", "v")
+    return bl.pixels_of(bl.to_hsv(packed(x)), ("h", "s", "v"))
 
 
 _HUE = "CASE " + " ".join(f"WHEN h BETWEEN {lo} AND {hi} THEN '{n}'" for n, lo, hi in ra.HUES) + " ELSE 'unknown' END"
@@ -149,17 +175,19 @@ def dominant_colour(x: DataFrame) -> DataFrame:
 
 @add("raster_overlay", "pixels", f"SELECT image_id, x, y, CASE WHEN class_id = 3 THEN {_BYTE.format(x='0.6 * r + 0.4 * 255')} ELSE r END AS o_r, CASE WHEN class_id = 3 THEN {_BYTE.format(x='0.6 * b')} ELSE b END AS o_b FROM pixels")
 def raster_overlay(x: DataFrame) -> DataFrame:
-    return ra.overlay(x, x.filter("class_id = 3")).select("image_id", "x", "y", "o_r", "o_b")
+    runs = x.filter("class_id = 3").select("image_id", "y", c("x").alias("x0"), (c("x") + 1).alias("x1"))
+    return bl.pixels_of(bl.overlay(packed(x), runs), ("o_b", "o_g", "o_r")).drop("o_g")
 
 
 @add("scan_images", "pixels", "SELECT image_id, x, y, b, g, r FROM pixels")
 def scan_images(x: DataFrame) -> DataFrame:
-    return ra.unpack(ra.pack(x))
+    return bl.pixels_of(bl.to_blocks(ra.pack(x)))
 
 
 @add("patch_table", "pixels", "SELECT image_id, CAST(max(x) + 1 AS INT) AS width, CAST(max(y) + 1 AS INT) AS height, 3 * count(*) AS bytes FROM pixels GROUP BY image_id")
 def patch_table(x: DataFrame) -> DataFrame:
-    return ra.pack(x).select("image_id", "width", "height", F.octet_length("data").cast("bigint").alias("bytes"))
+    whole = bl.to_pictures(packed(x))
+    return whole.select("image_id", "width", "height", F.octet_length("data").cast("bigint").alias("bytes"))
 
 
 @add("mask_runs", "pixels", "SELECT image_id, class_id, start, length FROM runs")
@@ -209,7 +237,7 @@ pictures.part("marked", """SELECT p.image_id, p.x, p.y FROM pixels p WHERE (p.x
 @add("raster_highlight", "pixels", "SELECT p.image_id, p.x, p.y, CASE WHEN m.x IS NULL THEN p.r ELSE 255 END AS o_r, CASE WHEN m.x IS NULL THEN p.b ELSE 0 END AS o_b FROM pixels p LEFT JOIN marked m ON m.image_id = p.image_id AND m.x = p.x AND m.y = p.y")
 def raster_highlight(x: DataFrame) -> DataFrame:
     boxes = x.select("image_id").distinct().selectExpr("image_id", "4 AS xmin", "6 AS ymin", "15 AS xmax", "17 AS ymax")
-    return ra.highlight(x, boxes).select("image_id", "x", "y", "o_r", "o_b")
+    return bl.pixels_of(bl.highlight(packed(x), boxes), ("o_b", "o_g", "o_r")).drop("o_g")
 
 
 pictures.part("plus_shape", "SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy)")
@@ -248,7 +276,9 @@ def clean_mask(x: DataFrame) -> DataFrame:
 @add("tile_resize", "pixels", """SELECT p.image_id, CAST(ty.t * 2 + tx.t AS INT) AS tile, tx.i AS x, ty.i AS y, p.class_id FROM pixels p CROSS JOIN (SELECT t, CAST(i AS INT) AS i FROM range(24) r(i), range(2) q(t)) tx CROSS JOIN (SELECT t, CAST(i AS INT) AS i FROM range(24) r(i), range(2) q(t)) ty
  WHERE p.x = tx.t * 10 + floor(tx.i * 10 / 24.0) AND p.y = ty.t * 10 + floor(ty.i * 10 / 24.0)""")
 def tile_resize(x: DataFrame) -> DataFrame:
-    return ra.tile_resize(x, 20, 24)
+    tiles = bl.tile_resize(packed(x, "class_id"), 20, 24)
+    named = tiles.withColumn("image_id", c("image_id") * 4 + c("tile")).drop("tile")
+    return bl.pixels_of(named, ("class_id",)).withColumns({"tile": (c("image_id") % 4).cast("int"), "image_id": F.floor(c("image_id") / 4)})
 
 
 _NORM = lambda n: "sqrt(" + " + ".join(f"pow(a.{n}_{k} - b.{n}_{k}, 2)" for k in "bgr") + ")"
@@ -260,7 +290,7 @@ pictures.part("bars", f"SELECT image_id, q_b, q_g, q_r, count(*) / CAST(sum(coun
  FROM image_moments a JOIN image_moments b ON b.image_id = a.image_id + 1 LEFT JOIN (SELECT a.image_id AS i, sum(sqrt(a.p * b.p)) AS s FROM bars a JOIN bars b ON b.image_id = a.image_id + 1 AND a.q_b = b.q_b AND a.q_g = b.q_g AND a.q_r = b.q_r GROUP BY ALL) h ON h.i = a.image_id""")
 def style_distance(x: DataFrame) -> DataFrame:
     pairs = x.select(c("image_id").alias("a")).distinct().withColumn("b", c("a") + 1)
-    return ra.style_distance(x, pairs, 5).select("a", "b", *[F.round(k, 4).alias(k) for k in ("mean_distance", "std_distance", "histogram_distance")])
+    return bl.style_distance(packed(x), pairs, 5).select("a", "b", *[F.round(k, 4).alias(k) for k in ("mean_distance", "std_distance", "histogram_distance")])
 
 
 @add("landcover_groups", "pixels", """SELECT image_id, class_id, count(*) AS area, round(avg(x), 4) AS cx, round(avg(y), 4) AS cy, min(x) AS xmin, min(y) AS ymin, CAST(max(x) + 1 AS INT) AS xmax, CAST(max(y) + 1 AS INT) AS ymax,
