@@ -5,10 +5,14 @@ A run is (start, length) of places x * height + y, column after column, the orde
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from groundphrase.operators.graph import components_within
+from groundphrase.operators.lineage import cut
 from groundphrase.operators.matching import window_index
 from groundphrase.operators.raster import union_runs
 
@@ -95,6 +99,98 @@ def window_masks(
     return out.withColumn("is_cutoff", F.coalesce(hidden, F.lit(False)))
 
 
+def _columns(start: Column, length: Column, height: Column) -> Column:
+    """Runs (x, y0, y1) of a run of places, one in each column that it reaches; its length is not 0."""
+    x0 = F.floor(start / height)
+    one = lambda x: F.struct(x.alias("x"), F.greatest(F.lit(0).cast("bigint"), start - x * height).alias("y0"), F.least(height, start + length - x * height).alias("y1"))
+    return F.transform(F.sequence(x0, F.floor((start + length - 1) / height)), one)
+
+
+def _merged(columns: DataFrame, key: list[str]) -> DataFrame:
+    """Column runs of a union: those that overlap or touch become one."""
+    w = Window.partitionBy(*key, "x").orderBy("y0", "y1")
+    end = F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = columns.withColumn("_e", end).withColumn("_g", F.sum((F.col("_e").isNull() | (F.col("y0") > F.col("_e"))).cast("int")).over(w))
+    return d.groupBy(*key, "x", "_g").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("_g")
+
+
+def _grown(columns: DataFrame, key: list[str], radius: int) -> DataFrame:
+    """Column runs dilated by a disc: a run goes to 2 * radius + 1 columns, longer by the disc's half column there. Heads (empty
+    runs at 0) stay as they are."""
+    disc = [F.struct(F.lit(dx).cast("bigint").alias("dx"), F.lit(math.isqrt(radius * radius - dx * dx)).cast("bigint").alias("dy")) for dx in range(-radius, radius + 1)]
+    head, dx, dy = F.col("y1") == 0, F.col("d.dx"), F.col("d.dy")
+    d = columns.withColumn("d", F.explode(F.array(*disc))).filter((~head | (dx == 0)) & (F.col("x") + dx >= 0) & (F.col("x") + dx < F.col("width")))
+    y0, y1 = F.greatest(F.lit(0).cast("bigint"), F.col("y0") - dy), F.least(F.col("height"), F.col("y1") + dy)
+    return _merged(d.select(*key, (F.col("x") + dx).alias("x"), y0.alias("y0"), F.when(head, F.col("y1")).otherwise(y1).alias("y1")), key)
+
+
+def _outside(columns: DataFrame, key: list[str]) -> DataFrame:
+    """Column runs of what masks leave of their pictures, heads again among them: the gap after each run. A column's first run
+    starts at 0, be it the head or a run that took it in."""
+    after = F.coalesce(F.lead("y0").over(Window.partitionBy(*key, "x").orderBy("y0")), F.col("height"))
+    run = lambda a, b: F.struct(a.alias("y0"), b.alias("y1"))
+    gap, head = run(F.col("y1"), after), run(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    d = columns.select(*key, "x", F.when(F.col("y0") == 0, F.array(gap, head)).otherwise(F.array(gap)).alias("g"))
+    d = d.select(*key, "x", F.explode("g").alias("g")).select(*key, "x", "g.y0", "g.y1")
+    return _merged(d.filter("y0 < y1 or y1 = 0"), key)
+
+
+def morph_columns(runs: DataFrame, key: list[str], steps: list[tuple[str, int]]) -> DataFrame:
+    """(key, width, height, x, y0, y1): morph_runs() as column runs."""
+    if bad := [s for s in steps if s[0] not in ("dilate", "erode") or s[1] < 0]:
+        raise ValueError(f"steps are (dilate or erode, radius): {bad}")
+    mask, zero = [*key, "width", "height"], F.lit(0).cast("bigint")
+    sound = runs.withColumns({k: F.col(k).cast("bigint") for k in ("width", "height", "start", "length")}).filter("width > 0 and height > 0")
+    start, end = F.greatest(zero, "start"), F.least(F.col("start") + F.col("length"), F.col("width") * F.col("height"))
+    sound = sound.filter(F.col("start").isNotNull() & F.col("length").isNotNull()).select(*mask, start.alias("start"), (end - start).alias("length"))
+    # every later grouping is by a mask and one of its columns, so this exchange, of runs, is the only one
+    sound = sound.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *mask)
+    # the run that comes first in a mask gives a head to each of its picture's columns, so that no mask and no column is forgotten
+    first = F.row_number().over(Window.partitionBy(*mask).orderBy("start", "length")) == 1
+    heads = F.when(first, F.transform(F.sequence(zero, F.col("width") - 1), lambda x: F.struct(x.alias("x"), zero.alias("y0"), zero.alias("y1"))))
+    own = F.when(F.col("length") > 0, _columns(F.col("start"), F.col("length"), F.col("height")))
+    none = F.array().cast("array<struct<x:bigint,y0:bigint,y1:bigint>>")
+    d = sound.withColumn("r", F.concat(F.coalesce(own, none), F.coalesce(heads, none)))
+    d = _merged(d.select(*mask, F.explode("r").alias("r")).select(*mask, "r.x", "r.y0", "r.y1"), mask)
+    for step, radius in steps:
+        d = _grown(d, mask, radius) if step == "dilate" else _outside(_grown(_outside(d, mask), mask, radius), mask)
+    return d.filter("y0 < y1")
+
+
+def morph_runs(runs: DataFrame, key: list[str], steps: list[tuple[str, int]]) -> DataFrame:
+    """(key, width, height, start, length) after some steps ("dilate" or "erode", radius of a disc) on masks of runs.
+
+    runs: key, width, height (a picture's own), start, length; they may overlap and repeat. No row is a pixel and no picture is
+    held: dilation lengthens runs, erosion dilates what the mask leaves of its picture, so what lies outside a picture counts as
+    mask there. What runs have outside a picture is cut off; pictures without sides, runs with nulls, and masks that are empty or
+    worn away give no row.
+    """
+    d = morph_columns(runs, key, steps)
+    mask = [*key, "width", "height"]
+    return union_runs(d.select(*mask, (F.col("x") * F.col("height") + F.col("y0")).alias("start"), (F.col("y1") - F.col("y0")).alias("length")), mask)
+
+
+def column_components(columns: DataFrame, key: str, stride: int = 1 << 16) -> DataFrame:
+    """Column runs with their 8-neighbour component: runs of neighbouring columns that touch, by an equi-join on the column.
+
+    key is one column of integers below 2^31, sides are below the stride; components are unique over all masks."""
+    d = columns.withColumn("node", (F.col(key).cast("bigint") * stride + F.col("x")) * stride + F.col("y0"))
+    left = d.select(key, (F.col("x") + 1).alias("x"), F.col("y0").alias("_u0"), F.col("y1").alias("_u1"), F.col("node").alias("_left"))
+    edges = d.join(left, [key, "x"]).filter((F.col("y0") <= F.col("_u1")) & (F.col("_u0") <= F.col("y1")))
+    found = components_within(edges.select(key, F.col("node").alias("a"), F.col("_left").alias("b")), key)
+    return d.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select(*columns.columns, "component")
+
+
+def clean_runs(runs: DataFrame, key: str, radius_open: int, radius_close: int, least: int) -> DataFrame:
+    """(key, width, height, start, length): masks of runs opened, closed, and without components below `least` pixels."""
+    steps = [("erode", radius_open), ("dilate", radius_open), ("dilate", radius_close), ("erode", radius_close)]
+    parts = column_components(cut(morph_columns(runs, [key], steps)), key)  # runs and their edges both read the cut table
+    w = Window.partitionBy(key, "component")
+    kept = parts.withColumn("_n", F.sum(F.col("y1") - F.col("y0")).over(w)).filter(F.col("_n") >= least)
+    places = kept.select(key, "width", "height", (F.col("x") * F.col("height") + F.col("y0")).alias("start"), (F.col("y1") - F.col("y0")).alias("length"))
+    return union_runs(places, [key, "width", "height"])
+
+
 def coco_counts(runs: Column, places: int) -> Column:
     """Sorted runs (array<struct<start, length>>) of a picture as COCO's counts: places outside and inside, in turn."""
     ends = F.aggregate(

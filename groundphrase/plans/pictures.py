@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundphrase.functions.phrases import landcover_phrase
 from groundphrase.operators import blocks as bl
+from groundphrase.operators import masks as ms
 from groundphrase.operators import raster as ra
 from groundphrase.plans.registry import Registry
 
@@ -41,6 +42,11 @@ def of_class(x: DataFrame) -> DataFrame:
     return x.withColumn("mask", c("image_id") * 100 + c("class_id"))
 
 
+def class_runs(x: DataFrame) -> DataFrame:
+    """The runs of class masks, with the sides of their pictures."""
+    return ra.to_runs(of_class(x), ["mask"], 20).withColumns({"width": F.lit(20), "height": F.lit(20)})
+
+
 @add("raster_gray", "pixels", "SELECT * FROM grays")
 def raster_gray(x: DataFrame) -> DataFrame:
     return bl.pixels_of(grays(x), ("v",))
@@ -247,7 +253,7 @@ pictures.part("eroded", """SELECT p.image_id, p.class_id, p.x, p.y FROM pixels p
 
 @add("mask_opening", "pixels", "SELECT DISTINCT e.image_id * 100 + e.class_id AS mask, CAST(e.x + o.dx AS INT) AS x, CAST(e.y + o.dy AS INT) AS y FROM eroded e JOIN plus_shape o ON e.x + o.dx BETWEEN 0 AND 19 AND e.y + o.dy BETWEEN 0 AND 19")
 def mask_opening(x: DataFrame) -> DataFrame:
-    return ra.opening(of_class(x), ["mask"], 1, 20, 20)
+    return ra.from_runs(ms.morph_runs(class_runs(x), ["mask"], [("erode", 1), ("dilate", 1)]), ["mask"], 20)
 
 
 pictures.part("pixel_arcs", "SELECT a.image_id, a.class_id, a.x * 20 + a.y AS a, b.x * 20 + b.y AS b FROM pixels a JOIN pixels b ON a.image_id = b.image_id AND a.class_id = b.class_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1")
@@ -270,7 +276,7 @@ pictures.part("closed_reach", "/* RECURSIVE */ SELECT image_id, class_id, a, b F
 
 @add("clean_mask", "pixels", """SELECT image_id * 100 + class_id AS mask, CAST(floor(a / 20.0) AS INT) AS x, CAST(a % 20 AS INT) AS y FROM closed_reach GROUP BY image_id, class_id, a HAVING count(*) >= 10""")
 def clean_mask(x: DataFrame) -> DataFrame:
-    return ra.clean_mask(of_class(x), "mask", 1, 1, 10, 20, 20)
+    return ra.from_runs(ms.clean_runs(class_runs(x), "mask", 1, 1, 10), ["mask"], 20)
 
 
 @add("tile_resize", "pixels", """SELECT p.image_id, CAST(ty.t * 2 + tx.t AS INT) AS tile, tx.i AS x, ty.i AS y, p.class_id FROM pixels p CROSS JOIN (SELECT t, CAST(i AS INT) AS i FROM range(24) r(i), range(2) q(t)) tx CROSS JOIN (SELECT t, CAST(i AS INT) AS i FROM range(24) r(i), range(2) q(t)) ty
