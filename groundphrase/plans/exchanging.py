@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundphrase.operators import enrichment as en
 from groundphrase.operators import masks as ms
 from groundphrase.operators import matching as ma
+from groundphrase.operators import merging as mg
 from groundphrase.operators import selection as se
 from groundphrase.plans.registry import Registry
 from groundphrase.sources import readers as rd
@@ -337,6 +338,36 @@ def attach_llm_results(e: DataFrame) -> DataFrame:
     return en.attach_llm_results(d, d.select("key", c("pos").alias("result_pos"), shown.alias("original"), "text"))
 
 
+exchanging.part("told", "SELECT patch_id, target_kind, target_id, max(CASE WHEN pos = 0 THEN text END) AS a, max(CASE WHEN pos = 1 THEN text END) AS b FROM exprs GROUP BY ALL")
+exchanging.part("last_rounds", "SELECT *, CASE WHEN target_id % 6 = 0 THEN 2 ELSE 1 END AS round FROM told WHERE target_id % 3 = 0")
+exchanging.part("variants", """SELECT patch_id, target_kind, target_id, 0 AS item, a AS said, 'v' || round || '_' || target_id AS text FROM last_rounds
+ UNION ALL SELECT patch_id, target_kind, target_id, 1, left(b, CAST(5 + target_id % 60 AS INT)), 'w' || round || '_' || target_id FROM last_rounds""")
+exchanging.part("variant_bases", """SELECT v.*, e.pos AS base, row_number() OVER (PARTITION BY v.patch_id, v.target_kind, v.target_id, v.item ORDER BY CASE WHEN e.text = v.said THEN 0 ELSE 1 END, abs(length(e.text) - length(v.said)), e.pos) AS n
+ FROM variants v JOIN exprs e ON e.patch_id = v.patch_id AND e.target_kind = v.target_kind AND e.target_id = v.target_id AND e.expr_type = 'original'""")
+
+
+def replies_to(e: DataFrame) -> DataFrame:
+    """Replies to every third target, two to every sixth: a variant of its first phrase, one of a text that is cut off, blanks,
+    and two unique phrases."""
+    key = ["patch_id", "target_kind", "target_id"]
+    told = e.groupBy(*key).agg(*[F.max(F.when(c("pos") == p, c("text"))).alias(n) for p, n in ((0, "a"), (1, "b"))]).filter("target_id % 3 = 0")
+    d = told.withColumn("round", F.explode(F.when(c("target_id") % 6 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    named = lambda x: F.concat(F.lit(x), "round", F.lit("_"), "target_id")
+    pair = lambda original, text: F.struct(original.alias("original_expression"), text.alias("variation"))
+    items = F.array(pair(c("a"), named("v")), pair(F.expr("left(b, CAST(5 + target_id % 60 AS INT))"), named("w")), pair(c("a"), F.lit(" ")))
+    unique = F.array(named("u"), F.lit(" "), named("z"))
+    return d.select(*key, "round", F.struct(items.alias("enhanced_expressions"), F.lit(None).cast("string").alias("unique_description"), unique.alias("unique_expressions")).alias("reply"))
+
+
+@add("merge_llm_results", "exprs", """SELECT patch_id, target_kind, target_id, pos, expr_type, text, CAST(pos AS VARCHAR) AS expr_id, NULL AS base_id, split FROM exprs WHERE expr_type = 'original' OR target_id % 3 <> 0
+ UNION ALL SELECT v.patch_id, v.target_kind, v.target_id, v.item + 2, 'enhanced', v.text, v.base || '_var_' || (row_number() OVER (PARTITION BY v.patch_id, v.target_kind, v.target_id, v.base ORDER BY v.item) - 1), CAST(v.base AS VARCHAR), s.split
+ FROM variant_bases v JOIN exprs s ON s.patch_id = v.patch_id AND s.target_kind = v.target_kind AND s.target_id = v.target_id AND s.pos = 0 WHERE v.n = 1
+ UNION ALL SELECT r.patch_id, r.target_kind, r.target_id, k.p, 'unique', k.l || r.round || '_' || r.target_id, 'unique_' || k.i, NULL, s.split FROM last_rounds r JOIN exprs s ON s.patch_id = r.patch_id AND s.target_kind = r.target_kind AND s.target_id = r.target_id AND s.pos = 0
+ CROSS JOIN (VALUES (4, 'u', 0), (5, 'z', 2)) k(p, l, i)""")
+def merge_llm_results(e: DataFrame) -> DataFrame:
+    return mg.merge_replies(e, replies_to(e), order="round")
+
+
 @add("unpivot_translations", "customer", "SELECT c_custkey, 'pt' AS language, 'p' || c_name AS text FROM customer UNION ALL SELECT c_custkey, 'de', c_mktsegment FROM customer WHERE c_custkey % 3 <> 0")
 def unpivot_translations(t: DataFrame) -> DataFrame:
     d = t.select("c_custkey", F.concat(F.lit("p"), "c_name").alias("pt"), F.when(c("c_custkey") % 3 != 0, c("c_mktsegment")).alias("de"))
