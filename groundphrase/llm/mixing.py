@@ -9,18 +9,19 @@ work grows with blocks and not with rows or slots.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundphrase.operators.lineage import cut
+from groundphrase.operators.lineage import cut, ensure_checkpoint_dir
 
-#: Documents of a block; scheduled blocks to broadcast at most; rows of a numbered part of a source.
-BLOCK, BROADCAST, PART = 64, 500_000, 2_000
+#: Documents of a block; blocks of a stretch, which the driver holds and a schedule to broadcast may have; rows of a numbered part of a source.
+BLOCK, STRETCH, PART = 64, 500_000, 2_000
 NO_SOURCE = "\u0000"
 
 
@@ -53,6 +54,35 @@ def schedule(weights: dict[str, float | Fraction], blocks: dict[str, int]) -> It
         slot += 1
 
 
+def planned(spark: SparkSession, weights: dict[str, float | Fraction], blocks: dict[str, int]) -> tuple[DataFrame, int, int]:
+    """The schedule as a table (s, b, release, deadline, slot), the first slot that a source can't fill, and the slot after the last.
+
+    A schedule of one stretch is a local table, to be broadcast; of a longer one each stretch is written and forgotten."""
+    names, folder, horizon, end = ["s", "b", "release", "deadline", "slot"], "", None, 0
+    stretch: list[list] = [[] for _ in names]
+
+    def made() -> DataFrame:
+        return spark.createDataFrame(pa.table({n: pa.array(c, pa.string() if n == "s" else pa.int64()) for n, c in zip(names, stretch, strict=True)}))
+
+    for step in schedule(weights, {s: n + 1 for s, n in blocks.items()}):  # the block after a source's last stays empty
+        if step[1] >= blocks[step[0]]:
+            horizon = step[4] if horizon is None else horizon
+            continue
+        if len(stretch[0]) == STRETCH:
+            if not folder:
+                ensure_checkpoint_dir(spark)
+                folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/schedule-{uuid.uuid4().hex}"
+            made().write.mode("append").parquet(folder)
+            stretch = [[] for _ in names]
+        for column, value in zip(stretch, step, strict=True):
+            column.append(value)
+        end = step[4] + 1
+    if not folder:
+        return F.broadcast(made()), horizon, end
+    made().write.mode("append").parquet(folder)
+    return spark.read.parquet(folder), horizon, end
+
+
 def _source(source_col: str) -> Column:
     return F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
 
@@ -97,17 +127,7 @@ def _mixed_rows(
     mean = sum(given.values()) / len(given) if given else 1
     shared = {s: given.get(s, mean) if given else n**temper for s, n in sorted(counted.items())}
     blocks = {s: -(-n // block) for s, n in counted.items()}
-    planned: tuple[list, ...] = ([], [], [], [], [])
-    horizon = None
-    for step in schedule(shared, {s: n + 1 for s, n in blocks.items()}):  # the block after a source's last stays empty
-        if step[1] < blocks[step[0]]:
-            for column, value in zip(planned, step, strict=True):
-                column.append(value)
-        elif horizon is None:
-            horizon = step[4]  # the first slot that a source cannot fill
-    end = planned[4][-1] + 1
-    table = spark.createDataFrame(pa.table(dict(zip(["s", "b", "release", "deadline", "slot"], planned, strict=True))))
-    table = F.broadcast(table) if len(planned[0]) <= BROADCAST else table
+    table, horizon, end = planned(spark, shared, blocks)
     parts = spark.createDataFrame([(s, -(-n // part)) for s, n in counted.items()], "s string, parts long")
     salted = row.join(F.broadcast(parts), "s").withColumn("p", F.pmod(F.xxhash64("i", F.lit(11)), F.col("parts")))
     sizes = cut(salted.groupBy("s", "p").count())

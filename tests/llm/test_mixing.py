@@ -101,3 +101,28 @@ def test_deviation_from_the_weights_given(spark):
 def test_many_sources(spark):
     docs = spark.range(120_000).selectExpr("id doc_id", "concat('s', id % 110000) source")
     assert m.mix(docs, block=2).agg({"mix.slot": "max", "*": "count"}).collect()[0][1] == 120_000
+
+
+def test_stretches_of_a_schedule(spark, monkeypatch):
+    """A schedule written in stretches is the same, row for row, as one that is held whole."""
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('s', CASE WHEN id % 3 = 0 THEN 0 ELSE id % 11 END) source")
+    told = lambda: sorted(map(tuple, m.mix(docs, block=8, part=100).selectExpr("doc_id", "source", "mix.*").collect()))
+    whole = told()
+    for n in (50, len({r[4:6] for r in whole}), 1000):
+        monkeypatch.setattr(m, "STRETCH", n)
+        assert told() == whole
+
+
+def test_a_driver_holds_one_stretch(spark, monkeypatch):
+    """400,000 blocks: what Python holds at the peak does not grow with the schedule."""
+    import tracemalloc
+
+    monkeypatch.setattr(m, "STRETCH", 50_000)
+    peaks = []
+    for n in (100_000, 400_000):
+        tracemalloc.start()
+        table, horizon, end = m.planned(spark, {"a": 3, "b": 1}, {"a": n * 3 // 4, "b": n // 4})
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert (horizon, end, table.count(), table.agg({"slot": "max"}).first()[0]) == (n, n, n, n - 1)
+    assert peaks[1] < 1.3 * peaks[0]
