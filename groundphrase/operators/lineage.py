@@ -1,6 +1,7 @@
 """Cutting lineage in a folder that all executors share."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the checkpoint folder: a lost executor costs a read, not a recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the checkpoint folder for files that a job writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from groundphrase.operators import masks as ms
 from groundphrase.operators import matching as ma
 from groundphrase.operators import merging as mg
 from groundphrase.operators import selection as se
+from groundphrase.operators.lineage import scratch
 from groundphrase.plans.registry import Registry
 from groundphrase.sources import readers as rd
 from groundphrase.sources import sinks as si
@@ -139,6 +140,18 @@ def scan_coco_explode(o: DataFrame) -> DataFrame:
     return anns.select("id", "image_id", "category_name", "xmin", "ymin", "xmax", "ymax")
 
 
+@add("scan_coco_blocks", "objects", "SELECT object_id AS id, patch_id AS image_id, category AS category_name, CAST(xmin AS DOUBLE) AS xmin, CAST(ymin AS DOUBLE) AS ymin, CAST(xmax AS DOUBLE) AS xmax, CAST(ymax AS DOUBLE) AS ymax FROM objects")
+def scan_coco_blocks(o: DataFrame) -> DataFrame:
+    """Documents of many patches each, written as files and read again by blocks that end anywhere."""
+    box = F.array(*[x.cast("double") for x in (c("xmin"), c("ymin"), c("xmax") - c("xmin"), c("ymax") - c("ymin"))])
+    a = F.struct(c("object_id").alias("id"), c("patch_id").alias("image_id"), c("category").alias("category_name"), box.alias("bbox"), F.array(F.array(c("xmin"), c("ymin"))).alias("segmentation"))
+    docs = o.groupBy(F.floor(c("patch_id") / 50)).agg(F.collect_list(a).alias("annotations"))
+    text = F.to_json(F.struct(F.array(F.struct(F.lit("}{").alias("file_name"))).alias("images"), "annotations"))
+    path = scratch(o.sparkSession, "coco")
+    docs.select(text).write.text(path)
+    return rd.read_coco_blocks(o.sparkSession, path)[1].select("id", "image_id", "category_name", "xmin", "ymin", "xmax", "ymax")
+
+
 def documents_of(o: DataFrame) -> DataFrame:
     patches = o.select("patch_id").distinct().select("patch_id", F.concat(F.lit("P"), "patch_id", F.lit(".png")).alias("filename"), F.lit(480).alias("width"), F.lit(480).alias("height"))
     return si.annotation_documents(patches, o)

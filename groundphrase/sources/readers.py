@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from groundphrase.operators.matching import described_boxes, samples
 from groundphrase.operators.selection import expr_type
+from groundphrase.sources.sections import read_section
 
 COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int>>,
 annotations array<struct<id:bigint,image_id:bigint,category_id:int,category_name:string,bbox:array<double>,area:double,iscrowd:int,segmentation:array<array<double>>>>"""
@@ -29,17 +31,29 @@ REFS = "refs array<struct<ref_id:bigint,ann_id:bigint,image_id:bigint,split:stri
 def explode_coco(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(images, annotations) of parsed COCO documents."""
     a = docs.select(F.explode("annotations").alias("a")).select("a.*")
+    return docs.select(F.explode("images").alias("i")).select("i.*"), _cornered(a)
+
+
+def _cornered(annotations: DataFrame) -> DataFrame:
     box = F.col("bbox")
-    return docs.select(F.explode("images").alias("i")).select("i.*"), a.withColumns(
-        {"xmin": box[0], "ymin": box[1], "xmax": box[0] + box[2], "ymax": box[1] + box[3]}
-    )
+    return annotations.withColumns({"xmin": box[0], "ymin": box[1], "xmax": box[0] + box[2], "ymax": box[1] + box[3]})
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """COCO instance files. One file is one row and one task: land the result as Parquet once."""
+    """COCO instance files. One file is one row and one task; read_coco_blocks() reads large files."""
     return explode_coco(spark.read.schema(COCO).json(path, multiLine=True))
 
 
+def read_coco_blocks(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """read_coco() of files of any size, each split at any byte, see read_section(). Several documents may follow each other."""
+
+    def parsed(section: str) -> DataFrame:
+        kind = StructType.fromDDL(COCO)[section].dataType.elementType
+        return read_section(spark, path, section).select(F.from_json("value", kind).alias("x")).select("x.*")
+
+    return parsed("images"), _cornered(parsed("annotations"))
+
+
 def explode_annotations(docs: DataFrame) -> DataFrame:
     """(filename, object_id, category, box, is_cutoff), one row per object."""
     d = docs.select("filename", F.explode("object").alias("o"))
