@@ -12,6 +12,7 @@ from groundphrase.operators import merging as mg
 from groundphrase.operators import selection as se
 from groundphrase.operators.lineage import scratch
 from groundphrase.plans.registry import Registry
+from groundphrase.sources import patch_files as pf
 from groundphrase.sources import readers as rd
 from groundphrase.sources import sinks as si
 
@@ -187,6 +188,17 @@ def scan_xml_objects(o: DataFrame) -> DataFrame:
     return rd.explode_annotations(text.select(F.from_xml("t", rd.ANNOTATION).alias("d")).select("d.*"))
 
 
+@add("sample_patch_files", "objects", """SELECT 'P' || patch_id || '.png' AS filename, object_id, category, xmin, ymax FROM objects WHERE patch_id IN
+ (SELECT patch_id FROM (SELECT DISTINCT patch_id FROM objects) q ORDER BY patch_id * 7919 % 1009, 'P' || patch_id || '.xml' LIMIT 100)""")
+def sample_patch_files(o: DataFrame) -> DataFrame:
+    """A file a patch; of their listing 100 files are chosen, and only these are parsed."""
+    spark, path = o.sparkSession, scratch(o.sparkSession, "patches")
+    pf.write_patch_files(documents_of(o).drop("patch_id"), path)
+    number = F.regexp_extract("name", r"^P(\d+)\.", 1).cast("bigint")
+    chosen = pf.sample_files(pf.list_files(spark, path), 100, order=number * 7919 % 1009)
+    return rd.explode_documents(pf.read_chosen(spark, chosen))["objects"].select("filename", "object_id", "category", "xmin", "ymax")
+
+
 exchanging.part("first_five", "SELECT patch_id, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM objects WHERE pos < 5 GROUP BY patch_id")
 
 
