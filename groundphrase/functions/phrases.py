@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,10 +89,19 @@ def standardize_phrase(phrase: Column) -> Column:
     return out
 
 
+def _telling(words: list[str]) -> list[str]:
+    """Words that hold no other word of the list: a phrase that holds any of the list holds one of these."""
+    return [w for w in words if not any(o in w and o != w for o in words)]
+
+
 def phrase_features(phrase: Column) -> dict[str, Column]:
-    """Whether each kind of feature occurs."""
+    """Whether each kind of feature occurs. Plain searches for words on bytes: alternatives of a pattern would be tried anew at
+    every letter."""
     low = F.lower(phrase)
-    return {name: F.coalesce(low.rlike("|".join(words)), F.lit(False)) for name, words in FEATURE_WORDS.items()}
+    return {
+        name: F.coalesce(reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in _telling(words)]), F.lit(False))
+        for name, words in FEATURE_WORDS.items()
+    }
 
 
 def feature_combo(phrase: Column) -> Column:

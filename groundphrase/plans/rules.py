@@ -397,9 +397,12 @@ rules.part("combos", f"SELECT target_kind, {_COMBO} AS combo FROM flags WHERE ex
 @rules.add("phrase_taxonomy", "exprs", """SELECT combo, count(*) FILTER (WHERE target_kind = 'individual') AS individual,
  count(*) FILTER (WHERE target_kind = 'group') AS "group", count(*) AS total FROM combos WHERE combo <> '' GROUP BY combo""")
 def phrase_taxonomy(e: DataFrame) -> DataFrame:
-    combos = e.filter("expr_type = 'original'").withColumn("combo", p.feature_combo(c("text"))).filter("combo <> ''")
-    kinds = combos.groupBy("combo").pivot("target_kind", ["individual", "group"]).count().na.fill(0)
-    return kinds.withColumn("total", c("individual") + c("group"))
+    """Phrases are counted before their features are told, since the same ones recur in many patches. The text comes out of
+    the count, so that no test of its features is pushed below it."""
+    kinds = {k: c("target_kind") == k for k in ("individual", "group")}
+    texts = e.filter("expr_type = 'original'").groupBy("text").agg(F.min("text").alias("said"), *[F.count_if(x).alias(k) for k, x in kinds.items()])
+    combos = texts.groupBy(p.feature_combo(c("said")).alias("combo")).agg(*[F.sum(k).alias(k) for k in kinds]).filter("combo <> ''")
+    return combos.withColumn("total", c("individual") + c("group"))
 
 
 @rules.add("rank_taxonomy", "exprs", """SELECT combo, count(*) AS total, CAST(row_number() OVER (ORDER BY count(*) DESC, combo) AS INT) AS rank

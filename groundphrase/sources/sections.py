@@ -37,7 +37,7 @@ def _pieces(spark: SparkSession, path: str | list[str], section: str) -> DataFra
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
     plain = F.regexp_replace(F.regexp_replace("value", r"\\.", ""), rf'"{section}"\s*:', f'"{section}"{MARK}')
     string, rest = '"[^"]*(\"|$)', '^[^"]*(\"|$)'
-    brackets = lambda t: F.regexp_replace(F.regexp_replace(t, string, ""), rf"[^\[\]{{{MARK}]", "")
+    brackets = lambda t: F.regexp_replace(F.regexp_replace(t, string, ""), rf"[^\[\]{{{MARK}]+", "")
     d = d.withColumn("plain", plain)
     return d.withColumns({"quotes": _count(F.col("plain"), '"'), "s0": brackets(F.col("plain")), "s1": brackets(F.regexp_replace("plain", rest, ""))}).drop("plain")
 
