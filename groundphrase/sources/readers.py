@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from groundphrase.operators.matching import described_boxes, samples
 from groundphrase.operators.selection import expr_type
-from groundphrase.sources.sections import read_section
+from groundphrase.sources.sections import block_states, read_section
 
 COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int>>,
 annotations array<struct<id:bigint,image_id:bigint,category_id:int,category_name:string,bbox:array<double>,area:double,iscrowd:int,segmentation:array<array<double>>>>"""
@@ -47,9 +47,11 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_coco_blocks(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """read_coco() of files of any size, each split at any byte, see read_section(). Several documents may follow each other."""
 
+    states = block_states(spark, path)
+
     def parsed(section: str) -> DataFrame:
         kind = StructType.fromDDL(COCO)[section].dataType.elementType
-        return read_section(spark, path, section).select(F.from_json("value", kind).alias("x")).select("x.*")
+        return read_section(spark, path, section, states).select(F.from_json("value", kind).alias("x")).select("x.*")
 
     return parsed("images"), _cornered(parsed("annotations"))
 

@@ -27,7 +27,10 @@ def _blocks_before() -> WindowSpec:
 
 
 def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    left = text
+    for x in chars:
+        left = F.replace(left, F.lit(x), F.lit(""))
+    return F.length(text) - F.length(left)
 
 
 def _pieces(spark: SparkSession, path: str | list[str], section: str) -> DataFrame:
@@ -83,7 +86,12 @@ def _placed(stepped: DataFrame, states: DataFrame) -> DataFrame:
     return d.select(*BLOCK, "n", "value", opens.alias("starts"), mark.alias("mark"), (F.col("depth") > 2).alias("deep"))
 
 
-def read_section(spark: SparkSession, path: str | list[str], section: str) -> DataFrame:
+def block_states(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Where each block of the files starts, inside a string or not and how deep, for several calls of read_section()."""
+    return cut(_states(_stepped(_pieces(spark, path, "_"))))
+
+
+def read_section(spark: SparkSession, path: str | list[str], section: str, states: DataFrame | None = None) -> DataFrame:
     """(file, number, value): the objects of a document's array `section` as JSON texts, numbered within their file.
 
     {"a": ..., "<section>": [{...}, {...}]}, one document after another in a file. Files are split at any byte by
@@ -95,8 +103,7 @@ def read_section(spark: SparkSession, path: str | list[str], section: str) -> Da
     if not section.replace("_", "").isalnum():
         raise ValueError(f"not a plain name: {section}")
     stepped = _stepped(_pieces(spark, path, section))
-    states = cut(_states(stepped))
-    placed = _placed(stepped, states)
+    placed = _placed(stepped, block_states(spark, path) if states is None else states)
     ends = placed.groupBy(*BLOCK).agg(F.count_if("starts").alias("found"), F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("n"))).alias("last"))
     carried = cut(ends.select(
         *BLOCK, F.coalesce(F.sum("found").over(_blocks_before()), F.lit(0)).alias("first"), F.last("last", ignorenulls=True).over(_blocks_before()).alias("open")))
