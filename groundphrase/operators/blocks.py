@@ -88,6 +88,29 @@ def pixels_of(blocks: DataFrame, names: tuple[str, ...] = ra.CHANNELS) -> DataFr
     return blocks.select(*BLOCK, "data").mapInArrow(work, ", ".join(f"`{n}` {k}" for n, k in kinds))
 
 
+def class_runs(blocks: DataFrame) -> DataFrame:
+    """(image_id, class_id, width, height, start, length): the runs of each class in masks of one channel, whose levels are the
+    classes; places are column-major. A block gives the runs of its own rows, and those that touch are then one."""
+    key = [("image_id", blocks.schema["image_id"].dataType.simpleString())]
+    kinds = [*key, ("class_id", "int"), ("width", "int"), ("height", "int"), ("start", "bigint"), ("length", "bigint")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _arrow(kinds)
+        for row, p in _each(batches):
+            columns = np.ascontiguousarray(p[:, :, 0].T)  # x by y
+            new = np.ones(columns.shape, bool)
+            new[:, 1:] = columns[:, 1:] != columns[:, :-1]
+            at = np.flatnonzero(new)
+            x, y = np.divmod(at, row["rows"])
+            same = lambda v, t: pa.array([v], t).take(pa.array(np.zeros(len(at), np.int32)))
+            parts = [same(row["image_id"], schema.field(0).type), pa.array(columns.ravel()[at].astype(np.int32)), same(row["width"], pa.int32()), same(row["height"], pa.int32()),
+                     pa.array(x * row["height"] + y + row["y0"]), pa.array(np.diff(at, append=columns.size))]
+            yield pa.RecordBatch.from_arrays(parts, schema=schema)
+
+    found = blocks.select(*BLOCK, "data").mapInArrow(work, ", ".join(f"`{n}` {k}" for n, k in kinds))
+    return ra.union_runs(found, ["image_id", "class_id", "width", "height"])
+
+
 # ---- statistics: counts of levels
 
 def levels(blocks: DataFrame) -> DataFrame:

@@ -47,6 +47,14 @@ def class_runs(x: DataFrame) -> DataFrame:
     return ra.to_runs(of_class(x), ["mask"], 20).withColumns({"width": F.lit(20), "height": F.lit(20)})
 
 
+@add("landcover_class_runs", "pixels", """SELECT image_id, class_id, min(p) AS start, count(*) AS length FROM (SELECT image_id, class_id, p, p - row_number() OVER (PARTITION BY image_id, class_id ORDER BY p) AS k
+ FROM (SELECT image_id, class_id, x * (max(y) OVER (PARTITION BY image_id) + 1) + y AS p FROM pixels) d) q GROUP BY image_id, class_id, k""")
+def landcover_class_runs(x: DataFrame) -> DataFrame:
+    """Class masks as pictures of a byte a pixel, in blocks, read as runs of classes."""
+    masks = ra.pack(x, ("class_id",))
+    return bl.class_runs(bl.to_blocks(masks, 1, 100)).select("image_id", "class_id", "start", "length")
+
+
 @add("raster_gray", "pixels", "SELECT * FROM grays")
 def raster_gray(x: DataFrame) -> DataFrame:
     return bl.pixels_of(grays(x), ("v",))

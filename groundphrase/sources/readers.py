@@ -142,6 +142,15 @@ def read_landcover(spark: SparkSession, root: str) -> DataFrame:
     return files.select(*landcover_path(F.col("path")), "content")
 
 
+def read_landcover_masks(spark: SparkSession, root: str) -> DataFrame:
+    """(split, domain, image_id, width, height, data): decoded class masks, a byte a pixel; image_id is split/domain/id.
+
+    Pictures of more than one channel, and files that can't be decoded, are passed over. blocks.to_blocks(masks, 1) and
+    blocks.class_runs() lead on to runs of classes."""
+    d = read_images(spark, root).filter("nChannels = 1").select(*landcover_path(F.col("origin")), "width", "height", "data")
+    return d.filter("kind = 'masks'").select("split", "domain", F.concat_ws("/", "split", "domain", "id").alias("image_id"), "width", "height", "data")
+
+
 def phrase_lines(lines: DataFrame) -> DataFrame:
     """(image_id, phrase) of lines "<image_id> <phrase>"; lines without a number and a phrase are passed over."""
     cut = F.split("value", " ", 2)
