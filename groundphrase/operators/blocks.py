@@ -178,11 +178,12 @@ def moment_transfer(blocks: DataFrame, bank: DataFrame) -> DataFrame:
     return look_up(blocks, d.withColumn("out", out))
 
 
-def style_bank(blocks: DataFrame, domains: DataFrame, most: int = 500) -> DataFrame:
+def style_bank(blocks: DataFrame, domains: DataFrame, most: int | None = 500) -> DataFrame:
     """raster.style_bank() from counts of levels. The pictures of a domain are chosen before their bytes are read."""
     chosen = ra.first_of_domains(domains, most)
-    m = moments(levels(blocks.join(chosen.select("image_id"), "image_id", "left_semi"))).join(chosen, "image_id")
-    return ra.averaged(m)
+    if most is not None:
+        blocks = blocks.join(chosen.select("image_id"), "image_id", "left_semi")
+    return ra.averaged(moments(levels(blocks)).join(chosen, "image_id"))
 
 
 def match_histogram(blocks: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -68,8 +68,10 @@ def moments(pixels: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFram
     return pixels.groupBy("image_id").agg(*[f(c).alias(f"{n}_{c}") for c in channels for n, f in (("m", F.avg), ("s", F.stddev_pop))])
 
 
-def first_of_domains(domains: DataFrame, most: int) -> DataFrame:
-    """At most `most` images (image_id, domain) of a domain, in hashed order."""
+def first_of_domains(domains: DataFrame, most: int | None) -> DataFrame:
+    """At most `most` images (image_id, domain) of a domain, in hashed order; None: all of them."""
+    if most is None:
+        return domains
     w = Window.partitionBy("domain").orderBy(F.xxhash64("image_id"), "image_id")
     return domains.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
 
@@ -79,8 +81,8 @@ def averaged(m: DataFrame) -> DataFrame:
     return m.groupBy("domain").agg(*[F.avg(f"{n}_{c}").alias(f"{n}_{c}") for c in CHANNELS for n in "ms"], F.count("*").alias("num_images"))
 
 
-def style_bank(pixels: DataFrame, domains: DataFrame, most: int = 500) -> DataFrame:
-    """(domain, means, deviations, num_images): averages over at most `most` images of a domain, in hashed order."""
+def style_bank(pixels: DataFrame, domains: DataFrame, most: int | None = 500) -> DataFrame:
+    """(domain, means, deviations, num_images): averages over at most `most` images of a domain, in hashed order; None: over all."""
     return averaged(moments(pixels).join(first_of_domains(domains, most), "image_id"))
 
 
