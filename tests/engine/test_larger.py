@@ -35,3 +35,8 @@ def test_the_bank_of_more_pictures_than_a_sample(spark, folder):
     got = catalog.queries()["style_bank"](spark, root)
     assert [r.num_images for r in got.collect()] == [650, 650]
     same(got, SQL["style_bank"], root)
+
+
+def test_the_written_bank_of_more_pictures_than_a_sample(spark, folder):
+    root = folder(events=PICTURES)
+    same(catalog.queries()["style_bank_roundtrip"](spark, root), SQL["style_bank_roundtrip"], root)
