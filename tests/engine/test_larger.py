@@ -40,3 +40,8 @@ def test_the_bank_of_more_pictures_than_a_sample(spark, folder):
 def test_the_written_bank_of_more_pictures_than_a_sample(spark, folder):
     root = folder(events=PICTURES)
     same(catalog.queries()["style_bank_roundtrip"](spark, root), SQL["style_bank_roundtrip"], root)
+
+
+def test_moments_of_the_bank_of_more_pictures_than_a_sample(spark, folder):
+    root = folder(events=PICTURES)
+    same(catalog.queries()["raster_moment_transfer"](spark, root), SQL["raster_moment_transfer"], root)
