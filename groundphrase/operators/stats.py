@@ -65,16 +65,18 @@ def quality_metrics(exprs: DataFrame) -> DataFrame:
     )
 
 
-def target_metrics(objects: DataFrame, exprs: DataFrame, pair_level: int = 2_000_000) -> DataFrame:
+def target_metrics(objects: DataFrame, exprs: DataFrame, pair_level: int = 2_000_000, special: Column | None = None) -> DataFrame:
     """By split: objects, those skipped (no phrase), those without a mask, and targets that are special pairs.
 
-    objects has split, patch_id, object_id and mask (null or empty: missing)."""
+    objects has split, patch_id, object_id and mask (null or empty: missing). special tells the phrases of special pairs where
+    numbers can't, since objects' own reach the level; else the numbers from pair_level on are theirs."""
     said = exprs.filter("target_kind = 'individual'").select("patch_id", F.col("target_id").alias("object_id")).distinct()
     o = objects.join(said.withColumn("said", F.lit(True)), ["patch_id", "object_id"], "left")
     seen = o.groupBy("split").agg(
         F.count("*").alias("objects"), _n(F.col("said").isNull()).alias("skipped"), _n(F.coalesce(F.length("mask"), F.lit(0)) == 0).alias("without_mask")
     )
-    pairs = exprs.filter(F.col("target_id") >= pair_level).groupBy("split").agg(F.count_distinct("patch_id", "target_id").alias("pairs"))
+    paired = F.col("target_id") >= pair_level if special is None else special
+    pairs = exprs.filter(paired).groupBy("split").agg(F.count_distinct("patch_id", "target_id").alias("pairs"))
     return seen.join(pairs, "split", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
 
 

@@ -45,3 +45,8 @@ def test_the_written_bank_of_more_pictures_than_a_sample(spark, folder):
 def test_moments_of_the_bank_of_more_pictures_than_a_sample(spark, folder):
     root = folder(events=PICTURES)
     same(catalog.queries()["raster_moment_transfer"](spark, root), SQL["raster_moment_transfer"], root)
+
+
+def test_keys_that_reach_the_numbers_of_pairs(spark, folder):
+    root = folder(orders=f"SELECT * REPLACE (o_orderkey + 1999000 AS o_orderkey) FROM '{SF}/orders.parquet'")
+    same(catalog.queries()["target_metrics"](spark, root), SQL["target_metrics"], root)
