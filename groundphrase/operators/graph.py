@@ -79,7 +79,8 @@ def components_within(edges: DataFrame, key: str, a: str = "a", b: str = "b", ca
             return pa.RecordBatch.from_arrays([*told, pa.array(nodes), pa.array(centre[root]), pa.array(size[root] + 1)], [*carry, "node", "component", "size"])
 
         for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
+            # without the batch's own schema: columns that are never null there may be so in what is held, and don't go together
+            held.append(pa.Table.from_arrays(batch.columns, batch.schema.names))
             rows += batch.num_rows
             if rows >= CHUNK // 4:
                 e = pa.concat_tables(held)

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from groundphrase.operators import graph as gr
 from groundphrase.plans import catalog
 from oracle import TABLES, same
 
@@ -50,3 +51,16 @@ def test_moments_of_the_bank_of_more_pictures_than_a_sample(spark, folder):
 def test_keys_that_reach_the_numbers_of_pairs(spark, folder):
     root = folder(orders=f"SELECT * REPLACE (o_orderkey + 1999000 AS o_orderkey) FROM '{SF}/orders.parquet'")
     same(catalog.queries()["target_metrics"](spark, root), SQL["target_metrics"], root)
+
+
+def test_components_of_a_task_with_more_edges_than_are_held(spark):
+    """Chains of seven nodes that are never null, more of them in a task than it solves at once."""
+    e = spark.range(910_000).filter("id % 7 < 6").selectExpr("id div 7 AS g", "concat('c', id div 7 % 5) AS kind", "id AS a", "id + 1 AS b").coalesce(1)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        found = gr.components_within(e, "g", carry=("g", "kind"))
+        right = "size = 7 and component = g * 7 and node div 7 = g and kind = concat('c', g % 5)"
+        assert found.selectExpr("count(*)", f"count_if({right})", "count(distinct node)").first() == (910_000, 910_000, 910_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
