@@ -241,7 +241,8 @@ def dedup_directions(o: DataFrame) -> DataFrame:
 # ---- groups
 
 def group_rows(o: DataFrame) -> DataFrame:
-    return r.group_rows(o, r.clusters(o))
+    """Objects are dealt by patch before their pairs are sought, so that one row an object moves, not one a cell around it."""
+    return r.group_rows(o, r.clusters(o.repartition("patch_id")))
 
 
 def described_groups(o: DataFrame) -> DataFrame:

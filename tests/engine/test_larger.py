@@ -64,3 +64,14 @@ def test_components_of_a_task_with_more_edges_than_are_held(spark):
         assert found.selectExpr("count(*)", f"count_if({right})", "count(distinct node)").first() == (910_000, 910_000, 910_000)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+@pytest.mark.parametrize("name", ["clean_mask", "group_grid_position"])
+def test_queries_whose_tasks_have_more_edges_than_are_held(spark, monkeypatch, name):
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(gr, "CHUNK", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        same(catalog.queries()[name](spark, SF), SQL[name], SF)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
