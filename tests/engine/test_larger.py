@@ -66,7 +66,7 @@ def test_components_of_a_task_with_more_edges_than_are_held(spark):
         spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
-@pytest.mark.parametrize("name", ["clean_mask", "group_grid_position", "group_phrases", "group_phrases_text", "group_relations"])
+@pytest.mark.parametrize("name", ["clean_mask", "group_grid_position", "group_phrases", "group_phrases_text", "group_relations", "unique_group_phrases"])
 def test_queries_whose_tasks_have_more_edges_than_are_held(spark, monkeypatch, name):
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     monkeypatch.setattr(gr, "CHUNK", 64)
