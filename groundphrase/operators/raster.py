@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -231,27 +234,70 @@ def mask_stats(mask: DataFrame, key: list[str], source_area: Column | None = Non
     return out.withColumn("is_cutoff", (F.col("area") / source_area < share) & (F.col("area") < least))
 
 
+#: Cuts of edges with rows that are held at a time, if a polygon has no more.
+CUTS = 1 << 20
+
+
+def _cuts(points: pa.Array, width: np.ndarray, height: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(polygon, y, x0, x1) of the polygons of a batch, by their places in it; some polygons at a time."""
+    size = pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    v = pc.cast(points.flatten(), pa.float64()).to_numpy(zero_copy_only=False)  # null: NaN
+    n, start = np.where(size >= 6, size // 2, 0), np.cumsum(size) - size
+    poly = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(poly)) - np.repeat(np.cumsum(n) - n, n)
+    p, q = start[poly] + 2 * k, start[poly] + 2 * np.where(k + 1 == n[poly], 0, k + 1)
+    px, py, qx, qy = v[p], v[p + 1], v[q], v[q + 1]
+    known = ~np.isnan(px + py + qx + qy)
+    poly, px, py, qx, qy = (a[known] for a in (poly, px, py, qx, qy))
+    first = np.maximum(0.0, np.floor(np.minimum(py, qy)))
+    count = np.maximum(0.0, np.minimum(height[poly], np.ceil(np.maximum(py, qy))) - first).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(count)])
+    last = np.append(np.flatnonzero(np.diff(poly)), len(poly) - 1) + 1 if len(poly) else []  # where polygons end
+    at, ends = 0, []
+    for i, end in enumerate(last):
+        if i + 1 == len(last) or upto[last[i + 1]] - upto[at] > CUTS:
+            ends.append((at, int(end)))
+            at = int(end)
+    for lo, hi in ends:
+        e = lo + np.repeat(np.arange(hi - lo), count[lo:hi])
+        y = first[e] + (np.arange(len(e)) + upto[lo] - upto[e])
+        cy = y + 0.5
+        on = (py[e] <= cy) != (qy[e] <= cy)
+        e, y, cy = e[on], y[on], cy[on]
+        x = px[e] + (cy - py[e]) * (qx[e] - px[e]) / (qy[e] - py[e])
+        order = np.lexsort((x, y, poly[e]))
+        of, y, x = poly[e][order], y[order], np.ceil(x[order] - 0.5)
+        # a polygon is closed, so a row has an even number of cuts, unless an edge of unknown ends is left out
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (y[1:] != y[:-1])
+        rank = np.arange(len(of)) - np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))
+        left = np.flatnonzero((rank[:-1] % 2 == 0) & ~new[1:])
+        x0, x1 = np.maximum(0.0, x[left]), np.minimum(width[of[left]], x[left + 1])
+        some = x0 < x1
+        yield tuple(a[some] for a in (of[left], y[left], x0, x1))
+
+
 def rasterize_runs(polygons: DataFrame) -> DataFrame:
     """(polygon_id, y, x0, x1): runs x0..x1 - 1 of pixels whose centres lie inside a polygon (even-odd rule), and which the
-    image holds. Edges meet the rows that they cross, and the cuts of a row are paired in order.
+    image holds. Edges meet the rows that they cross, and the cuts of a row are paired in order. A row of the table is a polygon,
+    whose cuts a task holds; nothing is exchanged.
 
     polygons: polygon_id, points (x0, y0, x1, y1, ...), width, height. A boundary rule of its own: a centre on an edge
     belongs to the pixel right of or below it. Fewer than three points give no pixels."""
-    n = F.floor(F.size("points") / 2).cast("int")
-    point = lambda i: F.struct(F.get("points", 2 * i).alias("x"), F.get("points", 2 * i + 1).alias("y"))
-    edge = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(point(i).alias("p"), point((i + 1) % n).alias("q")))
-    e = polygons.filter(n >= 3).select("polygon_id", "width", "height", F.explode(edge).alias("e")).select("polygon_id", "width", "height", "e.*")
-    low, high = F.least("p.y", "q.y"), F.greatest("p.y", "q.y")
-    first, last = F.greatest(F.lit(0), F.floor(low)).cast("int"), F.least(F.col("height"), F.ceil(high)).cast("int") - 1
-    rows = e.filter(first <= last).withColumn("y", F.explode(F.sequence(first, last)))
-    cy = F.col("y") + 0.5
-    crossed = rows.filter((F.col("p.y") <= cy) != (F.col("q.y") <= cy))
-    at = F.col("p.x") + (cy - F.col("p.y")) * (F.col("q.x") - F.col("p.x")) / (F.col("q.y") - F.col("p.y"))
-    cuts = crossed.groupBy("polygon_id", "y", "width").agg(F.sort_array(F.collect_list(at)).alias("c"))
-    end = lambda i, hi: F.ceil(F.get("c", i) - 0.5).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("c") / 2).cast("int") - 1), lambda i: F.struct(
-        F.greatest(F.lit(0), end(2 * i, 0)).alias("x0"), F.least(F.col("width"), end(2 * i + 1, 0)).alias("x1")))
-    return cuts.select("polygon_id", "y", F.explode(pairs).alias("r")).select("polygon_id", "y", "r.*").filter("x0 < x1")
+    d = polygons.select("polygon_id", "points", "width", "height")
+    long = d.schema["width"].dataType.simpleString() == "bigint"
+    kinds = [pa.int32(), pa.int32(), pa.int64() if long else pa.int32()]
+
+    def side(a: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.cast(a, pa.float64()), float("inf")).to_numpy(zero_copy_only=False)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, *cells in _cuts(batch.column(1), side(batch.column(2)), side(batch.column(3))):
+                told = [pa.array(c.astype(np.int64)).cast(k) for c, k in zip(cells, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *told], ["polygon_id", "y", "x0", "x1"])
+
+    return d.mapInArrow(work, f"polygon_id {d.schema['polygon_id'].dataType.simpleString()}, y int, x0 int, x1 {'bigint' if long else 'int'}")
 
 
 def rasterize(polygons: DataFrame) -> DataFrame:

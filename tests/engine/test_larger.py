@@ -1,10 +1,13 @@
 """Queries on tables that go beyond what the given sizes reach, against their DuckDB texts."""
 
+import math
 import os
+import random
 
 import duckdb
 import pytest
 from groundphrase.operators import graph as gr
+from groundphrase.operators import raster as ra
 from groundphrase.plans import catalog
 from oracle import TABLES, same
 
@@ -75,3 +78,20 @@ def test_queries_whose_tasks_have_more_edges_than_are_held(spark, monkeypatch, n
         same(catalog.queries()[name](spark, SF), SQL[name], SF)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_polygons_move_nothing_and_are_cut_some_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(ra, "CUTS", 50)
+    rng = random.Random(3)
+    shapes = [[rng.uniform(-5, 30) if rng.random() < 0.7 else float(rng.randrange(30)) for _ in range(2 * rng.randrange(9) + rng.randrange(2))] for _ in range(200)]
+    df = spark.createDataFrame([(i, s, 24, 20) for i, s in enumerate(shapes)] + [(900, None, 24, 20)], "polygon_id long, points array<double>, width int, height int")
+    runs = ra.rasterize_runs(df.coalesce(1))
+    assert "Exchange" not in runs._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for i, s in enumerate(shapes):
+        p = list(zip(s[0::2], s[1::2], strict=False))
+        for y in range(20 if len(p) > 2 else 0):
+            cuts = sorted(a + (y + 0.5 - b) * (c - a) / (d - b) for (a, b), (c, d) in zip(p, p[1:] + p[:1], strict=True) if (b <= y + 0.5) != (d <= y + 0.5))
+            for l, r in zip(cuts[0::2], cuts[1::2], strict=True):
+                want.add((i, y, max(0, math.ceil(l - 0.5)), min(24, math.ceil(r - 0.5))))
+    assert sorted(map(tuple, runs.collect())) == sorted(w for w in want if w[2] < w[3])
