@@ -21,10 +21,11 @@ def near_enough(base: float) -> Column:
     """Whether two objects (a_, b_ with geometry) are near enough for their size, and neither is in the other."""
     c = F.col
     reach = base + (c("a_width") + c("a_height")) / 4 + (c("b_width") + c("b_height")) / 4
-    return (c("a_object_id") != c("b_object_id")) & (_distance() <= reach) & ~g.contained("a_", "b_")
+    return (c("a_object_id") != c("b_object_id")) & (distance() <= reach) & ~g.contained("a_", "b_")
 
 
-def _distance() -> Column:
+def distance() -> Column:
+    """Between the centres of two objects (a_, b_)."""
     dx, dy = F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy")
     return F.sqrt(dx * dx + dy * dy)
 
@@ -53,7 +54,7 @@ def relate(objects: DataFrame, base: float = 150.0, sectors: str = "reference")
     pairs = with_directions(cell_join(o, o, ["patch_id"], _reach(base), 2 * base, near_enough(base)), sectors)
     # never empty: "outer" keeps the optimiser from testing that on every pair of the join
     possible = F.array_compact(F.array("direction", "second"))
-    return pairs.withColumns({"distance": _distance(), "possible_directions": possible}).select(
+    return pairs.withColumns({"distance": distance(), "possible_directions": possible}).select(
         "patch_id", c("a_object_id").alias("object_id"), c("b_object_id").alias("target_id"),
         c("a_category").alias("category"), c("b_category").alias("target_category"),
         F.explode_outer("possible_directions").alias("direction"), "distance", c("b_is_cutoff").alias("target_cutoff"),
@@ -247,15 +248,15 @@ def relate_groups(geometry: DataFrame, base: float = 150.0) -> DataFrame:
     e = geometry.filter("group_id < 1000000")
     c = F.col
     dx, dy = c("b_cx") - c("a_cx"), c("b_cy") - c("a_cy")
-    distance = F.sqrt(dx * dx + dy * dy)
+    apart = F.sqrt(dx * dx + dy * dy)
     on = (
-        (c("a_group_id") != c("b_group_id")) & ((c("a_size") > 1) | (c("b_size") > 1)) & (distance <= base)
+        (c("a_group_id") != c("b_group_id")) & ((c("a_size") > 1) | (c("b_size") > 1)) & (apart <= base)
         & ~g.box_inside("a_", "b_") & ~g.box_inside("b_", "a_")
     )
     pairs = cell_join(e, e, ["patch_id"], F.lit(base), base, on)
     return pairs.select(
         "patch_id", c("a_group_id").alias("source_id"), c("b_group_id").alias("target_id"),
-        g.group_direction(g.angle(c("a_cx"), c("a_cy"), c("b_cx"), c("b_cy"))).alias("direction"), distance.alias("distance"),
+        g.group_direction(g.angle(c("a_cx"), c("a_cy"), c("b_cx"), c("b_cy"))).alias("direction"), apart.alias("distance"),
     )
 
 

@@ -324,10 +324,6 @@ def attributed(o: DataFrame) -> DataFrame:
     })
 
 
-def phrases_of(o: DataFrame) -> DataFrame:
-    return ph.object_phrases(attributed(o), r.relate(o))
-
-
 @rules.add("suppress_colours", "objects", "SELECT object_id, CAST(len(colours) AS BIGINT) AS n FROM attributed")
 def suppress_colours(o: DataFrame) -> DataFrame:
     return attributed(o).select("object_id", F.size(p.suppress_colours(c("category"), c("colours"))).cast("bigint").alias("n"))
@@ -335,7 +331,7 @@ def suppress_colours(o: DataFrame) -> DataFrame:
 
 @rules.add("object_phrases", "objects", "SELECT object_id, text, dummy, count(*) AS n FROM phrases GROUP BY object_id, text, dummy")
 def object_phrases(o: DataFrame) -> DataFrame:
-    return phrases_of(o).groupBy("object_id", "text", "dummy").agg(F.count("*").alias("n"))
+    return ph.patch_phrases(attributed(o)).select("object_id", "text", "dummy", "n")
 
 
 @rules.add("unique_phrases", "objects", "SELECT patch_id, object_id, text FROM unique_rows")

@@ -7,9 +7,13 @@ import random
 import duckdb
 import pytest
 from groundphrase.operators import graph as gr
+from groundphrase.operators import phrases as ph
 from groundphrase.operators import raster as ra
-from groundphrase.plans import catalog
+from groundphrase.operators import relations as r
+from groundphrase.plans import catalog, rules
+from groundphrase.plans.fixtures import load
 from oracle import TABLES, same
+from pyspark.sql import functions as F
 
 SF, SQL = "/root/testdata/sf0.001", catalog.oracle_sql()
 
@@ -95,3 +99,17 @@ def test_polygons_move_nothing_and_are_cut_some_at_a_time(spark, monkeypatch):
             for l, r in zip(cuts[0::2], cuts[1::2], strict=True):
                 want.add((i, y, max(0, math.ceil(l - 0.5)), min(24, math.ceil(r - 0.5))))
     assert sorted(map(tuple, runs.collect())) == sorted(w for w in want if w[2] < w[3])
+
+
+def test_phrases_of_objects_do_not_move(spark):
+    """Two patches, one of them dense for the bound given: both ways of meeting say the same as object_phrases(), and the texts, which
+    are many more than the objects, are counted where they are made."""
+    o = load(spark, SF, "objects").filter("patch_id < 4 and (patch_id <> 1 or pos < 5)")
+    a = rules.attributed(o).withColumn("size_attribute", F.when(F.col("pos") == 3, "largest"))
+    columns = ["patch_id", "object_id", "text", "dummy", "n"]
+    for use_size in (False, True):
+        want = ph.object_phrases(a, r.relate(o), use_size).groupBy(*columns[:4]).agg(F.count("*").alias("n"))
+        for dense in (0, 10, 1000):
+            assert sorted(map(tuple, ph.patch_phrases(a, use_size=use_size, dense=dense).select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    plan = catalog.queries()["object_phrases"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "text#" in line]
