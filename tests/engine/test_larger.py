@@ -12,6 +12,7 @@ from groundphrase.operators import raster as ra
 from groundphrase.operators import relations as r
 from groundphrase.plans import catalog, rules
 from groundphrase.plans.fixtures import load
+from groundphrase.sources import patch_files as pf
 from oracle import TABLES, same
 from pyspark.sql import functions as F
 
@@ -113,3 +114,16 @@ def test_phrases_of_objects_do_not_move(spark):
             assert sorted(map(tuple, ph.patch_phrases(a, use_size=use_size, dense=dense).select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     plan = catalog.queries()["object_phrases"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "text#" in line]
+
+
+def test_patch_files_are_listed_without_a_task_for_every_few(spark, tmp_path):
+    """600 files of "file:" are written by tasks themselves (no checksum files, no folder a file) and listed by one."""
+    root = f"file:{tmp_path}/out"
+    rows = spark.range(600).selectExpr("concat('P', id, ' é%=.xml') AS n", "concat('<annotation><filename>', id, '</filename></annotation>') AS t").repartition(5)
+    assert pf.write_patch_files(rows, root, F.col("n"), F.col("t")) == 600
+    assert not [f for f in os.listdir(f"{tmp_path}/out") if f.startswith(".P") or f.startswith(".staged")]
+    found = pf.list_files(spark, root)
+    assert found.rdd.getNumPartitions() == 1
+    scan = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(root).select("path", "length")
+    assert sorted(map(tuple, found.select("path", "length").collect())) == sorted(map(tuple, scan.collect()))
+    assert {d.filename for d in pf.read_chosen(spark, found.filter("name like 'P7%'")).collect()} == {str(i) for i in range(600) if str(i)[0] == "7"}
