@@ -6,7 +6,11 @@ A run is (start, length) of places x * height + y, column after column, the orde
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,19 +90,120 @@ def window_masks(
     """
     step = max(1, int(patch * (1 - overlap)))
     key = ["image_id", "object_id", "source_area"]
-    sides = annotations.join(images.select("image_id", "width", "height"), "image_id")
-    # all that follows is grouped by more than these two: this exchange, of polygons, is the only one, and as wide as can be
+    sides = annotations.join(images.filter(F.least("width", "height") >= patch).select("image_id", "width", "height"), "image_id")
+    # this exchange, of polygons, is the only one, and as wide as can be; what an object has in several rows comes together
     parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = sides.repartition(parts, "image_id", "object_id")
-    polygons = sides.select("image_id", "object_id", F.col("area").alias("source_area"), "width", "height", F.posexplode("segmentation").alias("_polygon", "points"))
-    d = cut_runs(polygon_columns(polygons, [*key, "width", "height", "_polygon"]).drop("_polygon"), patch, step)
+    sides = sides.repartition(parts, "image_id", "object_id").withColumnRenamed("area", "source_area")
+    one = sides.groupBy(*key, "width", "height").agg(F.flatten(F.collect_list("segmentation")).alias("segmentation"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side = [pc.cast(batch.column(i), pa.int64()).to_numpy(zero_copy_only=False) for i in (3, 4)]
+            for row, numbers, runs in _masks_in_windows(batch.column(5), *side, patch, step):
+                at = pa.array(row)
+                told = [pa.array(a).cast(k) for a, k in zip(numbers, [pa.int64()] * 3 + [pa.int32()] * 4, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(3)], *told, runs], [*key, "ix", "iy", "area", *_BOX, "runs"])
+
+    kinds = ", ".join(f"`{k}` {one.schema[k].dataType.simpleString()}" for k in key)
+    out = one.mapInArrow(work, f"{kinds}, ix bigint, iy bigint, area bigint, {', '.join(f'{k} int' for k in _BOX)}, runs array<struct<start:bigint,length:bigint>>")
     if windows is not None:
-        d = d.join(windows.select("image_id", "ix", "iy"), ["image_id", "ix", "iy"], "left_semi")
-    out = run_stats(union_runs(d, [*key, "ix", "iy"]), [*key, "ix", "iy"], patch)
+        out = out.join(windows.select("image_id", "ix", "iy"), ["image_id", "ix", "iy"], "left_semi").select(out.columns)
     hidden = (F.try_divide("area", "source_area") < share) & (F.col("area") < least)
     return out.withColumn("is_cutoff", F.coalesce(hidden, F.lit(False)))
 
 
+_BOX = ("xmin", "ymin", "xmax", "ymax")
+#: Columns of edges that are held at a time, if a mask has no more.
+HELD = 1 << 19
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, value): first, first + 1, ... of each, count of them."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, first[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _masks_in_windows(segmentation: pa.Array, width: np.ndarray, height: np.ndarray, patch: int, step: int) -> Iterator[tuple]:
+    """(row, numbers, runs) of the masks of a batch in their windows, some at a time: polygon_columns(), cut_runs(), union_runs() and
+    run_stats() in arrays. numbers: ix, iy, area and box."""
+    polygons = segmentation.flatten()
+    size = pc.fill_null(pc.list_value_length(polygons), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    many = pc.fill_null(pc.list_value_length(segmentation), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    v = np.trunc(pc.cast(polygons.flatten(), pa.float64()).to_numpy(zero_copy_only=False))  # null: NaN
+    n, start = size // 2, np.cumsum(size) - size
+    poly, k = _spread(np.zeros(len(n), np.int64), n)
+    p, q = start[poly] + 2 * k, start[poly] + 2 * np.where(k + 1 == n[poly], 0, k + 1)
+    px, py, qx, qy = v[p], v[p + 1], v[q], v[q + 1]
+    known = ~np.isnan(px + py + qx + qy)
+    poly, px, py, qx, qy = (a[known] for a in (poly, px, py, qx, qy))
+    row = np.repeat(np.arange(len(many)), many)[poly]
+    first = np.maximum(0, np.minimum(px, qx))
+    count = np.maximum(0, np.minimum(width[row] - 1, np.maximum(px, qx)) - first + 1).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(count)])
+    last = np.append(np.flatnonzero(np.diff(row)), len(row) - 1) + 1 if len(row) else []  # where masks end
+    at = 0
+    for i, end in enumerate(last):
+        if i + 1 == len(last) or upto[last[i + 1]] - upto[at] > HELD:
+            part = slice(at, end)
+            at = end
+            if found := _in_windows(*(a[part] for a in (row, poly, px, py, qx, qy, first, count)), width, height, patch, step):
+                yield found
+
+
+def _in_windows(row, poly, px, py, qx, qy, first, count, width, height, patch: int, step: int) -> tuple | None:
+    e, x = _spread(first, count)
+    row, poly, px, py, qx, qy = (a[e] for a in (row, poly, px, py, qx, qy))
+    dx, dy, top, bottom = qx - px, qy - py, np.minimum(py, qy), np.maximum(py, qy)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        line = lambda x: py + (x - px) * dy / dx
+        before, at, after = line(x - 0.5), line(x), line(x + 0.5)
+    cases = [dx == 0, np.abs(dx) >= np.abs(dy), dy * dx > 0]
+    y0 = np.select(cases, [top, np.floor(at + 0.5), np.maximum(np.ceil(before), top)], np.maximum(np.floor(after) + 1, top))
+    y1 = np.select(cases, [bottom, np.floor(at + 0.5), np.minimum(np.ceil(after) - 1, bottom)], np.minimum(np.floor(before), bottom))
+    crossed = np.flatnonzero((px <= x) != (qx <= x))
+    crossed = crossed[np.lexsort((at[crossed], x[crossed], poly[crossed]))]
+    c, of, column = at[crossed], poly[crossed], x[crossed]
+    new = np.ones(len(c), bool)
+    new[1:] = (of[1:] != of[:-1]) | (column[1:] != column[:-1])
+    rank = np.arange(len(c)) - np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))
+    left = np.flatnonzero((rank[:-1] % 2 == 0) & ~new[1:])
+    row, x = np.concatenate([row, row[crossed[left]]]), np.concatenate([x, column[left]]).astype(np.int64)
+    y0 = np.maximum(0, np.concatenate([y0, np.ceil(c[left])])).astype(np.int64)
+    y1 = np.minimum(height[row], np.concatenate([y1, np.floor(c[left + 1])]) + 1).astype(np.int64)
+    some = y0 < y1
+    row, x, y0, y1 = (a[some] for a in (row, x, y0, y1))
+
+    def met(low: np.ndarray, high: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """matching.window_index()"""
+        lo, hi = np.maximum(0, (low - patch) // step + 1), np.minimum((sides - patch) // step, -(-high // step) - 1)
+        return _spread(lo, np.maximum(0, hi - lo + 1))
+
+    w, ix = met(x, x + 1, width[row])
+    row, x, y0, y1 = (a[w] for a in (row, x, y0, y1))
+    w, iy = met(y0, y1, height[row])
+    row, x, y0, y1, ix = (a[w] for a in (row, x, y0, y1, ix))
+    if not len(row):
+        return None
+    y0, y1 = np.maximum(0, y0 - iy * step), np.minimum(patch, y1 - iy * step)
+    begin = (x - ix * step) * patch + y0
+    order = np.lexsort((begin, iy, ix, row))
+    row, ix, iy, begin, length = (a[order] for a in (row, ix, iy, begin, y1 - y0))
+    head = np.ones(len(row), bool)
+    head[1:] = (row[1:] != row[:-1]) | (ix[1:] != ix[:-1]) | (iy[1:] != iy[:-1])
+    base = (np.cumsum(head) - 1) * (patch * patch + 2)  # masks after each other, so that one running maximum serves all
+    ends = np.maximum.accumulate(base + begin + length)
+    island = head.copy()
+    island[1:] |= base[1:] + begin[1:] > ends[:-1]
+    lead = np.flatnonzero(island)
+    begin, over = begin[lead], (ends - base)[np.append(lead[1:], len(row)) - 1]
+    mask = np.flatnonzero(head[lead])
+    l, r, tail = begin // patch, (over - 1) // patch, (over - 1) % patch + 1
+    numbers = [ix[lead][mask], iy[lead][mask], np.add.reduceat(over - begin, mask), np.minimum.reduceat(l, mask), np.minimum.reduceat(np.where(l == r, begin % patch, 0), mask),
+               np.maximum.reduceat(r, mask) + 1, np.maximum.reduceat(np.where(l == r, tail, patch), mask)]
+    runs = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(over - begin, pa.int64())], ["start", "length"])
+    return row[lead][mask], numbers, pa.ListArray.from_arrays(pa.array(np.append(mask, len(lead)), pa.int32()), runs)
+
+
 def _columns(start: Column, length: Column, height: Column) -> Column:
     """Runs (x, y0, y1) of a run of places, one in each column that it reaches; its length is not 0."""
     x0 = F.floor(start / height)

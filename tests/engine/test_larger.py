@@ -7,6 +7,7 @@ import random
 import duckdb
 import pytest
 from groundphrase.operators import graph as gr
+from groundphrase.operators import masks as ms
 from groundphrase.operators import phrases as ph
 from groundphrase.operators import raster as ra
 from groundphrase.operators import relations as r
@@ -127,3 +128,19 @@ def test_patch_files_are_listed_without_a_task_for_every_few(spark, tmp_path):
     scan = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(root).select("path", "length")
     assert sorted(map(tuple, found.select("path", "length").collect())) == sorted(map(tuple, scan.collect()))
     assert {d.filename for d in pf.read_chosen(spark, found.filter("name like 'P7%'")).collect()} == {str(i) for i in range(600) if str(i)[0] == "7"}
+
+
+def test_window_masks_some_at_a_time_without_sorting_runs(spark, monkeypatch):
+    """Masks in parts, also of an object in two rows, are those of all at once; no run goes through a window or a sort of its own."""
+    rng = random.Random(7)
+    shape = lambda: [rng.choice([rng.uniform(-5, 70), float(rng.randint(0, 60))]) for _ in range(2 * rng.choice([1, 2, 3, 5, 9]))]
+    many = [[shape(), shape()] for _ in range(60)]
+    images = spark.createDataFrame([(0, 60, 50), (1, 41, 64)], "image_id int, width int, height int")
+    kinds = "image_id int, object_id int, segmentation array<array<double>>, area double"
+    whole = spark.createDataFrame([(i % 2, i, s, 50.0) for i, s in enumerate(many)], kinds)
+    split = spark.createDataFrame([(i % 2, i, [p], 50.0) for i, s in enumerate(many) for p in s], kinds)
+    out = ms.window_masks(images, whole, 20, 0.25)
+    assert "Window " not in out._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, out.collect()))
+    monkeypatch.setattr(ms, "HELD", 40)
+    assert len(want) > 100 and sorted(map(tuple, ms.window_masks(images, split, 20, 0.25).collect())) == want
